@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buffers, checkpoint, slices, span_hashes, words
 
@@ -71,7 +72,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs other than the text, and `x`, an array of STATISTICS; null texts count as empty."""
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*rest).schema.add("x", "array<double>")
+    schema = docs.select(*rest).schema.add("x", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +149,7 @@ def score(stats: DataFrame, model: Discriminant | None) -> DataFrame:
     order and the same side of 0.5 as the posterior, without saturating at 0 and 1.
     """
     rest = [c for c in stats.columns if c != "x"]
-    schema = stats.select(*rest).schema.add("score", "double").add("predicted", "int")
+    schema = stats.select(*rest).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

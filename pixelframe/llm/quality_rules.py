@@ -140,7 +140,7 @@ def quality_rules(docs: DataFrame, text: str = "text", least_repeat: int = 10, m
     rest = [c for c in docs.columns if c != text and c not in (*COUNTS, "base_failed", "kept")]
     schema = docs.select(*rest).schema
     for c in COUNTS:
-        schema = schema.add(c, "bigint")
+        schema = schema.add(c, "long")
     schema = schema.add("base_failed", "boolean").add("kept", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

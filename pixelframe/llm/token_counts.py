@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
@@ -172,11 +173,11 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def _map(docs: DataFrame, text: str, name: str, kind: str, arrow: pa.DataType, of, extra_bytes: bool = False) -> DataFrame:
+def _map(docs: DataFrame, text: str, name: str, kind: T.DataType, arrow: pa.DataType, of, extra_bytes: bool = False) -> DataFrame:
     rest = [c for c in docs.columns if c not in (text, name, "n_bytes")]
     schema = docs.select(*rest).schema
     if extra_bytes:
-        schema = schema.add("n_bytes", "bigint")
+        schema = schema.add("n_bytes", "long")
     schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
     Repeated rows, ties and null ids are counted row by row; columns named like a result are replaced.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    return _map(docs, text, "n_tokens", "bigint", pa.int64(), lambda t: counter(path).total(t), extra_bytes=True)
+    return _map(docs, text, "n_tokens", T.LongType(), pa.int64(), lambda t: counter(path).total(t), extra_bytes=True)
 
 
 def prefix_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -206,7 +207,7 @@ def prefix_counts(docs: DataFrame, text: str = "text", vocabulary: str | None =
     At the end of a chunk this is the count of the text cut there, and in between that of the chunk's own prefix.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    return _map(docs, text, "prefix_tokens", "array<int>", pa.list_(pa.int32()), lambda t: counter(path).table(t)[1])
+    return _map(docs, text, "prefix_tokens", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lambda t: counter(path).table(t)[1])
 
 
 def tokens_at(prefixes: DataFrame, n_bytes: int) -> DataFrame:
