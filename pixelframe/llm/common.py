@@ -136,6 +136,18 @@ def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of i and j pairwise in place; parent holds each row's root, the smallest row of its tree."""
+    while True:
+        a, b = parent[i], parent[j]
+        differ = a != b
+        if not differ.any():
+            return
+        np.minimum.at(parent, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent[:] = up
+
+
 # --- keys that more than one document has --------------------------------------------------------
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules, token_counts
+from . import embedding_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1,
+    "op2_sharding": sharding.op2,
+    "op3_url_filter": url_filter.op3,
+    "op4_embedding_dedup": embedding_dedup.op4,
     "op5_token_counts": token_counts.op5,
     "op7_quality_rules": quality_rules.op7,
+    "op8_packing": packing.op8,
     "op9_quality_classifier": quality_classifier.op9,
 }
 ORACLES: dict[str, str] = {}
