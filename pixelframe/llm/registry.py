@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter
+from . import embedding_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7,
     "op8_packing": packing.op8,
     "op9_quality_classifier": quality_classifier.op9,
+    "op10_suffix_dedup": suffix_dedup.op10,
 }
 ORACLES: dict[str, str] = {}
