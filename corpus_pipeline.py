@@ -3,8 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from pixelframe.llm import ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier predicts as 0."""
+    model = quality_classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.classify(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that fail the counting rules or repeat themselves too much."""
+    return quality_rules.quality_rules(docs, keep_text=True).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays (with every row that has this id)."""
+    lost = ngram_join.ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out what a document with a smaller id has too; n_chars follows the text."""
+    kept = suffix_dedup.remove_repeats(docs, keep_text=True)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the texts' tokens in sequences of at most 2048."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_join", near_copies), ("suffix_dedup", repeats), ("packing", pack)]
+#: A trained model and a vocabulary decide: no SQL expresses the rows.
 ORACLE_SQL = None
 
 

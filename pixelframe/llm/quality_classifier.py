@@ -155,12 +155,40 @@ def score(stats: DataFrame, model: Discriminant | None) -> DataFrame:
         for batch in batches:
             x = np.asarray(batch.column("x").flatten()).reshape(-1, len(STATISTICS))
             odds = model.log_odds(x) if model is not None and len(x) else np.zeros(len(x))
-            s = 1 / (1 + np.exp(-np.clip(odds / len(STATISTICS), -36, 36)))
+            s = logistic(odds)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*rest, "score", "predicted"])
 
     return stats.mapInArrow(run, schema)
 
 
+def classify(docs: DataFrame, model: Discriminant | None, text: str = "text") -> DataFrame:
+    """docs, whole, with score and predicted (columns of these names are replaced), in one pass over the texts."""
+    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    schema = docs.select(*rest).schema.add("score", "double").add("predicted", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(text)
+            for lo, hi in slices(buffers(column)[1]):
+                x = statistics(*buffers(column.slice(lo, hi - lo)))
+                s = logistic(model.log_odds(x) if model is not None else np.zeros(len(x)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
+
+    return docs.select(*rest).mapInArrow(run, schema)
+
+
+def learn(docs: DataFrame, labels: DataFrame, stats: DataFrame | None = None, shrinkage: float = 0.1) -> Discriminant | None:
+    """The model of the labelled documents that aren't held out; of an id's several labels the largest counts."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    if stats is None:
+        stats = with_statistics(docs.select("doc_id", "text"))
+    return fit(stats.join(known, "doc_id").where(~held_out()), shrinkage=shrinkage)
+
+
+def logistic(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds / len(STATISTICS), -36, 36)))
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -174,8 +202,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -
     are ignored; without usable labels each score is 0.5.
     """
     stats = checkpoint(with_statistics(docs.select("doc_id", "text")))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    model = fit(stats.join(known, "doc_id").where(~held_out()), shrinkage=shrinkage)
+    model = learn(docs, labels, stats, shrinkage)
     return score(stats, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

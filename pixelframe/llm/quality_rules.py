@@ -128,8 +128,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, least: int) -> dict[str, np.n
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
 
 
-def quality_rules(docs: DataFrame, text: str = "text", least_repeat: int = 10, most_covered: float = 0.4, most_longest: float = 0.4) -> DataFrame:
-    """The columns of docs other than the text, the COUNTS of each text, base_failed and kept.
+def quality_rules(docs: DataFrame, text: str = "text", least_repeat: int = 10, most_covered: float = 0.4, most_longest: float = 0.4, keep_text: bool = False) -> DataFrame:
+    """The columns of docs (the text with keep_text only), the COUNTS of each text, base_failed and kept.
 
     A text is kept if base_failed is false, no more than most_covered of its words lie in maximal repeats of
     at least least_repeat words (union of the spans that the intervals of the common-prefix array give), and
@@ -137,7 +137,7 @@ def quality_rules(docs: DataFrame, text: str = "text", least_repeat: int = 10, m
     fail; a very long text is handled alone, whole; ids may be null or repeated; other columns pass through,
     but those named like a result are replaced.
     """
-    rest = [c for c in docs.columns if c != text and c not in (*COUNTS, "base_failed", "kept")]
+    rest = [c for c in docs.columns if (keep_text or c != text) and c not in (*COUNTS, "base_failed", "kept")]
     schema = docs.select(*rest).schema
     for c in COUNTS:
         schema = schema.add(c, "long")
@@ -153,7 +153,7 @@ def quality_rules(docs: DataFrame, text: str = "text", least_repeat: int = 10, m
                 arrays = [*(batch.column(c).slice(lo, hi - lo) for c in rest), *(pa.array(m[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *COUNTS, "base_failed", "kept"])
 
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*rest, text])).mapInArrow(run, schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filter
+from . import embedding_dedup, ngram_join, packing, piece_dropout, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3,
     "op4_embedding_dedup": embedding_dedup.op4,
     "op5_token_counts": token_counts.op5,
+    "op6_piece_dropout": piece_dropout.op6,
     "op7_quality_rules": quality_rules.op7,
     "op8_packing": packing.op8,
     "op9_quality_classifier": quality_classifier.op9,
