@@ -21,7 +21,7 @@ CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Entries that a worker keeps; beyond that it starts anew.
-CACHE = 200_000
+CACHE = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,6 +57,7 @@ class PrefixCounter:
         self._sides: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self._whole: dict[bytes, bool] = {}
         self._chunks: dict[str, int] = {}
+        self._pieces: dict[str, int] = {}
 
     def encode(self, piece: bytes) -> list[bytes]:
         """By merging the best-ranked pair again and again."""
@@ -134,7 +135,13 @@ class PrefixCounter:
         if known is None:
             if len(self._chunks) >= CACHE:
                 self._chunks.clear()
-            known = self._chunks[text] = sum(self.counts(p.encode())[-1] for p in PATTERN.findall(text))
+            known = self._chunks[text] = sum([self._pieces.get(p) or self.piece(p) for p in PATTERN.findall(text)])
+        return known
+
+    def piece(self, text: str) -> int:
+        if len(self._pieces) >= CACHE:
+            self._pieces.clear()
+        known = self._pieces[text] = self.counts(text.encode())[-1]
         return known
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
