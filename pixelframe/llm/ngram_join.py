@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ _U = np.uint64
 MOST_FREQUENT = 65_536
 #: Documents of a tile that a task holds on one side.
 TILE = 1024
+#: Keys by which each document is compared with the smallest one that has them.
+STARS = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,20 +66,43 @@ def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
+def sent_lengths(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many first elements are looked up: half the set, so that most of them must be known elsewhere."""
+    return np.minimum(n, np.maximum(prefix_lengths(n, percent), n // 2 + 1))
+
+
+def least_known(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the first elements looked up a set shares with any one similar set at least.
+
+    A similar set has at least percent of n elements. Of two similar sets, the one whose lookup ends earlier in
+    the common order misses n - ceil(percent * n) of its own elements in the other at most, and all the rest of its lookup lies in the other's.
+    One less is asked, for the rounding between neighbouring sizes.
+    """
+    small = -(-percent * n // 100)
+    return np.maximum(1, sent_lengths(small, percent) - prefix_lengths(small, percent))
+
+
 def bitmap(values: np.ndarray) -> bytes:
     """A bit for each shingle's hash, in a power of two of bits that grows with the set."""
-    width = 1 << max(6, min(14, (len(values) - 1).bit_length()))
+    width = 1 << max(6, min(15, (2 * len(values) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(mix(values) & _U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def fold(maps: list[bytes]) -> np.ndarray:
-    """The bitmaps as rows of 64-bit words, all folded to the narrowest one's width."""
-    width = min(map(len, maps))
-    out = np.zeros((len(maps), width // 8), np.uint64)
-    for i, raw in enumerate(maps):
-        out[i] = np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, width // 8), axis=0)
+def reachable(maps: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """may_reach() for pairs of row numbers, by the narrower bitmap's width."""
+    sizes = np.array([len(m) for m in maps])
+    width = np.minimum(sizes[a], sizes[b])
+    out = np.zeros(len(a), bool)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        for at in range(0, len(own), 1 << 14):
+            part = own[at : at + (1 << 14)]
+            rows, back = np.unique(np.r_[a[part], b[part]], return_inverse=True)
+            folded = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[r], np.uint64).reshape(-1, w // 8), axis=0) for r in rows.tolist()])
+            x, y = folded[back[: len(part)]], folded[back[len(part) :]]
+            out[part] = may_reach(x, y, n[a[part]], n[b[part]], percent)
     return out
 
 
@@ -136,10 +162,11 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     are one document for linking. No pair is left out:
 
     1. Equal sets (128-bit fingerprints) are one class, of its smallest id, whatever its size.
-    2. Of each class's set only a prefix in a common order can hold the key of a link; frequent shingles go last.
-       Keys that no other document has are dropped by an exchange in which a key comes once from each block.
-    3. Each document is compared with the smallest one that has its first key: a number of pairs linear in the
-       documents, which joins large groups of near copies.
+    2. The first half of each class's set, in a common order with frequent shingles last, is looked up in an exchange
+       to which a key comes once from each block. A set that shares too few of these keys with all others together
+       has no link; of the rest, the keys of the prefix that any link must share make its tiles.
+    3. Each document is compared with the smallest ones that have a few of its keys: a number of pairs linear in
+       the documents, which joins large groups of near copies.
     4. Tiles (key, size band; a set also visits the next band) that still hold several components are compared
        in blocks, pairs of one component left out: bitmaps first, then the sorted arrays.
     """
@@ -155,12 +182,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     dealt = docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def chosen(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(doc_id, set, prefix keys) of the block's classes; each class once."""
+        """(doc_id, set, first keys) of the block's classes; each class once."""
         want = set(zip(right.column("doc_id").to_pylist(), right.column("s1").to_pylist(), strict=True))
         ids = left.column("doc_id").to_pylist()
         for rows, h, at in _rows_of(left, k):
             s1 = fingerprints(h, at)[0].tolist()
-            length = prefix_lengths(np.diff(at), percent)
+            length = sent_lengths(np.diff(at), percent)
             late = np.isin(h, frequent, kind="sort") if len(frequent) else np.zeros(len(h), bool)
             for i, r in enumerate(rows.tolist()):
                 if (ids[r], s1[i]) in want and at[i + 1] > at[i]:
@@ -187,7 +214,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         parts = [p for _, _, p in found]
         hit = apply_masks(np.concatenate(parts), buckets, dict(zip(reply.column("bucket").to_pylist(), reply.column("mask").to_pylist(), strict=True))) if parts else np.zeros(0, bool)
         ends = np.cumsum([len(p) for p in parts])
-        rows = [(d, v, p[m]) for (d, v, p), m in zip(found, np.split(hit, ends[:-1]), strict=True) if m.any()] if parts else []
+        rows = []
+        for (d, v, p), m in zip(found, np.split(hit, ends[:-1]) if parts else [], strict=True):
+            n = np.array(len(v))
+            tile = p[: prefix_lengths(n, percent)][m[: prefix_lengths(n, percent)]]
+            if len(tile) and m.sum() >= least_known(n, percent):
+                rows.append((d, v, tile))
         return pa.table({
             "doc_id": pa.array([d for d, _, _ in rows], pa.int64()), "n": pa.array([len(v) for _, v, _ in rows], pa.int64()),
             "keys": pa.array([np.unique(p).view(np.int64) for _, _, p in rows], pa.list_(pa.int64())),
@@ -195,7 +227,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         })
 
     sets = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(active, "doc_id long, n long, keys array<long>, bits binary, items binary")
-    sets = checkpoint(sets)
+    # read by id again and again: kept in place, dealt by id (what is lost is made anew from the shuffle files)
+    sets = sets.repartition(blocks, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar: by bitmaps, then by arrays."""
@@ -203,8 +236,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
-                rows = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), na, nb, strict=True)
-                keep = [bool(may_reach(*fold([x, y])[:, None], m, n, percent)[0]) for x, y, m, n in rows]
+                maps, half = batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist(), len(na)
+                keep = reachable(maps, np.r_[na, nb], np.arange(half), np.arange(half, 2 * half), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def by_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +253,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         near = sides(pairs, "n", "bits").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).mapInArrow(by_bits, "a long, b long")
         return checkpoint(sides(near, "items").mapInArrow(by_items, "a long, b long"))
 
-    # 3: the smallest holder of each document's first key
-    first = sets.select("doc_id", "n", F.array_min("keys").alias("key"))
+    # 3: the smallest holder of a few of each document's keys
+    by_hash = lambda j: F.array_min(F.transform("keys", lambda key: F.xxhash64(key, F.lit(j))))
+    least = [by_hash(j) for j in range(STARS)]
+    first = sets.select("doc_id", "n", F.explode(F.array_distinct(F.array(*least))).alias("key"))
     leader = first.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("l")).select("key", F.col("l.doc_id").alias("b"))
     stars = first.join(leader, "key").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     links = verified(stars)
@@ -236,28 +271,38 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     mixed = mixed.where("x <> y AND home").select(*tile, F.ceil(F.col("size") / TILE).cast("int").alias("chunks"))
     at_tile = visits.join(mixed, tile).withColumn("part", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
     opposite = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-    at_tile = at_tile.withColumn("pair", F.explode(opposite)).join(sets.select("doc_id", "n", "bits"), "doc_id")
+    at_tile = at_tile.withColumn("pair", F.explode(opposite))
+    # many small tiles to a group; of a divided tile each pair of parts may go elsewhere
+    at_tile = at_tile.withColumn("bin", F.pmod(F.xxhash64(*tile, "pair"), F.lit(4 * blocks)).cast("int")).withColumn("tile", F.xxhash64(*tile, "pair"))
+    at_tile = at_tile.select("bin", "tile", "doc_id", "comp", "part", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), (F.col("own_band") == F.col("band")).alias("home")).join(sets.select("doc_id", "n", "bits"), "doc_id")
 
     def across(table: pa.Table) -> pa.Table:
-        ids, comp, n = (np.asarray(table.column(c)) for c in ("doc_id", "comp", "n"))
-        part, home = np.asarray(table.column("part")), np.asarray(table.column("own_band")) == np.asarray(table.column("band"))
-        pair = table.column("pair")[0].as_py()
-        maps = fold(table.column("bits").to_pylist())
-        left, right = np.flatnonzero(part == pair["i"]), np.flatnonzero(part == pair["j"])
-        a, b = [], []
-        for i in left.tolist():
-            js = right[(comp[right] != comp[i]) & (home[i] | home[right]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if pair["i"] == pair["j"]:
-                js = js[ids[js] > ids[i]]
-            if len(js):
-                js = js[may_reach(maps[i], maps[js], n[i], n[js], percent)]
-                a += [np.full(len(js), ids[i])]
-                b += [ids[js]]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    pairs = at_tile.groupBy(*tile, "pair").applyInArrow(across, "a long, b long").distinct()
+        table = table.sort_by("tile")
+        names = ("tile", "doc_id", "comp", "n", "part", "i", "j", "home")
+        tiles, ids, comp, n, part, first, second, home = (np.asarray(table.column(c)) for c in names)
+        maps = table.column("bits").to_pylist()
+        found, step = [np.zeros((0, 2), np.int64)], 1
+        while step < len(ids):
+            a = np.flatnonzero(tiles[step:] == tiles[:-step])
+            if not len(a):
+                break
+            b = a + step
+            meet = (comp[a] != comp[b]) & (ids[a] != ids[b]) & (home[a] | home[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            meet &= ((part[a] == first[a]) & (part[b] == second[a])) | ((part[a] == second[a]) & (part[b] == first[a]))
+            pairs = np.column_stack([a[meet], b[meet]])
+            if len(pairs):
+                # each pair of documents once
+                key = np.sort(ids[pairs], axis=1)
+                pairs = pairs[np.unique(key, axis=0, return_index=True)[1]]
+                keep = reachable(maps, n, pairs[:, 0], pairs[:, 1], percent)
+                found.append(np.sort(ids[pairs[keep]], axis=1).reshape(-1, 2))
+            step += 1
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
+
+    pairs = at_tile.groupBy("bin").applyInArrow(across, "a long, b long").distinct()
     joined = components(links.unionByName(verified(checkpoint(pairs))))
+    sets.unpersist()
     out = own.join(classes, ["s1", "s2"], "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,32 +18,58 @@ from tokenizers import Tokenizer
 
 #: White space as the tokenizer drops it (Unicode White_Space): no token spans it.
 WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-CACHE = 200_000
+CACHE = 400_000
 PARTS = 32
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType())])
 
 
+#: The vocabulary's own split of a word into pieces (fixed value).
+PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
+#: Letters that normalisation leaves alone but for their case.
+PLAIN = re.compile("[\x21-\xff]*")
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes; the library encodes each new word once."""
+    """Ids of whole texts as little-endian bytes; the library encodes each new piece once, many at a time."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):  # they are cut out before anything else, wherever they stand
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = WORD.findall(text)
-        known = self.known
-        if fresh := [w for w in set(words) if w not in known]:
-            if len(known) + len(fresh) > CACHE:
-                known.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[w] = self._pack(e.ids)
-        return b"".join([known[w] for w in words])
+        try:
+            return b"".join([self.words[w] for w in words])
+        except KeyError:
+            self._learn(words)
+        return b"".join([self.words[w] for w in words])
+
+    def _learn(self, words: list[str]) -> None:
+        known, pieces = self.words, self.pieces
+        if len(known) > CACHE:
+            known.clear()
+        if len(pieces) > CACHE:
+            pieces.clear()
+        fresh = {w for w in words if w not in known}
+        split = {w: PIECE.findall(w.lower()) for w in fresh if PLAIN.fullmatch(w)}
+        lost = list({p for ps in split.values() for p in ps if p not in pieces})
+        for at in range(0, len(lost), 2000):
+            part = lost[at : at + 2000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids)
+            cuts = np.flatnonzero(np.diff(of)) + 1
+            if len(cuts) + 1 != len(part):
+                raise ValueError("the vocabulary splits words in another way than expected")
+            raw, edges = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+            pieces.update((p, raw[a:b]) for p, a, b in zip(part, edges[:-1], edges[1:], strict=True))
+        for w in fresh:
+            own = split.get(w)
+            known[w] = b"".join([pieces[p] for p in own]) if own is not None else self._pack(self.tokenizer.encode(w, add_special_tokens=False).ids)
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
