@@ -39,23 +39,21 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # they are cut out before anything else, wherever they stand
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = WORD.findall(text)
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self._learn(words)
-        return b"".join([self.words[w] for w in words])
-
-    def _learn(self, words: list[str]) -> None:
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text. Special strings are cut out before anything else, wherever they stand: such texts go to the library whole."""
+        whole = [any(s in t for s in self.special) for t in texts]
+        words = [[] if w else WORD.findall(t) for t, w in zip(texts, whole, strict=True)]
+        self._learn(set().union(*words))
+        known = self.words
+        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join([known[x] for x in ws]) for t, w, ws in zip(texts, whole, words, strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
         known, pieces = self.words, self.pieces
         if len(known) > CACHE:
             known.clear()
         if len(pieces) > CACHE:
             pieces.clear()
-        fresh = {w for w in words if w not in known}
+        fresh = words.difference(known)
         split = {w: PIECE.findall(w.lower()) for w in fresh if PLAIN.fullmatch(w)}
         lost = list({p for ps in split.values() for p in ps if p not in pieces})
         for at in range(0, len(lost), 2000):
@@ -91,11 +89,12 @@ def cut(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 out: list[tuple] = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = encoder(path).ids(text or "") + end
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(path).ids(texts), strict=True):
+                    ids += end
                     n = len(ids) // 4
                     out += ((doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=PIECES.names)
