@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 from ..functions.scalar import divide
 from ..meta import bands, dims, one_of
 
-PIXEL = Window.partitionBy("x", "y")
-SERIES = PIXEL.orderBy("t")
 #: Scales a median absolute deviation to a normal standard deviation (fixed value).
 MAD_SCALE = 1.4826
 
 
+def _pixel():
+    return Window.partitionBy("x", "y")
+
+
+def _series():
+    return _pixel().orderBy("t")
+
+
 def apply_time(df: DataFrame, fn) -> DataFrame:
     """Each band's series by a function of (column, window of the pixel in order of time)."""
-    return df.withColumns({b: fn(F.col(b), SERIES) for b in bands(df)})
+    return df.withColumns({b: fn(F.col(b), _series()) for b in bands(df)})
 
 
 def rank_mask(value: Column) -> Column:
     """True where a value isn't its pixel's largest over time; equal ones all survive, nodata gives nodata."""
-    return value != F.max(value).over(PIXEL)
+    return value != F.max(value).over(_pixel())
 
 
 def nmad_outliers(df: DataFrame, band: str = "B02", sigma: float = 3.0, min_offset: float = 80.0, only: Sequence[str] | None = None) -> DataFrame:
     """Hides all bands where the band lies above its pixel's median by sigma scaled deviations and by min_offset."""
-    with_median = df.withColumn("_med", F.median(band).over(PIXEL))
-    with_mad = with_median.withColumn("_mad", F.median(F.abs(F.col(band) - F.col("_med"))).over(PIXEL))
+    with_median = df.withColumn("_med", F.median(band).over(_pixel()))
+    with_mad = with_median.withColumn("_mad", F.median(F.abs(F.col(band) - F.col("_med"))).over(_pixel()))
     out = (F.col(band) > F.col("_med") + sigma * MAD_SCALE * F.col("_mad")) & (F.col(band) > F.col("_med") + min_offset)
     hide = F.coalesce(out, F.lit(False))
     flagged = with_mad.withColumn("_out", hide)
@@ -39,10 +45,10 @@ def nmad_outliers(df: DataFrame, band: str = "B02", sigma: float = 3.0, min_offs
 def interpolate_linear(df: DataFrame, by: str = "position") -> DataFrame:
     """Fills gaps between two observations of a pixel linearly, by position or by time; both ends stay nodata."""
     one_of("by", by, ("position", "time"))
-    place = F.row_number().over(SERIES).cast("double") if by == "position" else F.unix_micros("t").cast("double")
+    place = F.row_number().over(_series()).cast("double") if by == "position" else F.unix_micros("t").cast("double")
     df_ = df.withColumn("_i", place)
-    back = SERIES.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = SERIES.rowsBetween(0, Window.unboundedFollowing)
+    back = _series().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = _series().rowsBetween(0, Window.unboundedFollowing)
     made = {}
     for b in bands(df):
         known = F.when(F.col(b).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(b).cast("double").alias("v")))
@@ -55,18 +61,28 @@ def interpolate_linear(df: DataFrame, by: str = "position") -> DataFrame:
 # --- neighbourhoods -------------------------------------------------------------------------------------
 
 
-def moving_sum(df: DataFrame, radius: int, only: Sequence[str] | None = None) -> DataFrame:
+def completed(df: DataFrame) -> DataFrame:
+    """df with a row for each pixel of its bounding box (of each date), bands of new rows null."""
+    extra = [c for c in dims(df) if c == "t"]
+    box = df.groupBy(*extra).agg(*(f(c).alias(f"_{c}{n}") for c in ("x", "y") for n, f in ((0, F.min), (1, F.max)))).where("_x0 IS NOT NULL")
+    grid = box.select(*extra, F.explode(F.sequence("_y0", "_y1")).alias("y"), "_x0", "_x1").select(*extra, "y", F.explode(F.sequence("_x0", "_x1")).alias("x"))
+    return grid.join(df, ["x", "y", *extra], "left").select(*df.columns)
+
+
+def moving_sum(df: DataFrame, radius: int, only: Sequence[str] | None = None, dense: bool = False) -> DataFrame:
     """Sums of the (2r+1) x (2r+1) pixels around each: two passes of row windows, linear whatever the radius.
 
     Missing pixels and nodata count 0. Rows are windows of one line each, so that no task sees more than a
-    line; every pixel of the extent must have a row to be summed into.
+    line. With dense=True every pixel of the extent is known to have a row, which saves a join.
     """
     extra = [c for c in dims(df) if c == "t"]
     names = list(only or bands(df))
     across = Window.partitionBy(*extra, "y").orderBy("x").rangeBetween(-radius, radius)
     down = Window.partitionBy(*extra, "x").orderBy("y").rangeBetween(-radius, radius)
-    first = df.withColumns({b: F.sum(F.coalesce(F.col(b).cast("double"), F.lit(0.0))).over(across) for b in names})
-    return first.withColumns({b: F.sum(b).over(down) for b in names})
+    full = df if dense else completed(df.withColumn("_own", F.lit(True)))
+    first = full.withColumns({b: F.sum(F.coalesce(F.col(b).cast("double"), F.lit(0.0))).over(across) for b in names})
+    out = first.withColumns({b: F.sum(b).over(down) for b in names})
+    return out if dense else out.where("_own").drop("_own")
 
 
 def apply_kernel(df: DataFrame, kernel: Sequence[Sequence[float]], factor: float = 1.0, border: float = 0.0, replace_invalid: float = 0.0) -> DataFrame:
@@ -119,13 +135,14 @@ def scl_dilation_mask(df: DataFrame, band: str = "SCL", kernel1_size: int = 17,
     return work.select(*keys, ((F.col("_m1") > 0) | (F.col("_m2") > 0)).alias("mask"))
 
 
-def cloud_distance_score(df: DataFrame, cloud: str, limit: int = 150, sigma: float = 50.0) -> DataFrame:
+def cloud_distance_score(df: DataFrame, cloud: str, limit: int = 150, sigma: float = 50.0, dense: bool = False) -> DataFrame:
     """`score`: 0 on cloud, 1 from `limit` pixels away, between them 1 - exp(-d^2 / (2 sigma^2)) of the city-block distance d.
 
     The distance is exact and separable: the nearest cloud in a row by two running windows, then the best row of
-    each column as a running minimum of (distance - y) and (distance + y). Every pixel of the extent must have a row.
+    each column as a running minimum of (distance - y) and (distance + y). dense=True is as for moving_sum().
     """
     rest = [c for c in dims(df) if c == "t"]
+    df = df if dense else completed(df.withColumn("_own", F.lit(True)))
     along = Window.partitionBy(*rest, "y").orderBy("x")
     left = F.last(F.when(F.col(cloud), F.col("x")), True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(F.when(F.col(cloud), F.col("x")), True).over(along.rowsBetween(0, Window.unboundedFollowing))
@@ -136,7 +153,8 @@ def cloud_distance_score(df: DataFrame, cloud: str, limit: int = 150, sigma: flo
     far = row.withColumn("_d", F.least(above, below).cast("double"))
     d = F.col("_d")
     score = F.when(d.isNull() | (d > limit), F.lit(1.0)).when(d == 0, F.lit(0.0)).otherwise(1 - F.exp(-d * d / F.lit(2.0 * sigma * sigma)))
-    return far.withColumn("score", score).drop("_d")
+    out = far.withColumn("score", score).drop("_d")
+    return out if dense else out.where("_own").drop("_own")
 
 
 def date_score(sigma: float = 10.0, t: str = "t") -> Column:
@@ -165,11 +183,11 @@ def peak_valley(df: DataFrame, band: str, drop_threshold: float = 0.15, recovery
     with a later value at least drop_threshold lower.
     """
     v = F.col(band).cast("double")
-    prior, after = F.lag(v).over(SERIES), F.lead(v).over(SERIES)
-    high = F.max(v).over(SERIES.rowsBetween(Window.unboundedPreceding, -1))
-    later_high = F.max(v).over(SERIES.rowsBetween(1, Window.unboundedFollowing))
-    later_low = F.min(v).over(SERIES.rowsBetween(1, Window.unboundedFollowing))
-    days = (F.unix_micros("t") - F.lag(F.unix_micros("t")).over(SERIES)) / F.lit(86_400_000_000.0)
+    prior, after = F.lag(v).over(_series()), F.lead(v).over(_series())
+    high = F.max(v).over(_series().rowsBetween(Window.unboundedPreceding, -1))
+    later_high = F.max(v).over(_series().rowsBetween(1, Window.unboundedFollowing))
+    later_low = F.min(v).over(_series().rowsBetween(1, Window.unboundedFollowing))
+    days = (F.unix_micros("t") - F.lag(F.unix_micros("t")).over(_series())) / F.lit(86_400_000_000.0)
     marked = df.withColumns({"_p": prior, "_n": after, "_h": high, "_lh": later_high, "_ll": later_low, "_s": divide(prior - v, days)})
     drop = F.col("_h") - v
     valley = (v < F.col("_p")) & (v <= F.col("_n")) & (drop >= drop_threshold) & (F.col("_lh") - v >= recovery_ratio * drop) & (F.col("_s") >= slope_threshold)
