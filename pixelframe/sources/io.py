@@ -45,9 +45,9 @@ def write_cube(df: DataFrame, path: str, tile: int = 1024) -> None:
     df.repartitionByRange(tx, ty).sortWithinPartitions(tx, ty, "t").write.mode("overwrite").parquet(path)
 
 
-def load_items(spark: SparkSession, path: str, bands: Sequence[str] | None = None, interval: tuple[str, str] | None = None, max_cloud_cover: float | None = None) -> DataFrame:
-    """(item, t, cloud_cover, asset, href, band) of item JSON files."""
-    items = spark.read.schema(ITEM).option("multiLine", True).json(path)
+def load_items(spark: SparkSession, path: str, bands: Sequence[str] | None = None, interval: tuple[str, str] | None = None, max_cloud_cover: float | None = None, multi_line: bool = True) -> DataFrame:
+    """(item, t, cloud_cover, asset, href, band) of item JSON files; multi_line=False reads files with an item on each line."""
+    items = spark.read.schema(ITEM).option("multiLine", multi_line).json(path)
     rows = items.select("id", F.to_timestamp("properties.datetime").alias("t"), F.col("properties.`eo:cloud_cover`").alias("cloud_cover"), F.explode("assets").alias("asset", "_a"))
     rows = rows.select(F.col("id").alias("item"), "t", "cloud_cover", "asset", F.col("_a.href").alias("href"), F.explode(F.transform(F.col("_a.`eo:bands`"), lambda b: b["name"])).alias("band"))
     if bands is not None:
@@ -119,9 +119,9 @@ def write_metrics(df: DataFrame, path: str, partitioning: str = "false") -> None
         df.write.mode("overwrite" if partitioning == "false" else "append").parquet(path)
 
 
-def read_run_report(spark: SparkSession, path: str) -> DataFrame:
+def read_run_report(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(nodeid, outcome, duration, start, stop, metrics map) of JSON run reports; what is missing is null."""
-    df = spark.read.schema(RUN_REPORT).option("multiLine", True).json(path)
+    df = spark.read.schema(RUN_REPORT).option("multiLine", multi_line).json(path)
     pairs = F.map_from_entries(F.transform("metrics", lambda m: F.struct(m[0], m[1])))
     return df.select("nodeid", "report.*", pairs.alias("metrics"))
 
@@ -131,15 +131,15 @@ def write_run_report(df: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def read_records(spark: SparkSession, root: str, schema: str = catalog.RECORD) -> DataFrame:
+def read_records(spark: SparkSession, root: str, schema: str = catalog.RECORD, multi_line: bool = True) -> DataFrame:
     """All JSON records under a folder, each with its path."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(root)
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", multi_line).json(root)
     return df.withColumn("path", F.col("_metadata.file_path"))
 
 
-def read_scenarios(spark: SparkSession, root: str, schema: str = catalog.SCENARIO) -> DataFrame:
+def read_scenarios(spark: SparkSession, root: str, schema: str = catalog.SCENARIO, multi_line: bool = True) -> DataFrame:
     """One row for each scenario of the JSON arrays in benchmark scenario folders; broken files have _corrupt_record."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(root)
+    df = spark.read.schema(f"{schema}, _corrupt_record string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", multi_line).json(root)
     return df.withColumn("path", F.col("_metadata.file_path")).where(F.col("path").rlike(r"/[^/]*benchmark[-_]scenarios?[^/]*/[^/]+\.json$"))
 
 
