@@ -151,9 +151,25 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 # --- keys that more than one document has --------------------------------------------------------
 
 
-def block_of(column: str, blocks: int) -> F.Column:
-    """Documents are dealt over blocks by id; a null id goes to block 0."""
-    return F.coalesce(F.pmod(F.xxhash64(F.col(column)), F.lit(blocks)), F.lit(0)).cast("int")
+def even_ids(spark: SparkSession, n: int) -> list[int]:
+    """n group keys, of which each falls into a partition of its own of n: as many keys as partitions, dealt by hash, would share some and leave others empty."""
+    found: dict[int, int] = {}
+    size = 16 * n + 64
+    while len(found) < n:
+        rows = spark.range(size).select(F.col("id").cast("int").alias("id"))
+        rows = rows.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+        found, size = {r["at"]: r["id"] for r in rows.collect()}, 4 * size
+    return [found[k] for k in range(n)]
+
+
+def deal(ids: list[int], place: F.Column) -> F.Column:
+    """The group key of a place (0 to len(ids) - 1)."""
+    return F.element_at(F.array(*map(F.lit, ids)), place.cast("int") + 1)
+
+
+def block_of(column: str, ids: list[int]) -> F.Column:
+    """Documents are dealt over blocks by id; a null id goes to the first one."""
+    return deal(ids, F.coalesce(F.pmod(F.xxhash64(F.col(column)), F.lit(len(ids))), F.lit(0)))
 
 
 def pack_keys(block: int, keys: np.ndarray, rows: np.ndarray, buckets: int) -> dict[str, list]:
@@ -214,7 +230,7 @@ PACKED = "block int, bucket int, keys binary, many binary"
 MASKS = "block int, bucket int, mask binary"
 
 
-def shared_keys(packed: DataFrame) -> DataFrame:
+def shared_keys(packed: DataFrame, ids: list[int]) -> DataFrame:
     """(block, bucket, mask): a bit for each of a block's keys that another document has too.
 
     A key comes once from each block however many of its documents hold it, so that a key of a third of
@@ -238,4 +254,4 @@ def shared_keys(packed: DataFrame) -> DataFrame:
         out = [(b, k, np.packbits(h).tobytes()) for b, k, h in zip(rows["block"], rows["bucket"], np.split(hit, ends[:-1]), strict=True) if h.any()]
         return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "mask": pa.array([x[2] for x in out], pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(mark, MASKS)
+    return packed.withColumn("deal", deal(ids, F.col("bucket"))).groupBy("deal").applyInArrow(mark, MASKS)

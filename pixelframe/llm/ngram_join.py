@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, PACKED, apply_masks, block_of, buffers, checkpoint, mix, pack_keys, partitions, shared_keys, slices, span_hashes, window_hashes, words
+from .common import LOWER, PACKED, apply_masks, block_of, buffers, checkpoint, even_ids, mix, pack_keys, partitions, shared_keys, slices, span_hashes, window_hashes, words
 from .components import components
 
 _U = np.uint64
@@ -173,30 +173,31 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     spark = docs.sparkSession
     ratio = math.log(1.3) if percent == 80 else math.log(1.05 * 100 / percent)
     blocks = buckets = max(1, partitions(spark))
+    ids = even_ids(spark, blocks)
     facts = checkpoint(set_facts(docs, k))
     own = facts.where("s1 IS NOT NULL")
     often = facts.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hot").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r.hot for r in often.collect()], np.int64).view(np.uint64))
     classes = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    picked = classes.select(block_of("rep", blocks).alias("block"), F.col("rep").alias("doc_id"), "s1")
-    dealt = docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    picked = classes.select(block_of("rep", ids).alias("block"), F.col("rep").alias("doc_id"), "s1")
+    dealt = docs.select(block_of("doc_id", ids).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def chosen(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(doc_id, set, first keys) of the block's classes; each class once."""
         want = set(zip(right.column("doc_id").to_pylist(), right.column("s1").to_pylist(), strict=True))
-        ids = left.column("doc_id").to_pylist()
+        of = left.column("doc_id").to_pylist()
         for rows, h, at in _rows_of(left, k):
             s1 = fingerprints(h, at)[0].tolist()
             length = sent_lengths(np.diff(at), percent)
             late = np.isin(h, frequent, kind="sort") if len(frequent) else np.zeros(len(h), bool)
             for i, r in enumerate(rows.tolist()):
-                if (ids[r], s1[i]) in want and at[i + 1] > at[i]:
-                    want.discard((ids[r], s1[i]))
+                if (of[r], s1[i]) in want and at[i + 1] > at[i]:
+                    want.discard((of[r], s1[i]))
                     values, last = h[at[i] : at[i + 1]], late[at[i] : at[i + 1]]
                     first = values[~last][: length[i]]
                     if len(first) < length[i]:
                         first = np.concatenate([first, values[last][: length[i] - len(first)]])
-                    yield ids[r], values, mix(first)
+                    yield of[r], values, mix(first)
 
     def keys_of(left: pa.Table, right: pa.Table) -> pa.Table:
         block = (left if left.num_rows else right).column("block")[0].as_py()
@@ -204,7 +205,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         out = pack_keys(block, np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int64), buckets)
         return pa.table({"block": pa.array(out["block"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "many": pa.array(out["many"], pa.binary())})
 
-    masks = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED))
+    masks = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED), ids)
     replies = picked.select("block", "doc_id", "s1", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("mask"))
     replies = replies.unionByName(masks, allowMissingColumns=True)
 
