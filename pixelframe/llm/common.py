@@ -26,6 +26,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Blocks of documents for each shuffle partition: a task holds one at a time.
+BLOCKS_EACH = 2
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -151,15 +155,18 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 # --- keys that more than one document has --------------------------------------------------------
 
 
-def even_ids(spark: SparkSession, n: int) -> list[int]:
-    """n group keys, of which each falls into a partition of its own of n: as many keys as partitions, dealt by hash, would share some and leave others empty."""
-    found: dict[int, int] = {}
-    size = 16 * n + 64
-    while len(found) < n:
+def even_ids(spark: SparkSession, n: int, each: int = 1) -> list[int]:
+    """n * each group keys, of which each of n partitions gets `each`: as many keys as partitions, dealt by hash, would crowd some and leave others empty.
+
+    The first n keys alone are one for each partition.
+    """
+    found: dict[int, list[int]] = {}
+    size = 16 * n * each + 64
+    while len(found) < n or min(map(len, found.values())) < each:
         rows = spark.range(size).select(F.col("id").cast("int").alias("id"))
-        rows = rows.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
-        found, size = {r["at"]: r["id"] for r in rows.collect()}, 4 * size
-    return [found[k] for k in range(n)]
+        rows = rows.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, each).alias("ids"))
+        found, size = {r["at"]: r["ids"] for r in rows.collect()}, 4 * size
+    return [found[k][i] for i in range(each) for k in range(n)]
 
 
 def deal(ids: list[int], place: F.Column) -> F.Column:

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, PACKED, apply_masks, block_of, buffers, checkpoint, even_ids, mix, pack_keys, partitions, shared_keys, slices, span_hashes, window_hashes, words
+from .common import BLOCKS_EACH, LOWER, PACKED, apply_masks, block_of, buffers, checkpoint, even_ids, mix, pack_keys, partitions, shared_keys, slices, span_hashes, window_hashes, words
 from .components import components
 
 _U = np.uint64
@@ -20,7 +20,7 @@ _U = np.uint64
 MOST_FREQUENT = 65_536
 #: Documents of a tile that a task holds on one side.
 TILE = 1024
-#: Keys by which each document is compared with the smallest one that has them.
+#: Rounds in which each document is compared with one holder of one of its keys.
 STARS = 4
 
 
@@ -84,7 +84,7 @@ def least_known(n: np.ndarray, percent: int) -> np.ndarray:
 
 def bitmap(values: np.ndarray) -> bytes:
     """A bit for each shingle's hash, in a power of two of bits that grows with the set."""
-    width = 1 << max(6, min(15, (2 * len(values) - 1).bit_length()))
+    width = 1 << max(6, min(15, (4 * len(values) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(mix(values) & _U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -153,6 +153,12 @@ def set_facts(docs: DataFrame, k: int, frequent_share: float = 0.004) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hot long, times long")
 
 
+def with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Adds `comp`: the component of doc_id, itself where it has no link."""
+    found = rows.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return found.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
@@ -165,15 +171,15 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     2. The first half of each class's set, in a common order with frequent shingles last, is looked up in an exchange
        to which a key comes once from each block. A set that shares too few of these keys with all others together
        has no link; of the rest, the keys of the prefix that any link must share make its tiles.
-    3. Each document is compared with the smallest ones that have a few of its keys: a number of pairs linear in
-       the documents, which joins large groups of near copies.
+    3. In a few rounds each document is compared with one holder of one of its keys, chosen by hash, if they aren't
+       yet in one component: pairs linear in the documents, which join large groups of near copies.
     4. Tiles (key, size band; a set also visits the next band) that still hold several components are compared
        in blocks, pairs of one component left out: bitmaps first, then the sorted arrays.
     """
     spark = docs.sparkSession
     ratio = math.log(1.3) if percent == 80 else math.log(1.05 * 100 / percent)
     blocks = buckets = max(1, partitions(spark))
-    ids = even_ids(spark, blocks)
+    ids = even_ids(spark, blocks, BLOCKS_EACH)
     facts = checkpoint(set_facts(docs, k))
     own = facts.where("s1 IS NOT NULL")
     often = facts.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hot").limit(MOST_FREQUENT)
@@ -205,7 +211,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         out = pack_keys(block, np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int64), buckets)
         return pa.table({"block": pa.array(out["block"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "many": pa.array(out["many"], pa.binary())})
 
-    masks = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED), ids)
+    masks = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED), ids[:buckets])
     replies = picked.select("block", "doc_id", "s1", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("mask"))
     replies = replies.unionByName(masks, allowMissingColumns=True)
 
@@ -254,16 +260,18 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         near = sides(pairs, "n", "bits").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).mapInArrow(by_bits, "a long, b long")
         return checkpoint(sides(near, "items").mapInArrow(by_items, "a long, b long"))
 
-    # 3: the smallest holder of a few of each document's keys
-    by_hash = lambda j: F.array_min(F.transform("keys", lambda key: F.xxhash64(key, F.lit(j))))
-    least = [by_hash(j) for j in range(STARS)]
-    first = sets.select("doc_id", "n", F.explode(F.array_distinct(F.array(*least))).alias("key"))
-    leader = first.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("l")).select("key", F.col("l.doc_id").alias("b"))
-    stars = first.join(leader, "key").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
-    links = verified(stars)
-    joined = checkpoint(components(links))
+    # 3: one holder of each document's key, another key and another holder in each round; only pairs of different components
+    links, joined = None, None
+    for j in range(STARS):
+        keyed = sets.select("doc_id", F.array_min(F.transform("keys", lambda key: F.xxhash64(key, F.lit(j)))).alias("key"))  # noqa: B023
+        keyed = keyed.withColumn("comp", F.col("doc_id")) if joined is None else with_component(keyed, joined)
+        leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(j)).alias("h"), "doc_id", "comp")).alias("l"))
+        stars = keyed.join(leader, "key").where(F.col("comp") != F.col("l.comp")).select(F.col("doc_id").alias("a"), F.col("l.doc_id").alias("b"))
+        found = verified(stars)
+        links = found if links is None else links.unionByName(found)
+        joined = checkpoint(components(links))
     # 4: tiles of several components
-    slim = sets.select("doc_id", "n", "keys").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    slim = with_component(sets.select("doc_id", "n", "keys"), joined)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
     holders = slim.select("doc_id", "comp", band.alias("own_band"), F.explode("keys").alias("key"))
     visits = holders.withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") + 1)))

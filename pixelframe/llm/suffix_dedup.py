@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACKED, apply_masks, block_of, buffers, deal, even_ids, mix, pack_keys, partitions, shared_keys, slices, window_hashes
+from .common import BLOCKS_EACH, PACKED, apply_masks, block_of, buffers, deal, even_ids, mix, pack_keys, partitions, shared_keys, slices, window_hashes
 
 _U = np.uint64
 #: Bytes of the anchors; any string of the least length holds anchors at LEAST - ANCHOR + 1 places.
@@ -263,8 +263,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
     a block once, with its holders.
     """
     spark = docs.sparkSession
-    blocks = buckets = max(1, partitions(spark))
-    even = even_ids(spark, blocks)
+    buckets = max(1, partitions(spark))
+    even = even_ids(spark, buckets, BLOCKS_EACH)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rest = [c for c in docs.columns if c not in (*made, "text", "_block", "_tie")]
     dealt = docs.select(block_of("doc_id", even).alias("_block"), F.xxhash64("text").alias("_tie"), *rest, "text")
@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
         out = pack_keys(left.column("_block")[0].as_py(), np.concatenate([k for _, k in parts]), np.concatenate([r for r, _ in parts]), buckets)
         return pa.table({c: pa.array(out[c], pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(names)})
 
-    masks = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(keys_of, PACKED), even)
+    masks = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(keys_of, PACKED), even[:buckets])
     replies = copies.unionByName(masks, allowMissingColumns=True)
 
     def runs_of(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -326,7 +326,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
         out = repeated(table, least)
         return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i else pa.int32()) for i, c in enumerate(("block", "rows", "starts", "ends"))})
 
-    found = copies.unionByName(runs.withColumn("deal", deal(even, F.col("bucket"))).groupBy("deal").applyInArrow(merge, FOUND), allowMissingColumns=True)
+    found = copies.unionByName(runs.withColumn("deal", deal(even[:buckets], F.col("bucket"))).groupBy("deal").applyInArrow(merge, FOUND), allowMissingColumns=True)
     fields = [*docs.select(*rest).schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("text", T.StringType()))
