@@ -35,7 +35,7 @@ def pixels(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = tuple(BAN
 
 def radar(df: DataFrame) -> DataFrame:
     """Backscatter bands as fractions."""
-    return df.select("x", "y", "t", (F.col("VV") / 1000).alias("VV"), (F.col("VH") / 1000).alias("VH"))
+    return df.select("x", "y", "t", (F.col("VV") / 997).alias("VV"), (F.col("VH") / 997).alias("VH"))
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ SQL = (
     "px AS (SELECT (l_partkey % 40)::INT AS x, (l_suppkey % 25)::INT AS y, l_shipdate::TIMESTAMP AS t, "
     + ", ".join(f"max({sql})::INT AS {b}" for b, (_, sql) in BANDS.items())
     + " FROM lineitem GROUP BY ALL), "
-    "rd AS (SELECT x, y, t, VV / 1000.0::DOUBLE AS VV, VH / 1000.0::DOUBLE AS VH FROM px), "
+    "rd AS (SELECT x, y, t, VV / 997.0::DOUBLE AS VV, VH / 997.0::DOUBLE AS VH FROM px), "
     "zn AS (SELECT n_nationkey::INT AS feature_index, (n_nationkey % 5) * 8 AS w, (n_nationkey // 5) * 5 AS s FROM nation), "
     "pz AS (SELECT px.*, zn.feature_index FROM px JOIN zn ON px.x >= w AND px.x < w + 8 AND px.y >= s AND px.y < s + 5), "
     "gr AS (SELECT DISTINCT x, y FROM px), "
