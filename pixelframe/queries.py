@@ -262,10 +262,10 @@ _DN = {b: f"({b} / 10000.0::DOUBLE)" for b in tc.BANDS}
 _ND = lambda a, b: f"(({a} - {b})::DOUBLE / nullif({a} + {b}, 0))"
 
 
-def index_query(name: str, shown: dict, sqls: dict[str, str], labels: tuple[str, ...], make: Callable | None = None) -> None:
+def index_query(name: str, shown: dict, sqls: dict[str, str], labels: tuple[str, ...], make: Callable | None = None, digits: int = 6) -> None:
     """Columns of an index against SQL, both rounded; halves of the last decimal are lifted a little, as engines differ on them."""
-    cols = ", ".join(f"round(({q}) + 1e-9, 6) + 0.0::DOUBLE AS {k}" for k, q in sqls.items())
-    cube_query(name, f"SELECT x, y, t, {cols} FROM px", lambda d: d.select("x", "y", "t", *((c.cast("double") + 1e-9).alias(k) for k, c in (make() if make else shown).items())), labels)
+    cols = ", ".join(f"round(({q}) + 1e-9, {digits}) + 0.0::DOUBLE AS {k}" for k, q in sqls.items())
+    cube_query(name, f"SELECT x, y, t, {cols} FROM px", lambda d: d.select("x", "y", "t", *(F.round(c.cast("double") + 1e-9, digits).alias(k) for k, c in (make() if make else shown).items())), labels)
 
 
 _LIN = lambda v: f"(greatest(0, least(1, {v})) * 255)::DOUBLE"
@@ -290,7 +290,7 @@ index_query("l4_evi2", {}, {"evi2": _EVI2, "red": f"({_RAMP(0)})", "green": f"({
 _G = f"(0.106 * ({B['B04']} - {B['B02']}))"
 index_query("l5_arvi", {}, {"arvi": f"(({B['B8A']} - {B['B04']}) - {_G}) / nullif(({B['B8A']} + {B['B04']}) - {_G}, 0)"}, ("B02", "B04", "B8A"), lambda: {"arvi": ix.arvi()})
 _BA = f"((1 - sqrt({B['B06']} * {B['B07']} * {B['B8A']} / nullif({B['B04']}, 0))) * (({B['B12']} - {B['B8A']}) / nullif(sqrt({B['B12']} + {B['B8A']}), 0) + 1))"
-index_query("l6_bais2", {}, {"bais2": _BA, "red": _LIN(f"CASE WHEN {_BA} < 0 THEN 1 WHEN {_BA} < 0.5 THEN 0.9803921569 * {_BA} / 0.5 WHEN {_BA} <= 0.99 THEN 0.9803921569 + (1 - 0.9803921569) * ({_BA} - 0.5) / 0.49 ELSE 1 END"), "green": _LIN(f"CASE WHEN {_BA} < 0 THEN 1 WHEN {_BA} < 0.5 THEN {_BA} / 0.5 WHEN {_BA} <= 0.99 THEN 1 + (0.0784313725 - 1) * ({_BA} - 0.5) / 0.49 ELSE 0 END"), "blue": _LIN(f"CASE WHEN {_BA} < 0 THEN 1 WHEN {_BA} < 0.5 THEN 1 + (0.0392156863 - 1) * {_BA} / 0.5 WHEN {_BA} <= 0.99 THEN 0.0392156863 + (0.0784313725 - 0.0392156863) * ({_BA} - 0.5) / 0.49 ELSE 1 END")}, ("B04", "B06", "B07", "B8A", "B12"), lambda: {"bais2": ix.bais2(), **ix.bais2_colours()})
+index_query("l6_bais2", {}, {"bais2": _BA, "red": _LIN(f"CASE WHEN {_BA} < 0 THEN 1 WHEN {_BA} < 0.5 THEN 0.9803921569 * {_BA} / 0.5 WHEN {_BA} <= 0.99 THEN 0.9803921569 + (1 - 0.9803921569) * ({_BA} - 0.5) / 0.49 ELSE 1 END"), "green": _LIN(f"CASE WHEN {_BA} < 0 THEN 1 WHEN {_BA} < 0.5 THEN {_BA} / 0.5 WHEN {_BA} <= 0.99 THEN 1 + (0.0784313725 - 1) * ({_BA} - 0.5) / 0.49 ELSE 0 END"), "blue": _LIN(f"CASE WHEN {_BA} < 0 THEN 1 WHEN {_BA} < 0.5 THEN 1 + (0.0392156863 - 1) * {_BA} / 0.5 WHEN {_BA} <= 0.99 THEN 0.0392156863 + (0.0784313725 - 0.0392156863) * ({_BA} - 0.5) / 0.49 ELSE 1 END")}, ("B04", "B06", "B07", "B8A", "B12"), lambda: {"bais2": ix.bais2(), **ix.bais2_colours()}, 4)
 _BSI = f"((({B['B11']} + {B['B04']}) - ({B['B08']} + {B['B02']})) / nullif(({B['B11']} + {B['B04']}) + ({B['B08']} + {B['B02']}), 0))"
 index_query("l7_barren_soil", {}, {"bsi": _BSI, "red": f"2.5 * {_BSI}", "green": B["B08"], "blue": B["B11"]}, ("B02", "B04", "B08", "B11"), lambda: {"bsi": ix.bsi(), **ix.barren_soil()})
 _BR, _NG = f"(({B['B03']} - 0.175) / 0.215::DOUBLE)", _ND("B03", "B04")
