@@ -388,3 +388,30 @@ query("n3_apply_neighborhood")(lambda s, d: udf.apply_neighborhood(_raster(s, d)
 query("n4_apply_polygon", "SELECT feature_index, (max(B04) - min(B04))::DOUBLE AS spread FROM pz GROUP BY ALL")(lambda s, d: udf.apply_polygon(tc.pixels(s, d, ("B04",)), tc.zones(s, d), _spread, "feature_index int, spread double"))
 query("n5_glcm_texture")(lambda s, d: udf.glcm_texture(_raster(s, d).select("x", "y", (F.col("v") / 12).alias("v")), "v", 9, 2, 16, 8))
 query("n11_whittaker")(lambda s, d: udf.whittaker(cb.mask_where(tc.pixels(s, d, ("B04", "SCL")), cb.scl_mask((3, 8, 9))).select("x", "y", "t", "B04"), 100.0))
+
+
+def _weights():
+    return (1.0, 2.0)
+
+
+def _weighted(model, x):
+    return x @ model
+
+
+@query("n6_predict_forest")
+def _(s: SparkSession, d: str) -> DataFrame:
+    px = tc.pixels(s, d, ("B04", "B08")).withColumn("label", (F.col("B08") > F.col("B04")).cast("double"))
+    model = udf.train_forest(px, ["B04", "B08"], "label", 5, 4)
+    return udf.predict_forest(px.drop("label"), model, ["B04", "B08"])
+
+
+query("n7_predict_batch", "SELECT x, y, t, (coalesce(CASE WHEN SCL <> 3 THEN B04 END, -1) + 2 * coalesce(CASE WHEN SCL <> 3 THEN B08 END, -1))::DOUBLE AS prediction FROM px")(lambda s, d: udf.predict_batch(cb.mask_where(tc.pixels(s, d, ("B04", "B08", "SCL")), F.col("SCL") == 3), _weights, _weighted, ["B04", "B08"], -1))
+query("n8_ensemble_median")(lambda s, d: udf.ensemble_median(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")).groupBy("x", "y", "t").agg(F.max("B04").cast("double").alias("v")), "v", [_first_max, _first_mean], 4, 3, 16, 4))
+
+
+def _first_max(stack):
+    return stack.max(0)
+
+
+def _first_mean(stack):
+    return stack.mean(0)

@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -26,8 +27,8 @@ def plain(value):
         return "~"
     if isinstance(value, bool):
         return str(value)
-    if isinstance(value, (int, float)):
-        return f"{float(value):.6f}"
+    if isinstance(value, (int, float, Decimal)):
+        return f"{float(value) + 0.0:.6f}"
     text = str(value)
     return text.removesuffix(" 00:00:00") if text.endswith(" 00:00:00") else text
 
