@@ -84,7 +84,7 @@ def least_known(n: np.ndarray, percent: int) -> np.ndarray:
 
 def bitmap(values: np.ndarray) -> bytes:
     """A bit for each shingle's hash, in a power of two of bits that grows with the set."""
-    width = 1 << max(6, min(15, (4 * len(values) - 1).bit_length()))
+    width = 1 << max(6, min(15, (2 * len(values) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(mix(values) & _U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -282,7 +282,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     opposite = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
     at_tile = at_tile.withColumn("pair", F.explode(opposite))
     # many small tiles to a group; of a divided tile each pair of parts may go elsewhere
-    at_tile = at_tile.withColumn("bin", F.pmod(F.xxhash64(*tile, "pair"), F.lit(4 * blocks)).cast("int")).withColumn("tile", F.xxhash64(*tile, "pair"))
+    at_tile = at_tile.withColumn("bin", F.pmod(F.xxhash64(*tile, "pair"), F.lit(blocks)).cast("int")).withColumn("tile", F.xxhash64(*tile, "pair"))
     at_tile = at_tile.select("bin", "tile", "doc_id", "comp", "part", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), (F.col("own_band") == F.col("band")).alias("home")).join(sets.select("doc_id", "n", "bits"), "doc_id")
 
     def across(table: pa.Table) -> pa.Table:
