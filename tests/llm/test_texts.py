@@ -47,6 +47,26 @@ def test_pieces(docs, rows):
     assert sorted(r.ids_crc32 for r in varied.collect()) == sorted(r.ids_crc32 for r in piece_dropout.encode_pieces(docs.repartition(7), rate=0.2, seed=3).collect())
 
 
+def test_pieces_vary_by_occurrence(spark):
+    encoder = piece_dropout.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    df = spark.createDataFrame([(i, "international") for i in range(200)] + [(None, "international " * 200), (7, "international"), (8, None)], "doc_id long, text string")
+    made = piece_dropout.encode_pieces(df).collect()
+    by_doc = {tuple(r.piece_ids) for r in made if r.doc_id is not None}
+    assert len(by_doc) > 8 and len({tuple(r.piece_ids) for r in made if r.doc_id == 7}) == 1
+    words = [[]]
+    for i in next(r.piece_ids for r in made if r.doc_id is None):
+        if encoder.pieces[i].startswith(piece_dropout.SPACE) and words[-1]:
+            words.append([])
+        words[-1].append(i)
+    assert len(set(map(tuple, words))) > 8
+    again = piece_dropout.encode_pieces(df.repartition(5)).collect()
+    assert Counter((r.doc_id, r.ids_crc32) for r in made) == Counter((r.doc_id, r.ids_crc32) for r in again)
+    # "▁" + "a" is the one merge of this text: it is skipped at the rate
+    assert len(encoder.segment("▁a")) == 1
+    kept = sum(encoder.ids("a", 0.25, h) == encoder.ids("a") for h in range(2000)) / 2000
+    assert 0.7 < kept < 0.8 and all(encoder.decode(encoder.ids("the é日 " + "ab" * 50, r, h)) == "the é日 " + "ab" * 50 for h in range(3) for r in (0.3, 1.0))
+
+
 def measure(text, least=10):
     raw = (text or "").encode()
     w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
