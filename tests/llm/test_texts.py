@@ -105,6 +105,21 @@ def test_quality_rules(spark, docs, rows):
     assert [r.kept for r in made] == [False, True, False, True]
 
 
+def test_each_repeat_limit_decides_alone(spark):
+    word = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = word("p", 190)
+    long = " ".join([word("a", 310), passage, word("b", 310), passage])  # 38 % covered, a repeat of 19 %
+    many = " ".join([*(f"{word(f's{i}x', 45)} u{i} {word(f's{i}x', 45)}" for i in range(5)), word("c", 545)])  # 45 % covered, repeats of 4.5 %
+    few = " ".join([word("a", 800), word("q", 100), "u", word("q", 100)])  # a repeat of 10 %
+    df = spark.createDataFrame(list(enumerate([long, many, few])), "doc_id int, text string")
+    made = quality_rules.quality_rules(df).orderBy("doc_id").collect()
+    assert [(r.n_words, r.covered_words, r.longest_repeat, r.base_failed) for r in made[:1]] == [(1000, 380, 190, False)]
+    assert [r.kept for r in made] == [False, False, True]
+    # what each limit rejects, the other one lets pass
+    assert [r.kept for r in quality_rules.quality_rules(df, most_longest=1.0).orderBy("doc_id").collect()] == [True, False, True]
+    assert [r.kept for r in quality_rules.quality_rules(df, most_covered=1.0).orderBy("doc_id").collect()] == [False, True, True]
+
+
 def test_quality_classifier(spark, docs):
     all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
