@@ -159,23 +159,8 @@ def with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return found.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
-
-    Two documents link at Jaccard similarity percent/100 or above of their k-word shingle sets; component_id is
-    the smallest doc_id that links reach. Texts without words (null, empty, white space) have no shingles and
-    are linked with nothing; a row with a null id has a null component and links nothing; rows that repeat an id
-    are one document for linking. No pair is left out:
-
-    1. Equal sets (128-bit fingerprints) are one class, of its smallest id, whatever its size.
-    2. The first half of each class's set, in a common order with frequent shingles last, is looked up in an exchange
-       to which a key comes once from each block. A set that shares too few of these keys with all others together
-       has no link; of the rest, the keys of the prefix that any link must share make its tiles.
-    3. In a few rounds each document is compared with one holder of one of its keys, chosen by hash, if they aren't
-       yet in one component: pairs linear in the documents, which join large groups of near copies.
-    4. Tiles (key, size band; a set also visits the next band) that still hold several components are compared
-       in blocks, pairs of one component left out: bitmaps first, then the sorted arrays.
-    """
+def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts of the rows, classes (s1, s2, rep) and links (a, b) between representatives: every one, or as many as join the components."""
     spark = docs.sparkSession
     ratio = math.log(1.3) if percent == 80 else math.log(1.05 * 100 / percent)
     blocks = buckets = max(1, partitions(spark))
@@ -262,7 +247,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     # 3: one holder of each document's key, another key and another holder in each round; only pairs of different components
     links, joined = None, None
-    for j in range(STARS):
+    for j in range(0 if every else STARS):
         keyed = sets.select("doc_id", F.array_min(F.transform("keys", lambda key: F.xxhash64(key, F.lit(j)))).alias("key"))  # noqa: B023
         keyed = keyed.withColumn("comp", F.col("doc_id")) if joined is None else with_component(keyed, joined)
         leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(j)).alias("h"), "doc_id", "comp")).alias("l"))
@@ -271,7 +256,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         links = found if links is None else links.unionByName(found)
         joined = checkpoint(components(links))
     # 4: tiles of several components
-    slim = with_component(sets.select("doc_id", "n", "keys"), joined)
+    slim = sets.select("doc_id", "n", "keys")
+    slim = slim.withColumn("comp", F.col("doc_id")) if joined is None else with_component(slim, joined)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
     holders = slim.select("doc_id", "comp", band.alias("own_band"), F.explode("keys").alias("key"))
     visits = holders.withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") + 1)))
@@ -310,13 +296,55 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
     pairs = at_tile.groupBy("bin").applyInArrow(across, "a long, b long").distinct()
-    joined = components(links.unionByName(verified(checkpoint(pairs))))
+    found = verified(checkpoint(pairs))
     sets.unpersist()
+    return own, classes, found if links is None else links.unionByName(found)
+
+
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs.
+
+    Two documents link at Jaccard similarity percent/100 or above of their k-word shingle sets; component_id is
+    the smallest doc_id that links reach. Texts without words (null, empty, white space) have no shingles and
+    are linked with nothing; a row with a null id has a null component and links nothing; rows that repeat an id
+    are one document for linking. No two components are left apart (ngram_links gives every link):
+
+    1. Equal sets (128-bit fingerprints) are one class, of its smallest id, whatever its size.
+    2. The first half of each class's set, in a common order with frequent shingles last, is looked up in an exchange
+       to which a key comes once from each block. A set that shares too few of these keys with all others together
+       has no link; of the rest, the keys of the prefix that any link must share make its tiles.
+    3. In a few rounds each document is compared with one holder of one of its keys, chosen by hash, if they aren't
+       yet in one component: pairs linear in the documents, which join large groups of near copies.
+    4. Tiles (key, size band; a set also visits the next band) that still hold several components are compared
+       in blocks, pairs of one component left out: bitmaps first, then the sorted arrays.
+    """
+    own, classes, links = _joined(docs, k, percent, False)
+    joined = components(links)
     out = own.join(classes, ["s1", "s2"], "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def ngram_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Every link, as (a, b) with a < b between class representatives, and the members (doc_id, rep) of the classes.
+
+    Documents of one class have equal sets and link with each other; two of different classes link if their representatives
+    do. Here nothing is left out for being joined already: tiles compare all their pairs, so that m differing near copies
+    give up to m * (m - 1) / 2 rows. Rows without shingles or id are in neither table; repeated ids are one document.
+    """
+    own, classes, links = _joined(docs, k, percent, True)
+    members = own.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["s1", "s2"]).select("doc_id", "rep").distinct()
+    return members, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_links) of each member, from ngram_links: the other documents of its class and those of linked classes."""
+    size = members.groupBy("rep").agg(F.count("*").alias("_size"))
+    ways = links.select("a", "b").union(links.select("b", "a")).join(size, F.col("b") == F.col("rep")).groupBy(F.col("a").alias("rep")).agg(F.sum("_size").alias("_far"))
+    per = size.join(ways, "rep", "left").select("rep", (F.col("_size") - 1 + F.coalesce("_far", F.lit(0))).alias("n_links"))
+    return members.join(per, "rep").select("doc_id", "n_links")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

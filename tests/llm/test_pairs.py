@@ -52,6 +52,21 @@ def test_ngram_join(docs, rows):
     assert got == want
 
 
+def test_ngram_links_are_all_there(spark):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if j != 11 * i % 120 else f"x{i}" for j, w in enumerate(base)) for i in range(30)]
+    texts += texts[:3] + [" ".join(base[: 120 - 8 * i]) for i in range(6)] + ["", "one two"]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3])]
+    members, links = ngram_join.ngram_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    sets = {d: shingles(t) for d, t in rows if d is not None}
+    want = {d: sum(100 * len(x & y) >= 80 * len(x | y) for e, y in sets.items() if e != d and y) for d, x in sets.items() if x}
+    assert max(want.values()) > 30
+    assert {r.doc_id: r.n_links for r in ngram_join.link_counts(members, links).collect()} == want
+    reps = dict(members.collect())
+    near = {(reps[a], reps[b]) for a, x in sets.items() for b, y in sets.items() if x and y and reps[a] < reps[b] and 100 * len(x & y) >= 80 * len(x | y)}
+    assert {tuple(r) for r in links.collect()} == near and links.count() == len(near)
+
+
 def test_ngram_join_of_nothing(none):
     assert ngram_join.ngram_components(none).count() == 0
 
