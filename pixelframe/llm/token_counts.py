@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{_WS}]", chr(i)))
 #: Nothing that the pattern takes spans more than one of these.
 CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The pattern of byte-level BPE vocabularies (fixed value).
@@ -161,16 +162,31 @@ class PrefixCounter:
         return sum([known(c) or chunk(c) for c in CHUNK.findall(text)])
 
     def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Byte ends of all tokens' boundaries by prefix: (byte offset, tokens up to there) for every byte of the text."""
-        counts, base = [0], 0
+        """All byte offsets of a text, and the number of tokens of the text cut at each.
+
+        A cut changes the split of the last piece only: a run of white space before a word is whole until the word
+        begins, a contraction without its last letter is two pieces, and a special token's beginning is common text.
+        Within a letter's bytes the bytes count as they lie in the whole text's split.
+        """
+        counts, base, open_at, last = [0], 0, 0, ""
         for c, special in self.parts(text):
             if special:
-                counts += [base] * (len(c) - 1) + [base + 1]
+                for j in range(1, len(c)):
+                    cut = open_at + sum(map(self.piece, PATTERN.findall(last + c[:j])))
+                    counts += [cut] * len(c[j - 1].encode())
                 base += 1
+                counts += [base] * len(c[-1].encode())
+                open_at, last = base, ""
                 continue
             for p in PATTERN.findall(c):
                 own = self.counts(p.encode())
+                at = len(counts)
                 counts += [base + k for k in own[1:]]
+                if last and last[0] in SPACES and p[0] in SPACES:
+                    counts[at + len(p[0].encode()) - 1] = open_at + self.piece(last + p[0])
+                elif p in ("'re", "'ve", "'ll"):
+                    counts[at + 1] = base + self.piece("'") + self.piece(p[1])
+                open_at, last = base, p
                 base += own[-1]
         return list(range(len(counts))), counts
 
@@ -209,9 +225,10 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
 
 
 def prefix_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """docs without the text, with `prefix_tokens` (array<int>): entry i is the number of tokens up to byte i of the whole text's chunks.
+    """docs without the text, with `prefix_tokens` (array<int>): entry i is the number of tokens of the text cut at byte i.
 
-    At the end of a chunk this is the count of the text cut there, and in between that of the chunk's own prefix.
+    So it is at every byte between two letters; within a letter, where the cut text is none, its bytes are counted as they
+    lie in the whole text's split. More bytes may have fewer tokens.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     return _map(docs, text, "prefix_tokens", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lambda t: counter(path).table(t)[1])

@@ -34,6 +34,21 @@ def test_prefix_counts(docs):
     assert all(r.tokens == r.prefix_tokens[min(30, len(r.prefix_tokens) - 1)] for r in token_counts.tokens_at(stored, 30).collect())
 
 
+def test_every_prefix(spark, docs):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["a\n\nfoo", "x \n\n  bar\t\tbaz\n", "  we're they've I'll don't 'ro 'lx ''re", "a  <|endoftext|>  b!<|endoftext|><|endoftext|>\n\n<|endof", "日本  é\u3000\u3000ö \xa0\xa0z 12  34", "\x1c\x1d a\x85\x85b", "end \n\n ", "'r", " 's  's"]
+    odd += [r.text[:300] for r in docs.where("doc_id < 12").collect()]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    for r in token_counts.prefix_counts(df).collect():
+        text, at, want, got = odd[r.doc_id], 0, [], []
+        assert len(r.prefix_tokens) == len(text.encode()) + 1
+        for i in range(len(text) + 1):
+            want.append(len(library.encode(text[:i], add_special_tokens=False).ids))
+            got.append(r.prefix_tokens[at])
+            at += len(text[i : i + 1].encode())
+        assert got == want, text
+
+
 def test_pieces(docs, rows):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     plain = {(r.doc_id, r.n_bytes, tuple(r.piece_ids)) for r in piece_dropout.encode_pieces(docs, rate=0.0).collect()}
