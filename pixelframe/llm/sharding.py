@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +12,18 @@ from .common import checkpoint
 
 #: Parts of a shard within which rows are numbered; the parts' sizes (shards * classes * PARTS rows at most) are summed up.
 PARTS = 256
+#: Rounds without a move, each with other ties, after which none is left to find.
+IDLE = 3
 
 
-def numbered(df: DataFrame, by: str, name: str, order: list[str], urgency: Column | None = None, most: int = 64) -> DataFrame:
+def numbered(df: DataFrame, by: str, name: str, order: list[str], urgency: Column | None = None, most: int = 64, parts: int = PARTS) -> DataFrame:
     """Adds `name`: gapless numbers from 0 within each value of `by`, less urgency first.
 
     Rows are numbered within parts (a hash of the order columns) and the parts' sizes give each part its
     first number, so that no task sees more than a part. The table of sizes has at most
-    most * PARTS rows for each value of `by`, whatever the input's size, and is the only thing broadcast.
+    most * parts rows for each value of `by`, whatever the input's size, and is the only thing broadcast.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(PARTS)) + (F.lit(0) if urgency is None else F.least(F.greatest(urgency, F.lit(0)), F.lit(most - 1)) * PARTS)
+    part = F.pmod(F.xxhash64(*order), F.lit(parts)) + (F.lit(0) if urgency is None else F.least(F.greatest(urgency, F.lit(0)), F.lit(most - 1)) * parts)
     df = df.withColumn("_part", part.cast("int"))
     sizes = df.groupBy(by, "_part").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,14 +37,56 @@ def _by_shard(counts: dict[int, int]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)), F.col("shard"))
 
 
-def shard(rows: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def accepted(asked: dict[tuple[int, int], int], loose: dict[int, int], shards: int) -> dict[tuple[int, int], int]:
+    """Of the rows that ask to move (from, to), as many in all as can so that no shard gains more than its loose rows.
+
+    Rows that leave a shard make places as loose ones do. It is the largest circulation on the shards and a pool of loose
+    rows: exchanges of two first, then cycles that add moves until there is none.
+    """
+    pool = shards
+    want, free = np.zeros((shards + 1, shards + 1), np.int64), np.array([loose.get(s, 0) for s in range(shards)])
+    for (s, t), n in asked.items():
+        want[s, t] = n
+    flow = np.minimum(want, want.T)
+    while True:
+        room = free - (flow.sum(0) - flow.sum(1))[:shards]
+        # an arc adds a move (-1), or takes back one against it (+1), or passes through the pool (0)
+        cost = np.where(want > flow, -1.0, np.where(flow.T > 0, 1.0, np.inf))
+        cost[:shards, pool] = np.where(room > 0, 0.0, np.inf)
+        cost[pool, :shards] = 0.0
+        dist, came, changed = np.zeros(shards + 1), np.full(shards + 1, -1), np.zeros(0, np.int64)
+        for _ in range(shards + 2):
+            through = dist[:, None] + cost
+            best = through.argmin(0)
+            changed = np.flatnonzero(through[best, np.arange(shards + 1)] < dist)
+            if not len(changed):
+                break
+            came[changed] = best[changed]
+            dist = np.minimum(dist, through.min(0))
+        if not len(changed):
+            return {(int(s), int(t)): int(flow[s, t]) for s, t in np.argwhere(flow)}
+        at = int(changed[0])
+        for _ in range(shards + 1):
+            at = int(came[at])
+        cycle = [at]
+        while came[cycle[-1]] != at:
+            cycle.append(int(came[cycle[-1]]))
+        arcs = list(zip(np.roll(cycle, -1).tolist(), cycle, strict=True))
+        most = [room[u] if v == pool else np.iinfo(np.int64).max if u == pool else want[u, v] - flow[u, v] if cost[u, v] < 0 else flow[v, u] for u, v in arcs]
+        for u, v in arcs:
+            if pool not in (u, v):
+                flow[(u, v) if cost[u, v] < 0 else (v, u)] += min(most) if cost[u, v] < 0 else -min(most)
+
+
+def shard(rows: DataFrame, shards: int = 16, rounds: int | None = None) -> DataFrame:
     """rows with `shard`: counts of rows that differ by one at most, and rows of one `grp` together where places allow.
 
     rows: any columns with doc_id and grp (rows with equal, not null grp are linked). It starts from a
     balanced deal by hash. In each round a group's rows ask for the shard that has most of them (ties: the
-    one its hash favours); a shard takes as many as it has unlinked rows to give for them, those of the
-    largest gain first; the unlinked rows displaced fill the places left. Each shard so keeps its size. A group
-    larger than half a shard is dealt over parts of that size. Only counts by shard reach the driver.
+    one that a hash of the round favours). As many move as can while each shard keeps its size: rows that leave make
+    places for others, and unlinked rows are displaced for the rest, those of the largest gain first. A row once with most of
+    its group stays, so that each round cuts less; it ends when no row asks, or none can move in IDLE rounds on end
+    (`rounds` at most, if given). A group larger than half a shard is dealt over parts of that size. Only counts by shard reach the driver.
     Null ids, repeated rows and ties are rows like others; null groups link with nothing; no rows give none.
     """
     total = rows.count()
@@ -51,20 +98,26 @@ def shard(rows: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     dealt = dealt.withColumn("_grp", linked).drop("_n").withColumn("_all", F.lit(0))
     state = numbered(dealt, "_all", "_r", ["doc_id", "_tie"] if "_tie" in rows.columns else ["doc_id"]).withColumn("shard", (F.col("_r") % shards).cast("int")).drop("_all")
     state = checkpoint(state)
-    for _ in range(rounds):
+    idle = 0
+    for turn in itertools.count() if rounds is None else range(rounds):
         held = state.where("_grp IS NOT NULL").groupBy("_grp", "shard").agg(F.count("*").alias("_c"))
-        lean = F.struct("_c", F.xxhash64("_grp", "shard").alias("h"), "shard")
+        lean = F.struct("_c", F.xxhash64("_grp", "shard", F.lit(turn)).alias("h"), "shard")
         wish = held.groupBy("_grp").agg(F.max(lean).alias("_w")).select("_grp", F.col("_w.shard").alias("_to"), F.col("_w._c").alias("_gain"))
         asked = state.join(wish, "_grp", "left").withColumn("_moves", F.coalesce(F.col("_to") != F.col("shard"), F.lit(False)))
         asked = checkpoint(asked)
         loose = {r.shard: r.n for r in asked.where("_grp IS NULL").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        movers = numbered(asked.where("_moves"), "_to", "_place", ["doc_id", "_r"], 62 - F.floor(F.log2("_gain")).cast("int"))
-        places = F.element_at(F.create_map(*(F.lit(x) for s in range(shards) for x in (s, loose.get(s, 0)))), F.col("_to"))
-        movers = checkpoint(movers.withColumn("_taken", F.col("_place") < places))
-        flow = movers.where("_taken").groupBy("shard", "_to").agg(F.count("*").alias("n")).collect()
-        if not flow:
+        demand = {(r.shard, r._to): r.n for r in asked.where("_moves").groupBy("shard", "_to").agg(F.count("*").alias("n")).collect()}
+        flow = accepted(demand, loose, shards)
+        idle = 0 if flow else idle + 1
+        if not demand or idle == IDLE:
             break
-        over = {s: sum(r.n for r in flow if r._to == s) - sum(r.n for r in flow if r.shard == s) for s in range(shards)}
+        if not flow:
+            continue
+        way = F.col("shard") * shards + F.col("_to")
+        movers = numbered(asked.where("_moves").withColumn("_way", way), "_way", "_place", ["doc_id", "_r"], 62 - F.floor(F.log2("_gain")).cast("int"), parts=max(1, PARTS // shards))
+        places = F.element_at(F.create_map(*(F.lit(x) for s, t in demand for x in (s * shards + t, flow.get((s, t), 0)))), F.col("_way"))
+        movers = checkpoint(movers.withColumn("_taken", F.col("_place") < places).drop("_way"))
+        over = {s: sum(n for (_, t), n in flow.items() if t == s) - sum(n for (f, _), n in flow.items() if f == s) for s in range(shards)}
         keep = ["_to", "_gain", "_moves"]
         moved = movers.withColumn("shard", F.when(F.col("_taken"), F.col("_to")).otherwise(F.col("shard"))).drop(*keep, "_place", "_taken")
         rest = asked.where("NOT _moves AND _grp IS NOT NULL").drop(*keep)
@@ -86,7 +139,7 @@ def shard(rows: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     return state.drop("_grp", "_r")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, grp) for each row of docs, by the law `rows`.
 
     size: UTF-8 bytes of the text plus 1 (null: 1); text_crc32 of a null text is that of no bytes. Equal texts

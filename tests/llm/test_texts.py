@@ -212,6 +212,17 @@ def test_sharding_of_one_large_group(spark):
     assert len(held) < 16 or held[0] > 300 / 16 * 1.5
 
 
+def test_sharding_where_every_text_occurs_twice(spark):
+    df = spark.createDataFrame([(i, f"text {i // 2 * 7919 % 600}") for i in range(1200)], "doc_id long, text string").repartition(3)
+    got = sharding.shard_documents(df, 8).collect()
+    assert set(Counter(r.shard for r in got).values()) == {150} and len({r.doc_id for r in got}) == 1200
+    held = {}
+    for r in got:
+        held.setdefault(r.grp, set()).add(r.shard)
+    assert sum(len(h) > 1 for h in held.values()) <= 8
+    assert sharding.accepted({(0, 1): 5, (1, 0): 3, (2, 1): 4}, {1: 1}, 3) in ({(0, 1): 4, (1, 0): 3}, {(0, 1): 3, (1, 0): 3, (2, 1): 1})
+
+
 def test_url_filter(spark):
     pages = [
         (1, "http://Sub.Example.org/es/x?q", None), (2, "https://example.org/en/1", '<a href="http://x.example.net/">'), (3, "http://a.com/fr/", ""), (4, "http://b.com/de/1#t", '<A HREF=//bad.net/y>'),
