@@ -151,7 +151,11 @@ def fill_and_median(df: DataFrame) -> DataFrame:
 
 
 def ndfi(df: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
-    """Burn index of swir and near infrared against their averages within the given groups."""
+    """Burn index of swir and near infrared against their averages within the given groups (no keys: over all rows, by one aggregate)."""
+    if not keys:
+        means = df.agg(F.avg("B12").alias("_b12"), F.avg("B08").alias("_b08"))
+        a, b = divide("B12", F.col("_b12")), divide("B08", F.col("_b08"))
+        return df.crossJoin(F.broadcast(means)).withColumn("ndfi", divide(a - b, b)).drop("_b12", "_b08")
     w = Window.partitionBy(*keys)
     a, b = divide("B12", F.avg("B12").over(w)), divide("B08", F.avg("B08").over(w))
     return df.withColumn("ndfi", divide(a - b, b))
@@ -162,8 +166,8 @@ def fire_features(sar: DataFrame, optical: DataFrame, hidden: Sequence[int] = CO
     scaled = lambda c: F.floor(linear_scale(c, 0, 30, 0, 30_000))
     s1 = sar.select("x", "y", "t", scaled(ix.sar_ratio()).alias("ratio"), scaled(ix.sar_level("VV")).alias("VV_db"), scaled(ix.sar_level("VH")).alias("VH_db"))
     clear = optical.where(~F.coalesce(cb.scl_mask(hidden), F.lit(False))).select("x", "y", "t", "B04", "B08", "B12", ix.nbr().alias("nbr"), ix.bai().alias("bai"))
-    s2 = cb.reduce_time(clear, "median").withColumn("_one", F.lit(1))
-    return cb.merge_cubes(cb.reduce_time(s1, "median"), ndfi(s2, ["_one"]).drop("_one"))
+    s2 = cb.reduce_time(clear, "median")
+    return cb.merge_cubes(cb.reduce_time(s1, "median"), ndfi(s2, ()))
 
 
 def country_extract(items: DataFrame, zones: DataFrame, band: str, year: int, month: int, low: float = -10, high: float = 31_000) -> DataFrame:

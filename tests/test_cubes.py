@@ -129,3 +129,13 @@ def test_ensemble_median(spark):
     picks = [np.sort(np.random.default_rng(i).choice(5, 3, replace=False)) + 1 for i in range(2)]
     want = np.median([p.max() for p in picks] + [p.min() for p in picks])
     assert {r.prediction for r in got.collect()} == {want}
+
+
+def test_burn_index_over_all_rows_needs_no_window(spark):
+    from pixelframe.plans import pipelines as pl
+
+    df = spark.createDataFrame([(i, 10.0 + i, 20.0 - i) for i in range(9)] + [(9, None, 3.0)], "x int, B12 double, B08 double")
+    got = pl.ndfi(df, ())
+    want = {r.x: r.ndfi for r in pl.ndfi(df.withColumn("one", df.x * 0), ["one"]).collect()}
+    assert {r.x: r.ndfi for r in got.collect()} == want and got.columns == ["x", "B12", "B08", "ndfi"]
+    assert "Window" not in got._jdf.queryExecution().toString()
