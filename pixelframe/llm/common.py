@@ -27,7 +27,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 #: Blocks of documents for each shuffle partition: a task holds one at a time.
-BLOCKS_EACH = 2
+BLOCKS_EACH = 3
 
 
 def partitions(spark: SparkSession) -> int:
@@ -113,6 +113,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+_PRIME = (1 << 31) - 1
+_prime_powers: list[np.ndarray] = []
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and its inverse modulo a prime for exponents below n."""
+    if not _prime_powers or len(_prime_powers[0]) < n:
+        size, base = max(n, SLICE_BYTES + 1), 0x2545F491
+        rows = []
+        for b in (base, pow(base, -1, _PRIME)):
+            row = np.ones(1, np.int64)
+            while len(row) < size:
+                row = np.concatenate([row, row * pow(b, len(row), _PRIME) % _PRIME])
+            rows.append(row[:size])
+        _prime_powers[:] = rows
+    return _prime_powers[0][:n], _prime_powers[1][:n]
+
+
 def _power_row(base: int, n: int) -> np.ndarray:
     row = np.ones(1, np.uint64)
     while len(row) < n:
@@ -121,11 +139,23 @@ def _power_row(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans: differences of one prefix polynomial, shifted to start at 0."""
+    """64-bit hashes of the byte spans: differences of prefix polynomials, shifted to start at 0.
+
+    Modulo 2**64 alone any base has words that collide by their build (Thue and Morse); the second polynomial is modulo a prime.
+    """
     up, down = powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
+    whole = (prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407)
+    up, down = prime_powers(len(data) + 1)
+    other, carry = np.zeros(len(data) + 1, np.int64), 0
+    for lo in range(0, len(data), 1 << 20):  # sums of a block stay below 2**60
+        part = other[lo + 1 : lo + 1 + (1 << 20)]
+        np.cumsum((data[lo : lo + (1 << 20)].astype(np.int64) + 1) * up[lo : lo + len(part)], out=part)
+        part += carry
+        carry = int(part[-1]) % _PRIME
+    rest = (other[ends] - other[starts]) % _PRIME * down[starts] % _PRIME
+    return mix(whole ^ mix(rest.astype(np.uint64) + _U(0x51ED270B)))
 
 
 def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
@@ -155,48 +185,33 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 # --- keys that more than one document has --------------------------------------------------------
 
 
-def even_ids(spark: SparkSession, n: int, each: int = 1) -> list[int]:
-    """n * each group keys, of which each of n partitions gets `each`: as many keys as partitions, dealt by hash, would crowd some and leave others empty.
-
-    The first n keys alone are one for each partition.
-    """
-    found: dict[int, list[int]] = {}
-    size = 16 * n * each + 64
-    while len(found) < n or min(map(len, found.values())) < each:
-        rows = spark.range(size).select(F.col("id").cast("int").alias("id"))
-        rows = rows.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, each).alias("ids"))
-        found, size = {r["at"]: r["ids"] for r in rows.collect()}, 4 * size
-    return [found[k][i] for i in range(each) for k in range(n)]
-
-
-def deal(ids: list[int], place: F.Column) -> F.Column:
-    """The group key of a place (0 to len(ids) - 1)."""
-    return F.element_at(F.array(*map(F.lit, ids)), place.cast("int") + 1)
+def block_of(column: str, n: int) -> F.Column:
+    """Documents are dealt over n blocks by id; a null id goes to the first one."""
+    return F.coalesce(F.pmod(F.xxhash64(F.col(column)), F.lit(n)), F.lit(0)).cast("int")
 
 
-def block_of(column: str, ids: list[int]) -> F.Column:
-    """Documents are dealt over blocks by id; a null id goes to the first one."""
-    return deal(ids, F.coalesce(F.pmod(F.xxhash64(F.col(column)), F.lit(len(ids))), F.lit(0)))
+def by_place(df: DataFrame, place: str) -> DataFrame:
+    """One partition for each place modulo the number of shuffle partitions: hashes of as many keys as partitions would crowd some and leave others empty."""
+    return df.repartitionById(partitions(df.sparkSession), F.col(place))
 
 
 def pack_keys(block: int, keys: np.ndarray, rows: np.ndarray, buckets: int) -> dict[str, list]:
-    """Rows (block, bucket, keys, many) for shared_keys(): the low halves of the block's distinct keys, sorted, by bucket.
+    """Rows (block, bucket, keys, times) for shared_keys(): the low halves of the block's distinct keys, sorted, by bucket.
 
-    rows: the document of each key; `many` has a bit for each key that two documents of the block hold.
+    rows: the document of each key; `times` is a byte for each key: how many of the block's documents hold it, 1 if only one does.
     """
-    order, cut, bucket = _bucket_order(keys, buckets)
-    uniq, first, last = cut
+    order, (uniq, first, last), bucket = _bucket_order(keys, buckets)
     owners = rows[order]
     many = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first) if len(first) else np.zeros(0, bool)
-    out: dict[str, list] = {"block": [], "bucket": [], "keys": [], "many": []}
+    times = np.where(many, np.minimum(last - first, 255), 1).astype(np.uint8)
+    out: dict[str, list] = {"block": [], "bucket": [], "keys": [], "times": []}
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
+    for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         lo, hi = edges[b], edges[b + 1]
-        if lo < hi:
-            out["block"].append(block)
-            out["bucket"].append(b)
-            out["keys"].append(_planes(uniq[lo:hi]))
-            out["many"].append(np.packbits(many[lo:hi]).tobytes())
+        out["block"].append(block)
+        out["bucket"].append(b)
+        out["keys"].append(_planes(uniq[lo:hi]))
+        out["times"].append(times[lo:hi].tobytes())
     return out
 
 
@@ -211,19 +226,23 @@ def _bucket_order(keys: np.ndarray, buckets: int) -> tuple:
     return order, ((head & _U(0xFFFFFFFF)).astype(np.uint32), first, last), (head >> _U(32)).astype(np.int64)
 
 
-def apply_masks(keys: np.ndarray, buckets: int, masks: dict[int, bytes]) -> np.ndarray:
-    """Which of the keys, given as to pack_keys(), the replies of shared_keys() mark."""
-    out = np.zeros(len(keys), bool)
+def read_replies(keys: np.ndarray, buckets: int, replies: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
+    """How many documents hold each of the keys, given as to pack_keys(), by the replies of shared_keys(): 0 where one alone does, at most 255."""
+    out = np.zeros(len(keys), np.uint8)
     order, (uniq, first, last), bucket = _bucket_order(keys, buckets)
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    hit = np.zeros(len(uniq), bool)
-    for b, mask in masks.items():
+    found = np.zeros(len(uniq), np.uint8)
+    for b, (mask, times) in replies.items():
         lo, hi = edges[b], edges[b + 1]
-        hit[lo:hi] = np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)
-    out[order] = np.repeat(hit, last - first)
+        found[lo:hi][np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)] = np.frombuffer(times, np.uint8)
+    out[order] = np.repeat(found, last - first)
     return out
 
 
+def replies_in(table: pa.Table) -> dict[int, tuple[bytes, bytes]]:
+    return dict(zip(table.column("bucket").to_pylist(), zip(table.column("mask").to_pylist(), table.column("times").to_pylist(), strict=True), strict=True))
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Sorted 32-bit values, high bytes first: these repeat, so that the shuffle's compression removes them."""
     return np.ascontiguousarray(values.astype(">u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -233,32 +252,36 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view(">u4").astype(np.uint32)
 
 
-PACKED = "block int, bucket int, keys binary, many binary"
-MASKS = "block int, bucket int, mask binary"
+PACKED = "block int, bucket int, keys binary, times binary"
+REPLIES = "block int, bucket int, mask binary, times binary"
+
 
+def packed_table(out: dict[str, list]) -> pa.Table:
+    return pa.table({c: pa.array(out[c], pa.int32() if c in ("block", "bucket") else pa.binary()) for c in ("block", "bucket", "keys", "times")})
 
-def shared_keys(packed: DataFrame, ids: list[int]) -> DataFrame:
-    """(block, bucket, mask): a bit for each of a block's keys that another document has too.
+
+def shared_keys(packed: DataFrame) -> DataFrame:
+    """(block, bucket, mask, times): a bit for each of a block's keys that another document has too, and how many have it (255 at most).
 
     A key comes once from each block however many of its documents hold it, so that a key of a third of
     all documents sends no more rows to its bucket than there are blocks. The 32 bits compared within a
-    bucket make a few chance hits; callers compare the real values later.
+    bucket make a few chance hits, the same for every holder; callers compare the real values later.
     """
 
     def mark(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        parts = [_from_planes(raw) for raw in rows["keys"]]
-        many = [np.unpackbits(np.frombuffer(raw, np.uint8), count=len(p)).astype(bool) for raw, p in zip(rows["many"], parts, strict=True)]
-        values, flags = np.concatenate(parts), np.concatenate(many)
+        blocks, bucket = table.column("block").to_pylist(), table.column("bucket").to_pylist()
+        parts = [_from_planes(raw) for raw in table.column("keys").to_pylist()]
+        ends = np.cumsum([len(p) for p in parts])
+        values, own = np.concatenate(parts), np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint8)
+        del parts
         order = np.argsort(values, kind="stable")
         values = values[order]
-        same = values[1:] == values[:-1]
-        hit = np.zeros(len(values), bool)
-        hit[order] = np.r_[same, False] | np.r_[False, same]
-        # a key held twice in one block is shared wherever it is
-        hit |= flags
-        ends = np.cumsum([len(p) for p in parts])
-        out = [(b, k, np.packbits(h).tobytes()) for b, k, h in zip(rows["block"], rows["bucket"], np.split(hit, ends[:-1]), strict=True) if h.any()]
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "mask": pa.array([x[2] for x in out], pa.binary())})
-
-    return packed.withColumn("deal", deal(ids, F.col("bucket"))).groupBy("deal").applyInArrow(mark, MASKS)
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        total = np.minimum(np.add.reduceat(own[order].astype(np.int64), first), 255).astype(np.uint8)
+        times = np.empty(len(values), np.uint8)
+        times[order] = np.repeat(total, np.diff(np.r_[first, len(values)]))
+        hit = times > 1
+        out = [(b, k, np.packbits(h).tobytes(), t[h].tobytes()) for b, k, h, t in zip(blocks, bucket, np.split(hit, ends[:-1]), np.split(times, ends[:-1]), strict=True) if h.any()]
+        return pa.table({c: pa.array([x[i] for x in out], pa.binary() if i > 1 else pa.int32()) for i, c in enumerate(("block", "bucket", "mask", "times"))})
+
+    return by_place(packed, "bucket").groupBy("bucket").applyInArrow(mark, REPLIES)

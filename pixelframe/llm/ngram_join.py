@@ -7,21 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCKS_EACH, LOWER, PACKED, apply_masks, block_of, buffers, checkpoint, even_ids, mix, pack_keys, partitions, shared_keys, slices, span_hashes, window_hashes, words
+from .common import BLOCKS_EACH, LOWER, PACKED, block_of, buffers, by_place, checkpoint, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, span_hashes, unite, window_hashes, words
 from .components import components
 
 _U = np.uint64
-#: Frequent shingles that go last in every set's order: at most so many numbers are sent to the tasks. The order is
-#: free, so that the bound touches no result.
-MOST_FREQUENT = 65_536
-#: Documents of a tile that a task holds on one side.
-TILE = 1024
-#: Rounds in which each document is compared with one holder of one of its keys.
-STARS = 4
+#: A tile's sets that a task holds on one side: so many, of so many bytes together.
+TILE, TILE_BYTES = 1024, 16 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,60 +60,143 @@ def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def sent_lengths(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many first elements are looked up: half the set, so that most of them must be known elsewhere."""
-    return np.minimum(n, np.maximum(prefix_lengths(n, percent), n // 2 + 1))
+def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many elements a set has in common with any similar one at least."""
+    return np.maximum(1, -(-percent * n // 100))
 
 
-def least_known(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many of the first elements looked up a set shares with any one similar set at least.
+# --- inside a tile ---------------------------------------------------------------------------------
 
-    A similar set has at least percent of n elements. Of two similar sets, the one whose lookup ends earlier in
-    the common order misses n - ceil(percent * n) of its own elements in the other at most, and all the rest of its lookup lies in the other's.
-    One less is asked, for the rounding between neighbouring sizes.
-    """
-    small = -(-percent * n // 100)
-    return np.maximum(1, sent_lengths(small, percent) - prefix_lengths(small, percent))
-
-
-def bitmap(values: np.ndarray) -> bytes:
-    """A bit for each shingle's hash, in a power of two of bits that grows with the set."""
-    width = 1 << max(6, min(15, (2 * len(values) - 1).bit_length()))
-    bits = np.zeros(width, np.uint8)
-    bits[(mix(values) & _U(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def reachable(maps: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """may_reach() for pairs of row numbers, by the narrower bitmap's width."""
-    sizes = np.array([len(m) for m in maps])
-    width = np.minimum(sizes[a], sizes[b])
-    out = np.zeros(len(a), bool)
-    for w in np.unique(width).tolist():
-        own = np.flatnonzero(width == w)
-        for at in range(0, len(own), 1 << 14):
-            part = own[at : at + (1 << 14)]
-            rows, back = np.unique(np.r_[a[part], b[part]], return_inverse=True)
-            folded = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[r], np.uint64).reshape(-1, w // 8), axis=0) for r in rows.tolist()])
-            x, y = folded[back[: len(part)]], folded[back[len(part) :]]
-            out[part] = may_reach(x, y, n[a[part]], n[b[part]], percent)
-    return out
-
-
-def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the bit counts leave room for the similarity: each bit of one side alone is an element outside the overlap."""
-    alone_a = np.bitwise_count(a & ~b).sum(-1).astype(np.int64)
-    alone_b = np.bitwise_count(b & ~a).sum(-1).astype(np.int64)
-    most = np.minimum(na - alone_a, nb - alone_b)
+
+def bitmaps(items: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, a bit for each element's hash; the width, a power of two, follows the largest set."""
+    width = 1 << max(6, min(15, (4 * max(map(len, items), default=1) - 1).bit_length()))
+    bits = np.zeros((len(items), width), np.uint8)
+    for row, values in zip(bits, items, strict=True):
+        row[(mix(values) & _U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, known_a: np.ndarray, known_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the bit counts leave room for the similarity of sets of na and nb elements, known_a and known_b of them in the bitmaps: each bit of one side alone is an element outside the overlap."""
+    alone_a = np.bitwise_count(a & ~b).sum(-1, dtype=np.int64)
+    alone_b = np.bitwise_count(b & ~a).sum(-1, dtype=np.int64)
+    most = np.minimum(known_a - alone_a, known_b - alone_b)
     return (100 + percent) * most >= percent * (na + nb)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, for two sorted arrays."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(long, short)
-    both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted array with others."""
+    ends = np.cumsum([len(x) for x in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    total = np.r_[0, np.cumsum(one[at] == every)]
+    return total[ends] - total[np.r_[0, ends[:-1]]]
+
+
+def links_of(n: np.ndarray, items: list[np.ndarray], root: np.ndarray, query: np.ndarray, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of rows, of which one at least is a query: every pair, or only those that join rows of different roots.
+
+    n: sizes of the sets, ascending; items: their elements that other sets have too, sorted; root: each row's tree so far
+    (rows of one number are joined). Only sizes within the similarity of each other meet; then bitmaps bound the
+    overlap, then the arrays are intersected.
+    """
+    known = np.array([len(x) for x in items])
+    maps = bitmaps(items)
+    root = np.unique(root, return_inverse=True)[1]
+    first = np.searchsorted(n, -(-percent * n // 100))
+    last = np.searchsorted(n, n * 100 // percent, "right")
+    left, right = [], []
+    for i in np.flatnonzero(query).tolist():
+        j = np.arange(first[i], last[i])
+        j = j[(~query[j] | (j > i)) & (j != i)]
+        if not every:
+            j = j[root[j] != root[i]]
+        for lo in range(0, len(j), TILE):
+            part = j[lo : lo + TILE]
+            if not every:
+                part = part[root[part] != root[i]]
+            part = part[may_reach(maps[i], maps[part], n[i], n[part], known[i], known[part], percent)]
+            if not len(part):
+                continue
+            both = overlaps(items[i], [items[x] for x in part.tolist()])
+            part = part[100 * both >= percent * (n[i] + n[part] - both)]
+            if not every:  # one link to each tree
+                part = part[np.unique(root[part], return_index=True)[1]]
+                gone = root[part]
+                root[np.isin(root, gone)] = root[i]
+            left.append(np.full(len(part), i))
+            right.append(part)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def tile_links(table: pa.Table, percent: int, every: bool) -> pa.Table:
+    """links_of() for one tile: columns doc_id, n, items; optionally comp (trees so far) and query."""
+    n = np.asarray(table.column("n"))
+    order = np.argsort(n, kind="stable")
+    ids = np.asarray(table.column("doc_id"))[order]
+    raw = table.column("items")
+    items = [np.frombuffer(raw[i].as_py(), np.uint64) for i in order.tolist()]
+    names = table.column_names
+    root = np.asarray(table.column("comp"))[order] if "comp" in names else ids
+    query = np.asarray(table.column("query").combine_chunks().to_numpy(zero_copy_only=False))[order].astype(bool) if "query" in names else np.ones(len(ids), bool)
+    a, b = links_of(n[order], items, root, query, percent, every)
+    keep = ids[a] != ids[b]
+    return pa.table({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]])})
+
+
+def linked(members: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) among members (grp, doc_id, n, items), those of one group compared: every link, or as many as join the same components.
+
+    A group beyond a tile's size is divided by id. For every link each pair of parts meets. For components alone the
+    parts are first joined within; then, as long as that joins more, one leader of each component that is left meets those of
+    other parts; at last the members outside their group's largest component meet all parts, so that no link between components is missed:
+    rows grow with the group times the parts only for what isn't joined.
+    """
+    schema = "a long, b long"
+    within = lambda t: tile_links(t, percent, every)
+
+    def parted(rows: DataFrame) -> DataFrame:
+        size = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("items")) / TILE_BYTES)).cast("int").alias("parts"))
+        return rows.join(size, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+
+    dealt = parted(members)
+    if every:
+        meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
+        pairs = dealt.withColumn("pair", F.explode(meets)).withColumn("query", (F.col("part") == F.col("pair.i")))
+        both = lambda t: tile_links(t.append_column("comp", t.column("doc_id")), percent, True)
+        return pairs.select("grp", "pair", "doc_id", "n", "items", "query").groupBy("grp", "pair").applyInArrow(both, schema)
+    found = checkpoint(dealt.select("grp", "part", "doc_id", "n", "items").groupBy("grp", "part").applyInArrow(within, schema))
+    large = checkpoint(dealt.where("parts > 1").select("grp", "doc_id", "n", "items"))
+    before = large.count()
+    if not before:
+        return found
+    own = found
+    while True:
+        joined = checkpoint(components(own))
+        state = with_component(large, joined)
+        leaders = checkpoint(parted(state.where("doc_id = comp").select("grp", "doc_id", "n", "items")))
+        left, parts = leaders.agg(F.count("*"), F.max("parts")).first()
+        more = leaders.select("grp", "part", "doc_id", "n", "items").groupBy("grp", "part").applyInArrow(within, schema)
+        own = checkpoint(own.unionByName(more))
+        if parts <= 1 or left > 0.8 * before:
+            break
+        before = left
+    state = with_component(large, components(own))
+    largest = state.groupBy("grp", "comp").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    state = checkpoint(parted(state.join(largest, "grp")))
+    outside = state.where("comp <> main")
+    rows = outside.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("sides"))
+    queries = outside.join(rows, "grp").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(1)), "sides").cast("int"))
+    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("query", F.lit(True))
+    rest = state.join(rows, "grp").withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("query", F.lit(False))
+    what = ["grp", "part", "side", "doc_id", "n", "items", "comp", "query"]
+    across = queries.select(*what).unionByName(rest.select(*what)).groupBy("grp", "part", "side").applyInArrow(within, schema)
+    return own.unionByName(across)
+
+
+# --- the corpus ------------------------------------------------------------------------------------
 
 
 def _rows_of(table: pa.Table, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,28 +206,17 @@ def _rows_of(table: pa.Table, k: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield np.arange(lo, hi), *shingle_sets(*buffers(column.slice(lo, hi - lo)), k)
 
 
-def set_facts(docs: DataFrame, k: int, frequent_share: float = 0.004) -> DataFrame:
-    """(doc_id, n, s1, s2, hot, times): a row for each document, and rows of locally frequent shingles (doc_id and s1 null)."""
+def set_facts(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, s1, s2) for each document: the size of its set and the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s1", "s2", "hot", "times"]
-        none = lambda n: [pa.nulls(n, pa.int64())] * 2
-        kept, rows = [], 0
         for batch in batches:
             column = batch.column("text")
             for lo, hi in slices(buffers(column)[1]):
                 h, at = shingle_sets(*buffers(column.slice(lo, hi - lo)), k)
-                s1, s2 = fingerprints(h, at)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), *none(hi - lo)], names=names)
-                kept.append(h)
-                rows += hi - lo
-        if kept and rows:
-            value, times = np.unique(np.concatenate(kept), return_counts=True)
-            often = times >= max(8, frequent_share * rows)
-            n = int(often.sum())
-            yield pa.RecordBatch.from_arrays([*none(n), *none(n), pa.array(value[often].view(np.int64)), pa.array(times[often])], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, fingerprints(h, at))], names=["doc_id", "n", "s1", "s2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hot long, times long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
 def with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -159,146 +225,105 @@ def with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return found.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
 
 
+def forest(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, a, b): the first row of each key in the order of key and id, and links (a, b) that join the ids of one key as far as no others do."""
+    order = np.lexsort((ids, keys))
+    k, d = keys[order], ids[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    node, back = np.unique(d, return_inverse=True)
+    parent = np.arange(len(node))
+    unite(parent, back[1:][~new[1:]], back[:-1][~new[1:]])
+    moved = parent != np.arange(len(node))
+    return order[new], node[moved], node[parent[moved]]
+
+
+ACTIVE = "doc_id long, n long, items binary, a long, b long, bucket int, keys binary, docs binary"
+
+
 def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts of the rows, classes (s1, s2, rep) and links (a, b) between representatives: every one, or as many as join the components."""
     spark = docs.sparkSession
     ratio = math.log(1.3) if percent == 80 else math.log(1.05 * 100 / percent)
-    blocks = buckets = max(1, partitions(spark))
-    ids = even_ids(spark, blocks, BLOCKS_EACH)
+    buckets = partitions(spark)
+    blocks = BLOCKS_EACH * buckets
     facts = checkpoint(set_facts(docs, k))
-    own = facts.where("s1 IS NOT NULL")
-    often = facts.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hot").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array([r.hot for r in often.collect()], np.int64).view(np.uint64))
-    classes = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    picked = classes.select(block_of("rep", ids).alias("block"), F.col("rep").alias("doc_id"), "s1")
-    dealt = docs.select(block_of("doc_id", ids).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def chosen(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(doc_id, set, first keys) of the block's classes; each class once."""
+    classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    picked = by_place(classes.select(block_of("rep", blocks).alias("block"), F.col("rep").alias("doc_id"), "s1"), "block")
+    dealt = by_place(docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "block")
+
+    def chosen(left: pa.Table, right: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+        """Ids and sets of the block's classes; each class once."""
         want = set(zip(right.column("doc_id").to_pylist(), right.column("s1").to_pylist(), strict=True))
-        of = left.column("doc_id").to_pylist()
+        of, ids, sets = left.column("doc_id").to_pylist(), [], []
         for rows, h, at in _rows_of(left, k):
             s1 = fingerprints(h, at)[0].tolist()
-            length = sent_lengths(np.diff(at), percent)
-            late = np.isin(h, frequent, kind="sort") if len(frequent) else np.zeros(len(h), bool)
             for i, r in enumerate(rows.tolist()):
                 if (of[r], s1[i]) in want and at[i + 1] > at[i]:
                     want.discard((of[r], s1[i]))
-                    values, last = h[at[i] : at[i + 1]], late[at[i] : at[i + 1]]
-                    first = values[~last][: length[i]]
-                    if len(first) < length[i]:
-                        first = np.concatenate([first, values[last][: length[i] - len(first)]])
-                    yield of[r], values, mix(first)
+                    ids.append(of[r])
+                    sets.append(h[at[i] : at[i + 1]].copy())
+        return ids, sets
 
     def keys_of(left: pa.Table, right: pa.Table) -> pa.Table:
         block = (left if left.num_rows else right).column("block")[0].as_py()
-        parts = [p for _, _, p in chosen(left, right)]
-        out = pack_keys(block, np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int64), buckets)
-        return pa.table({"block": pa.array(out["block"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "many": pa.array(out["many"], pa.binary())})
+        _, sets = chosen(left, right)
+        size = [len(x) for x in sets]
+        return packed_table(pack_keys(block, mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), size).astype(np.int64), buckets))
 
-    masks = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED), ids[:buckets])
-    replies = picked.select("block", "doc_id", "s1", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("mask"))
-    replies = replies.unionByName(masks, allowMissingColumns=True)
+    answers = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED))
+    replies = picked.unionByName(by_place(answers, "block"), allowMissingColumns=True)
 
     def active(left: pa.Table, right: pa.Table) -> pa.Table:
         reply = right.filter(right.column("bucket").is_valid())
-        found = list(chosen(left, right.filter(right.column("bucket").is_null())))
-        parts = [p for _, _, p in found]
-        hit = apply_masks(np.concatenate(parts), buckets, dict(zip(reply.column("bucket").to_pylist(), reply.column("mask").to_pylist(), strict=True))) if parts else np.zeros(0, bool)
-        ends = np.cumsum([len(p) for p in parts])
-        rows = []
-        for (d, v, p), m in zip(found, np.split(hit, ends[:-1]) if parts else [], strict=True):
-            n = np.array(len(v))
-            tile = p[: prefix_lengths(n, percent)][m[: prefix_lengths(n, percent)]]
-            if len(tile) and m.sum() >= least_known(n, percent):
-                rows.append((d, v, tile))
+        ids, sets = chosen(left, right.filter(right.column("bucket").is_null()))
+        rows, token, holder = [], [np.zeros(0, np.uint64)], []
+        if sets and reply.num_rows:
+            every_key = mix(np.concatenate(sets))
+            times = read_replies(every_key, buckets, replies_in(reply))
+            ends = np.cumsum([len(x) for x in sets])
+            for d, v, key, t in zip(ids, sets, np.split(every_key, ends[:-1]), np.split(times, ends[:-1]), strict=True):
+                n = len(v)
+                if np.count_nonzero(t) < least_shared(np.array(n), percent):
+                    continue
+                # rare elements first, in an order that is the same for all: those that no other set has come before them
+                alone = n - np.count_nonzero(t)
+                room = int(prefix_lengths(np.array(n), percent)) - alone
+                if room <= 0:
+                    continue
+                common = np.flatnonzero(t)
+                head = common[np.lexsort((key[common], t[common]))][:room]
+                bands = mix(np.array([1, 2], np.uint64) + _U(int(math.log(n) / ratio)))
+                rows.append((d, n, v[common].tobytes()))
+                token += [mix(key[head] + b) for b in bands]
+                holder += [d] * (2 * len(head))
+        token, holder = np.concatenate(token), np.array(holder, np.int64)
+        first, a, b = forest(token, holder)
+        token, holder = token[first], holder[first]
+        to = ((token >> _U(32)) % _U(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(buckets + 1))
+        sent = [(x, token[o].tobytes(), holder[o].tobytes()) for x in np.flatnonzero(edges[1:] > edges[:-1]).tolist() if len(o := order[edges[x] : edges[x + 1]])]
+        blank = lambda n, kind: pa.nulls(n, kind)
+        size = (len(rows), len(a), len(sent))
+        column = lambda at, values, kind: pa.chunked_array([pa.array(values, kind) if i == at else blank(m, kind) for i, m in enumerate(size)], kind)
         return pa.table({
-            "doc_id": pa.array([d for d, _, _ in rows], pa.int64()), "n": pa.array([len(v) for _, v, _ in rows], pa.int64()),
-            "keys": pa.array([np.unique(p).view(np.int64) for _, _, p in rows], pa.list_(pa.int64())),
-            "bits": pa.array([bitmap(v) for _, v, _ in rows], pa.binary()), "items": pa.array([v.tobytes() for _, v, _ in rows], pa.binary()),
+            "doc_id": column(0, [r[0] for r in rows], pa.int64()), "n": column(0, [r[1] for r in rows], pa.int64()), "items": column(0, [r[2] for r in rows], pa.binary()),
+            "a": column(1, a, pa.int64()), "b": column(1, b, pa.int64()),
+            "bucket": column(2, [x[0] for x in sent], pa.int32()), "keys": column(2, [x[1] for x in sent], pa.binary()), "docs": column(2, [x[2] for x in sent], pa.binary()),
         })
 
-    sets = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(active, "doc_id long, n long, keys array<long>, bits binary, items binary")
-    # read by id again and again: kept in place, dealt by id (what is lost is made anew from the shuffle files)
-    sets = sets.repartition(blocks, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar: by bitmaps, then by arrays."""
-
-        def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
-                maps, half = batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist(), len(na)
-                keep = reachable(maps, np.r_[na, nb], np.arange(half), np.arange(half, 2 * half), percent)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        def by_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = zip(batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist(), strict=True)
-                keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in rows]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        def sides(pairs: DataFrame, *what: str) -> DataFrame:
-            one = lambda side: sets.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}{side}" if c == "n" else f"{c}_{side}") for c in what))
-            return pairs.join(one("a"), "a").join(one("b"), "b")
-
-        near = sides(pairs, "n", "bits").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).mapInArrow(by_bits, "a long, b long")
-        return checkpoint(sides(near, "items").mapInArrow(by_items, "a long, b long"))
-
-    # 3: one holder of each document's key, another key and another holder in each round; only pairs of different components
-    links, joined = None, None
-    for j in range(0 if every else STARS):
-        keyed = sets.select("doc_id", F.array_min(F.transform("keys", lambda key: F.xxhash64(key, F.lit(j)))).alias("key"))  # noqa: B023
-        keyed = keyed.withColumn("comp", F.col("doc_id")) if joined is None else with_component(keyed, joined)
-        leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(j)).alias("h"), "doc_id", "comp")).alias("l"))
-        stars = keyed.join(leader, "key").where(F.col("comp") != F.col("l.comp")).select(F.col("doc_id").alias("a"), F.col("l.doc_id").alias("b"))
-        found = verified(stars)
-        links = found if links is None else links.unionByName(found)
-        joined = checkpoint(components(links))
-    # 4: tiles of several components
-    slim = sets.select("doc_id", "n", "keys")
-    slim = slim.withColumn("comp", F.col("doc_id")) if joined is None else with_component(slim, joined)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
-    holders = slim.select("doc_id", "comp", band.alias("own_band"), F.explode("keys").alias("key"))
-    visits = holders.withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") + 1)))
-    tile = ["key", "band"]
-    mixed = visits.groupBy(*tile).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.max(F.col("own_band") == F.col("band")).alias("home"))
-    mixed = mixed.where("x <> y AND home").select(*tile, F.ceil(F.col("size") / TILE).cast("int").alias("chunks"))
-    at_tile = visits.join(mixed, tile).withColumn("part", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
-    opposite = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-    at_tile = at_tile.withColumn("pair", F.explode(opposite))
-    # many small tiles to a group; of a divided tile each pair of parts may go elsewhere
-    at_tile = at_tile.withColumn("bin", F.pmod(F.xxhash64(*tile, "pair"), F.lit(blocks)).cast("int")).withColumn("tile", F.xxhash64(*tile, "pair"))
-    at_tile = at_tile.select("bin", "tile", "doc_id", "comp", "part", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), (F.col("own_band") == F.col("band")).alias("home")).join(sets.select("doc_id", "n", "bits"), "doc_id")
-
-    def across(table: pa.Table) -> pa.Table:
-        table = table.sort_by("tile")
-        names = ("tile", "doc_id", "comp", "n", "part", "i", "j", "home")
-        tiles, ids, comp, n, part, first, second, home = (np.asarray(table.column(c)) for c in names)
-        maps = table.column("bits").to_pylist()
-        found, step = [np.zeros((0, 2), np.int64)], 1
-        while step < len(ids):
-            a = np.flatnonzero(tiles[step:] == tiles[:-step])
-            if not len(a):
-                break
-            b = a + step
-            meet = (comp[a] != comp[b]) & (ids[a] != ids[b]) & (home[a] | home[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-            meet &= ((part[a] == first[a]) & (part[b] == second[a])) | ((part[a] == second[a]) & (part[b] == first[a]))
-            pairs = np.column_stack([a[meet], b[meet]])
-            if len(pairs):
-                # each pair of documents once
-                key = np.sort(ids[pairs], axis=1)
-                pairs = pairs[np.unique(key, axis=0, return_index=True)[1]]
-                keep = reachable(maps, n, pairs[:, 0], pairs[:, 1], percent)
-                found.append(np.sort(ids[pairs[keep]], axis=1).reshape(-1, 2))
-            step += 1
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
-
-    pairs = at_tile.groupBy("bin").applyInArrow(across, "a long, b long").distinct()
-    found = verified(checkpoint(pairs))
-    sets.unpersist()
-    return own, classes, found if links is None else links.unionByName(found)
+    def meet(table: pa.Table) -> pa.Table:
+        """Joins the holders of a bucket's tokens, which come once from each block."""
+        read = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        _, a, b = forest(read("keys", np.uint64), read("docs", np.int64))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    known = checkpoint(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(active, ACTIVE))
+    tokens = by_place(known.where("bucket IS NOT NULL").select("bucket", "keys", "docs"), "bucket")
+    near = known.where("a IS NOT NULL").select("a", "b").unionByName(tokens.groupBy("bucket").applyInArrow(meet, "a long, b long"))
+    groups = components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "grp")
+    members = known.where("items IS NOT NULL").select("doc_id", "n", "items").join(groups, "doc_id")
+    return facts, classes, linked(members, percent, every)
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -307,22 +332,23 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     Two documents link at Jaccard similarity percent/100 or above of their k-word shingle sets; component_id is
     the smallest doc_id that links reach. Texts without words (null, empty, white space) have no shingles and
     are linked with nothing; a row with a null id has a null component and links nothing; rows that repeat an id
-    are one document for linking. No two components are left apart (ngram_links gives every link):
+    are one document for linking, which joins what each of them links. No two components are left apart (ngram_links gives every link):
 
     1. Equal sets (128-bit fingerprints) are one class, of its smallest id, whatever its size.
-    2. The first half of each class's set, in a common order with frequent shingles last, is looked up in an exchange
-       to which a key comes once from each block. A set that shares too few of these keys with all others together
-       has no link; of the rest, the keys of the prefix that any link must share make its tiles.
-    3. In a few rounds each document is compared with one holder of one of its keys, chosen by hash, if they aren't
-       yet in one component: pairs linear in the documents, which join large groups of near copies.
-    4. Tiles (key, size band; a set also visits the next band) that still hold several components are compared
-       in blocks, pairs of one component left out: bitmaps first, then the sorted arrays.
+    2. An exchange to which a shingle comes once from each block tells how many sets hold it. A set that shares fewer
+       shingles than the similarity asks with all others together has no link.
+    3. Of the rest, the shingles of the prefix that any link must share, rarest first, with the set's size band make
+       tiles. Sets that tiles join form groups, and each set goes to its group once.
+    4. In a group each set meets those of a similar size and another component: bitmaps first, then the sorted arrays. A group beyond TILE sets is
+       divided (see linked()). What comes out are the links that join components, no more than sets.
     """
-    own, classes, links = _joined(docs, k, percent, False)
-    joined = components(links)
-    out = own.join(classes, ["s1", "s2"], "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    facts, classes, links = _joined(docs, k, percent, False)
+    full = facts.join(classes, ["s1", "s2"], "left")
+    several = full.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.collect_set("rep").alias("reps")).where("x <> y")
+    same = several.select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
+    joined = components(links.unionByName(same))
+    out = full.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def ngram_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -332,8 +358,8 @@ def ngram_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFra
     do. Here nothing is left out for being joined already: tiles compare all their pairs, so that m differing near copies
     give up to m * (m - 1) / 2 rows. Rows without shingles or id are in neither table; repeated ids are one document.
     """
-    own, classes, links = _joined(docs, k, percent, True)
-    members = own.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["s1", "s2"]).select("doc_id", "rep").distinct()
+    facts, classes, links = _joined(docs, k, percent, True)
+    members = facts.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["s1", "s2"]).select("doc_id", "rep").distinct()
     return members, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -347,4 +373,3 @@ def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-

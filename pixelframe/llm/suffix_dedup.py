@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCKS_EACH, PACKED, apply_masks, block_of, buffers, deal, even_ids, mix, pack_keys, partitions, shared_keys, slices, window_hashes
+from .common import BLOCKS_EACH, PACKED, block_of, buffers, by_place, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, window_hashes
 
 _U = np.uint64
 #: Bytes of the anchors; any string of the least length holds anchors at LEAST - ANCHOR + 1 places.
@@ -263,14 +263,15 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
     a block once, with its holders.
     """
     spark = docs.sparkSession
-    buckets = max(1, partitions(spark))
-    even = even_ids(spark, buckets, BLOCKS_EACH)
+    buckets = partitions(spark)
+    blocks = BLOCKS_EACH * buckets
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rest = [c for c in docs.columns if c not in (*made, "text", "_block", "_tie")]
-    dealt = docs.select(block_of("doc_id", even).alias("_block"), F.xxhash64("text").alias("_tie"), *rest, "text")
+    dealt = by_place(docs.select(block_of("doc_id", blocks).alias("_block"), F.xxhash64("text").alias("_tie"), *rest, "text"), "_block")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.xxhash64("text").alias("_tie"))
     first = texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = texts.join(first.select("sha", "first"), "sha").where("doc_id > first").select(block_of("doc_id", even).alias("block"), "doc_id", "_tie").distinct()
+    copies = texts.join(first.select("sha", "first"), "sha").where("doc_id > first").select(block_of("doc_id", blocks).alias("block"), "doc_id", "_tie").distinct()
+    copies = by_place(copies, "block")
 
     def ranked(left: pa.Table, right: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         """The block in a fixed order, its ids, and which rows are to be looked at: not copies, and with an id."""
@@ -288,16 +289,14 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
             yield lo, data, offsets, [x[good] for x in found]
 
     def keys_of(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [c.split()[0] for c in PACKED.split(", ")]
         if not left.num_rows:
-            return pa.table({c: pa.array([], pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(names)})
+            return packed_table({c: [] for c in ("block", "bucket", "keys", "times")})
         left, _, live = ranked(left, right)
         parts = [(lo + f[0], f[4]) for lo, _, _, f in marked(left, live)]
-        out = pack_keys(left.column("_block")[0].as_py(), np.concatenate([k for _, k in parts]), np.concatenate([r for r, _ in parts]), buckets)
-        return pa.table({c: pa.array(out[c], pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(names)})
+        return packed_table(pack_keys(left.column("_block")[0].as_py(), np.concatenate([k for _, k in parts]), np.concatenate([r for r, _ in parts]), buckets))
 
-    masks = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(keys_of, PACKED), even[:buckets])
-    replies = copies.unionByName(masks, allowMissingColumns=True)
+    answers = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(keys_of, PACKED))
+    replies = copies.unionByName(by_place(answers, "block"), allowMissingColumns=True)
 
     def runs_of(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in RUNS.split(", ")]
@@ -308,7 +307,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
             left, ids, live = ranked(left, right.filter(right.column("bucket").is_null()))
             found = list(marked(left, live))
             keys = np.concatenate([f[4] for *_, f in found])
-            hit = apply_masks(keys, buckets, dict(zip(reply.column("bucket").to_pylist(), reply.column("mask").to_pylist(), strict=True)))
+            hit = read_replies(keys, buckets, replies_in(reply)) > 0
             parts, at = [], 0
             for lo, data, offsets, (row, place, begin, last, key) in found:
                 own = hit[at : at + len(key)]
@@ -326,7 +325,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
         out = repeated(table, least)
         return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i else pa.int32()) for i, c in enumerate(("block", "rows", "starts", "ends"))})
 
-    found = copies.unionByName(runs.withColumn("deal", deal(even[:buckets], F.col("bucket"))).groupBy("deal").applyInArrow(merge, FOUND), allowMissingColumns=True)
+    found = copies.unionByName(by_place(by_place(runs, "bucket").groupBy("bucket").applyInArrow(merge, FOUND), "block"), allowMissingColumns=True)
     fields = [*docs.select(*rest).schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("text", T.StringType()))

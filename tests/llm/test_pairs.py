@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from pixelframe.llm import components, embedding_dedup, ngram_join, suffix_dedup
+from pixelframe.llm import common, components, embedding_dedup, ngram_join, suffix_dedup
 
 
 class Trees(dict):
@@ -71,33 +71,79 @@ def test_ngram_join_of_nothing(none):
     assert ngram_join.ngram_components(none).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 60])
-def test_least_known_is_a_bound(percent):
-    rng = np.random.default_rng(0)
-    for _ in range(300):
-        n = int(rng.integers(1, 90))
-        x = rng.permutation(1000)[:n]
-        y = np.r_[x[: int(n * rng.uniform(0.7, 1))], rng.permutation(np.arange(1000, 2000))[: int(rng.integers(0, 20))]]
-        if len(y) == 0:
-            continue
-        both = len(np.intersect1d(x, y))
-        if 100 * both < percent * (len(x) + len(y) - both):
-            continue
-        order = rng.permutation(2000)
-        head = lambda s: set(s[np.argsort(order[s])][: int(ngram_join.sent_lengths(np.array(len(s)), percent))].tolist())
-        shared = len(head(x) & head(y))
-        assert shared >= min(ngram_join.least_known(np.array(len(x)), percent), ngram_join.least_known(np.array(len(y)), percent))
-        assert shared >= ngram_join.least_known(np.array(len(x)), percent)
-
-
 def test_bitmaps_never_hide_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
         x = np.unique(rng.integers(0, 1 << 60, int(rng.integers(1, 400)), dtype=np.uint64))
         y = np.unique(np.r_[x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 60, 20, dtype=np.uint64)])
-        maps = [ngram_join.bitmap(v) for v in (x, y)]
-        kept = ngram_join.reachable(maps, np.array([len(x), len(y)]), np.array([0]), np.array([1]), 80)[0]
-        assert kept or not ngram_join.similar(x, y, 80)
+        n = np.array([len(x), len(y)])
+        both = ngram_join.overlaps(x, [y])[0]
+        assert both == len(np.intersect1d(x, y))
+        maps = ngram_join.bitmaps([x, y])
+        assert ngram_join.may_reach(maps[0], maps[1], n[0], n[1], n[0], n[1], 80) or 100 * both < 80 * (n.sum() - both)
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_divided_groups_lose_no_link(spark, every, monkeypatch):
+    """A large group, of which some are linked through chains only, in parts of 16 sets."""
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    rng = np.random.default_rng(8)
+    base = np.arange(100, dtype=np.uint64)
+    sets = []
+    for i in range(90):
+        s = base.copy()
+        s[rng.permutation(100)[: int(rng.integers(0, 14))]] = 1000 + 100 * i + np.arange(100)[: len(s)][0]
+        s = np.unique(s)
+        sets.append(s)
+    sets += [np.arange(9 * i, 9 * i + 100, dtype=np.uint64) + np.uint64(50_000) for i in range(20)]
+    rows = [(0 if i < 100 else 1, i, len(s), s.tobytes()) for i, s in enumerate(sets)]
+    got = ngram_join.linked(spark.createDataFrame(rows, "grp long, doc_id long, n long, items binary"), 80, every).collect()
+    near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if rows[i][0] == rows[j][0] and near(sets[i], sets[j])}
+    assert all((max(r.a, r.b), min(r.a, r.b)) in want for r in got)
+    if every:
+        assert {(max(r.a, r.b), min(r.a, r.b)) for r in got} == want
+    t, u = Trees(), Trees()
+    for i, j in want:
+        t.join(i, j)
+    for r in got:
+        u.join(r.a, r.b)
+    assert [t.find(i) for i in range(len(sets))] == [u.find(i) for i in range(len(sets))]
+
+
+def test_sets_of_one_id_join_their_links(spark):
+    x, y = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(3, x), (5, x), (5, y), (7, y + " end"), (9, "other words altogether " * 3)]
+    got = dict(r[::2] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {3: 3, 5: 3, 7: 3, 9: 9}
+
+
+def test_words_that_collide_by_their_build_stay_apart(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("size", [0, 7])
+def test_shared_keys_counts_documents(spark, size):
+    rng = np.random.default_rng(size)
+    held = {d: {int(x) for x in rng.integers(0, 40, size)} for d in range(30)}
+    rows, asked = [], {}
+    for block in range(5):
+        own = [(k, d) for d, ks in held.items() if d % 5 == block for k in ks]
+        keys = common.mix(np.array([k for k, _ in own], np.uint64))
+        asked[block] = keys, own
+        out = common.pack_keys(block, keys, np.array([d for _, d in own], np.int64), 3)
+        rows += zip(*(out[c] for c in ("block", "bucket", "keys", "times")), strict=True)
+    got = common.shared_keys(spark.createDataFrame(rows, common.PACKED)).collect()
+    for block, (keys, own) in asked.items():
+        times = common.read_replies(keys, 3, {r.bucket: (r.mask, r.times) for r in got if r.block == block})
+        for (k, _), t in zip(own, times.tolist(), strict=True):
+            n = sum(k in ks for ks in held.values())
+            assert t == (n if n > 1 else 0)
 
 
 def removed(rows, least=50):
