@@ -131,6 +131,15 @@ def links_of(n: np.ndarray, items: list[np.ndarray], root: np.ndarray, query: np
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smallest id of its tree) that join what the links (a, b) join."""
+    node, back = np.unique(np.r_[a, b], return_inverse=True)
+    parent = np.arange(len(node))
+    unite(parent, back[: len(a)], back[len(a) :])
+    moved = parent != np.arange(len(node))
+    return node[moved], node[parent[moved]]
+
+
 def tile_links(table: pa.Table, percent: int, every: bool) -> pa.Table:
     """links_of() for one tile: columns doc_id, n, items; optionally comp (trees so far) and query."""
     n = np.asarray(table.column("n"))
@@ -142,58 +151,63 @@ def tile_links(table: pa.Table, percent: int, every: bool) -> pa.Table:
     root = np.asarray(table.column("comp"))[order] if "comp" in names else ids
     query = np.asarray(table.column("query").combine_chunks().to_numpy(zero_copy_only=False))[order].astype(bool) if "query" in names else np.ones(len(ids), bool)
     a, b = links_of(n[order], items, root, query, percent, every)
-    keep = ids[a] != ids[b]
-    return pa.table({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]])})
+    a, b = ids[a], ids[b]
+    if not every:
+        a, b = stars(a, b)
+    keep = a != b
+    return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
 
-def linked(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links (a, b) among members (grp, doc_id, n, items), those of one group compared: every link, or as many as join the same components.
+def linked(sets: DataFrame, groups: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) among sets (doc_id, n, items), those of one group (doc_id, grp) compared: every link, or as many as join the same components.
 
     A group beyond a tile's size is divided by id. For every link each pair of parts meets. For components alone the
     parts are first joined within; then, as long as that joins more, one leader of each component that is left meets those of
     other parts; at last the members outside their group's largest component meet all parts, so that no link between components is missed:
-    rows grow with the group times the parts only for what isn't joined.
+    rows grow with the group times the parts only for what isn't joined. Only ids move until it is known where a set is needed.
     """
     schema = "a long, b long"
-    within = lambda t: tile_links(t, percent, every)
 
     def parted(rows: DataFrame) -> DataFrame:
-        size = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("items")) / TILE_BYTES)).cast("int").alias("parts"))
-        return rows.join(size, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        size = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("parts"))
+        return rows.join(checkpoint(size), "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
 
-    dealt = parted(members)
+    def compared(places: DataFrame, *by: str) -> DataFrame:
+        return sets.join(places, "doc_id").groupBy(*by).applyInArrow(lambda t: tile_links(t, percent, every), schema)
+
+    slim = sets.groupBy("doc_id").agg(F.sum("n").alias("n")).join(groups, "doc_id")
+    dealt = checkpoint(parted(slim))
     if every:
         meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-        pairs = dealt.withColumn("pair", F.explode(meets)).withColumn("query", (F.col("part") == F.col("pair.i")))
-        both = lambda t: tile_links(t.append_column("comp", t.column("doc_id")), percent, True)
-        return pairs.select("grp", "pair", "doc_id", "n", "items", "query").groupBy("grp", "pair").applyInArrow(both, schema)
-    found = checkpoint(dealt.select("grp", "part", "doc_id", "n", "items").groupBy("grp", "part").applyInArrow(within, schema))
-    large = checkpoint(dealt.where("parts > 1").select("grp", "doc_id", "n", "items"))
+        pairs = dealt.withColumn("pair", F.explode(meets)).withColumn("query", F.col("part") == F.col("pair.i"))
+        return compared(pairs.select("doc_id", "grp", "pair", "query"), "grp", "pair")
+    found = checkpoint(compared(dealt.select("doc_id", "grp", "part"), "grp", "part"))
+    large = dealt.where("parts > 1").select("grp", "doc_id", "n")
     before = large.count()
     if not before:
         return found
-    own = found
+    own = found.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    more = None
     while True:
         joined = checkpoint(components(own))
-        state = with_component(large, joined)
-        leaders = checkpoint(parted(state.where("doc_id = comp").select("grp", "doc_id", "n", "items")))
+        leaders = checkpoint(parted(with_component(large, joined).where("doc_id = comp").select("grp", "doc_id", "n")))
         left, parts = leaders.agg(F.count("*"), F.max("parts")).first()
-        more = leaders.select("grp", "part", "doc_id", "n", "items").groupBy("grp", "part").applyInArrow(within, schema)
-        own = checkpoint(own.unionByName(more))
+        more = checkpoint(compared(leaders.select("doc_id", "grp", "part"), "grp", "part"))
+        own = own.unionByName(more)
         if parts <= 1 or left > 0.8 * before:
             break
         before = left
-    state = with_component(large, components(own))
+    state = with_component(large, checkpoint(components(own)))
     largest = state.groupBy("grp", "comp").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    state = checkpoint(parted(state.join(largest, "grp")))
+    state = checkpoint(parted(state.join(checkpoint(largest), "grp")))
     outside = state.where("comp <> main")
-    rows = outside.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("sides"))
-    queries = outside.join(rows, "grp").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(1)), "sides").cast("int"))
+    sides = checkpoint(outside.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("sides")))
+    queries = outside.join(sides, "grp").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(1)), "sides").cast("int"))
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("query", F.lit(True))
-    rest = state.join(rows, "grp").withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("query", F.lit(False))
-    what = ["grp", "part", "side", "doc_id", "n", "items", "comp", "query"]
-    across = queries.select(*what).unionByName(rest.select(*what)).groupBy("grp", "part", "side").applyInArrow(within, schema)
-    return own.unionByName(across)
+    rest = state.join(sides, "grp").withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("query", F.lit(False))
+    what = ["doc_id", "grp", "part", "side", "comp", "query"]
+    across = compared(queries.select(*what).unionByName(rest.select(*what)), "grp", "part", "side")
+    return found.unionByName(own).unionByName(across)
 
 
 # --- the corpus ------------------------------------------------------------------------------------
@@ -230,11 +244,7 @@ def forest(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     order = np.lexsort((ids, keys))
     k, d = keys[order], ids[order]
     new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    node, back = np.unique(d, return_inverse=True)
-    parent = np.arange(len(node))
-    unite(parent, back[1:][~new[1:]], back[:-1][~new[1:]])
-    moved = parent != np.arange(len(node))
-    return order[new], node[moved], node[parent[moved]]
+    return order[new], *stars(d[1:][~new[1:]], d[:-1][~new[1:]])
 
 
 ACTIVE = "doc_id long, n long, items binary, a long, b long, bucket int, keys binary, docs binary"
@@ -246,8 +256,10 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
     ratio = math.log(1.3) if percent == 80 else math.log(1.05 * 100 / percent)
     buckets = partitions(spark)
     blocks = BLOCKS_EACH * buckets
+    # tokens are far fewer than shingles: in fewer places more of what joins the same sets is one link
+    meeting = max(1, buckets // 8)
     facts = checkpoint(set_facts(docs, k))
-    classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = checkpoint(facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     picked = by_place(classes.select(block_of("rep", blocks).alias("block"), F.col("rep").alias("doc_id"), "s1"), "block")
     dealt = by_place(docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "block")
 
@@ -276,7 +288,7 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
     def active(left: pa.Table, right: pa.Table) -> pa.Table:
         reply = right.filter(right.column("bucket").is_valid())
         ids, sets = chosen(left, right.filter(right.column("bucket").is_null()))
-        rows, token, holder = [], [np.zeros(0, np.uint64)], []
+        rows, token, place, holder = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
         if sets and reply.num_rows:
             every_key = mix(np.concatenate(sets))
             times = read_replies(every_key, buckets, replies_in(reply))
@@ -295,13 +307,14 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
                 bands = mix(np.array([1, 2], np.uint64) + _U(int(math.log(n) / ratio)))
                 rows.append((d, n, v[common].tobytes()))
                 token += [mix(key[head] + b) for b in bands]
+                place += [key[head]] * 2
                 holder += [d] * (2 * len(head))
-        token, holder = np.concatenate(token), np.array(holder, np.int64)
+        token, place, holder = np.concatenate(token), np.concatenate(place), np.array(holder, np.int64)
         first, a, b = forest(token, holder)
         token, holder = token[first], holder[first]
-        to = ((token >> _U(32)) % _U(buckets)).astype(np.int64)
+        to = ((place[first] >> _U(32)) % _U(meeting)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(buckets + 1))
+        edges = np.searchsorted(to[order], np.arange(meeting + 1))
         sent = [(x, token[o].tobytes(), holder[o].tobytes()) for x in np.flatnonzero(edges[1:] > edges[:-1]).tolist() if len(o := order[edges[x] : edges[x + 1]])]
         blank = lambda n, kind: pa.nulls(n, kind)
         size = (len(rows), len(a), len(sent))
@@ -322,8 +335,8 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
     tokens = by_place(known.where("bucket IS NOT NULL").select("bucket", "keys", "docs"), "bucket")
     near = known.where("a IS NOT NULL").select("a", "b").unionByName(tokens.groupBy("bucket").applyInArrow(meet, "a long, b long"))
     groups = components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "grp")
-    members = known.where("items IS NOT NULL").select("doc_id", "n", "items").join(groups, "doc_id")
-    return facts, classes, linked(members, percent, every)
+    sets = known.where("items IS NOT NULL").select("doc_id", "n", "items")
+    return facts, classes, linked(sets, checkpoint(groups), percent, every)
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -346,7 +359,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     full = facts.join(classes, ["s1", "s2"], "left")
     several = full.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.collect_set("rep").alias("reps")).where("x <> y")
     same = several.select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
-    joined = components(links.unionByName(same))
+    joined = checkpoint(components(links.unionByName(same)))
     out = full.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
