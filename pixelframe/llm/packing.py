@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-#: White space as the tokenizer drops it (Unicode White_Space): no token spans it.
-WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+from .common import buffers, checkpoint, slices, span_hashes, words
+
+#: White space beyond ASCII as the tokenizer drops it (Unicode White_Space), in UTF-8: no token spans it.
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Words that a worker keeps; beyond that it starts anew.
 CACHE = 400_000
-PARTS = 32
+#: Rows of one length that are numbered together.
+PART_ROWS = 500_000
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType())])
 
@@ -31,47 +35,98 @@ PLAIN = re.compile("[\x21-\xff]*")
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes; the library encodes each new piece once, many at a time."""
+    """Ids of whole texts; the library encodes each new word once, many at a time.
+
+    Words are known by their 64-bit hashes in an open table of numpy arrays (some 40 bytes a word), so that the words of a slice are
+    looked up all at once.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text. Special strings are cut out before anything else, wherever they stand: such texts go to the library whole."""
-        whole = [any(s in t for s in self.special) for t in texts]
-        words = [[] if w else WORD.findall(t) for t, w in zip(texts, whole, strict=True)]
-        self._learn(set().union(*words))
-        known = self.words
-        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join([known[x] for x in ws]) for t, w, ws in zip(texts, whole, words, strict=True)]
-
-    def _learn(self, words: set[str]) -> None:
-        known, pieces = self.words, self.pieces
-        if len(known) > CACHE:
-            known.clear()
-        if len(pieces) > CACHE:
-            pieces.clear()
-        fresh = words.difference(known)
-        split = {w: PIECE.findall(w.lower()) for w in fresh if PLAIN.fullmatch(w)}
-        lost = list({p for ps in split.values() for p in ps if p not in pieces})
-        for at in range(0, len(lost), 2000):
-            part = lost[at : at + 2000]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear(CACHE)
+
+    def _clear(self, most: int) -> None:
+        self.most, self.n = most, 0
+        self.mask = (1 << (4 * most - 1).bit_length()) - 1
+        self.slot = np.full(self.mask + 1, -1, np.int32)
+        self.hash, self.start, self.size = np.zeros(most, np.uint64), np.zeros(most, np.int64), np.zeros(most, np.int64)
+        self.flat, self.used = np.zeros(4 * most, np.uint32), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's word, -1 if it is new."""
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        found = self.slot[at]
+        rest = np.flatnonzero((found >= 0) & (self.hash[found] != h))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            found[rest] = self.slot[at[rest]]
+            rest = rest[(found[rest] >= 0) & (self.hash[found[rest]] != h[rest])]
+        return found
+
+    def _add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in ids])
+        end = self.used + int(sizes.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(end, len(self.flat)), np.uint32)])
+        self.flat[self.used : end] = np.concatenate(ids)
+        own = slice(self.n, self.n + len(ids))
+        self.hash[own], self.size[own] = hashes, sizes
+        self.start[own] = self.used + np.cumsum(sizes) - sizes
+        for i, at in enumerate((hashes & np.uint64(self.mask)).tolist(), self.n):
+            while self.slot[at] >= 0:
+                at = (at + 1) & self.mask
+            self.slot[at] = i
+        self.n, self.used = self.n + len(ids), end
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8), and how many each text has.
+
+        Special strings are cut out before anything else, wherever they stand: texts with one go to the library whole.
+        """
+        raw = data.tobytes()
+        whole = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for s in self.special for m in re.finditer(re.escape(s), raw)}
+        if WIDE_SPACE.search(raw):
+            data = np.frombuffer(WIDE_SPACE.sub(lambda m: b" " * len(m[0]), raw), np.uint8)
+        starts, ends, row = words(data, offsets)
+        if whole:
+            keep = ~np.isin(row, list(whole))
+            starts, ends, row = starts[keep], ends[keep], row[keep]
+        h = span_hashes(data, starts, ends)
+        at = self._find(h)
+        if (at < 0).any():
+            lost, first = np.unique(h[at < 0], return_index=True)
+            if self.n + len(lost) > self.most:
+                self._clear(CACHE)
+                lost, first = np.unique(h, return_index=True)
+                if len(lost) > CACHE:
+                    self._clear(len(lost))
+            else:
+                first = np.flatnonzero(at < 0)[first]
+            self._add(lost, self._learn([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]))
+            at = self._find(h)
+        size = self.size[at]
+        place = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        ids, count = self.flat[place], np.bincount(row, size, len(offsets) - 1).astype(np.int64)
+        for r in sorted(whole):
+            own = np.asarray(self.tokenizer.encode(raw[offsets[r] : offsets[r + 1]].decode(), add_special_tokens=False).ids, np.uint32)
+            before = int(count[:r].sum())
+            ids, count[r] = np.concatenate([ids[:before], own, ids[before:]]), len(own)
+        return ids, count
+
+    def _learn(self, fresh: list[str]) -> list[np.ndarray]:
+        split = [PIECE.findall(w.lower()) if PLAIN.fullmatch(w) else None for w in fresh]
+        parts = list({p for ps in split if ps is not None for p in ps})
+        pieces: dict[str, np.ndarray] = {}
+        for at in range(0, len(parts), 2000):
+            part = parts[at : at + 2000]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids)
-            cuts = np.flatnonzero(np.diff(of)) + 1
-            if len(cuts) + 1 != len(part):
+            own = np.split(np.asarray(e.ids, np.uint32), np.flatnonzero(np.diff(np.asarray(e.word_ids))) + 1)
+            if len(own) != len(part):
                 raise ValueError("the vocabulary splits words in another way than expected")
-            raw, edges = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
-            pieces.update((p, raw[a:b]) for p, a, b in zip(part, edges[:-1], edges[1:], strict=True))
-        for w in fresh:
-            own = split.get(w)
-            known[w] = b"".join([pieces[p] for p in own]) if own is not None else self._pack(self.tokenizer.encode(w, add_special_tokens=False).ids)
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+            pieces.update(zip(part, own, strict=True))
+        one = lambda w: np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+        return [one(w) if ps is None else pieces[ps[0]] if len(ps) == 1 else np.concatenate([pieces[p] for p in ps]) if ps else np.zeros(0, np.uint32) for w, ps in zip(fresh, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -87,48 +142,43 @@ def cut(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            column = batch.column("text")
+            for lo, hi in slices(buffers(column)[1]):
+                ids, count = encoder(path).encode(*buffers(column.slice(lo, hi - lo)))
+                ids = np.insert(ids, np.cumsum(count), end_id).astype("<u4").tobytes()
+                count += 1
+                begin = 4 * (np.cumsum(count) - count)
                 out: list[tuple] = []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(path).ids(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    out += ((doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window))
+                for doc, n, b in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), count.tolist(), begin.tolist(), strict=True):
+                    out += ((doc, at, min(window, n - at), zlib.crc32(ids[b + 4 * at : b + 4 * min(at + window, n)]), n) for at in range(0, n, window))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=PIECES.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def combinations(have: np.ndarray, window: int, most: int = 24_000) -> list[tuple[int, ...]]:
+def combinations(have: np.ndarray, window: int, partners: int = 12) -> list[tuple[int, ...]]:
     """Shallow combinations (two to four lengths) that fill the window, for lengths that occur.
 
-    Each length is completed by its exact partner, and by thirds and fourths spread over the range, so that
-    the number of combinations depends on the window alone.
+    Each length is completed by its exact partner, by one of `partners` lengths spread over those that occur and
+    the length then missing, and by two of a third of these; so there are some 28 combinations for each length at most, however many rows the input has.
     """
     lengths = np.flatnonzero(have)
-    found: set[tuple[int, ...]] = set()
+    lengths = lengths[(lengths > 0) & (lengths < window)]
+    if not len(lengths):
+        return []
     occurs = have > 0
-    for a in lengths.tolist():
-        if a < window and occurs[window - a]:
-            found.add(tuple(sorted((a, window - a))))
-    spread = lengths[np.unique(np.linspace(0, len(lengths) - 1, min(len(lengths), 48)).astype(int))] if len(lengths) else lengths
-    for a in lengths.tolist():
-        for b in spread.tolist():
-            rest = window - a - b
-            if rest > 0 and occurs[rest]:
-                found.add(tuple(sorted((a, b, rest))))
-            for c in spread[::6].tolist():
-                last = rest - c
-                if last > 0 and occurs[last]:
-                    found.add(tuple(sorted((a, b, c, last))))
-    every = sorted(found, key=lambda c: (-min(int(have[x]) // c.count(x) for x in c), len(c), c))
-    return every[:most]
-
-
-def least_squares(combos: list[tuple[int, ...]], have: np.ndarray, rounds: int = 300) -> np.ndarray:
+    spread = lengths[np.unique(np.linspace(0, len(lengths) - 1, min(len(lengths), partners)).astype(int))].tolist()
+    found: set[tuple[int, ...]] = set()
+    for other in [(), *((b,) for b in spread), *((b, c) for b in spread[::3] for c in spread[::3])]:
+        rest = window - sum(other) - lengths
+        good = rest > 0
+        good[good] = occurs[rest[good]]
+        found.update(tuple(sorted((a, *other, last))) for a, last in zip(lengths[good].tolist(), rest[good].tolist(), strict=True))
+    return sorted(found, key=lambda c: (len(c), c))
+
+
+def least_squares(combos: list[tuple[int, ...]], have: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Repeats x >= 0 of the combinations that come nearest to the histogram: accelerated projected gradient."""
     depth = max(map(len, combos))
     size = len(have)
@@ -187,19 +237,20 @@ def plan(have: np.ndarray, window: int = 2048) -> list[tuple[tuple[int, ...], in
 
 
 def pack(pieces: DataFrame, window: int = 2048) -> DataFrame:
-    """pieces (any columns with doc_id, start and length <= window) with sequence_id and offset.
+    """pieces (any columns with doc_id, start, length <= window and ids_crc32) with sequence_id and offset.
 
     Only the histogram of lengths (window numbers) reaches the driver, and only the plan goes back. Its
     rows depend on the window and not on the input: at most five slots for each combination of a bounded
-    list and one run for each greedy pattern's length. Pieces of a length are numbered in parts, whose
-    sizes (window * PARTS rows at most) give each part its first number.
+    list and one run for each greedy pattern's length. Pieces of a length are numbered in parts of some PART_ROWS rows, whose
+    sizes give each part its first number.
     """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int"))
-    sizes = pieces.groupBy("length", "_part").agg(F.count("*").alias("_size"))
     have = np.zeros(window + 1, np.int64)
-    for r in sizes.groupBy("length").agg(F.sum("_size").alias("n")).collect():
-        have[r.length] = r.n
+    for r in pieces.groupBy("length").count().collect():
+        have[r["length"]] = r["count"]
+    shares = spark.createDataFrame([(int(v), int(-(-have[v] // PART_ROWS))) for v in np.flatnonzero(have)], "length long, _parts int")
+    pieces = pieces.join(F.broadcast(shares), "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), "_parts").cast("int")).select(*pieces.columns, "_part")
+    sizes = pieces.groupBy("length", "_part").agg(F.count("*").alias("_size"))
     slots, used, sequence = [], np.zeros(window + 1, np.int64), 0
     for combo, n in plan(have, window):
         at = 0
@@ -217,8 +268,8 @@ def pack(pieces: DataFrame, window: int = 2048) -> DataFrame:
     table = spark.createDataFrame(slots, "length long, _from long, _count long, _each long, _sequence long, _at long")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
-    own = Window.partitionBy("length", "_part").orderBy("doc_id", "start")
-    ranked = pieces.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(first), ["length", "_part"])
+    own = Window.partitionBy("length", "_part").orderBy("doc_id", "start", "ids_crc32")
+    ranked = pieces.withColumn("_own", F.row_number().over(own) - 1).join(first, ["length", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_first") + F.col("_own"))
     runs = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_from", "_count", "_each", "_sequence", "_at"))).alias("_runs"))
     found = ranked.join(F.broadcast(runs), "length").withColumn("_run", F.expr("filter(_runs, r -> _rank >= r._from AND _rank < r._from + r._count)[0]"))
@@ -231,8 +282,7 @@ def pack(pieces: DataFrame, window: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, window: int = 2048) -> DataFrame:
-    from .common import checkpoint
-
+    """The pieces of all texts in sequences; see cut() and pack()."""
     return pack(checkpoint(cut(docs, window)), window)
 
 
