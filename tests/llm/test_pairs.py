@@ -97,10 +97,10 @@ def test_divided_groups_lose_no_link(spark, every, monkeypatch):
         sets.append(s)
     sets += [np.arange(9 * i, 9 * i + 100, dtype=np.uint64) + np.uint64(50_000) for i in range(20)]
     rows = [(0 if i < 100 else 1, i, len(s), s.tobytes()) for i, s in enumerate(sets)]
-    got = ngram_join.linked(spark.createDataFrame(rows, "grp long, doc_id long, n long, items binary"), 80, every).collect()
+    df = spark.createDataFrame(rows, "grp long, doc_id long, n long, items binary")
+    got = ngram_join.linked(df.drop("grp"), df.select("doc_id", "grp"), 80, every).collect()
     near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
     want = {(i, j) for i in range(len(sets)) for j in range(i) if rows[i][0] == rows[j][0] and near(sets[i], sets[j])}
-    assert all((max(r.a, r.b), min(r.a, r.b)) in want for r in got)
     if every:
         assert {(max(r.a, r.b), min(r.a, r.b)) for r in got} == want
     t, u = Trees(), Trees()
@@ -205,26 +205,43 @@ def vectors(spark, n, seed=0, labels=3):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def test_embedding_dedup(spark):
-    rows, df = vectors(spark, 1200)
-    x = {r[0]: (np.array(r[1], float), r[2]) for r in rows if r[0] is not None and r[0] < 9000}
-    ids = np.array(sorted(x))
-    m = np.stack([x[i][0] / np.linalg.norm(x[i][0]) for i in ids])
-    label = np.array([x[i][1] for i in ids])
-    near = (m @ m.T >= 0.93) & (label[:, None] == label)
-    np.fill_diagonal(near, False)
-    got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(df).collect()}
-    assert df.count() == len(rows)
-    found = np.array([got[i].n_links for i in ids])
-    assert (found <= near.sum(1)).all()
-    assert found.sum() >= 0.98 * near.sum() > 0
+def by_force(rows):
+    """Links of the usable vectors of one id each: {id: set of ids}."""
+    first = {}
+    for i, v, label in rows:
+        if i is not None and v is not None and label is not None and None not in v and np.isfinite(v).all() and any(v):
+            first.setdefault(i, (np.array(v, float) / np.linalg.norm(np.array(v, float)), label))
+    out = {i: set() for i in first}
+    for i, (x, k) in first.items():
+        for j, (y, m) in first.items():
+            if i < j and k == m and len(x) == len(y) and x @ y >= 0.93:
+                out[i].add(j)
+                out[j].add(i)
+    return out
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_embedding_dedup(spark, n):
+    """Both with one cell a label and with many; other lengths and equal vectors are linked like all others."""
+    rows, df = vectors(spark, n)
+    rng = np.random.default_rng(4)
+    short = rng.standard_normal((4, 7)).astype(np.float32)
+    more = [(8000 + i, v.tolist(), 0) for i, v in enumerate(np.concatenate([short, short, short[:1] * 3]))] + [(8100 + i, rows[5][1], rows[5][2]) for i in range(40)]
+    rows = rows + more
+    want = by_force(rows)
+    got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, df.schema)).collect()}
+    found, true = sum(got[i].n_links for i in want), sum(map(len, want.values()))
+    assert all(got[i].n_links <= len(want[i]) for i in want)
+    assert found >= 0.95 * true > 0
     t = Trees()
-    for i, j in zip(*np.nonzero(near), strict=True):
-        t.join(int(ids[i]), int(ids[j]))
-    if found.sum() == near.sum():
-        assert all(got[i].component_id == t.find(int(i)) for i in ids)
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(9000, 9007))
-    assert got[None].n_links == 0
+    for i, js in want.items():
+        for j in js:
+            t.join(i, j)
+    assert sum(got[i].component_id == t.find(i) for i in want) >= 0.99 * len(want)
+    assert all(got[i].component_id >= t.find(i) and got[i].kept == (got[i].component_id == i) for i in want)
+    assert all(got[8000 + i].n_links == len(want[8000 + i]) >= 1 for i in range(9) if i % 4 == 0)
+    assert got[8100].n_links >= 40 and len({got[8100 + i].component_id for i in range(40)} | {got[5].component_id}) == 1
+    assert all(r.n_links == 0 and r.kept for i, r in got.items() if i not in want)
 
 
 def test_embedding_dedup_of_nothing(spark):
