@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Parts of a shard within which rows are numbered; the parts' sizes (shards * classes * PARTS rows at most) are summed up.
-PARTS = 256
+#: Rows of a part, within which they are numbered, and the least number of parts.
+PART_ROWS, PARTS = 500_000, 64
 #: Rounds without a move, each with other ties, after which none is left to find.
 IDLE = 3
 
@@ -20,17 +20,16 @@ def numbered(df: DataFrame, by: str, name: str, order: list[str], urgency: Colum
     """Adds `name`: gapless numbers from 0 within each value of `by`, less urgency first.
 
     Rows are numbered within parts (a hash of the order columns) and the parts' sizes give each part its
-    first number, so that no task sees more than a part. The table of sizes has at most
-    most * parts rows for each value of `by`, whatever the input's size, and is the only thing broadcast.
+    first number, so that no task sees more than a part. The table of sizes has a row for each part.
     """
     part = F.pmod(F.xxhash64(*order), F.lit(parts)) + (F.lit(0) if urgency is None else F.least(F.greatest(urgency, F.lit(0)), F.lit(most - 1)) * parts)
     df = df.withColumn("_part", part.cast("int"))
     sizes = df.groupBy(by, "_part").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    first = sizes.select(by, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
     own = Window.partitionBy(by, "_part").orderBy(*order)
     ranked = df.withColumn("_own", F.row_number().over(own) - 1)
-    return ranked.join(F.broadcast(first), ranked[by].eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p"))).withColumn(name, (F.col("_first") + F.col("_own")).cast("long")).drop("_part", "_p", "_by", "_first", "_own")
+    return ranked.join(first, [by, "_part"]).withColumn(name, (F.col("_first") + F.col("_own")).cast("long")).drop("_part", "_first", "_own")
 
 
 def _by_shard(counts: dict[int, int]) -> Column:
@@ -91,18 +90,20 @@ def shard(rows: DataFrame, shards: int = 16, rounds: int | None = None) -> DataF
     """
     total = rows.count()
     quota = max(1, total // shards)
-    size = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1")
+    parts = max(PARTS, -(-total // PART_ROWS))
+    # sizes and wishes are tables of their own, so that Spark can split a hot group's rows where they are joined
+    size = checkpoint(rows.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1"))
     dealt = rows.join(size, "grp", "left")
     pieces = F.ceil(2 * F.col("_n") / F.lit(quota)).cast("long")
     linked = F.when(F.col("_n").isNotNull(), F.xxhash64("grp", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), pieces)))
     dealt = dealt.withColumn("_grp", linked).drop("_n").withColumn("_all", F.lit(0))
-    state = numbered(dealt, "_all", "_r", ["doc_id", "_tie"] if "_tie" in rows.columns else ["doc_id"]).withColumn("shard", (F.col("_r") % shards).cast("int")).drop("_all")
+    state = numbered(dealt, "_all", "_r", ["doc_id", "_tie"] if "_tie" in rows.columns else ["doc_id"], parts=parts).withColumn("shard", (F.col("_r") % shards).cast("int")).drop("_all")
     state = checkpoint(state)
     idle = 0
     for turn in itertools.count() if rounds is None else range(rounds):
         held = state.where("_grp IS NOT NULL").groupBy("_grp", "shard").agg(F.count("*").alias("_c"))
         lean = F.struct("_c", F.xxhash64("_grp", "shard", F.lit(turn)).alias("h"), "shard")
-        wish = held.groupBy("_grp").agg(F.max(lean).alias("_w")).select("_grp", F.col("_w.shard").alias("_to"), F.col("_w._c").alias("_gain"))
+        wish = checkpoint(held.groupBy("_grp").agg(F.max(lean).alias("_w")).select("_grp", F.col("_w.shard").alias("_to"), F.col("_w._c").alias("_gain")))
         asked = state.join(wish, "_grp", "left").withColumn("_moves", F.coalesce(F.col("_to") != F.col("shard"), F.lit(False)))
         asked = checkpoint(asked)
         loose = {r.shard: r.n for r in asked.where("_grp IS NULL").groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -114,14 +115,14 @@ def shard(rows: DataFrame, shards: int = 16, rounds: int | None = None) -> DataF
         if not flow:
             continue
         way = F.col("shard") * shards + F.col("_to")
-        movers = numbered(asked.where("_moves").withColumn("_way", way), "_way", "_place", ["doc_id", "_r"], 62 - F.floor(F.log2("_gain")).cast("int"), parts=max(1, PARTS // shards))
+        movers = numbered(asked.where("_moves").withColumn("_way", way), "_way", "_place", ["doc_id", "_r"], 62 - F.floor(F.log2("_gain")).cast("int"), parts=max(1, parts // shards))
         places = F.element_at(F.create_map(*(F.lit(x) for s, t in demand for x in (s * shards + t, flow.get((s, t), 0)))), F.col("_way"))
         movers = checkpoint(movers.withColumn("_taken", F.col("_place") < places).drop("_way"))
         over = {s: sum(n for (_, t), n in flow.items() if t == s) - sum(n for (f, _), n in flow.items() if f == s) for s in range(shards)}
         keep = ["_to", "_gain", "_moves"]
         moved = movers.withColumn("shard", F.when(F.col("_taken"), F.col("_to")).otherwise(F.col("shard"))).drop(*keep, "_place", "_taken")
         rest = asked.where("NOT _moves AND _grp IS NOT NULL").drop(*keep)
-        singles = numbered(asked.where("_grp IS NULL").drop(*keep), "shard", "_out", ["doc_id", "_r"])
+        singles = numbered(asked.where("_grp IS NULL").drop(*keep), "shard", "_out", ["doc_id", "_r"], parts=max(1, parts // shards))
         # the first `over` unlinked rows of a shard that took more than it gave go to those that gave more
         starts, at = {}, 0
         for s in range(shards):
@@ -150,7 +151,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int | None = None
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("grp"),
     )
-    placed = numbered(shard(checkpoint(facts), shards, rounds), "shard", "slot", ["doc_id", "text_crc32"])
+    facts = checkpoint(facts)
+    placed = numbered(shard(facts, shards, rounds), "shard", "slot", ["doc_id", "text_crc32"], parts=max(1, PARTS // shards, -(-facts.count() // (shards * PART_ROWS))))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "grp")
 
 
