@@ -50,31 +50,41 @@ def host_links(pages: DataFrame) -> DataFrame:
     return out.union(both).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
-    """(host, rank): personalised PageRank of seeds (host, seed), whose shares should add up to 1.
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, check_every: int = 8) -> DataFrame:
+    """(kind, host, rank): personalised PageRank of the seeds (kind, host, seed), whose shares should add up to 1, over the links (kind, src, dst, weight), each kind by itself.
 
     Each round shares a host's rank over its links by weight and mixes in the seeds; a host without links
-    gives its rank up. A hot host's incoming shares are summed before the shuffle. The lineage is cut every
-    few rounds.
+    gives its rank up. A hot host's incoming shares are summed before the shuffle. Every few rounds the lineage is cut, and it ends
+    when the last of them has changed all ranks together by no more than the tolerance: each round's change is damping times the one before at most.
     """
-    out = links.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = checkpoint(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for i in range(rounds):
-        given = share.join(rank, share.src == rank.host).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("rank"))
-        flow = given.select(F.col("dst").alias("host"), (damping * F.col("rank")).alias("rank")).union(seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank")))
-        rank = flow.groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % cut_every == cut_every - 1:
-            rank = checkpoint(rank)
-    return rank
-
-
-def filter_urls(pages: DataFrame, rules: tuple = RULES, damping: float = 0.85, rounds: int = 12, threshold: float = 1.0) -> DataFrame:
+    out = links.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    share = checkpoint(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    seeds = checkpoint(seeds.select("kind", "host", "seed"))
+    rank = seeds.withColumnRenamed("seed", "rank")
+
+    def turn(rank: DataFrame) -> DataFrame:
+        given = share.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", "dst").agg(F.sum(F.col("share") * F.col("rank")).alias("rank"))
+        flow = given.select("kind", F.col("dst").alias("host"), (damping * F.col("rank")).alias("rank")).union(seeds.select("kind", "host", (1 - damping) * F.col("seed")))
+        return flow.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+
+    while True:
+        for _ in range(check_every - 1):
+            rank = turn(rank)
+        rank = checkpoint(rank)
+        both = turn(rank).select("kind", "host", "rank", F.lit(0.0).alias("old")).union(rank.select("kind", "host", F.lit(0.0), "rank"))
+        both = checkpoint(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+        changed = both.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        rank = both.select("kind", "host", "rank")
+        if changed is None or changed <= tolerance:
+            return rank
+
+
+def filter_urls(pages: DataFrame, rules: tuple = RULES, damping: float = 0.85, tolerance: float = 1e-4, threshold: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of pages.
 
     Seeds of trust are hosts with pages that a rule allows, those of distrust hosts with pages that one
     blocks, each by its share of such pages. Trust flows along the links, distrust against them (who links
-    to blocked hosts is doubtful). A page without a rule is blocked if its host's distrust is above
+    to blocked hosts is doubtful), each until its ranks have settled. A page without a rule is blocked if its host's distrust is above
     threshold times its trust, so that hosts that neither reaches are allowed. Null urls have an empty host,
     no seed and the verdict allow; null html has no links; repeated rows are judged alike.
     """
@@ -83,11 +93,11 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES, damping: float = 0.85, r
     judged = ruled.groupBy("host").agg(*(F.sum((F.col("rule_verdict") == v).cast("double")).alias(v) for v in ("allow", "block")))
     judged = checkpoint(judged.where("host <> ''").select("host", F.coalesce("allow", F.lit(0.0)).alias("allow"), F.coalesce("block", F.lit(0.0)).alias("block")))
     total = judged.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-    seeds = {v: judged.where(F.col(v) > 0).select("host", (F.col(v) / F.lit(total[v] or 1.0)).alias("seed")) for v in ("allow", "block")}
-    trust = propagate(links, seeds["allow"], damping, rounds).withColumnRenamed("rank", "trust")
-    against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(against, seeds["block"], damping, rounds).withColumnRenamed("rank", "distrust")
-    ranks = checkpoint(trust.join(distrust, "host", "full_outer").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
+    kinds = {"allow": "trust", "block": "distrust"}
+    seeds = [judged.where(F.col(v) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(v) / F.lit(total[v] or 1.0)).alias("seed")) for v, kind in kinds.items()]
+    against = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    ranks = propagate(links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(against), seeds[0].union(seeds[1]), damping, tolerance)
+    ranks = checkpoint(ranks.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in kinds.values())))
     rest = ruled.select("page_id", "host", "path", "rule", "rule_verdict").join(ranks, "host", "left")
     doubtful = F.coalesce(F.col("distrust") > threshold * F.col("trust"), F.lit(False))
     verdict = F.coalesce(F.col("rule_verdict"), F.when(doubtful, F.lit("block")).otherwise(F.lit("allow")))

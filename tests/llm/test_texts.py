@@ -235,3 +235,58 @@ def test_url_filter(spark):
     assert (got[8].host, got[8].rule, got[8].verdict) == ("bad.net", None, "block")
     assert (got[6].host, got[6].path, got[10].host, got[10].path) == ("", "", "y.org", "")
     assert url_filter.filter_urls(df).count() == len(pages) and url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+def test_propagation_against_a_dense_one(spark):
+    """Chains far longer than any fixed number of rounds, cycles, hosts without links: the same ranks as powers of the whole matrix."""
+    rng = np.random.default_rng(2)
+    n = 70
+    edges = {(i, i + 1): 1.0 for i in range(30)} | {(int(a), int(b)): float(w) for a, b, w in rng.integers(31, n - 5, (90, 3)) if a != b}
+    edges |= {(45, 3): 2.0, (30, 50): 1.0}
+    seed = np.zeros(n)
+    seed[[0, 40]] = 0.25, 0.75
+    m = np.zeros((n, n))
+    for (a, b), w in edges.items():
+        m[b, a] = w
+    total = m.sum(0)
+    m /= np.where(total > 0, total, 1)
+    rank = seed.copy()
+    for _ in range(400):
+        rank = 0.85 * m @ rank + 0.15 * seed
+    assert rank[30] > 0
+    links = spark.createDataFrame([("k", f"h{a}", f"h{b}", w) for (a, b), w in edges.items()], "kind string, src string, dst string, weight double")
+    got = {r.host: r.rank for r in url_filter.propagate(links, spark.createDataFrame([("k", f"h{i}", float(seed[i])) for i in (0, 40)], "kind string, host string, seed double"), tolerance=1e-9).collect()}
+    assert max(abs(got.get(f"h{i}", 0.0) - rank[i]) for i in range(n)) < 1e-8
+
+
+def test_discriminant_against_densities(spark):
+    rng = np.random.default_rng(6)
+    d = len(quality_classifier.STATISTICS)
+    y = rng.integers(0, 2, 400)
+    x = rng.standard_normal((400, d)) @ rng.standard_normal((d, d)) + y[:, None] * 0.4 + 3
+    x[y == 1] *= 1.3
+    model = quality_classifier.fit(spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y, strict=True)], "x array<double>, quality int").repartition(3), shrinkage=0.2, ridge=0.01)
+    z = (x - x.mean(0)) / x.std(0)
+    cov = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum(cov[c] * (y == c).sum() for c in (0, 1)) / len(y)
+    side = []
+    for c in (0, 1):
+        s = 0.8 * cov[c] + 0.2 * pooled + 0.01 * np.eye(d)
+        gap = z - z[y == c].mean(0)
+        side.append(-0.5 * np.einsum("ni,ij,nj->n", gap, np.linalg.inv(s), gap) - 0.5 * np.linalg.slogdet(s)[1] + np.log((y == c).mean()))
+    assert np.allclose(model.log_odds(x), side[1] - side[0], atol=1e-6)
+
+
+def test_operators_on_empty_tables(none):
+    for made in (token_counts.token_counts(none), token_counts.prefix_counts(none), piece_dropout.encode_pieces(none), quality_rules.quality_rules(none), quality_classifier.quality_scores(none, none.select("doc_id", F.lit(1).alias("quality")))):
+        assert made.count() == 0
+
+
+def test_words_and_lines_that_collide_by_their_build_count_as_different(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = "\n".join([word, other, word + " x y " + other + " x y " + word])
+    got = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert [got[c] for c in quality_rules.COUNTS[:6]] == list(measure(text))
