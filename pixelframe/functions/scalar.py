@@ -176,3 +176,19 @@ def iso_week(t: Column | str) -> Column:
 def first_where(items: Column | str, test) -> Column:
     """The first item of an array for which test holds, else nodata."""
     return F.get(F.filter(col(items), test), F.lit(0))
+
+
+def full_match(text: Column | str, pattern: str) -> Column:
+    """Whether the pattern fits the whole text; nodata stays nodata."""
+    return col(text).rlike(rf"\A(?:{pattern})\z")
+
+
+def url_part(url: Column | str, part: str) -> Column:
+    """HOST, PATH, QUERY, REF, PROTOCOL, FILE, AUTHORITY or USERINFO of a URL; nodata where it has none or isn't one."""
+    return F.try_parse_url(col(url), F.lit(part))
+
+
+def json_field(text: Column | str, path: str, default: Column | None = None) -> Column:
+    """A field of a JSON text, else the default; a field that is null counts as missing."""
+    found = F.get_json_object(col(text), path)
+    return found if default is None else F.coalesce(found, default)

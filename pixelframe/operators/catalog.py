@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The conformance class that every record names, and the patterns of ids (fixed values).
-CORE = "http://www.opengis.net/spec/ogcapi-records-1/1.0/req/record-core"
-SCENARIO_ID = r"^[a-zA-Z0-9_]+$"
-PROCESS_ID = r"^[a-zA-Z0-9_]+$"
+CORE = "https://www.opengis.net/spec/ogcapi-records-1/1.0/req/record-core"
+SCENARIO_ID = r"^[a-zA-Z0-9_-]+$"
+PROCESS_ID = r"^[a-zA-Z0-9_-]+$"
+PROCESS_LINK = "application/vnd.openeo+json;type=process"
 
 RECORD = (
     "id string, type string, conformsTo array<string>, properties struct<type string, title string, description string, visibility string, "
-    "cost_estimate double, cost_unit string, keywords array<string>, created string, updated string, license string, formats array<struct<name string>>, "
+    "cost_estimate double, cost_unit string, keywords array<string>, created string, updated string, formats array<struct<name string>>, "
     "contacts array<struct<name string, organization string, roles array<string>, links array<struct<rel string, type string, title string, href string>>>>>, "
-    "links array<struct<rel string, type string, title string, href string>>"
+    "license string, links array<struct<rel string, type string, title string, href string>>"
 )
 SCENARIO = (
-    "id string, type string, description string, backend string, endpoint string, application string, namespace string, "
+    "id string, type string, description string, backend string, endpoint string, application string, namespace string, parameters map<string, string>, "
     "process_graph map<string, struct<process_id string, namespace string, arguments string>>, "
     "reference_data map<string, string>, reference_options struct<rtol double, atol double, pixel_tolerance double>"
 )
@@ -52,27 +53,41 @@ def list_algorithms(records: DataFrame, path: str = "path") -> DataFrame:
     return records.where(path_part(path, 2) == "records").select(path_part(path, 4).alias("organisation"), path_part(path, 3).alias("algorithm")).distinct()
 
 
-def get_algorithm(records: DataFrame, name: str) -> DataFrame:
-    """The one record of an algorithm, flattened; `error` says why it isn't usable.
+def get_algorithms(records: DataFrame, names: DataFrame) -> DataFrame:
+    """For each name asked for, the record of that algorithm, flattened; `error` says why there is none or it isn't usable.
 
-    It must be a Feature of type service that conforms to the core, with one process link at most and a service link.
+    A name must be an algorithm of exactly one organisation; its record is <organisation>/<name>/records/<name>.json. It must be a Feature that
+    conforms to the core, of type service, with one process link at most (of the right media type, if it has one) and a service link.
     """
-    udp, services = links_of("application"), links_of("service")
+    owners = list_algorithms(records).groupBy(F.col("algorithm").alias("name")).agg(F.count("*").alias("_owners"))
+    at = records.where((path_part("path", 2) == "records") & (path_part("path", 3) == file_stem("path"))).withColumn("name", file_stem("path"))
+    found = names.select("name").distinct().join(owners, "name", "left").join(at, "name", "left")
+    udp, services = F.coalesce(links_of("application"), F.array()), F.coalesce(links_of("service"), F.array())
     lead = F.get(F.filter("properties.contacts", lambda p: F.array_contains(p["roles"], "principal investigator")), F.lit(0))
     error = (
-        F.when(F.col("type") != "Feature", "not a GeoJSON feature")
-        .when(~F.array_contains("conformsTo", CORE), "does not conform to the record core")
-        .when(F.col("properties.type") != "service", "not a service")
+        F.when(F.coalesce("_owners", F.lit(0)) != 1, "not an algorithm of exactly one organisation")
+        .when(F.col("path").isNull(), "no record")
+        .when(~F.equal_null("type", F.lit("Feature")), "not a GeoJSON feature")
+        .when(~F.coalesce(F.array_contains("conformsTo", CORE), F.lit(False)), "does not conform to the record core")
+        .when(~F.equal_null("properties.type", F.lit("service")), "not a service")
+        .when(F.exists(udp, lambda x: x["type"] != PROCESS_LINK), "process link of another media type")
+        .when(F.exists(udp, lambda x: x["href"].isNull()) | F.exists(services, lambda x: x["href"].isNull()), "link without href")
         .when(F.size(udp) > 1, "several process links")
         .when(F.size(services) == 0, "no service link")
     )
-    found = records.where((F.col("id") == name) | (file_stem("path") == name) if "path" in records.columns else F.col("id") == name)
     return found.select(
-        "id", F.col("properties.title").alias("title"), F.col("properties.description").alias("description"), F.get(udp, F.lit(0))["href"].alias("udp_href"),
-        F.transform(services, lambda s: s["href"]).alias("service_hrefs"), F.coalesce("properties.license", link_of("license")).alias("license"), lead["organization"].alias("organization"), error.alias("error"),
+        "name", "id", F.col("properties.title").alias("title"), F.col("properties.description").alias("description"), F.get(udp, F.lit(0))["href"].alias("udp_href"),
+        F.transform(services, lambda s: s["href"]).alias("service_hrefs"), "license", lead["organization"].alias("organization"), error.alias("error"),
     )
 
 
+def get_algorithm(records: DataFrame, name: str) -> DataFrame:
+    """The one record of an algorithm, flattened; where there is none or it isn't usable, the job fails and says why."""
+    found = get_algorithms(records, records.sparkSession.createDataFrame([(name,)], "name string"))
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit(f"{name}: "), "error")).cast("string")).otherwise(F.col("id"))
+    return found.withColumn("id", checked).drop("name", "error")
+
+
 def _violations(df: DataFrame, keys: Sequence[str], rules: dict[str, Column]) -> DataFrame:
     """(keys, rule) for each rule that a row breaks; a rule that can't be decided is broken."""
     broken = F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
@@ -98,33 +113,50 @@ def lint_records(records: DataFrame) -> DataFrame:
     return _violations(records, ["id"], rules)
 
 
-def lint_scenarios(scenarios: DataFrame, backends: Sequence[str]) -> DataFrame:
+def branch_ref(href: Column | str) -> Column:
+    """The branch that a raw file's address names with refs/heads/, else empty."""
+    return F.regexp_extract(href, r"//raw\.githubusercontent\.com/.*/refs/heads/(.*?)/", 1)
+
+
+def feature_branch(href: Column | str, own: Sequence[str] = ()) -> Column:
+    """Whether an address of a raw file names a branch other than main and master: after refs/heads/ in any repository, in the short form in one's own (`owner/name`), where commits are allowed too."""
+    named = branch_ref(href)
+    found = (named != "") & ~named.isin("main", "master")
+    for repository in own:
+        short = F.regexp_extract(href, rf"//raw\.githubusercontent\.com/{repository}/(.*?)/", 1)
+        found = found | (short != "") & ~short.isin("main", "master", "refs") & ~short.rlike("^[0-9a-f]+$")
+    return found
+
+
+def file_page(href: Column | str) -> Column:
+    """Whether an address is a page that shows a file, not the file."""
+    return F.lower(href).rlike("^https://github\\.com/.*/blob/")
+
+
+def lint_scenarios(scenarios: DataFrame, backends: Sequence[str], own: Sequence[str] = ()) -> DataFrame:
+    """backends: patterns of which one must fit the whole backend; own: see feature_branch(). Namespaces that aren't https addresses are names."""
     nodes = F.map_values("process_graph")
-    graph = F.col("type").isNull() | (F.col("type") == "openeo")
-    backend = F.regexp_replace("backend", r"^https?://|/.*$", "")
+    graph, service = F.equal_null("type", F.lit("openeo")), F.equal_null("type", F.lit("ogc_api_process"))
+    of = lambda kind, rule: F.when(kind, rule).otherwise(F.lit(True))
+    fine = lambda name: name.isNull() | ~name.startswith("https://") | ~file_page(name) & ~feature_branch(name, own)
     rules = {
         "id": F.col("id").rlike(SCENARIO_ID),
-        "backend": F.when(graph, backend.isin(*backends)).otherwise(F.lit(True)),
-        "process graph": F.when(graph, F.size(nodes) > 0).otherwise(F.lit(True)),
-        "process id": F.when(graph, F.forall(nodes, lambda n: n["process_id"].rlike(PROCESS_ID))).otherwise(F.lit(True)),
-        "arguments": F.when(graph, F.forall(nodes, lambda n: n["arguments"].isNotNull())).otherwise(F.lit(True)),
-        "namespace": F.when(graph, F.forall(nodes, lambda n: n["namespace"].isNull() | n["namespace"].startswith("https://") & ~n["namespace"].contains("/blob/"))).otherwise(F.lit(True)),
-        "endpoint": F.when(graph, F.lit(True)).otherwise(F.col("endpoint").rlike("^https?://")),
-        "application": F.when(graph, F.lit(True)).otherwise(F.col("application").isNotNull()),
+        "type": graph | service,
+        "backend": of(graph, F.col("backend").rlike("^(?:" + "|".join(backends) + ")$") if backends else F.lit(False)),
+        "process graph": of(graph, F.size(nodes) > 0),
+        "process id": of(graph, F.forall(nodes, lambda n: n["process_id"].rlike(PROCESS_ID))),
+        "arguments": of(graph, F.forall(nodes, lambda n: n["arguments"].isNotNull())),
+        "namespace": of(graph, F.forall(nodes, lambda n: fine(n["namespace"]))),
+        "endpoint": of(service, F.col("endpoint").rlike("^https?://")),
+        "application": of(service, F.length("application") > 0),
+        "parameters": of(service, F.col("parameters").isNotNull()),
     }
     return _violations(scenarios, ["id"], rules)
 
 
-def lint_links(links: DataFrame, href: str = "href") -> DataFrame:
-    """Links to code hosting that a later change would break: pages of files, and refs other than main, master or a commit."""
-    raw = F.regexp_extract(href, r"^https?://raw\.githubusercontent\.com/[^/]+/[^/]+/(?:refs/heads/)?([^/]+)/", 1)
-    page = F.regexp_extract(href, r"^https?://github\.com/[^/]+/[^/]+/(?:blob|raw|tree)/(?:refs/heads/)?([^/]+)/", 1)
-    ref = F.when(raw != "", raw).otherwise(page)
-    rules = {
-        "no file page": ~(F.col(href).contains("github.com/") & F.col(href).contains("/blob/")),
-        "no feature branch": (ref == "") | ref.isin("main", "master") | ref.rlike("^[0-9a-f]{7,40}$"),
-    }
-    return _violations(links, [href], rules)
+def lint_links(links: DataFrame, href: str = "href", own: Sequence[str] = ()) -> DataFrame:
+    """Links to code hosting that a later change would break: pages of files, and feature branches."""
+    return _violations(links, [href], {"no file page": ~file_page(href), "no feature branch": ~feature_branch(href, own)})
 
 
 def lint_process_defs(defs: DataFrame) -> DataFrame:

@@ -227,11 +227,9 @@ def cost_pivot(jobs: DataFrame, months: Sequence[int]) -> DataFrame:
     return jobs.select(span, length, "cost").groupBy("km").pivot("months", list(months)).agg(F.avg("cost"))
 
 
-def job_grid(spark, boxes: Sequence[tuple[str, float, float, float, float]], months: Sequence[int], base: str) -> DataFrame:
-    """Every box with every duration from a base date."""
-    b = spark.createDataFrame(list(boxes), "name string, west double, south double, east double, north double")
-    m = spark.createDataFrame([(int(x),) for x in months], "months int")
-    return b.crossJoin(m).withColumn("start", F.lit(base).cast("date")).withColumn("end", F.expr("add_months(start, months)"))
+def job_grid(boxes: DataFrame, months: Sequence[int], base: str) -> DataFrame:
+    """Every box (any columns) with every duration from a base date."""
+    return boxes.withColumn("months", F.explode(F.array(*(F.lit(int(m)) for m in months)))).withColumn("start", F.lit(base).cast("date")).withColumn("end", F.expr("add_months(start, months)"))
 
 
 # --- comparisons --------------------------------------------------------------------------------------------

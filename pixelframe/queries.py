@@ -254,6 +254,9 @@ query("k19_k24_text_time", "SELECT event_id, event_type || '/' || user_id AS tx,
 query("k25_k30_formats", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'n/a' ELSE regexp_replace(regexp_replace(printf('%.4f', event_id / 8.0), '0+$', ''), '\\.$', '') END AS f, (value >= 10)::INT + (value >= 50)::INT + (value >= 90)::INT AS b, week(ts) AS w, regexp_extract(props, '(\\d+)', 1) AS k, CAST(props->>'$.k' AS INT) AS j, list_filter([event_id, user_id], lambda v: v % 2 = 0)[1] AS fi FROM events")(
     lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", sc.format_number(F.when(F.col("event_id") % 9 != 0, F.col("event_id") / 8.0)).alias("f"), sc.digitize("value", [10, 50, 90]).alias("b"), sc.iso_week("ts").alias("w"), F.regexp_extract("props", r"(\d+)", 1).alias("k"), F.get_json_object("props", "$.k").cast("int").alias("j"), sc.first_where(F.array("event_id", "user_id"), lambda v: v % 2 == 0).alias("fi"))
 )
+query("k24_k29_keys_urls_json", "SELECT event_id, 'run1!' || regexp_replace(node, '[^a-zA-Z0-9_.-]', '_', 'g') || '!' || event_type AS asset, regexp_full_match(event_type, '[a-m].*') AS fm, 'h' || user_id || '.example' AS host, '/p/' || event_id AS path, coalesce(props->>'$.k', 'none') AS k, coalesce(props->>'$.missing', 'none') AS mi FROM events JOIN rn USING (event_id)")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").join(tc.runs(s, d).select("event_id", "test:nodeid"), "event_id").withColumn("url", F.expr("concat('https://h', user_id, '.example/p/', event_id, '?q=1#r')")).select("event_id", sc.asset_key(F.lit("run1"), "test:nodeid", "event_type").alias("asset"), sc.full_match("event_type", "[a-m].*").alias("fm"), sc.url_part("url", "HOST").alias("host"), sc.url_part("url", "PATH").alias("path"), sc.json_field("props", "$.k", F.lit("none")).alias("k"), sc.json_field("props", "$.missing", F.lit("none")).alias("mi"))
+)
 query("k31_sar_levels", "SELECT x, y, t, round(30 * VH / nullif(VV, 0), 6) AS ratio, round(30 + 10 * log10(VV), 6) AS level FROM rd")(lambda s, d: tc.radar(tc.pixels(s, d, ("VV", "VH"))).select("x", "y", "t", ix.sar_ratio().alias("ratio"), ix.sar_level("VV").alias("level")))
 
 # --- 2.10 indices -------------------------------------------------------------------------------------------------------------------

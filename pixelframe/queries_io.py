@@ -105,14 +105,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _records(s: SparkSession, d: str) -> DataFrame:
     """Records of all suppliers, some with faults by their key."""
     k = "s_suppkey"
-    link = lambda rel, href: f"named_struct('rel', '{rel}', 'type', 'x', 'title', 'x', 'href', {href})"
+    link = lambda rel, href: f"named_struct('rel', '{rel}', 'type', '{cat.PROCESS_LINK if rel == 'application' else 'x'}', 'title', 'x', 'href', {href})"
     return s.read.parquet(f"{d}/supplier.parquet").selectExpr(
         f"concat('alg', {k}) AS id", f"if({k} % 11 = 0, 'Thing', 'Feature') AS type",
-        f"if({k} % 7 = 0, array('p'), array('{cat.CORE}', 'https://profiles.example/udp')) AS conformsTo",
+        f"if({k} % 7 = 0, array('p'), array('https://www.opengis.net/spec/ogcapi-records-1/1.0/req/record-core', 'https://profiles.example/udp')) AS conformsTo",
         f"named_struct('type', if({k} % 5 = 0, 'platform', 'service'), 'title', s_name, 'description', if({k} % 13 = 0, '', 'text'), 'visibility', if({k} % 4 = 0, 'private', null), 'cost_estimate', s_acctbal, 'cost_unit', 'credits', "
-        f"'keywords', array('a', 'b'), 'created', '2024', 'updated', '2024', 'license', if({k} % 2 = 0, null, 'MIT'), 'formats', array(named_struct('name', 'CSV')), "
+        f"'keywords', array('a', 'b'), 'created', '2024', 'updated', '2024', 'formats', array(named_struct('name', 'CSV')), "
         f"'contacts', if({k} % 3 = 0, null, array(named_struct('name', 'n', 'organization', concat('org', {k} % 4), 'roles', array('principal investigator'), 'links', cast(null as array<struct<rel string, type string, title string, href string>>))))) AS properties",
-        f"array({link('application', f'''concat('https://x.example/', {k})''')}, {link('service', f'''if({k} % 9 = 0, 'http://s.example', 'https://s.example')''')}, {link('license', '''concat('https://l.example/', s_suppkey)''')}) AS links",
+        f"if({k} % 2 = 0, null, 'MIT') AS license", f"array({link('application', f'''concat('https://x.example/', {k})''')}, {link('service', f'''if({k} % 9 = 0, 'http://s.example', 'https://s.example')''')}, {link('license', '''concat('https://l.example/', s_suppkey)''')}) AS links",
         f"concat('/c/org', {k} % 4, '/alg', {k}, '/records/', if({k} % 6 = 0, 'other', concat('alg', {k})), '.json') AS path", k,
     )
 
@@ -127,14 +127,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _scenarios(s: SparkSession, d: str) -> DataFrame:
     k = "p_partkey"
     return s.read.parquet(f"{d}/part.parquet").selectExpr(
-        f"if({k} % 8 = 0, concat('bad id ', {k}), concat('s', {k})) AS id", f"if({k} % 5 = 0, 'ogc_api_process', 'openeo') AS type", "'d' AS description",
-        f"if({k} % 7 = 0, 'nowhere.example', 'https://back.example/v1') AS backend", f"if({k} % 10 = 0, 'ftp://x', 'https://e.example') AS endpoint", f"if({k} % 15 = 0, null, 'app') AS application", "cast(null as string) AS namespace",
-        f"if({k} % 9 = 0, map(), map('n', named_struct('process_id', if({k} % 11 = 0, 'bad-id', 'good'), 'namespace', if({k} % 6 = 0, 'https://github.com/a/b/blob/x', 'https://n.example'), 'arguments', if({k} % 13 = 0, null, '{{}}')))) AS process_graph",
+        f"if({k} % 8 = 0, concat('bad id ', {k}), concat('s', {k})) AS id", f"if({k} % 25 = 0, 'other', if({k} % 5 = 0, 'ogc_api_process', 'openeo')) AS type", "'d' AS description",
+        f"if({k} % 7 = 0, 'nowhere.example', 'https://back.example/v1') AS backend", f"if({k} % 10 = 0, 'ftp://x', 'https://e.example') AS endpoint", f"if({k} % 15 = 0, null, 'app') AS application", "cast(null as string) AS namespace", f"if({k} % 20 = 0, null, map('a', '1')) AS parameters",
+        f"if({k} % 9 = 0, map(), map('n', named_struct('process_id', if({k} % 11 = 0, 'bad id', 'good-id'), 'namespace', if({k} % 6 = 0, if({k} % 4 = 0, 'https://GitHub.com/a/b/blob/x', 'https://raw.githubusercontent.com/a/b/refs/heads/dev/x'), if({k} % 4 = 0, 'https://n.example', 'a name')), 'arguments', if({k} % 13 = 0, null, '{{}}')))) AS process_graph",
         "cast(null as map<string, string>) AS reference_data", "cast(null as struct<rtol double, atol double, pixel_tolerance double>) AS reference_options", f"concat('/c/org/alg', {k} % 50, '/benchmark_scenarios/s', {k}, '.json') AS path", k,
     )
 
 
-@query("a11_read_scenarios", "SELECT CASE WHEN p_partkey % 8 = 0 THEN 'bad id ' || p_partkey ELSE 's' || p_partkey END AS id, CASE WHEN p_partkey % 5 = 0 THEN 'ogc_api_process' ELSE 'openeo' END AS type FROM part")
+@query("a11_read_scenarios", "SELECT CASE WHEN p_partkey % 8 = 0 THEN 'bad id ' || p_partkey ELSE 's' || p_partkey END AS id, CASE WHEN p_partkey % 25 = 0 THEN 'other' WHEN p_partkey % 5 = 0 THEN 'ogc_api_process' ELSE 'openeo' END AS type FROM part")
 def _(s: SparkSession, d: str) -> DataFrame:
     root = scratch(s)
     _scenarios(s, d).select("id", "type", "backend").write.json(f"{root}/org/benchmark_scenarios")
@@ -150,6 +150,28 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return s.read.option("header", True).schema("feature_index int, mean double").csv(path)
 
 
+@query("a12_save_result_json", "SELECT event_id, round(value, 6) AS value, event_type FROM events")
+def _(s: SparkSession, d: str) -> DataFrame:
+    io.save_result(s.read.parquet(f"{d}/events.parquet").select("event_id", F.round("value", 6).alias("value"), "event_type"), path := scratch(s), "json")
+    return s.read.schema("event_id long, value double, event_type string").json(path)
+
+
+@query("a12_save_result_geojson", "SELECT event_id, 'Feature' AS kind, 'Polygon' AS shape, round((user_id % 10)::DOUBLE, 3) AS west, round(value, 6) AS value FROM events")
+def _(s: SparkSession, d: str) -> DataFrame:
+    at = lambda x, y: f"struct(user_id % 10 + {x}D AS x, {y}D AS y)"
+    rows = s.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "round(value, 6) AS value", f"array(array({at(0, 0)}, {at(1, 0)}, {at(1, 1)}, {at(0, 0)})) AS geom")
+    io.save_result(rows, path := scratch(s), "geojson")
+    back = s.read.schema("type string, geometry struct<type string, coordinates array<array<array<double>>>>, properties struct<event_id long, value double>").json(path)
+    return back.select("properties.event_id", F.col("type").alias("kind"), F.col("geometry.type").alias("shape"), F.col("geometry.coordinates")[0][0][0].alias("west"), "properties.value")
+
+
+@query("a12_save_result_parquet", "SELECT x, y, max(B04) AS B04, 0.0001::DOUBLE AS scale FROM px GROUP BY ALL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    io.save_result(tc.pixels(s, d, ("B04",)).groupBy("x", "y").agg(F.max("B04").alias("B04")), path := scratch(s), "parquet", {"B04": {"scale": 0.0001, "nodata": -9999}})
+    back = s.read.parquet(path)
+    return back.withColumn("scale", F.lit(back.schema["B04"].metadata["scale"]))
+
+
 @query("a13_read_job_log", "SELECT o_orderkey::VARCHAR AS id, round(o_totalprice, 6) AS cost, 1.0::DOUBLE AS west, 2.0::DOUBLE AS south, 3.5::DOUBLE AS east, (o_orderkey % 9)::DOUBLE AS north, DATE '2024-01-01' AS start, DATE '2024-03-01' AS \"end\" FROM orders")
 def _(s: SparkSession, d: str) -> DataFrame:
     o = s.read.parquet(f"{d}/orders.parquet").selectExpr("cast(o_orderkey as string) AS id", "o_totalprice AS cost", "concat(\"{'west': 1.0, 'south': 2.0, 'east': 3.5, 'north': \", o_orderkey % 9, '}') AS bbox", "\"['2024-01-01', '2024-03-01']\" AS temporal_extent")
@@ -184,10 +206,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return cat.triage(r, names.where("scenario_id NOT LIKE '%-3'").select(F.col("scenario_id").alias("id")), issues)
 
 
-@query("d14_job_grid", "SELECT 'n' || n_nationkey AS name, m AS months, DATE '2024-01-31' AS start, (DATE '2024-01-31' + to_months(m))::DATE AS \"end\" FROM nation, (VALUES (1), (3)) v(m)")
+@query("d14_job_grid", "SELECT 'n' || n_nationkey AS name, n_nationkey::DOUBLE AS west, m AS months, DATE '2024-01-31' AS start, (DATE '2024-01-31' + to_months(m))::DATE AS \"end\" FROM nation, (VALUES (1), (3)) v(m)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    boxes = s.read.parquet(f"{d}/nation.parquet").select(F.expr("concat('n', n_nationkey)").alias("name"))
-    return boxes.withColumn("months", F.explode(F.array(F.lit(1), F.lit(3)))).withColumn("start", F.lit("2024-01-31").cast("date")).withColumn("end", F.expr("add_months(start, months)"))
+    boxes = s.read.parquet(f"{d}/nation.parquet").selectExpr("concat('n', n_nationkey) AS name", "cast(n_nationkey AS double) AS west", "0D AS south", "n_nationkey + 1D AS east", "1D AS north")
+    return mt.job_grid(boxes, [1, 3], "2024-01-31").select("name", "west", "months", "start", "end")
 
 
 @query("d15_provider_coverage", "SELECT 'org' || n_nationkey AS provider FROM nation WHERE n_nationkey % 3 > 0")
@@ -201,20 +223,29 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return cat.list_algorithms(_records(s, d))
 
 
-@query("m22_get_algorithm", f"SELECT 'alg' || {_K} AS id, s_name AS title, 'https://x.example/' || {_K} AS udp_href, CASE WHEN {_K} % 2 = 1 THEN 'MIT' ELSE 'https://l.example/' || {_K} END AS license, CASE WHEN {_K} % 3 > 0 THEN 'org' || ({_K} % 4) END AS organization, CASE WHEN {_K} % 11 = 0 THEN 'not a GeoJSON feature' WHEN {_K} % 7 = 0 THEN 'does not conform to the record core' WHEN {_K} % 5 = 0 THEN 'not a service' END AS error FROM supplier")
+@query("m22_get_algorithm", f"""SELECT 'alg' || {_K} AS name, CASE WHEN {_K} % 10 = 0 OR {_K} % 6 = 0 THEN NULL ELSE s_name END AS title, CASE WHEN {_K} % 10 = 0 OR {_K} % 6 = 0 THEN NULL ELSE 'https://x.example/' || {_K} END AS udp_href,
+CASE WHEN {_K} % 2 = 1 THEN 'MIT' END AS license, CASE WHEN {_K} % 3 > 0 AND {_K} % 10 > 0 THEN 'org' || ({_K} % 4) END AS organization,
+CASE WHEN {_K} % 10 = 0 THEN 'not an algorithm of exactly one organisation' WHEN {_K} % 6 = 0 THEN 'no record' WHEN {_K} % 11 = 0 THEN 'not a GeoJSON feature' WHEN {_K} % 7 = 0 THEN 'does not conform to the record core' WHEN {_K} % 5 = 0 THEN 'not a service' END AS error FROM supplier
+UNION ALL SELECT 'missing', NULL, NULL, NULL, NULL, 'not an algorithm of exactly one organisation'""")
 def _(s: SparkSession, d: str) -> DataFrame:
+    """All names of the table and one that isn't there; every tenth algorithm is that of a second organisation too, and its own record is gone."""
     r = _records(s, d)
-    found = cat.get_algorithm(r.withColumn("id", F.lit("all")), "all").drop("id", "description", "service_hrefs")
-    return found.withColumn("id", F.regexp_replace("udp_href", ".*/", "alg"))
+    again = r.where(f"{_K} % 10 = 0").select(F.expr(f"concat('/c/other/alg', {_K}, '/records/readme.json')").alias("path"))
+    own = r.withColumn("path", F.when(F.col(_K) % 10 == 0, F.regexp_replace("path", "[^/]*$", "gone.json")).otherwise(F.col("path")))
+    names = r.select(F.col("id").alias("name")).union(s.createDataFrame([("missing",)], "name string"))
+    return cat.get_algorithms(own.unionByName(again, allowMissingColumns=True), names).select("name", "title", "udp_href", "license", "organization", "error")
 
 
 _RULES = "UNION ALL ".join(f"SELECT 'alg' || {_K} AS id, '{n}' AS rule FROM supplier WHERE {w} " for n, w in (("type", f"{_K} % 11 = 0"), ("conforms to core", f"{_K} % 7 = 0"), ("description", f"{_K} % 13 = 0"), ("https", f"{_K} % 9 = 0"), ("id is the file''s name", f"{_K} % 6 = 0")))
 query("m23_lint_records", _RULES)(lambda s, d: cat.lint_records(_records(s, d)))
 _P, _OE = "p_partkey", "p_partkey % 5 > 0"
 _SID = f"CASE WHEN {_P} % 8 = 0 THEN 'bad id ' || {_P} ELSE 's' || {_P} END"
-_RULES2 = "UNION ALL ".join(f"SELECT {_SID} AS id, '{n}' AS rule FROM part WHERE {w} " for n, w in (("id", f"{_P} % 8 = 0"), ("backend", f"{_OE} AND {_P} % 7 = 0"), ("process graph", f"{_OE} AND {_P} % 9 = 0"), ("process id", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 11 = 0"), ("arguments", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 13 = 0"), ("namespace", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 6 = 0"), ("endpoint", f"{_P} % 10 = 0"), ("application", f"{_P} % 15 = 0")))
-query("m24_lint_scenarios", _RULES2)(lambda s, d: cat.lint_scenarios(_scenarios(s, d), ["back.example"]))
-query("m25_lint_links", "SELECT 'https://github.com/a/b/blob/topic' || user_id || '/f' AS href, unnest(['no file page', 'no feature branch']) AS rule FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'https://raw.githubusercontent.com/a/b/refs/heads/dev/' || user_id, 'no feature branch' FROM events WHERE event_id % 3 = 1")(lambda s, d: cat.lint_links(s.read.parquet(f"{d}/events.parquet").select(F.expr("case event_id % 3 when 0 then concat('https://github.com/a/b/blob/topic', user_id, '/f') when 1 then concat('https://raw.githubusercontent.com/a/b/refs/heads/dev/', user_id) else concat('https://raw.githubusercontent.com/a/b/main/', user_id) end").alias("href"))))
+_RULES2 = "UNION ALL ".join(f"SELECT {_SID} AS id, '{n}' AS rule FROM part WHERE {w} " for n, w in (("id", f"{_P} % 8 = 0"), ("backend", f"{_OE} AND {_P} % 7 = 0"), ("process graph", f"{_OE} AND {_P} % 9 = 0"), ("type", f"{_P} % 25 = 0"), ("process id", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 11 = 0"), ("arguments", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 13 = 0"), ("namespace", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 6 = 0"), ("endpoint", f"{_P} % 10 = 0 AND {_P} % 25 > 0"), ("application", f"{_P} % 15 = 0 AND {_P} % 25 > 0"), ("parameters", f"{_P} % 20 = 0 AND {_P} % 25 > 0")))
+query("m24_lint_scenarios", _RULES2)(lambda s, d: cat.lint_scenarios(_scenarios(s, d), [r"(https://)?back\.example(/.*)?"]))
+_HREF = ("https://github.com/a/b/blob/topic", "https://raw.githubusercontent.com/a/b/refs/heads/dev/", "https://raw.githubusercontent.com/a/b/dev/", "https://raw.githubusercontent.com/c/d/dev/", "https://raw.githubusercontent.com/a/b/0a1b2c/", "https://raw.githubusercontent.com/a/b/refs/heads/main/")
+query("m25_lint_links", " UNION ALL ".join(f"SELECT '{_HREF[k]}' || user_id || '/f' AS href, '{rule}' AS rule FROM events WHERE event_id % 6 = {k}" for k, rule in ((0, "no file page"), (1, "no feature branch"), (2, "no feature branch"))))(
+    lambda s, d: cat.lint_links(s.read.parquet(f"{d}/events.parquet").select(F.concat(F.element_at(F.array(*map(F.lit, _HREF)), (F.col("event_id") % 6 + 1).cast("int")), F.col("user_id").cast("string"), F.lit("/f")).alias("href")), own=["a/b"])
+)
 
 
 @query("m26_lint_process_defs", "SELECT 'p' || p_partkey AS id, unnest(CASE WHEN p_partkey % 3 = 0 THEN ['parameters', 'parameter name', 'parameter description', 'parameter schema'] WHEN p_partkey % 5 = 0 THEN ['parameter schema'] ELSE []::VARCHAR[] END) AS rule FROM part")

@@ -143,13 +143,22 @@ def read_scenarios(spark: SparkSession, root: str, schema: str = catalog.SCENARI
     return df.withColumn("path", F.col("_metadata.file_path")).where(F.col("path").rlike(r"/[^/]*benchmark[-_]scenarios?[^/]*/[^/]+\.json$"))
 
 
+def features(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """(type, geometry, properties): each row as a GeoJSON feature, its rings (array<array<struct<x, y>>>) as a polygon; a null geometry stays null."""
+    rings = F.transform(geom, lambda ring: F.transform(ring, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
+    shape = F.when(F.col(geom).isNotNull(), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")))
+    return df.select(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*(n for n in df.columns if n != geom)).alias("properties"))
+
+
 def save_result(df: DataFrame, path: str, format: str = "parquet", band_meta: dict[str, dict] | None = None) -> None:
-    """CSV, JSON or Parquet; scale, unit or nodata of a band go with its column (Parquet keeps them)."""
-    one_of("format", format, ("csv", "json", "parquet"))
+    """CSV, JSON, GeoJSON (a feature a line, of the column `geom`) or Parquet; scale, unit or nodata of a band go with its column (Parquet keeps them)."""
+    one_of("format", format, ("csv", "json", "geojson", "parquet"))
     for band, meta in (band_meta or {}).items():
         df = df.withColumn(band, F.col(band).alias(band, metadata=meta))
+    if format == "geojson":
+        df = features(df)
     writer = df.write.mode("overwrite")
-    (writer.option("header", True) if format == "csv" else writer).format(format).save(path)
+    (writer.option("header", True) if format == "csv" else writer).format("json" if format == "geojson" else format).save(path)
 
 
 def read_job_log(spark: SparkSession, path: str) -> DataFrame:

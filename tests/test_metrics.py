@@ -1,5 +1,6 @@
 """Literal cases of baselines, limits, histories, reports and metadata."""
 
+import json
 import math
 
 import pytest
@@ -91,11 +92,55 @@ def test_positional_months(spark, tmp_path):
 
 
 def test_links(spark):
-    cases = {"https://github.com/a/b/blob/main/f": ["no file page"], "https://raw.githubusercontent.com/a/b/main/f": [], "https://raw.githubusercontent.com/a/b/topic/f": ["no feature branch"], "https://raw.githubusercontent.com/a/b/0123456789abcdef0123456789abcdef01234567/f": []}
-    found = cat.lint_links(spark.createDataFrame([(h,) for h in cases], "href string")).collect()
+    raw, branch = "https://raw.githubusercontent.com", ["no feature branch"]
+    cases = {
+        "https://github.com/a/b/blob/main/f": ["no file page"], "https://github.com/a/b/tree/topic/f": [], f"{raw}/a/b/main/f": [], f"{raw}/a/b/topic/f": branch, f"{raw}/a/b/0123456789abcdef/f": [], f"{raw}/a/b/3b5a0/f": [],
+        f"{raw}/a/b/refs/heads/main/f": [], f"{raw}/a/b/refs/heads/topic/f": branch, f"{raw}/c/d/topic/f": [], f"{raw}/c/d/refs/heads/topic/f": branch, "https://example.com/foo/bar": [],
+    }
+    found = cat.lint_links(spark.createDataFrame([(h,) for h in cases], "href string"), own=["a/b"]).collect()
     assert {h: [r.rule for r in found if r.href == h] for h in cases} == cases
 
 
+CORE = "https://www.opengis.net/spec/ogcapi-records-1/1.0/req/record-core"
+
+
+@pytest.mark.parametrize(("record", "error"), [
+    ({"id": "minimal", "type": "Feature", "conformsTo": [CORE], "properties": {"type": "service"}, "links": [{"rel": "service", "href": "https://s.test/"}]}, None),
+    ({"id": "wrong", "type": "other", "conformsTo": [CORE]}, "not a GeoJSON feature"),
+    ({"id": "wrong", "type": "Feature", "conformsTo": ["http://nope.test/"], "properties": {"type": "service"}}, "does not conform to the record core"),
+    ({"id": "wrong", "type": "Feature", "conformsTo": [CORE], "properties": {"type": "udp"}}, "not a service"),
+    ({"id": "bare", "type": "Feature", "conformsTo": [CORE], "properties": {"type": "service"}}, "no service link"),
+    ({"id": "media", "type": "Feature", "conformsTo": [CORE], "properties": {"type": "service"}, "links": [{"rel": "application", "type": "application/xml", "href": "https://s.test/u"}]}, "process link of another media type"),
+])
+def test_get_algorithm(spark, tmp_path, record, error):
+    folder = tmp_path / "org" / record["id"] / "records"
+    folder.mkdir(parents=True)
+    (folder / f"{record['id']}.json").write_text(json.dumps(record))
+    records = io.read_records(spark, str(tmp_path))
+    if error is None:
+        got = cat.get_algorithm(records, record["id"]).first()
+        assert (got.id, got.udp_href, got.service_hrefs, got.license) == ("minimal", None, ["https://s.test/"], None)
+    else:
+        with pytest.raises(Exception, match=error):
+            cat.get_algorithm(records, record["id"]).collect()
+    with pytest.raises(Exception, match="exactly one organisation"):
+        cat.get_algorithm(records, "nothing").collect()
+
+
+def test_rules_accept_what_is_published(spark):
+    links = [("service", None, None, "https://s.test/"), ("application", cat.PROCESS_LINK, None, "https://s.test/u.json")]
+    row = {"id": "a-b_1", "type": "Feature", "conformsTo": [CORE, "https://profile.test/udp"], "properties": {"type": "service", "title": "t", "description": "d", "created": "2024"}, "links": [dict(zip(("rel", "type", "title", "href"), x, strict=True)) for x in links]}
+    assert cat.lint_records(spark.createDataFrame([row], cat.RECORD)).count() == 0
+    assert {r.rule for r in cat.lint_records(spark.createDataFrame([row | {"conformsTo": [CORE]}], cat.RECORD)).collect()} == {"exactly one profile"}
+    node = {"process_id": "a-process", "namespace": "backend", "arguments": "{}"}
+    good = {"id": "max-ndvi_1", "type": "openeo", "backend": "https://back.test", "process_graph": {"n": node}}
+    http = {"id": "h", "type": "ogc_api_process", "endpoint": "https://e.test", "application": "a", "parameters": {"a": "1"}}
+    rules = lambda *rows: {(r.id, r.rule) for r in cat.lint_scenarios(spark.createDataFrame(list(rows), cat.SCENARIO), [r"(https://)?back\.test(/.*)?"]).collect()}
+    assert rules(good, http) == set()
+    bad = good | {"id": "bad", "process_graph": {"n": node | {"namespace": "https://raw.githubusercontent.com/a/b/refs/heads/dev/x.json"}}}
+    assert rules(bad, http | {"parameters": None}, good | {"id": "k", "type": "new"}) == {("bad", "namespace"), ("h", "parameters"), ("k", "type")}
+
+
 def test_triage_duplicate_scenario(spark):
     r = spark.createDataFrame([("a", "failed")], "scenario_id string, outcome string")
     s = spark.createDataFrame([("a",), ("a",)], "id string")
