@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCKS_EACH, PACKED, block_of, buffers, by_place, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, window_hashes
+from .common import BLOCKS_EACH, PACKED, block_of, buffers, by_place, checkpoint, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, window_hashes
 
 _U = np.uint64
 #: Bytes of the anchors; any string of the least length holds anchors at LEAST - ANCHOR + 1 places.
 ANCHOR = 24
 
-RUNS = "block int, bucket int, n int, prefix binary, tails binary, before binary, near binary, far binary, low binary, rows binary, docs binary, starts binary, of binary"
-FOUND = "block int, rows binary, starts binary, ends binary"
+RUNS = "block int, bucket int, prefix binary, tails binary, before binary, near binary, far binary, low binary"
+FOUND = "block int, bucket int, hits binary"
+#: Bytes of which anchors are chosen at once: the place within them takes the low bits of what is compared, the same everywhere.
+STRETCH = 1 << 23
 
 
 # --- anchors -----------------------------------------------------------------------------------
@@ -34,23 +36,30 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     span = least - ANCHOR + 1
     if len(data) < least:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
-    hashes = window_hashes(data.astype(np.uint64) + _U(1), ANCHOR)
-    low = _U((1 << max(24, len(data).bit_length())) - 1)
-    value = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-    best, width = value, 1
-    while width * 2 <= span:
-        best = np.minimum(best[:-width], best[width:])
-        width *= 2
-    if width < span:
-        best = np.minimum(best[: len(best) - (span - width)], best[span - width :])
-    place = (best & low).astype(np.int64)  # of each start
+    parts = [_places(data[lo : lo + STRETCH + least - 1], span) for lo in range(0, len(data) - least + 1, STRETCH)]
+    place = np.concatenate([p + i * STRETCH for i, (p, _) in enumerate(parts)])
+    chosen = np.concatenate([h for _, h in parts])
     start = np.arange(len(place))
     row = np.searchsorted(offsets, start, "right") - 1
     valid = start + least <= offsets[row + 1]
     start, row, place = start[valid], row[valid], place[valid]
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])]) if len(start) else np.zeros(0, np.int64)
     last = start[np.r_[new[1:], len(start)] - 1] if len(new) else new
-    return row[new], place[new], start[new], last, mix(hashes[place[new]])
+    return row[new], place[new], start[new], last, mix(chosen[valid][new])
+
+
+def _places(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start the place of the smallest of the `span` hashes from it on, and that hash."""
+    hashes = window_hashes(data.astype(np.uint64) + _U(1), ANCHOR)
+    low = _U((1 << 24) - 1)
+    best, width = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), 1
+    while width * 2 <= span:
+        best = np.minimum(best[:-width], best[width:])
+        width *= 2
+    if width < span:
+        best = np.minimum(best[: len(best) - (span - width)], best[span - width :])
+    place = (best & low).astype(np.int64)
+    return place, hashes[place]
 
 
 # --- the loser tree ----------------------------------------------------------------------------
@@ -152,28 +161,52 @@ def records(data: np.ndarray, row: np.ndarray, place: np.ndarray, first: np.ndar
     return right, left, near, far
 
 
-def sorted_runs(block: int, bucket: np.ndarray, right: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, ids: np.ndarray, rows: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-    """A front-coded sorted run for each bucket; equal records are one, with the smallest id and their holders."""
+def in_runs(bucket: np.ndarray, right: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+    """A block's anchors in the order of bucket and bytes; equal ones are one record, with the smallest id of its holders.
+
+    order: the anchors' order; record: each one's record in that order; head: each record's first; low: its smallest id; bucket: its bucket.
+    """
     whole = np.concatenate([right, left, np.zeros((len(right), 6), np.uint8), near[:, None].astype(np.uint8), far[:, None].astype(np.uint8)], axis=1)
     order = np.lexsort([*np.ascontiguousarray(whole).view(">u8").astype(np.uint64).T[::-1], bucket])
-    whole, bucket, ids, rows, first = whole[order], bucket[order], ids[order], rows[order], first[order]
+    whole, bucket, ids = whole[order], bucket[order], ids[order]
     new = np.r_[True, (bucket[1:] != bucket[:-1]) | (whole[1:] != whole[:-1]).any(1)] if len(whole) else np.zeros(0, bool)
-    record = np.cumsum(new) - 1
     head = np.flatnonzero(new)
-    low = np.minimum.reduceat(ids, head) if len(head) else ids
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else head
-    for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-        a, b = record[lo], record[hi - 1] + 1
-        own = head[a:b]
-        r = right[order[own]]
+    return {"order": order, "record": np.cumsum(new) - 1, "head": head, "low": np.minimum.reduceat(ids, head) if len(head) else ids, "bucket": bucket[head]}
+
+
+def coded(block: int, runs: dict[str, np.ndarray], right: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray) -> Iterator[tuple]:
+    """A front-coded sorted run of records for each bucket. Their holders stay in the block."""
+    first, bucket = runs["order"][runs["head"]], runs["bucket"]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+    for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        own = first[a:b]
+        r = right[own]
         share = shares_of(r)
         keep = np.arange(r.shape[1])[None] >= share[:, None]
-        w = right.shape[1]
-        yield (
-            block, int(bucket[lo]), len(own), share.astype(np.uint8).tobytes(), r[keep].tobytes(), whole[own, w : w + left.shape[1]].tobytes(),
-            whole[own, -2].tobytes(), whole[own, -1].tobytes(), low[a:b].astype("<i8").tobytes(), rows[lo:hi].astype("<u4").tobytes(),
-            ids[lo:hi].astype("<i8").tobytes(), first[lo:hi].astype("<u4").tobytes(), (record[lo:hi] - a).astype("<u4").tobytes(),
-        )
+        yield block, int(bucket[a]), share.astype(np.uint8).tobytes(), r[keep].tobytes(), left[own].tobytes(), near[own].astype(np.uint8).tobytes(), far[own].astype(np.uint8).tobytes(), runs["low"][a:b].astype("<i8").tobytes()
+
+
+def marks(runs: dict[str, np.ndarray], hits: dict[int, bytes], near: np.ndarray, far: np.ndarray, ids: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, start, end) of what is to go, from the bits that repeated() gives each record.
+
+    The bits tell which strings of the record's smallest holder a still smaller id has; its other holders lose all, as that one has them too.
+    """
+    bits = np.zeros(len(runs["head"]), np.uint32)
+    edges = np.searchsorted(runs["bucket"], np.array(list(hits), np.int64)), np.searchsorted(runs["bucket"], np.array(list(hits), np.int64), "right")
+    for a, b, raw in zip(*edges, hits.values(), strict=True):
+        bits[a:b] = np.frombuffer(raw, "<u4")
+    own = np.empty(len(runs["order"]), np.uint32)
+    later = np.empty(len(runs["order"]), bool)
+    own[runs["order"]] = bits[runs["record"]]
+    later[runs["order"]] = ids[runs["order"]] > runs["low"][runs["record"]]
+    every = np.flatnonzero(later)
+    some = np.flatnonzero(~later & (own > 0))
+    flags = (own[some][:, None] >> np.arange(32, dtype=np.uint32)) & _U(1).astype(np.uint32)
+    edge = np.diff(np.concatenate([np.zeros((len(some), 1), np.int8), flags.astype(np.int8), np.zeros((len(some), 1), np.int8)], axis=1), axis=1)
+    holder, lo = np.nonzero(edge == 1)
+    _, hi = np.nonzero(edge == -1)  # of each run one past its largest distance
+    at, anchor = some[holder], begin + far
+    return np.r_[every, at], np.r_[begin[every], anchor[at] - (hi - 1)], np.r_[anchor[every] - near[every] + least, anchor[at] - lo + least]
 
 
 def decode(share: np.ndarray, tails: np.ndarray, width: int) -> np.ndarray:
@@ -187,18 +220,18 @@ def decode(share: np.ndarray, tails: np.ndarray, width: int) -> np.ndarray:
 
 
 def repeated(table: pa.Table, least: int) -> list[tuple]:
-    """Merges a bucket's runs and finds, for each holder of a record, the strings that a smaller id holds too."""
-    rows = table.to_pydict()
+    """Merges a bucket's runs; a bit for each record and distance: whether a smaller id than the record's smallest has that string too."""
+    rows = {c: table.column(c).to_pylist() for c in table.column_names}
     width, side = padded(least), padded(least - ANCHOR)
     get = lambda name, kind, i: np.frombuffer(rows[name][i], kind)
-    rights, runs = [], []
+    count, runs = [], []
     for i in range(table.num_rows):
         share = get("prefix", np.uint8, i).astype(np.int64)
-        r = decode(share, get("tails", np.uint8, i), width)
-        rights.append(r)
-        runs.append((r.view(">u8").astype(np.uint64).tolist(), share.tolist()))
+        runs.append((decode(share, get("tails", np.uint8, i), width).view(">u8").astype(np.uint64).tolist(), share.tolist()))
+        count.append(len(share))
     run, place, shares = LoserTree(runs).merge()
-    start = np.cumsum([0, *map(len, rights)])
+    del runs
+    start = np.cumsum([0, *count])
     order = start[np.asarray(run)] + np.asarray(place)
     n = len(order)
     together = lambda name, kind: np.concatenate([get(name, kind, i) for i in range(table.num_rows)])
@@ -210,38 +243,21 @@ def repeated(table: pa.Table, least: int) -> list[tuple]:
     left_share[1:] = shares_of(before[back])[1:]
     left_rank = np.empty(n, np.int64)
     left_rank[back] = np.arange(n)
-    # holders
-    count = np.array([len(rows["of"][i]) // 4 for i in range(table.num_rows)])
-    where = np.empty(n, np.int64)
-    where[order] = np.arange(n)
-    of = where[np.concatenate([get("of", "<u4", i).astype(np.int64) + start[i] for i in range(table.num_rows)])]
-    docs, firsts, local = together("docs", "<i8"), together("starts", "<u4").astype(np.int64), together("rows", "<u4").astype(np.int64)
-    hit = np.zeros((len(of), least - ANCHOR + 2), bool)
+    bits = np.zeros(n, np.uint32)
     for back_by in range(least - ANCHOR + 1):
         live = np.flatnonzero((near <= back_by) & (far >= back_by))
-        if len(live) < 1:
+        if len(live) < 2:
             continue
         right_class = np.cumsum(shares < least - back_by)[live]
         left_class = np.cumsum(left_share < back_by)[left_rank[live]] if back_by else np.zeros(len(live), np.int64)
         key = right_class * (n + 1) + left_class
         by = np.argsort(key, kind="stable")
         head = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
-        smallest = np.minimum.reduceat(low[live][by], head)
-        least_id = np.full(n, np.iinfo(np.int64).max)
-        least_id[live[by]] = np.repeat(smallest, np.diff(np.r_[head, len(by)]))
-        hit[:, back_by] = docs > least_id[of]
-    anchor = firsts + far[of]
-    edge = np.diff(np.concatenate([np.zeros((len(hit), 1), np.int8), hit.astype(np.int8)], axis=1), axis=1)
-    holder, lo = np.nonzero(edge == 1)
-    _, hi = np.nonzero(edge == -1)  # of each run one past its largest distance
-    starts, ends = anchor[holder] - (hi - 1), anchor[holder] - lo + least
-    block_of_holder = np.repeat(np.arange(table.num_rows), count)[holder]
-    out = []
-    for i in range(table.num_rows):
-        a, b = np.searchsorted(block_of_holder, [i, i + 1])
-        if a < b:
-            out.append((rows["block"][i], local[holder[a:b]].astype("<u4").tobytes(), starts[a:b].astype("<u4").tobytes(), ends[a:b].astype("<u4").tobytes()))
-    return out
+        smallest = np.repeat(np.minimum.reduceat(low[live][by], head), np.diff(np.r_[head, len(by)]))
+        bits[live[by]] |= (smallest < low[live[by]]).astype(np.uint32) << np.uint32(back_by)
+    out = np.empty(n, "<u4")
+    out[order] = bits
+    return [(rows["block"][i], rows["bucket"][i], out[a:b].tobytes()) for i, (a, b) in enumerate(zip(start[:-1], start[1:], strict=True)) if out[a:b].any()]
 
 
 # --- the operator ----------------------------------------------------------------------------------
@@ -258,9 +274,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
 
     Documents are dealt over blocks. A text that a smaller id has whole is settled at once. The others send the
     hashes of their anchors to find those that several texts hold (once for each block), then sorted runs of
-    the suffixes at these, front-coded and with equal ones joined, to be merged bucket by bucket.
+    the suffixes at these, front-coded and with equal ones joined, to be merged bucket by bucket. What comes back are bits for each record.
     Buckets are hashes of the anchor, so that a common passage spreads over many of them, and it comes to each from
-    a block once, with its holders.
+    a block once, however many texts of the block hold it: these stay there.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -269,7 +285,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
     rest = [c for c in docs.columns if c not in (*made, "text", "_block", "_tie")]
     dealt = by_place(docs.select(block_of("doc_id", blocks).alias("_block"), F.xxhash64("text").alias("_tie"), *rest, "text"), "_block")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.xxhash64("text").alias("_tie"))
-    first = texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that Spark can split the rows of a text with very many copies
+    first = checkpoint(texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = texts.join(first.select("sha", "first"), "sha").where("doc_id > first").select(block_of("doc_id", blocks).alias("block"), "doc_id", "_tie").distinct()
     copies = by_place(copies, "block")
 
@@ -298,34 +315,39 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
     answers = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(keys_of, PACKED))
     replies = copies.unionByName(by_place(answers, "block"), allowMissingColumns=True)
 
+    def common(left: pa.Table, right: pa.Table) -> tuple:
+        """The block in order, its ids, its live rows; and of the anchors that other texts have too: runs, records, rows and starts."""
+        left, ids, live = ranked(left, right.filter(right.column("doc_id").is_valid()))
+        reply = right.filter(right.column("mask").is_valid())
+        if not reply.num_rows:
+            return left, ids, live, None
+        found = list(marked(left, live))
+        hit = read_replies(np.concatenate([f[4] for *_, f in found]), buckets, replies_in(reply)) > 0
+        parts, at = [], 0
+        for lo, data, offsets, (row, place, begin, last, key) in found:
+            own = hit[at : at + len(key)]
+            at += len(key)
+            row, place, begin, last, key = (x[own] for x in (row, place, begin, last, key))
+            parts.append((*records(data, row, place, begin, last, least), ((key >> _U(32)) % _U(buckets)).astype(np.int64), row + lo, begin - offsets[row]))
+        right_, left_, near, far, bucket, row, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return left, ids, live, (in_runs(bucket, right_, left_, near, far, ids[row]), right_, left_, near, far, row, begin)
+
     def runs_of(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in RUNS.split(", ")]
-        kinds = [pa.int32()] * 3 + [pa.binary()] * (len(names) - 3)
         out: list[tuple] = []
-        reply = right.filter(right.column("bucket").is_valid())
-        if left.num_rows and reply.num_rows:
-            left, ids, live = ranked(left, right.filter(right.column("bucket").is_null()))
-            found = list(marked(left, live))
-            keys = np.concatenate([f[4] for *_, f in found])
-            hit = read_replies(keys, buckets, replies_in(reply)) > 0
-            parts, at = [], 0
-            for lo, data, offsets, (row, place, begin, last, key) in found:
-                own = hit[at : at + len(key)]
-                at += len(key)
-                row, place, begin, last, key = (x[own] for x in (row, place, begin, last, key))
-                parts.append((*records(data, row, place, begin, last, least), ((key >> _U(32)) % _U(buckets)).astype(np.int64), row + lo, begin - offsets[row]))
-            right_, left_, near, far, bucket, row, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(row):
-                out = list(sorted_runs(left.column("_block")[0].as_py(), bucket, right_, left_, near, far, ids[row], row, begin))
-        return pa.table({c: pa.array([o[i] for o in out], k) for i, (c, k) in enumerate(zip(names, kinds, strict=True))})
+        if left.num_rows:
+            left, _, _, held = common(left, right)
+            if held is not None and len(held[5]):
+                out = list(coded(left.column("_block")[0].as_py(), *held[:5]))
+        return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i > 1 else pa.int32()) for i, c in enumerate(names)})
 
     runs = dealt.groupBy("_block").cogroup(replies.groupBy("block")).applyInArrow(runs_of, RUNS)
 
     def merge(table: pa.Table) -> pa.Table:
         out = repeated(table, least)
-        return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i else pa.int32()) for i, c in enumerate(("block", "rows", "starts", "ends"))})
+        return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i > 1 else pa.int32()) for i, c in enumerate(("block", "bucket", "hits"))})
 
-    found = copies.unionByName(by_place(by_place(runs, "bucket").groupBy("bucket").applyInArrow(merge, FOUND), "block"), allowMissingColumns=True)
+    found = replies.unionByName(by_place(by_place(runs, "bucket").groupBy("bucket").applyInArrow(merge, FOUND), "block"), allowMissingColumns=True)
     fields = [*docs.select(*rest).schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("text", T.StringType()))
@@ -334,10 +356,14 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: pa.array([], left.column(f.name).type if f.name in rest else pa.string() if f.dataType == T.StringType() else pa.int64()) for f in fields})
-        spans = right.filter(right.column("rows").is_valid())
-        left, ids, live = ranked(left, right.filter(right.column("rows").is_null()))
-        get = lambda name: np.frombuffer(b"".join(spans.column(name).to_pylist()), "<u4").astype(np.int64)
-        row, start, end = get("rows"), get("starts"), get("ends")
+        told = right.filter(right.column("hits").is_valid())
+        left, ids, live, held = common(left, right)
+        row = start = end = np.zeros(0, np.int64)
+        if held is not None:
+            record, _, _, near, far, of, begin = held
+            at, start, end = marks(record, dict(zip(told.column("bucket").to_pylist(), told.column("hits").to_pylist(), strict=True)), near, far, ids[of], begin, least)
+            row = of[at]
+            del held, record
         order = np.argsort(row, kind="stable")
         row, start, end = row[order], start[order], end[order]
         texts = left.column("text").to_pylist()

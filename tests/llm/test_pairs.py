@@ -170,6 +170,32 @@ def test_suffix_dedup(docs, rows):
     assert sorted((tuple(r) for r in got), key=str) == removed(rows)
 
 
+def test_stretches_choose_the_same_anchors(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    offsets = np.array([0, 700, 700, 730, 5000])
+    whole = suffix_dedup.anchors(data, offsets, 50)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 333)
+    assert all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(data, offsets, 50), strict=True))
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_suffix_dedup_of_passages_in_many_documents(spark, blocks):
+    """Passages that overlap, begin or end texts, and repeat within one; many holders of one id or of several."""
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abé"), n))
+    passages = [word(70), word(130), word(51)]
+    passages.append(passages[0][20:] + passages[2])
+    rows = []
+    for i in range(160):
+        parts = [word(int(rng.integers(0, 60)))]
+        for _ in range(int(rng.integers(0, 4))):
+            parts += [passages[int(rng.integers(0, 4))], word(int(rng.integers(0, 30)))]
+        rows.append((int(rng.integers(0, 120)), "".join(parts)))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(blocks)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == removed(rows)
+
+
 def test_suffix_dedup_keeps_columns_and_text(docs):
     out = suffix_dedup.remove_repeats(docs, keep_text=True)
     assert {"lang", "source", "score", "kept", "text"} <= set(out.columns)
