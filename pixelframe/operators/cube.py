@@ -157,20 +157,29 @@ def max_strict(c: str) -> Column:
 
 def quantiles(df: DataFrame, probs: Sequence[float], labels: Sequence[str]) -> DataFrame:
     """Exact quantiles over time as bands, band-major."""
-    made = [F.percentile(b, F.lit(p)).alias(f"{b}_{n}") for b in bands(df) for p, n in zip(probs, labels, strict=True)]
-    return df.groupBy("x", "y").agg(*made)
+    every = df.groupBy("x", "y").agg(*(F.percentile(b, F.array(*map(F.lit, probs))).alias(b) for b in bands(df)))
+    return every.select("x", "y", *(F.get(b, F.lit(i)).alias(f"{b}_{n}") for b in bands(df) for i, n in enumerate(labels)))
 
 
 STATISTICS = ("min", "max", "mean", "sd", "q10", "q50", "q90")
 
 
-def _statistic(name: str, c: str) -> Column:
-    return F.percentile(c, F.lit(int(name[1:]) / 100)) if name[0] == "q" and name[1:].isdigit() else reducer(name, c)
+def statistics_of(df: DataFrame, keys: Sequence[str], names: Sequence[str] = STATISTICS) -> DataFrame:
+    """{band}_{name} of each band by the keys, band-major; all quantiles of a band come from one sorted buffer."""
+    probs = [n for n in names if n[0] == "q" and n[1:].isdigit()]
+    made = []
+    for b in bands(df):
+        made += [reducer(n, b).alias(f"{b}_{n}") for n in names if n not in probs]
+        if probs:
+            made.append(F.percentile(b, F.array(*(F.lit(int(n[1:]) / 100) for n in probs))).alias(f"_q_{b}"))
+    agg = df.groupBy(*keys).agg(*made)
+    return agg.select(*keys, *((F.get(f"_q_{b}", F.lit(probs.index(n))) if n in probs else F.col(f"{b}_{n}")).alias(f"{b}_{n}") for b in bands(df) for n in names))
 
 
 def time_to_bands(df: DataFrame, statistics: Sequence[str] = STATISTICS) -> DataFrame:
     """All statistics of all bands over time in one aggregation; labels are band-major."""
-    return df.groupBy("x", "y").agg(*(_statistic(s, b).alias(f"{b}_{s}") for b in bands(df) for s in statistics))
+    return statistics_of(df, ["x", "y"], statistics)
+
 
 
 def pick_reducer(name: str | None) -> str:

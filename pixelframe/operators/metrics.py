@@ -49,11 +49,11 @@ def filter_regex(df: DataFrame, column: str, pattern: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, keys: Sequence[str] | None = None) -> DataFrame:
-    """n rows chosen by a seeded hash of the key columns (all for a negative n)."""
+    """n rows chosen by a seeded hash of the key columns as text (all for a negative n)."""
     if n < 0:
         return df
     keys = list(keys or df.columns)
-    return df.orderBy(F.xxhash64(*(c(k) for k in keys), F.lit(seed)), *(c(k) for k in keys)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(c(k).cast("string") for k in keys))), *(c(k) for k in keys)).limit(n)
 
 
 # --- histories --------------------------------------------------------------------------------------------

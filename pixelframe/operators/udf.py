@@ -47,9 +47,10 @@ def apply_neighborhood(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]
     return sent.groupBy("_tx", "_ty", *extra).applyInPandas(run, schema)
 
 
-def apply_polygon(df: DataFrame, zones: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A function of each polygon's pixels; the rest is absent."""
-    return zonal_join(df, zones).groupBy("feature_index").applyInPandas(fn, schema)
+def apply_polygon(df: DataFrame, zones: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, per_date: bool = False) -> DataFrame:
+    """A function of each polygon's pixels; the rest is absent. per_date: of each date by itself, which is all that a task then holds."""
+    keys = ["feature_index", *(c for c in dims(df) if c == "t" and per_date)]
+    return zonal_join(df, zones).groupBy(*keys).applyInPandas(fn, schema)
 
 
 def grid_of(rows: pd.DataFrame, band: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,47 +165,60 @@ def ensemble_median(df: DataFrame, value: str, models: Sequence[Callable[[np.nda
 
 
 def smooth(values: np.ndarray, weights: np.ndarray, lam: float) -> np.ndarray:
-    """Least squares with a penalty on second differences: a banded system, solved without filling the matrix."""
-    n = len(values)
+    """Least squares with a penalty on second differences along the last axis: a banded system, solved for all rows at once without filling the matrix."""
+    n = values.shape[-1]
     if n < 3:
         return values
     d0 = np.zeros(n)
-    d1, d2 = np.zeros(n - 1), np.zeros(n - 2)
+    d1 = np.zeros(n - 1)
     d0[:-2] += 1
     d0[1:-1] += 4
     d0[2:] += 1
     d1[:-1] -= 2
     d1[1:] -= 2
-    d2 += 1
-    a, b, c = weights + lam * d0, lam * d1, lam * d2
-    # LDL' of a five-banded matrix
-    diag, low1, low2 = np.zeros(n), np.zeros(n), np.zeros(n)
-    z = weights * values
+    # LDL' of a five-banded matrix, whose outer band is lam
+    diag, low1, low2 = (np.zeros((n, *values.shape[:-1])) for _ in range(3))
+    w, z = np.moveaxis(weights, -1, 0), np.moveaxis(weights * values, -1, 0).copy()
     for i in range(n):
-        diag[i] = a[i] - (low1[i - 1] ** 2 * diag[i - 1] if i else 0) - (low2[i - 2] ** 2 * diag[i - 2] if i > 1 else 0)
+        diag[i] = w[i] + lam * d0[i]
+        if i:
+            diag[i] -= low1[i - 1] ** 2 * diag[i - 1]
+            z[i] -= low1[i - 1] * z[i - 1]
+        if i > 1:
+            diag[i] -= low2[i - 2] ** 2 * diag[i - 2]
+            z[i] -= low2[i - 2] * z[i - 2]
         if i < n - 1:
-            low1[i] = (b[i] - (low1[i - 1] * low2[i - 1] * diag[i - 1] if i else 0)) / diag[i]
+            low1[i] = (lam * d1[i] - (low1[i - 1] * low2[i - 1] * diag[i - 1] if i else 0)) / diag[i]
         if i < n - 2:
-            low2[i] = c[i] / diag[i]
-        z[i] -= (low1[i - 1] * z[i - 1] if i else 0) + (low2[i - 2] * z[i - 2] if i > 1 else 0)
-    z = z / diag
+            low2[i] = lam / diag[i]
+    z /= diag
     for i in range(n - 2, -1, -1):
-        z[i] -= low1[i] * z[i + 1] + (low2[i] * z[i + 2] if i < n - 2 else 0)
-    return z
+        z[i] -= low1[i] * z[i + 1]
+        if i < n - 2:
+            z[i] -= low2[i] * z[i + 2]
+    return np.moveaxis(z, 0, -1)
+
 
+def whittaker(df: DataFrame, lam: float = 10_000.0, tile: int = 8) -> DataFrame:
+    """Each pixel's bands smoothed; nodata has no weight and gets the smooth value; a band with fewer than two values stays so.
 
-def whittaker(df: DataFrame, lam: float = 10_000.0) -> DataFrame:
-    """Each pixel's bands smoothed; nodata has no weight and gets the smooth value; a band without data stays so."""
+    A task holds the series of a tile (tile x tile pixels); those of one length are solved together.
+    """
     names = bands(df)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows.copy()
-        for b in names:
-            v = rows[b].to_numpy(float)
-            known = ~np.isnan(v)
-            if known.sum() >= 2:
-                out[b] = smooth(np.where(known, v, 0.0), known.astype(float), lam)
-        return out
+        rows = rows.drop(columns=["_tx", "_ty"]).sort_values(["y", "x", "t"], ignore_index=True)
+        size = rows.groupby(["y", "x"], sort=False)["t"].transform("size").to_numpy()
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n).reshape(-1, n)
+            for b in names:
+                v = rows[b].to_numpy(float)[at]
+                known = ~np.isnan(v)
+                some = known.sum(1) >= 2
+                if some.any():
+                    rows.loc[at[some].ravel(), b] = smooth(np.where(known, v, 0.0)[some], known[some].astype(float), lam).ravel()
+        return rows
 
     wide = df.select(*dims(df), *(F.col(b).cast("double").alias(b) for b in names))
-    return apply_series(wide, run, wide.schema.simpleString()[7:-1].replace(":", " "))
+    sent = wide.withColumn("_tx", F.floor(F.col("x") / tile)).withColumn("_ty", F.floor(F.col("y") / tile))
+    return sent.groupBy("_tx", "_ty").applyInPandas(run, wide.schema)

@@ -61,11 +61,20 @@ def interpolate_linear(df: DataFrame, by: str = "position") -> DataFrame:
 # --- neighbourhoods -------------------------------------------------------------------------------------
 
 
-def completed(df: DataFrame) -> DataFrame:
-    """df with a row for each pixel of its bounding box (of each date), bands of new rows null."""
+def completed(df: DataFrame, reach: int, tile: int = 16) -> DataFrame:
+    """df with rows, bands null, for the missing pixels that a column's sums within `reach` lines may need.
+
+    These lie in the tiles (tile x tile pixels, of each date) that hold a pixel, and in those above and below within reach where any tile
+    of the same lines holds one: rows follow the pixels there are, however far apart they lie, and each tile is filled by itself.
+    """
     extra = [c for c in dims(df) if c == "t"]
-    box = df.groupBy(*extra).agg(*(f(c).alias(f"_{c}{n}") for c in ("x", "y") for n, f in ((0, F.min), (1, F.max)))).where("_x0 IS NOT NULL")
-    grid = box.select(*extra, F.explode(F.sequence("_y0", "_y1")).alias("y"), "_x0", "_x1").select(*extra, "y", F.explode(F.sequence("_x0", "_x1")).alias("x"))
+    kind = {c: df.schema[c].dataType.simpleString() for c in ("x", "y")}
+    at = lambda c: F.floor(F.col(c) / tile).alias(f"_{c}")
+    held = df.where("x IS NOT NULL AND y IS NOT NULL").select(*extra, at("x"), at("y")).distinct()
+    k = -(-reach // tile)
+    wide = held.withColumn("_y", F.explode(F.sequence(F.col("_y") - k, F.col("_y") + k))).distinct().join(held.select(*extra, "_y").distinct(), [*extra, "_y"], "left_semi")
+    line = lambda c: F.explode(F.sequence(F.col(f"_{c}") * tile, F.col(f"_{c}") * tile + (tile - 1)).cast(f"array<{kind[c]}>")).alias(c)
+    grid = wide.select(*extra, line("y"), "_x").select(*extra, "y", line("x"))
     return grid.join(df, ["x", "y", *extra], "left").select(*df.columns)
 
 
@@ -79,7 +88,7 @@ def moving_sum(df: DataFrame, radius: int, only: Sequence[str] | None = None, de
     names = list(only or bands(df))
     across = Window.partitionBy(*extra, "y").orderBy("x").rangeBetween(-radius, radius)
     down = Window.partitionBy(*extra, "x").orderBy("y").rangeBetween(-radius, radius)
-    full = df if dense else completed(df.withColumn("_own", F.lit(True)))
+    full = df if dense else completed(df.withColumn("_own", F.lit(True)), radius)
     first = full.withColumns({b: F.sum(F.coalesce(F.col(b).cast("double"), F.lit(0.0))).over(across) for b in names})
     out = first.withColumns({b: F.sum(b).over(down) for b in names})
     return out if dense else out.where("_own").drop("_own")
@@ -142,7 +151,7 @@ def cloud_distance_score(df: DataFrame, cloud: str, limit: int = 150, sigma: flo
     each column as a running minimum of (distance - y) and (distance + y). dense=True is as for moving_sum().
     """
     rest = [c for c in dims(df) if c == "t"]
-    df = df if dense else completed(df.withColumn("_own", F.lit(True)))
+    df = df if dense else completed(df.withColumn("_own", F.lit(True)), limit)
     along = Window.partitionBy(*rest, "y").orderBy("x")
     left = F.last(F.when(F.col(cloud), F.col("x")), True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(F.when(F.col(cloud), F.col("x")), True).over(along.rowsBetween(0, Window.unboundedFollowing))

@@ -18,21 +18,28 @@ from .cube import reducer
 CELL = 64
 
 
-def contains(geom: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule over all rings; lower and left edges belong to the polygon."""
+def edges(geom: Column) -> Column:
+    """The edges of all rings as array<struct<ax, ay, bx, by>>, each ring closed."""
+
+    def of(ring: Column) -> Column:
+        after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+        return F.zip_with(ring, after, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+
+    return F.flatten(F.transform(geom, of))
+
 
-    def crossings(ring: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(ring) - 1), F.lit(0),
-            lambda n, i: n + crosses(F.get(ring, i.cast("int")), F.get(ring, ((i + 1) % F.size(ring)).cast("int"))),
-        )
+def inside(lines: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule: a ray to the right crosses an odd number of the edges; lower and left edges belong to the polygon."""
 
-    def crosses(a: Column, b: Column) -> Column:
-        straddles = (a["y"] > y) != (b["y"] > y)
-        at = a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
-        return F.when(straddles & (x < at), F.lit(1)).otherwise(F.lit(0))
+    def crosses(e: Column) -> Column:
+        at = e["ax"] + F.try_divide((y - e["ay"]) * (e["bx"] - e["ax"]), e["by"] - e["ay"])
+        return F.when(((e["ay"] > y) != (e["by"] > y)) & (x < at), F.lit(1)).otherwise(F.lit(0))
 
-    return F.aggregate(geom, F.lit(0), lambda n, ring: n + crossings(ring)) % 2 == 1
+    return F.aggregate(lines, F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
+
+
+def contains(geom: Column, x: Column, y: Column) -> Column:
+    return inside(edges(geom), x, y)
 
 
 def is_box(geom: Column) -> Column:
@@ -40,30 +47,41 @@ def is_box(geom: Column) -> Column:
 
 
 def prepared(zones: DataFrame, cell: int = CELL) -> DataFrame:
-    """Zones with their bounds, once for each grid cell that these touch."""
+    """Zones once for each grid cell that their bounds touch, with what decides there: `_edges`, those that a ray from the cell can cross, and `_whole`, set (true or false) where no edge comes near the cell, so that all of it is inside or outside."""
     points = F.flatten("geom")
     bounds = {"_w": F.array_min(F.transform(points, lambda p: p["x"])), "_e": F.array_max(F.transform(points, lambda p: p["x"])), "_s": F.array_min(F.transform(points, lambda p: p["y"])), "_n": F.array_max(F.transform(points, lambda p: p["y"]))}
-    boxed = zones.withColumns(bounds)
+    boxed = zones.withColumns(bounds).withColumn("_edges", edges(F.col("geom"))).drop("geom")
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int"))
-    return boxed.withColumn("_cx", F.explode(cells("_w", "_e"))).withColumn("_cy", F.explode(cells("_s", "_n")))
+    each = boxed.withColumn("_cx", F.explode(cells("_w", "_e"))).withColumn("_cy", F.explode(cells("_s", "_n")))
+    left, low = F.col("_cx") * float(cell), F.col("_cy") * float(cell)
+    across = lambda e: (F.greatest(e["ay"], e["by"]) >= low) & (F.least(e["ay"], e["by"]) <= low + cell) & (F.greatest(e["ax"], e["bx"]) >= left)
+    near = lambda e: F.least(e["ax"], e["bx"]) <= left + cell
+    cut = each.withColumn("_edges", F.filter("_edges", across))
+    whole = F.when(~F.exists("_edges", near), inside(F.col("_edges"), left + cell / 2, low + cell / 2))
+    return cut.withColumn("_whole", whole).where("_whole IS NULL OR _whole").withColumn("_edges", F.when(F.col("_whole").isNull(), F.col("_edges")))
+
+
+def _meeting(df: DataFrame, zones: DataFrame, cell: int, centre: float) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """Pixels and zones with their cells, and the conditions under which they meet."""
+    px, py = F.col("x") + centre, F.col("y") + centre
+    keyed = df.withColumn("_px", F.floor(px / cell).cast("int")).withColumn("_py", F.floor(py / cell).cast("int"))
+    held = F.coalesce(F.col("_whole"), (px >= F.col("_w")) & (px <= F.col("_e")) & (py >= F.col("_s")) & (py <= F.col("_n")) & inside(F.col("_edges"), px, py))
+    return keyed, prepared(zones, cell), [F.col("_px") == F.col("_cx"), F.col("_py") == F.col("_cy"), held]
 
 
 def zonal_join(df: DataFrame, zones: DataFrame, cell: int = CELL, keep: Sequence[str] = ("feature_index",), centre: float = 0.5) -> DataFrame:
-    """Each pixel with each feature that holds its centre: an equi-join on grid cells, then bounds, then the polygon itself.
+    """Each pixel with each feature that holds its centre: an equi-join on grid cells, then bounds and the edges near the cell.
 
     Spark may broadcast the zones if they are small; with many they are shuffled by cell like the pixels.
     """
-    px, py = F.col("x") + centre, F.col("y") + centre
-    keyed = df.withColumn("_cx", F.floor(px / cell).cast("int")).withColumn("_cy", F.floor(py / cell).cast("int"))
-    joined = keyed.join(prepared(zones.select(*keep, "geom"), cell), ["_cx", "_cy"])
-    near = joined.where((px >= F.col("_w")) & (px <= F.col("_e")) & (py >= F.col("_s")) & (py <= F.col("_n")))
-    return near.where(contains(F.col("geom"), px, py)).select(*df.columns, *keep)
+    keyed, cells, meet = _meeting(df, zones.select(*keep, "geom"), cell, centre)
+    return keyed.join(cells, meet).select(*df.columns, *keep)
 
 
 def filter_spatial(df: DataFrame, zones: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pixels whose centre lies in any zone, each once: the grid is matched, and the cube follows by a semi-join."""
-    hits = zonal_join(df.select("x", "y").distinct(), zones, cell).select("x", "y").distinct()
-    return df.join(hits, ["x", "y"], "left_semi")
+    """Pixels whose centre lies in any zone, each once: one scan and a semi-join."""
+    keyed, cells, meet = _meeting(df, zones.select("geom"), cell, 0.5)
+    return keyed.join(cells, meet, "left_semi").select(*df.columns)
 
 
 def mask_polygon(df: DataFrame, zones: DataFrame, inside: bool = False, cell: int = CELL) -> DataFrame:
@@ -90,12 +108,10 @@ def vector_to_raster(stats: DataFrame, zones: DataFrame, target: DataFrame, cell
 
 def variability_classes(df: DataFrame, zones: DataFrame, value: str = "value", raw: bool = False, cell: int = CELL) -> DataFrame:
     """Each pixel against its zone's median on the same date in percent, as classes 1 to 5 (or raw percent); clamped to 0..100 at the end."""
-    from pyspark.sql import Window
-
     joined = zonal_join(df, zones, cell)
-    group = Window.partitionBy("feature_index", *(c for c in dims(df) if c == "t"))
-    share = F.try_divide(F.col(value).cast("double"), F.median(value).over(group)) * 100
-    out = joined.withColumn("_share", share)
+    keys = ["feature_index", *(c for c in dims(df) if c == "t")]
+    middle = joined.groupBy(*keys).agg(F.median(value).alias("_median"))
+    out = joined.join(middle, keys).withColumn("_share", F.try_divide(F.col(value).cast("double"), F.col("_median")) * 100)
     s = F.col("_share")
     classed = F.when(s < 85, 1).when(s < 95, 2).when(s < 105, 3).when(s < 115, 4).when(s.isNotNull(), 5)
     made = (s if raw else classed).cast("double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import indices as ix
@@ -29,12 +29,13 @@ def _best_by(df: DataFrame, value: Column, shown: Sequence[str], hidden: Column,
     scored = df.where(~hidden).withColumn("_v", value)
     if strict:
         return wn.rank_composite(scored, "_v", only=shown).drop("t")
-    marked = scored.withColumn("_hide", wn.rank_mask(F.col("_v")))
-    return marked.groupBy("x", "y").agg(*(F.max(F.when(~F.coalesce("_hide", F.lit(False)), F.col(b))).alias(b) for b in shown))
+    top = lambda b: F.max(F.struct("_v", F.col(b).alias("b")))["b"]
+    unknown = lambda b: F.max(F.when(F.col("_v").isNull(), F.col(b)))  # noqa: E731  dates without a value aren't hidden either
+    return scored.groupBy("x", "y").agg(*(F.greatest(top(b), unknown(b)).alias(b) for b in shown))
 
 
 def max_ndvi_composite(df: DataFrame, scenes: DataFrame | None = None, shown: Sequence[str] = ("B04", "B03", "B02"), max_cloud_cover: float = 75, strict: bool = False) -> DataFrame:
-    """For each pixel the bands of its greenest clear date; one scan, one window, one aggregation.
+    """For each pixel the bands of its greenest clear date; one scan, one aggregation.
 
     Pixels that are never clear are absent. With equal indices on several dates each band's maximum is taken.
     """
@@ -156,9 +157,9 @@ def ndfi(df: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
         means = df.agg(F.avg("B12").alias("_b12"), F.avg("B08").alias("_b08"))
         a, b = divide("B12", F.col("_b12")), divide("B08", F.col("_b08"))
         return df.crossJoin(F.broadcast(means)).withColumn("ndfi", divide(a - b, b)).drop("_b12", "_b08")
-    w = Window.partitionBy(*keys)
-    a, b = divide("B12", F.avg("B12").over(w)), divide("B08", F.avg("B08").over(w))
-    return df.withColumn("ndfi", divide(a - b, b))
+    means = df.groupBy(*keys).agg(F.avg("B12").alias("_b12"), F.avg("B08").alias("_b08"))
+    a, b = divide("B12", F.col("_b12")), divide("B08", F.col("_b08"))
+    return df.join(means, list(keys)).withColumn("ndfi", divide(a - b, b)).select(*df.columns, "ndfi")
 
 
 def fire_features(sar: DataFrame, optical: DataFrame, hidden: Sequence[int] = COMPOSITE_MASK) -> DataFrame:
@@ -202,7 +203,7 @@ def timeseries_statistics(df: DataFrame, zones: DataFrame, labels: Sequence[str]
         stats = cb.time_to_bands(cube)
     else:
         keyed = cube.withColumn("t", cb.period_start(period))
-        stats = keyed.groupBy("x", "y", "t").agg(*(cb._statistic(s, b).alias(f"{b}_{s}") for b in labels for s in cb.STATISTICS))
+        stats = cb.statistics_of(keyed.select("x", "y", "t", *labels), ["x", "y", "t"])
     return zn.aggregate_spatial(stats, zones, "mean")
 
 

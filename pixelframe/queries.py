@@ -90,7 +90,7 @@ cube_query("c8_scl_mask", "SELECT x, y, t, SCL IN (3, 8, 9, 10, 1, 6, 11, 0) AS
 query("c9_filter_outcome", "SELECT event_id, costs FROM rn WHERE outcome = 'passed'")(lambda s, d: mt.filter_outcome(tc.runs(s, d)).select("event_id", "costs"))
 query("c10_filter_recent", f"SELECT event_id, costs FROM rn WHERE start >= {tc.AS_OF} - 10 * 86400")(lambda s, d: mt.filter_recent(tc.runs(s, d), 10, tc.AS_OF).select("event_id", "costs"))
 query("c11_filter_regex", "SELECT event_id, scenario_id FROM rn WHERE regexp_matches(scenario_id, '^(?:click|view)')")(lambda s, d: mt.filter_regex(mt.with_scenario(tc.runs(s, d)), "scenario_id", "click|view").select("event_id", "scenario_id"))
-query("c12_sample_n")(lambda s, d: mt.sample_n(tc.runs(s, d).select("event_id", "costs"), 100, 7, ["event_id"]))
+query("c12_sample_n", "SELECT event_id, round(costs, 6) AS costs FROM rn ORDER BY md5('7|' || event_id), event_id LIMIT 100")(lambda s, d: mt.sample_n(tc.runs(s, d).select("event_id", "costs"), 100, 7, ["event_id"]))
 
 # --- 2.4 joins ----------------------------------------------------------------------------------------------------
 
@@ -240,6 +240,28 @@ query("h1_union_runs", "SELECT event_id, round(value, 6) AS value, NULL::VARCHAR
 query("h2_missing_columns", "SELECT event_id FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id") if mt.missing_columns(s.read.parquet(f"{d}/events.parquet"), ["event_id", "no_such"]) == ["no_such"] else s.createDataFrame([], "event_id long"))
 query("h3_duplicates", "SELECT user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")(lambda s, d: mt.duplicates(s.read.parquet(f"{d}/events.parquet"), "user_id"))
 
+# --- grids that grow with the tables: many zonal cells, tiles and lines ------------------------------------------------------------------
+
+_WIDE = "wd AS (SELECT l_partkey::INT AS x, (l_suppkey * 7)::INT AS y, max(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL), wz AS (SELECT s_suppkey::INT AS feature_index, 13.0 * s_suppkey AS w, 5.0 * s_suppkey AS s FROM supplier)"
+
+
+def _wide(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").cast("int").alias("x"), (F.col("l_suppkey") * 7).cast("int").alias("y")).agg(F.max("l_quantity").cast("double").alias("v"))
+
+
+def _wide_zones(s: SparkSession, d: str) -> DataFrame:
+    """A rectangle of 150 x 90 pixels for each supplier; they overlap."""
+    corner = lambda x, y: f"struct(13D * s_suppkey + {x} AS x, 5D * s_suppkey + {y} AS y)"
+    return s.read.parquet(f"{d}/supplier.parquet").selectExpr("cast(s_suppkey as int) AS feature_index", f"array(array({corner(0, 0)}, {corner(150, 0)}, {corner(150, 90)}, {corner(0, 90)})) AS geom")
+
+
+_HOLDS = "x >= w AND x < w + 150 AND y >= s AND y < s + 90"
+query("c3_filter_spatial_wide", f"SELECT x, y, v FROM wd SEMI JOIN wz ON {_HOLDS}", _WIDE)(lambda s, d: zn.filter_spatial(_wide(s, d), _wide_zones(s, d)))
+query("d4_zonal_join_wide", f"SELECT x, y, v, feature_index FROM wd JOIN wz ON {_HOLDS}", _WIDE)(lambda s, d: zn.zonal_join(_wide(s, d), _wide_zones(s, d)))
+query("e9_aggregate_spatial_wide", f"SELECT feature_index, round(avg(v), 6) AS v FROM wd JOIN wz ON {_HOLDS} GROUP BY ALL", _WIDE)(lambda s, d: zn.aggregate_spatial(_wide(s, d), _wide_zones(s, d)))
+query("f10_flat_kernel_wide", "SELECT a.x, a.y, sum(b.v) AS v FROM wd a JOIN wd b ON a.x - b.x BETWEEN -10 AND 10 AND a.y - b.y BETWEEN -10 AND 10 GROUP BY ALL", _WIDE)(lambda s, d: wn.apply_kernel(_wide(s, d), [[1] * 21] * 21))
+query("n3_apply_neighborhood_wide", "SELECT a.x, a.y, count(b.v)::DOUBLE AS value FROM wd a JOIN wd b ON a.x - b.x BETWEEN -8 AND 8 AND a.y - b.y BETWEEN -8 AND 8 GROUP BY ALL", _WIDE)(lambda s, d: udf.apply_neighborhood(_wide(s, d), _neighbours, 64, 8, "x int, y int, value double"))
+
 # --- 2.9 scalars ------------------------------------------------------------------------------------------------------------------
 
 cube_query("k1_k6_arithmetic", "SELECT x, y, t, B04 + B08 AS s, B04 - B08 AS d, B04 * SCL AS p, round(B04 / nullif(SCL, 0)::DOUBLE, 6) AS q, round(pow(B04, 0.5), 6) AS w, CASE WHEN B04 >= B08 THEN round(sqrt(B04 - B08), 6) END AS r, CASE WHEN SCL > 0 THEN round(ln(SCL), 6) END AS l, CASE WHEN SCL > 0 THEN round(log10(SCL), 6) END AS g, CASE WHEN SCL > 0 THEN round(ln(SCL) / ln(2.0), 6) END AS b, round(cos(sza * (3.14159265 / 180)), 6) AS c, abs(B04 - B08) AS a FROM px", lambda d: d.select("x", "y", "t", (F.col("B04") + F.col("B08")).alias("s"), (F.col("B04") - F.col("B08")).alias("d"), (F.col("B04") * F.col("SCL")).alias("p"), sc.divide("B04", "SCL").alias("q"), sc.power("B04", 0.5).alias("w"), sc.sqrt(F.col("B04") - F.col("B08")).alias("r"), sc.ln("SCL").alias("l"), sc.log("SCL", 10).alias("g"), sc.log("SCL", 2).alias("b"), sc.cos_degrees("sza").alias("c"), F.abs(F.col("B04") - F.col("B08")).alias("a")), ("B04", "B08", "SCL", "sza"))
@@ -366,6 +388,13 @@ cube_query("n10_zscore", "SELECT x, y, t, round((B04 - (SELECT avg(B04) FROM px)
 # --- 2.12 user functions: no SQL, checked in the tests ---------------------------------------------------------------------------------
 
 
+def _neighbours(rows):
+    image, y, x = udf.grid_of(rows, "v")
+    held = __import__("numpy").pad((image == image).astype(float), 8)
+    total = __import__("numpy").pad(held.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    return rows[["x", "y"]].assign(value=total[y + 17, x + 17] - total[y, x + 17] - total[y + 17, x] + total[y, x])
+
+
 def _ratio(rows, context):
     return rows[["x", "y", "t"]].assign(value=rows["B08"] * context["gain"] / rows["B04"])
 
@@ -381,15 +410,23 @@ def _box(rows):
     return rows[["x", "y"]].assign(value=total[y, x] / 9)
 
 
+def _spread_by_date(rows):
+    return rows[["feature_index", "t"]].head(1).assign(spread=float(rows["B04"].max() - rows["B04"].min()))
+
+
 def _spread(rows):
     return rows[["feature_index"]].head(1).assign(spread=float(rows["B04"].max() - rows["B04"].min()))
 
 
 query("n1_apply_pixels", "SELECT x, y, t, round(B08 * 2.0::DOUBLE / B04, 6) AS value FROM px")(lambda s, d: udf.apply_pixels(tc.pixels(s, d, ("B04", "B08")), _ratio, "x int, y int, t timestamp, value double", {"gain": 2.0}))
 query("n2_apply_series", "SELECT x, y, date_diff('day', min(t)::DATE, max(t)::DATE)::DOUBLE AS days FROM px GROUP BY ALL")(lambda s, d: udf.apply_series(tc.pixels(s, d, ("B04",)), _span, "x int, y int, days double"))
-query("n3_apply_neighborhood")(lambda s, d: udf.apply_neighborhood(_raster(s, d).select("x", "y", "v"), _box, 8, 2, "x int, y int, value double"))
+_CLAMP = "least(greatest(a.{c} + {d}, (SELECT min({c}) FROM ra)), (SELECT max({c}) FROM ra))"
+query("n3_apply_neighborhood", f"SELECT a.x, a.y, round(sum(b.v) / 9.0::DOUBLE, 6) AS value FROM ra a, (VALUES (-1), (0), (1)) i(dx), (VALUES (-1), (0), (1)) j(dy), ra b WHERE b.x = {_CLAMP.format(c='x', d='dx')} AND b.y = {_CLAMP.format(c='y', d='dy')} GROUP BY a.x, a.y", _RAST)(lambda s, d: udf.apply_neighborhood(_raster(s, d).select("x", "y", "v"), _box, 8, 2, "x int, y int, value double"))
 query("n4_apply_polygon", "SELECT feature_index, (max(B04) - min(B04))::DOUBLE AS spread FROM pz GROUP BY ALL")(lambda s, d: udf.apply_polygon(tc.pixels(s, d, ("B04",)), tc.zones(s, d), _spread, "feature_index int, spread double"))
-query("n5_glcm_texture")(lambda s, d: udf.glcm_texture(_raster(s, d).select("x", "y", (F.col("v") / 12).alias("v")), "v", 9, 2, 16, 8))
+query("n4_apply_polygon_per_date", "SELECT feature_index, date_trunc('year', t) AS t, (max(B04) - min(B04))::DOUBLE AS spread FROM pz GROUP BY ALL")(lambda s, d: udf.apply_polygon(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")), tc.zones(s, d), _spread_by_date, "feature_index int, t timestamp, spread double", per_date=True))
+_MIRROR = "CASE WHEN a.{c} + {d} < lo{c} THEN 2 * lo{c} - (a.{c} + {d}) WHEN a.{c} + {d} > hi{c} THEN 2 * hi{c} - (a.{c} + {d}) ELSE a.{c} + {d} END"
+_NEAR = f"ex AS (SELECT min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy FROM ra), im AS (SELECT x, y, floor(least(255, v / 12.0::DOUBLE)) AS v FROM ra), ne AS (SELECT a.x, a.y, dx, dy, b.v FROM im a, ex, (SELECT unnest(range(-4, 5)) AS dx), (SELECT unnest(range(-4, 5)) AS dy), im b WHERE b.x = {_MIRROR.format(c='x', d='dx')} AND b.y = {_MIRROR.format(c='y', d='dy')})"
+query("n5_glcm_texture", "SELECT x, y, round(var_pop(v), 6) AS variance, round(avg((w - v) * (w - v)), 6) AS contrast FROM (SELECT *, max(v) OVER (PARTITION BY x, y, dy ORDER BY dx RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING) AS w FROM ne) GROUP BY x, y", f"{_RAST}, {_NEAR}")(lambda s, d: udf.glcm_texture(_raster(s, d).select("x", "y", (F.col("v") / 12).alias("v")), "v", 9, 2, 16, 8))
 query("n11_whittaker")(lambda s, d: udf.whittaker(cb.mask_where(tc.pixels(s, d, ("B04", "SCL")), cb.scl_mask((3, 8, 9))).select("x", "y", "t", "B04"), 100.0))
 
 
@@ -409,6 +446,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 query("n7_predict_batch", "SELECT x, y, t, (coalesce(CASE WHEN SCL <> 3 THEN B04 END, -1) + 2 * coalesce(CASE WHEN SCL <> 3 THEN B08 END, -1))::DOUBLE AS prediction FROM px")(lambda s, d: udf.predict_batch(cb.mask_where(tc.pixels(s, d, ("B04", "B08", "SCL")), F.col("SCL") == 3), _weights, _weighted, ["B04", "B08"], -1))
+query("n8_ensemble_of_all_scenes", "SELECT x, y, median(v) AS prediction FROM (SELECT x, y, unnest([max(v), max(v), avg(v)]) AS v FROM (SELECT x, y, date_trunc('year', t) AS t, max(B04)::DOUBLE AS v FROM px GROUP BY ALL) GROUP BY x, y) GROUP BY x, y")(
+    lambda s, d: udf.ensemble_median(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")).groupBy("x", "y", "t").agg(F.max("B04").cast("double").alias("v")), "v", [_first_max, _first_max, _first_mean], 2, 1000, 16, 4)
+)
 query("n8_ensemble_median")(lambda s, d: udf.ensemble_median(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")).groupBy("x", "y", "t").agg(F.max("B04").cast("double").alias("v")), "v", [_first_max, _first_mean], 4, 3, 16, 4))
 
 

@@ -17,7 +17,11 @@ from .sources import testcube as tc
 
 def scratch(spark: SparkSession) -> str:
     """A new folder where all executors can write: below spark.checkpoint.dir, or in tests a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/pixelframe-{uuid.uuid4().hex}"
 
 

@@ -111,6 +111,51 @@ def test_whittaker_is_least_squares(spark):
     w = (rng.random(30) > 0.2).astype(float)
     d = np.diff(np.eye(30), 2, axis=0)
     assert np.allclose(udf.smooth(v, w, 7.0), np.linalg.solve(np.diag(w) + 7.0 * d.T @ d, w * v))
+    rows = [(x, y, f"2024-01-{t:02d}", None if (x + y + t) % 4 == 0 or x == 9 and t > 1 else float((x * 7 + t * t) % 11)) for x in range(10) for y in range(2) for t in range(1, 8 + x % 3)]
+    df = spark.createDataFrame(rows, "x int, y int, t string, v double").withColumn("t", F.to_timestamp("t"))
+    got = {(r.x, r.y, r.t.day): r.v for r in udf.whittaker(df, 3.0).collect()}
+    assert len(got) == len(rows)
+    for x in range(10):
+        v = np.array([np.nan if r[3] is None else r[3] for r in rows if r[:2] == (x, 1)])
+        w, m = (~np.isnan(v)).astype(float), np.diff(np.eye(len(v)), 2, axis=0)
+        want = np.linalg.solve(np.diag(w) + 3.0 * m.T @ m, np.where(w > 0, v, 0)) if w.sum() > 1 else v
+        assert np.allclose([np.nan if got[x, 1, t + 1] is None else got[x, 1, t + 1] for t in range(len(v))], want, equal_nan=True)
+
+
+def test_sparse_scenes_and_far_pixels(spark):
+    """Windows over a few pixels far apart, and zones over many cells, against brute force."""
+    rng = np.random.default_rng(11)
+    at = {(int(x), int(y)) for x, y in rng.integers(0, 90, (400, 2))} | {(1_000_000, 5), (40, 2_000_000)}
+    v = {p: float(rng.integers(0, 9)) for p in at}
+    df = spark.createDataFrame([(x, y, v[x, y]) for x, y in at], "x int, y int, v double")
+    got = {(r.x, r.y): r.v for r in wn.moving_sum(df, 20).collect()}
+    assert got == {p: sum(w for q, w in v.items() if abs(p[0] - q[0]) <= 20 and abs(p[1] - q[1]) <= 20) for p in at}
+    clouds = [p for p in at if v[p] == 8.0]
+    far = {(r.x, r.y): r.score for r in wn.cloud_distance_score(df.withColumn("c", F.col("v") == 8), "c", 30, 9.0).collect()}
+    for p in at:
+        d = min(abs(p[0] - q[0]) + abs(p[1] - q[1]) for q in clouds)
+        assert far[p] == pytest.approx(1 if d > 30 else 0 if d == 0 else 1 - np.exp(-d * d / 162))
+
+
+def test_zones_over_many_cells(spark):
+    pixels = spark.range(200 * 150).selectExpr("cast(id % 200 as int) AS x", "cast(id div 200 as int) AS y")
+    point = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    shapes = {1: [point([(3, 4), (190, 10), (150, 140), (20, 120)]), point([(60, 40), (120, 45), (90, 100)])], 2: [point([(100, 0), (199, 75), (100, 149), (1, 75)])], 3: [point([(70, 70), (73, 70), (73, 74), (70, 74)])]}
+    zones = spark.createDataFrame(list(shapes.items()), "feature_index int, geom array<array<struct<x double, y double>>>")
+
+    def holds(rings, x, y):
+        n = 0
+        for ring in rings:
+            for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+                if (a["y"] > y) != (b["y"] > y) and x < a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"]):
+                    n += 1
+        return n % 2 == 1
+
+    want = {(x, y, k) for k, rings in shapes.items() for x in range(200) for y in range(150) if holds(rings, x + 0.5, y + 0.5)}
+    got = [(r.x, r.y, r.feature_index) for r in zn.zonal_join(pixels, zones, cell=16).collect()]
+    assert len(got) == len(want) and set(got) == want
+    inside = [(r.x, r.y) for r in zn.filter_spatial(pixels, zones, cell=16).collect()]
+    assert len(inside) == len(set(inside)) and set(inside) == {w[:2] for w in want}
 
 
 def test_forest_and_batch_models(spark):
