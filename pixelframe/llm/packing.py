@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import buffers, checkpoint, slices, span_hashes, words
+from .common import LOWER, buffers, checkpoint, partitions, slices, span_hashes, words
 
 #: White space beyond ASCII as the tokenizer drops it (Unicode White_Space), in UTF-8: no token spans it.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Words that a worker keeps; beyond that it starts anew.
-CACHE = 400_000
+#: Units that a worker keeps; beyond that it starts anew.
+CACHE = 1_000_000
 #: Rows of one length that are numbered together.
 PART_ROWS = 500_000
 
@@ -32,12 +32,53 @@ PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sta
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 #: Letters that normalisation leaves alone but for their case.
 PLAIN = re.compile("[\x21-\xff]*")
+#: Kinds of bytes: 0 other signs, 1 letters, 2 digits, 3 the first byte of a two-byte letter or sign, 4 what a word is handled whole for (an apostrophe, control characters, the first byte of a character beyond U+00FF).
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[48:58] = 2
+KIND[[0xC2, 0xC3]] = 3
+KIND[[*range(9), *range(14, 32), 0x27, 0x7F, *range(0xC4, 256)]] = 4
+#: By the second byte after C3: the signs; after C2: all but the signs are handled whole.
+SIGNS_C3 = np.isin(np.arange(256), [0x97, 0xB7])
+WHOLE_C2 = np.isin(np.arange(256), [*range(0x80, 0xA1), 0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
+
+
+def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the vocabulary encodes by itself: (bytes in lower case, starts, ends, word, plain) of each unit.
+
+    A word of signs, Latin letters and digits falls into runs of letters, runs of signs and single digits; another word is a unit as it stands.
+    """
+    kind, low = KIND[data], LOWER[data]
+    lead = np.flatnonzero(kind == 3)
+    second = data[lead + 1]
+    is_c3 = data[lead] == 0xC3
+    kind[lead] = kind[lead + 1] = np.where(is_c3, ~SIGNS_C3[second], np.where(WHOLE_C2[second], 4, 0)).astype(np.uint8)
+    low[lead + 1] += np.where(is_c3 & (second >= 0x80) & (second <= 0x9E) & (second != 0x97), 32, 0).astype(np.uint8)
+    odd = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(kind == 4, out=odd[1:])
+    odd = odd[ends] > odd[starts]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[odd]] += 1
+    edge[ends[odd]] -= 1
+    whole = np.cumsum(edge[:-1]).astype(bool)
+    low[whole] = data[whole]
+    begins = np.ones(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    inner = (data & 0xC0) == 0x80  # never between the bytes of a letter
+    begins &= ~whole & ~inner
+    begins[starts] = True
+    edge[:] = 0
+    edge[starts] += 1
+    edge[ends] -= 1
+    at = np.flatnonzero(begins & np.cumsum(edge[:-1]).astype(bool))
+    word = np.searchsorted(starts, at, "right") - 1
+    return low, at, np.minimum(np.r_[at[1:], len(data)], ends[word]), word, ~odd[word]
 
 
 class WordEncoder:
-    """Ids of whole texts; the library encodes each new word once, many at a time.
+    """Ids of whole texts; the library encodes each new unit (see units()) once, many at a time.
 
-    Words are known by their 64-bit hashes in an open table of numpy arrays (some 40 bytes a word), so that the words of a slice are
+    Units are known by their 64-bit hashes in an open table of numpy arrays (some 60 bytes a unit), so that those of a slice are
     looked up all at once.
     """
 
@@ -64,20 +105,20 @@ class WordEncoder:
             rest = rest[(found[rest] >= 0) & (self.hash[found[rest]] != h[rest])]
         return found
 
-    def _add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
-        sizes = np.array([len(x) for x in ids])
-        end = self.used + int(sizes.sum())
+    def _add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        end = self.used + len(ids)
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(end, len(self.flat)), np.uint32)])
-        self.flat[self.used : end] = np.concatenate(ids)
-        own = slice(self.n, self.n + len(ids))
+        self.flat[self.used : end] = ids
+        own = slice(self.n, self.n + len(hashes))
         self.hash[own], self.size[own] = hashes, sizes
         self.start[own] = self.used + np.cumsum(sizes) - sizes
-        for i, at in enumerate((hashes & np.uint64(self.mask)).tolist(), self.n):
-            while self.slot[at] >= 0:
-                at = (at + 1) & self.mask
-            self.slot[at] = i
-        self.n, self.used = self.n + len(ids), end
+        slot, mask = self.slot, self.mask
+        for i, at in enumerate((hashes & np.uint64(mask)).tolist(), self.n):
+            while slot[at] >= 0:
+                at = (at + 1) & mask
+            slot[at] = i
+        self.n, self.used = self.n + len(hashes), end
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (UTF-8), and how many each text has.
@@ -92,18 +133,22 @@ class WordEncoder:
         if whole:
             keep = ~np.isin(row, list(whole))
             starts, ends, row = starts[keep], ends[keep], row[keep]
-        h = span_hashes(data, starts, ends)
+        low, starts, ends, word, plain = units(data, starts, ends)
+        row = row[word]
+        h = span_hashes(low, starts, ends)
         at = self._find(h)
-        if (at < 0).any():
-            lost, first = np.unique(h[at < 0], return_index=True)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            lost, first = np.unique(h[new], return_index=True)
+            first = new[first]
             if self.n + len(lost) > self.most:
-                self._clear(CACHE)
                 lost, first = np.unique(h, return_index=True)
-                if len(lost) > CACHE:
-                    self._clear(len(lost))
-            else:
-                first = np.flatnonzero(at < 0)[first]
-            self._add(lost, self._learn([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]))
+                self._clear(max(CACHE, len(lost)))
+            text = low.tobytes()
+            for kind, learn in ((True, self._learn_plain), (False, self._learn)):
+                own = plain[first] == kind
+                if own.any():
+                    self._add(lost[own], *learn([text[a:b].decode() for a, b in zip(starts[first[own]].tolist(), ends[first[own]].tolist(), strict=True)]))
             at = self._find(h)
         size = self.size[at]
         place = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -114,19 +159,30 @@ class WordEncoder:
             ids, count[r] = np.concatenate([ids[:before], own, ids[before:]]), len(own)
         return ids, count
 
-    def _learn(self, fresh: list[str]) -> list[np.ndarray]:
-        split = [PIECE.findall(w.lower()) if PLAIN.fullmatch(w) else None for w in fresh]
-        parts = list({p for ps in split if ps is not None for p in ps})
-        pieces: dict[str, np.ndarray] = {}
+    def _learn_plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of units of Latin text, many in one text for the library."""
+        sizes, ids = [], []
         for at in range(0, len(parts), 2000):
             part = parts[at : at + 2000]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            own = np.split(np.asarray(e.ids, np.uint32), np.flatnonzero(np.diff(np.asarray(e.word_ids))) + 1)
-            if len(own) != len(part):
+            edges = np.r_[np.flatnonzero(np.diff(np.asarray(e.word_ids), prepend=-1)), len(e.ids)]
+            if len(edges) != len(part) + 1:
                 raise ValueError("the vocabulary splits words in another way than expected")
-            pieces.update(zip(part, own, strict=True))
-        one = lambda w: np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-        return [one(w) if ps is None else pieces[ps[0]] if len(ps) == 1 else np.concatenate([pieces[p] for p in ps]) if ps else np.zeros(0, np.uint32) for w, ps in zip(fresh, split, strict=True)]
+            sizes.append(np.diff(edges))
+            ids.append(np.asarray(e.ids, np.uint32))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of words as they stand."""
+        split = {w: PIECE.findall(w.lower()) for w in words if PLAIN.fullmatch(w)}
+        parts = list({p for ps in split.values() for p in ps})
+        pieces: dict[str, np.ndarray] = {}
+        if parts:
+            sizes, flat = self._learn_plain(parts)
+            pieces = dict(zip(parts, np.split(flat, np.cumsum(sizes)[:-1]), strict=True))
+        none = np.zeros(0, np.uint32)
+        own = [np.concatenate([none, *(pieces[p] for p in split[w])]) if w in split else np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words]
+        return np.array([len(x) for x in own]), np.concatenate(own)
 
 
 @lru_cache(maxsize=2)
@@ -241,14 +297,14 @@ def pack(pieces: DataFrame, window: int = 2048) -> DataFrame:
 
     Only the histogram of lengths (window numbers) reaches the driver, and only the plan goes back. Its
     rows depend on the window and not on the input: at most five slots for each combination of a bounded
-    list and one run for each greedy pattern's length. Pieces of a length are numbered in parts of some PART_ROWS rows, whose
+    list and one run for each greedy pattern's length. Pieces of a length are numbered in parts of PART_ROWS rows at most on average (a common length in as many parts as there are partitions), whose
     sizes give each part its first number.
     """
     spark = pieces.sparkSession
     have = np.zeros(window + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():
         have[r["length"]] = r["count"]
-    shares = spark.createDataFrame([(int(v), int(-(-have[v] // PART_ROWS))) for v in np.flatnonzero(have)], "length long, _parts int")
+    shares = spark.createDataFrame([(int(v), max(1, int(-(-have[v] // PART_ROWS)), min(partitions(spark), int(have[v]) // 64))) for v in np.flatnonzero(have)], "length long, _parts int")
     pieces = pieces.join(F.broadcast(shares), "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), "_parts").cast("int")).select(*pieces.columns, "_part")
     sizes = pieces.groupBy("length", "_part").agg(F.count("*").alias("_size"))
     slots, used, sequence = [], np.zeros(window + 1, np.int64), 0

@@ -290,3 +290,23 @@ def test_words_and_lines_that_collide_by_their_build_count_as_different(spark):
     text = "\n".join([word, other, word + " x y " + other + " x y " + word])
     got = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
     assert [got[c] for c in quality_rules.COUNTS[:6]] == list(measure(text))
+
+
+def test_word_encoder_is_the_library():
+    """Signs, digits, contractions, Latin and other letters in any mixture, and a table that is emptied again and again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), np.random.default_rng(5)
+    letters = ["a", "B", "é", "É", "ß", "ñ", "×", "÷", "ª", "µ", "²", "½", "¿", "«", "´", "\x85", "\xa0", "\x7f", "\x9f", "\x01", "'", "'s", "'RE", "'ll", "1", "22", "٣", "-", "...", "_", "日", "本", "Ж", "ﬁ", "\u2028", "\u200b", "é", "🙂", " ", " ", "\n", "<", "|", ">", "word", "Token", "[UNK]", "<|endoftext|>", "ÿ", "À", "Þ"]
+    texts = ["", " ", "don't 'tis x'y''s ...'s", *("".join(rng.choice(letters, int(rng.integers(1, 25)))) for _ in range(3000))]
+    own = packing.WordEncoder(path)
+    own._clear(300)
+    import pyarrow as pa
+
+    from pixelframe.llm.common import buffers
+
+    for lo in range(0, len(texts), 20):
+        part = texts[lo : lo + 20]
+        ids, count = own.encode(*buffers(pa.array(part)))
+        want = [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert count.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
