@@ -198,93 +198,155 @@ def by_place(df: DataFrame, place: str) -> DataFrame:
     return df.repartitionById(partitions(df.sparkSession), F.col(place))
 
 
-def pack_keys(block: int, keys: np.ndarray, rows: np.ndarray, buckets: int) -> dict[str, list]:
-    """Rows (block, bucket, keys, times) for shared_keys(): the low halves of the block's distinct keys, sorted, by bucket.
+#: Messages that a block sends at most, and blocks whose messages are joined where there are more buckets than that.
+FAN = 4096
+
+
+def pack_keys(block: int, keys: np.ndarray, rows: np.ndarray, slots: np.ndarray) -> dict[str, list]:
+    """Rows (block, slot, keys, times) for shared_keys(): the block's distinct keys, sorted by bucket and low half.
 
     rows: the document of each key; `times` is a byte for each key: how many of the block's documents hold it, 1 if only one does.
+    A slot (see slots_of()) is a bucket, or of more than FAN buckets a range of them: a block sends FAN messages at most.
     """
-    order, (uniq, first, last), bucket = _bucket_order(keys, buckets)
+    order, place, first, last = _by_bucket(keys, int(slots[-1]))
     owners = rows[order]
     many = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first) if len(first) else np.zeros(0, bool)
-    times = np.where(many, np.minimum(last - first, 255), 1).astype(np.uint8)
-    out: dict[str, list] = {"block": [], "bucket": [], "keys": [], "times": []}
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        lo, hi = edges[b], edges[b + 1]
+    return _messages(block, place, np.where(many, np.minimum(last - first, 255), 1).astype(np.uint8), slots)
+
+
+def slots_of(buckets: int) -> np.ndarray:
+    """Where each slot begins among the buckets, and their number: a slot for each bucket, or FAN slots of neighbouring ones."""
+    n = min(buckets, FAN)
+    return -(-np.arange(n + 1) * buckets // n)
+
+
+def _messages(block: int, place: np.ndarray, times: np.ndarray, bounds: np.ndarray, lowest: int = 0) -> dict[str, list]:
+    """Sorted places (bucket and low half in one number) as a row for each slot that has some; the slots are numbered from `lowest` on."""
+    out: dict[str, list] = {"block": [], "slot": [], "keys": [], "times": []}
+    edges = _edges(place, bounds)
+    for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        lo, hi = edges[i], edges[i + 1]
         out["block"].append(block)
-        out["bucket"].append(b)
-        out["keys"].append(_planes(uniq[lo:hi]))
+        out["slot"].append(lowest + i)
+        out["keys"].append(_planes(place[lo:hi]))
         out["times"].append(times[lo:hi].tobytes())
     return out
 
 
-def _bucket_order(keys: np.ndarray, buckets: int) -> tuple:
-    bucket = ((keys >> _U(32)) % _U(buckets)).astype(np.uint64)
-    value = (bucket << _U(32)) | (keys & _U(0xFFFFFFFF))
+def _edges(place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the sorted places of each slot begin."""
+    return np.searchsorted(place >> _U(32), bounds.astype(np.uint64))
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, place, first, last): the order of the keys by bucket and low half; of the distinct ones their places and where they begin and end in that order."""
+    value = (((keys >> _U(32)) % _U(buckets)) << _U(32)) | (keys & _U(0xFFFFFFFF))
     order = np.argsort(value, kind="stable")
     value = value[order]
     first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
-    last = np.r_[first[1:], len(value)] if len(first) else first
-    head = value[first]
-    return order, ((head & _U(0xFFFFFFFF)).astype(np.uint32), first, last), (head >> _U(32)).astype(np.int64)
+    return order, value[first], first, np.r_[first[1:], len(value)] if len(first) else first
 
 
-def read_replies(keys: np.ndarray, buckets: int, replies: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
+def read_replies(keys: np.ndarray, slots: np.ndarray, replies: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
     """How many documents hold each of the keys, given as to pack_keys(), by the replies of shared_keys(): 0 where one alone does, at most 255."""
+    order, place, first, last = _by_bucket(keys, int(slots[-1]))
     out = np.zeros(len(keys), np.uint8)
-    order, (uniq, first, last), bucket = _bucket_order(keys, buckets)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    found = np.zeros(len(uniq), np.uint8)
-    for b, (mask, times) in replies.items():
-        lo, hi = edges[b], edges[b + 1]
-        found[lo:hi][np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)] = np.frombuffer(times, np.uint8)
-    out[order] = np.repeat(found, last - first)
+    out[order] = np.repeat(_read(place, _edges(place, slots), 0, replies), last - first)
     return out
 
 
+def _read(place: np.ndarray, edges: np.ndarray, lowest: int, replies: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
+    found = np.zeros(len(place), np.uint8)
+    for slot, (mask, times) in replies.items():
+        lo, hi = edges[slot - lowest], edges[slot - lowest + 1]
+        found[lo:hi][np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)] = np.frombuffer(times, np.uint8)
+    return found
+
+
 def replies_in(table: pa.Table) -> dict[int, tuple[bytes, bytes]]:
-    return dict(zip(table.column("bucket").to_pylist(), zip(table.column("mask").to_pylist(), table.column("times").to_pylist(), strict=True), strict=True))
+    return dict(zip(table.column("slot").to_pylist(), zip(table.column("mask").to_pylist(), table.column("times").to_pylist(), strict=True), strict=True))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Sorted 32-bit values, high bytes first: these repeat, so that the shuffle's compression removes them."""
-    return np.ascontiguousarray(values.astype(">u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(place: np.ndarray) -> bytes:
+    """The bucket of the first place, then the sorted places, high bytes first: these repeat, so that the shuffle's compression removes them. Four bytes a place where all are of one bucket."""
+    wide = place[0] >> _U(32) != place[-1] >> _U(32)
+    raw = (place if wide else place.astype(np.uint32)).astype(">u8" if wide else ">u4")
+    return int(place[0] >> _U(32)).to_bytes(4, "big") + bytes([int(wide)]) + np.ascontiguousarray(raw.view(np.uint8).reshape(len(place), -1).T).tobytes()
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view(">u4").astype(np.uint32)
+    size = 8 if raw[4] else 4
+    place = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=5).reshape(size, -1).T).reshape(-1).view(f">u{size}").astype(np.uint64)
+    return place if raw[4] else place | _U(int.from_bytes(raw[:4], "big") << 32)
 
 
-PACKED = "block int, bucket int, keys binary, times binary"
-REPLIES = "block int, bucket int, mask binary, times binary"
+PACKED = "block int, slot int, keys binary, times binary"
+REPLIES = "block int, slot int, mask binary, times binary"
 
 
 def packed_table(out: dict[str, list]) -> pa.Table:
-    return pa.table({c: pa.array(out[c], pa.int32() if c in ("block", "bucket") else pa.binary()) for c in ("block", "bucket", "keys", "times")})
+    return pa.table({c: pa.array(v, pa.binary() if c in ("keys", "times", "mask") else pa.int32()) for c, v in out.items()})
+
+
+def _summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts' places; the order of all of them, the distinct ones' begins in it, the distinct ones, and their times summed up."""
+    parts = [_from_planes(raw) for raw in table.column("keys").to_pylist()]
+    values, own = np.concatenate(parts), np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint8)
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    total = np.minimum(np.add.reduceat(own[order].astype(np.int64), first), 255).astype(np.uint8)
+    return parts, order, first, values[first], total
+
+
+def _replies(table: pa.Table, parts: list[np.ndarray], times: np.ndarray) -> dict[str, list]:
+    """What each row of the table is told about its keys; times: those of all keys in order of rows."""
+    out: dict[str, list] = {"block": [], "slot": [], "mask": [], "times": []}
+    ends = np.cumsum([len(p) for p in parts])
+    for block, slot, t in zip(table.column("block").to_pylist(), table.column("slot").to_pylist(), np.split(times, ends[:-1]), strict=True):
+        if (hit := t > 1).any():
+            for c, v in zip(out, (block, slot, np.packbits(hit).tobytes(), t[hit].tobytes()), strict=True):
+                out[c].append(v)
+    return out
 
 
-def shared_keys(packed: DataFrame) -> DataFrame:
-    """(block, bucket, mask, times): a bit for each of a block's keys that another document has too, and how many have it (255 at most).
+def shared_keys(packed: DataFrame, slots: np.ndarray) -> DataFrame:
+    """(block, slot, mask, times): a bit for each of a block's keys that another document has too, and how many have it (255 at most).
 
     A key comes once from each block however many of its documents hold it, so that a key of a third of
     all documents sends no more rows to its bucket than there are blocks. The 32 bits compared within a
     bucket make a few chance hits, the same for every holder; callers compare the real values later.
+    Beyond FAN buckets there is a stop between: a relay joins the messages of FAN blocks for a range of buckets, asks as a block
+    itself, and hands the answers on, so that messages grow with blocks times FAN and not with blocks times buckets.
     """
 
     def mark(table: pa.Table) -> pa.Table:
-        blocks, bucket = table.column("block").to_pylist(), table.column("bucket").to_pylist()
-        parts = [_from_planes(raw) for raw in table.column("keys").to_pylist()]
-        ends = np.cumsum([len(p) for p in parts])
-        values, own = np.concatenate(parts), np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint8)
-        del parts
-        order = np.argsort(values, kind="stable")
-        values = values[order]
-        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        total = np.minimum(np.add.reduceat(own[order].astype(np.int64), first), 255).astype(np.uint8)
-        times = np.empty(len(values), np.uint8)
-        times[order] = np.repeat(total, np.diff(np.r_[first, len(values)]))
-        hit = times > 1
-        out = [(b, k, np.packbits(h).tobytes(), t[h].tobytes()) for b, k, h, t in zip(blocks, bucket, np.split(hit, ends[:-1]), np.split(times, ends[:-1]), strict=True) if h.any()]
-        return pa.table({c: pa.array([x[i] for x in out], pa.binary() if i > 1 else pa.int32()) for i, c in enumerate(("block", "bucket", "mask", "times"))})
-
-    return by_place(packed, "bucket").groupBy("bucket").applyInArrow(mark, REPLIES)
+        parts, order, first, _, total = _summed(table)
+        times = np.empty(len(order), np.uint8)
+        times[order] = np.repeat(total, np.diff(np.r_[first, len(order)]))
+        return packed_table(_replies(table, parts, times))
+
+    fan = len(slots) - 1
+    if slots[-1] == fan:
+        return by_place(packed, "slot").groupBy("slot").applyInArrow(mark, REPLIES)
+    sent = by_place(packed.withColumn("relay", (F.floor(F.col("block") / fan) * fan + F.col("slot")).cast("int")), "relay")
+    own = lambda slot: np.arange(slots[slot], slots[slot + 1] + 1)  # noqa: E731  a relay's slots are the buckets of its range
+
+    def join(table: pa.Table) -> pa.Table:
+        _, _, _, place, total = _summed(table)
+        of = own(table.column("slot")[0].as_py())
+        return packed_table(_messages(table.column("relay")[0].as_py(), place, total, of, int(of[0])))
+
+    def hand_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return packed_table({"block": [], "slot": [], "mask": [], "times": []})
+        parts, order, first, place, _ = _summed(left)
+        of = own(left.column("slot")[0].as_py())
+        told = _read(place, _edges(place, of), int(of[0]), replies_in(right))
+        times = np.empty(len(order), np.uint8)
+        times[order] = np.repeat(told, np.diff(np.r_[first, len(order)]))
+        return packed_table(_replies(left, parts, times))
+
+    asked = by_place(sent.groupBy("relay").applyInArrow(join, PACKED), "slot")
+    answers = by_place(asked.groupBy("slot").applyInArrow(mark, REPLIES).withColumnRenamed("block", "relay"), "relay")
+    return sent.groupBy("relay").cogroup(answers.groupBy("relay")).applyInArrow(hand_on, REPLIES)

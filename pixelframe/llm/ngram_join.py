@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCKS_EACH, LOWER, PACKED, block_of, buffers, by_place, checkpoint, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, span_hashes, unite, window_hashes, words
+from .common import BLOCKS_EACH, LOWER, PACKED, block_of, buffers, by_place, checkpoint, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, slots_of, span_hashes, unite, window_hashes, words
 from .components import components
 
 _U = np.uint64
@@ -255,6 +255,7 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
     spark = docs.sparkSession
     ratio = math.log(1.3) if percent == 80 else math.log(1.05 * 100 / percent)
     buckets = partitions(spark)
+    slots = slots_of(buckets)
     blocks = BLOCKS_EACH * buckets
     # tokens are far fewer than shingles: in fewer places more of what joins the same sets is one link
     meeting = max(1, buckets // 8)
@@ -280,18 +281,18 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
         block = (left if left.num_rows else right).column("block")[0].as_py()
         _, sets = chosen(left, right)
         size = [len(x) for x in sets]
-        return packed_table(pack_keys(block, mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), size).astype(np.int64), buckets))
+        return packed_table(pack_keys(block, mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), size).astype(np.int64), slots))
 
-    answers = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED))
+    answers = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED), slots)
     replies = picked.unionByName(by_place(answers, "block"), allowMissingColumns=True)
 
     def active(left: pa.Table, right: pa.Table) -> pa.Table:
-        reply = right.filter(right.column("bucket").is_valid())
-        ids, sets = chosen(left, right.filter(right.column("bucket").is_null()))
+        reply = right.filter(right.column("slot").is_valid())
+        ids, sets = chosen(left, right.filter(right.column("slot").is_null()))
         rows, token, place, holder = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
         if sets and reply.num_rows:
             every_key = mix(np.concatenate(sets))
-            times = read_replies(every_key, buckets, replies_in(reply))
+            times = read_replies(every_key, slots, replies_in(reply))
             ends = np.cumsum([len(x) for x in sets])
             for d, v, key, t in zip(ids, sets, np.split(every_key, ends[:-1]), np.split(times, ends[:-1]), strict=True):
                 n = len(v)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCKS_EACH, PACKED, block_of, buffers, by_place, checkpoint, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, window_hashes
+from .common import BLOCKS_EACH, PACKED, block_of, buffers, by_place, checkpoint, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, slots_of, window_hashes
 
 _U = np.uint64
 #: Bytes of the anchors; any string of the least length holds anchors at LEAST - ANCHOR + 1 places.
@@ -280,6 +280,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
+    slots = slots_of(buckets)
     blocks = BLOCKS_EACH * buckets
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rest = [c for c in docs.columns if c not in (*made, "text", "_block", "_tie")]
@@ -307,12 +308,12 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
 
     def keys_of(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return packed_table({c: [] for c in ("block", "bucket", "keys", "times")})
+            return packed_table({"block": [], "slot": [], "keys": [], "times": []})
         left, _, live = ranked(left, right)
         parts = [(lo + f[0], f[4]) for lo, _, _, f in marked(left, live)]
-        return packed_table(pack_keys(left.column("_block")[0].as_py(), np.concatenate([k for _, k in parts]), np.concatenate([r for r, _ in parts]), buckets))
+        return packed_table(pack_keys(left.column("_block")[0].as_py(), np.concatenate([k for _, k in parts]), np.concatenate([r for r, _ in parts]), slots))
 
-    answers = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(keys_of, PACKED))
+    answers = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(keys_of, PACKED), slots)
     replies = copies.unionByName(by_place(answers, "block"), allowMissingColumns=True)
 
     def common(left: pa.Table, right: pa.Table) -> tuple:
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
         if not reply.num_rows:
             return left, ids, live, None
         found = list(marked(left, live))
-        hit = read_replies(np.concatenate([f[4] for *_, f in found]), buckets, replies_in(reply)) > 0
+        hit = read_replies(np.concatenate([f[4] for *_, f in found]), slots, replies_in(reply)) > 0
         parts, at = [], 0
         for lo, data, offsets, (row, place, begin, last, key) in found:
             own = hit[at : at + len(key)]

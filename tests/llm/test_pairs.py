@@ -127,23 +127,40 @@ def test_words_that_collide_by_their_build_stay_apart(spark):
     assert got == {1: 1, 2: 2}
 
 
-@pytest.mark.parametrize("size", [0, 7])
-def test_shared_keys_counts_documents(spark, size):
+@pytest.mark.parametrize(("size", "buckets", "fan"), [(0, 3, 4096), (7, 3, 4096), (7, 50, 6), (9, 41, 7), (200, 500, 16)])
+def test_shared_keys_counts_documents(spark, size, buckets, fan, monkeypatch):
+    """Directly, and with relays where there are more buckets than messages allowed: no block sends more than these."""
+    monkeypatch.setattr(common, "FAN", fan)
+    slots = common.slots_of(buckets)
     rng = np.random.default_rng(size)
-    held = {d: {int(x) for x in rng.integers(0, 40, size)} for d in range(30)}
+    held = {d: {int(x) for x in rng.integers(0, 40 * max(1, size // 8), size)} for d in range(90)}
     rows, asked = [], {}
-    for block in range(5):
-        own = [(k, d) for d, ks in held.items() if d % 5 == block for k in ks]
+    for block in range(30):
+        own = [(k, d) for d, ks in held.items() if d % 30 == block for k in ks]
         keys = common.mix(np.array([k for k, _ in own], np.uint64))
         asked[block] = keys, own
-        out = common.pack_keys(block, keys, np.array([d for _, d in own], np.int64), 3)
-        rows += zip(*(out[c] for c in ("block", "bucket", "keys", "times")), strict=True)
-    got = common.shared_keys(spark.createDataFrame(rows, common.PACKED)).collect()
+        out = common.pack_keys(block, keys, np.array([d for _, d in own], np.int64), slots)
+        assert len(out["block"]) <= fan
+        rows += zip(*(out[c] for c in ("block", "slot", "keys", "times")), strict=True)
+    got = common.shared_keys(spark.createDataFrame(rows, common.PACKED), slots).collect()
     for block, (keys, own) in asked.items():
-        times = common.read_replies(keys, 3, {r.bucket: (r.mask, r.times) for r in got if r.block == block})
+        times = common.read_replies(keys, slots, {r.slot: (r.mask, r.times) for r in got if r.block == block})
         for (k, _), t in zip(own, times.tolist(), strict=True):
             n = sum(k in ks for ks in held.values())
-            assert t == (n if n > 1 else 0)
+            assert t == (min(n, 255) if n > 1 else 0)
+
+
+def test_many_partitions(spark, docs, monkeypatch):
+    """Far more buckets and blocks than messages allowed, through relays: the same results."""
+    few = ngram_join.ngram_components(docs).collect(), suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed", "kept_sha256").collect()
+    monkeypatch.setattr(common, "FAN", 6)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        many = ngram_join.ngram_components(docs.limit(60)).count(), suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed", "kept_sha256").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert many[0] == 60
+    assert sorted(map(str, many[1])) == sorted(map(str, few[1]))
 
 
 def removed(rows, least=50):
