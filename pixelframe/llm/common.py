@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,52 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns the memory that a worker has freed to the system: workers live on between stages, several for each core."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group that gives back its memory at the end."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_pair(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """lean() for two groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return fn(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_batches(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """lean() for a function of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 #: Blocks of documents for each shuffle partition: a task holds one at a time.
 BLOCKS_EACH = 3
 
@@ -328,7 +375,7 @@ def shared_keys(packed: DataFrame, slots: np.ndarray) -> DataFrame:
 
     fan = len(slots) - 1
     if slots[-1] == fan:
-        return by_place(packed, "slot").groupBy("slot").applyInArrow(mark, REPLIES)
+        return by_place(packed, "slot").groupBy("slot").applyInArrow(lean(mark), REPLIES)
     sent = by_place(packed.withColumn("relay", (F.floor(F.col("block") / fan) * fan + F.col("slot")).cast("int")), "relay")
     own = lambda slot: np.arange(slots[slot], slots[slot + 1] + 1)  # noqa: E731  a relay's slots are the buckets of its range
 
@@ -347,6 +394,6 @@ def shared_keys(packed: DataFrame, slots: np.ndarray) -> DataFrame:
         times[order] = np.repeat(told, np.diff(np.r_[first, len(order)]))
         return packed_table(_replies(left, parts, times))
 
-    asked = by_place(sent.groupBy("relay").applyInArrow(join, PACKED), "slot")
-    answers = by_place(asked.groupBy("slot").applyInArrow(mark, REPLIES).withColumnRenamed("block", "relay"), "relay")
-    return sent.groupBy("relay").cogroup(answers.groupBy("relay")).applyInArrow(hand_on, REPLIES)
+    asked = by_place(sent.groupBy("relay").applyInArrow(lean(join), PACKED), "slot")
+    answers = by_place(asked.groupBy("slot").applyInArrow(lean(mark), REPLIES).withColumnRenamed("block", "relay"), "relay")
+    return sent.groupBy("relay").cogroup(answers.groupBy("relay")).applyInArrow(lean_pair(hand_on), REPLIES)

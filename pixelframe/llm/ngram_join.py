@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCKS_EACH, LOWER, PACKED, block_of, buffers, by_place, checkpoint, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, slots_of, span_hashes, unite, window_hashes, words
+from .common import BLOCKS_EACH, LOWER, PACKED, block_of, buffers, by_place, checkpoint, lean, lean_batches, lean_pair, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, slots_of, span_hashes, unite, window_hashes, words
 from .components import components
 
 _U = np.uint64
@@ -173,7 +173,7 @@ def linked(sets: DataFrame, groups: DataFrame, percent: int, every: bool) -> Dat
         return rows.join(checkpoint(size), "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
 
     def compared(places: DataFrame, *by: str) -> DataFrame:
-        return sets.join(places, "doc_id").groupBy(*by).applyInArrow(lambda t: tile_links(t, percent, every), schema)
+        return sets.join(places, "doc_id").groupBy(*by).applyInArrow(lean(lambda t: tile_links(t, percent, every)), schema)
 
     slim = sets.groupBy("doc_id").agg(F.sum("n").alias("n")).join(groups, "doc_id")
     dealt = checkpoint(parted(slim))
@@ -230,7 +230,7 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
                 h, at = shingle_sets(*buffers(column.slice(lo, hi - lo)), k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, fingerprints(h, at))], names=["doc_id", "n", "s1", "s2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean_batches(run), "doc_id long, n long, s1 long, s2 long")
 
 
 def with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
         size = [len(x) for x in sets]
         return packed_table(pack_keys(block, mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), size).astype(np.int64), slots))
 
-    answers = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(keys_of, PACKED), slots)
+    answers = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(lean_pair(keys_of), PACKED), slots)
     replies = picked.unionByName(by_place(answers, "block"), allowMissingColumns=True)
 
     def active(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -332,9 +332,9 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
         _, a, b = forest(read("keys", np.uint64), read("docs", np.int64))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    known = checkpoint(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(active, ACTIVE))
+    known = checkpoint(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lean_pair(active), ACTIVE))
     tokens = by_place(known.where("bucket IS NOT NULL").select("bucket", "keys", "docs"), "bucket")
-    near = known.where("a IS NOT NULL").select("a", "b").unionByName(tokens.groupBy("bucket").applyInArrow(meet, "a long, b long"))
+    near = known.where("a IS NOT NULL").select("a", "b").unionByName(tokens.groupBy("bucket").applyInArrow(lean(meet), "a long, b long"))
     groups = components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "grp")
     sets = known.where("items IS NOT NULL").select("doc_id", "n", "items")
     return facts, classes, linked(sets, checkpoint(groups), percent, every)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import LOWER, buffers, checkpoint, partitions, slices, span_hashes, words
+from .common import LOWER, buffers, checkpoint, lean_batches, partitions, slices, span_hashes, words
 
 #: White space beyond ASCII as the tokenizer drops it (Unicode White_Space), in UTF-8: no token spans it.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -210,7 +210,7 @@ def cut(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
                     out += ((doc, at, min(window, n - at), zlib.crc32(ids[b + 4 * at : b + 4 * min(at + window, n)]), n) for at in range(0, n, window))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=PIECES.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean_batches(run), PIECES)
 
 
 def combinations(have: np.ndarray, window: int, partners: int = 12) -> list[tuple[int, ...]]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, checkpoint, slices, span_hashes, words
+from .common import buffers, checkpoint, lean_batches, slices, span_hashes, words
 
 STATISTICS = (
     "log_bytes", "log_words", "mean_word_bytes", "sd_word_bytes", "upper_share", "digit_share", "symbol_share", "bang_share",
@@ -82,7 +82,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in rest), values], names=[*rest, "x"])
 
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return docs.select(*rest, text).mapInArrow(lean_batches(run), schema)
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,7 @@ def score(stats: DataFrame, model: Discriminant | None) -> DataFrame:
             s = logistic(odds)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*rest, "score", "predicted"])
 
-    return stats.mapInArrow(run, schema)
+    return stats.mapInArrow(lean_batches(run), schema)
 
 
 def classify(docs: DataFrame, model: Discriminant | None, text: str = "text") -> DataFrame:
@@ -176,7 +176,7 @@ def classify(docs: DataFrame, model: Discriminant | None, text: str = "text") ->
                 s = logistic(model.log_odds(x) if model is not None else np.zeros(len(x)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(lean_batches(run), schema)
 
 
 #: Labelled rows that learn() reads when no statistics are given.

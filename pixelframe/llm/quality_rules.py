@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import buffers, mix, slices, span_hashes, words
+from .common import buffers, lean_batches, mix, slices, span_hashes, words
 
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _U = np.uint64
@@ -158,7 +158,7 @@ def quality_rules(docs: DataFrame, text: str = "text", least_repeat: int = 10, m
                 arrays = [*(batch.column(c).slice(lo, hi - lo) for c in rest), *(pa.array(m[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *COUNTS, "base_failed", "kept"])
 
-    return docs.select(*dict.fromkeys([*rest, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*rest, text])).mapInArrow(lean_batches(run), schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCKS_EACH, PACKED, block_of, buffers, by_place, checkpoint, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, slots_of, window_hashes
+from .common import BLOCKS_EACH, PACKED, block_of, buffers, by_place, checkpoint, lean, lean_pair, mix, pack_keys, packed_table, partitions, read_replies, replies_in, shared_keys, slices, slots_of, window_hashes
 
 _U = np.uint64
 #: Bytes of the anchors; any string of the least length holds anchors at LEAST - ANCHOR + 1 places.
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
         parts = [(lo + f[0], f[4]) for lo, _, _, f in marked(left, live)]
         return packed_table(pack_keys(left.column("_block")[0].as_py(), np.concatenate([k for _, k in parts]), np.concatenate([r for r, _ in parts]), slots))
 
-    answers = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(keys_of, PACKED), slots)
+    answers = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(lean_pair(keys_of), PACKED), slots)
     replies = copies.unionByName(by_place(answers, "block"), allowMissingColumns=True)
 
     def common(left: pa.Table, right: pa.Table) -> tuple:
@@ -342,13 +342,13 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
                 out = list(coded(left.column("_block")[0].as_py(), *held[:5]))
         return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i > 1 else pa.int32()) for i, c in enumerate(names)})
 
-    runs = dealt.groupBy("_block").cogroup(replies.groupBy("block")).applyInArrow(runs_of, RUNS)
+    runs = dealt.groupBy("_block").cogroup(replies.groupBy("block")).applyInArrow(lean_pair(runs_of), RUNS)
 
     def merge(table: pa.Table) -> pa.Table:
         out = repeated(table, least)
         return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i > 1 else pa.int32()) for i, c in enumerate(("block", "bucket", "hits"))})
 
-    found = replies.unionByName(by_place(by_place(runs, "bucket").groupBy("bucket").applyInArrow(merge, FOUND), "block"), allowMissingColumns=True)
+    found = replies.unionByName(by_place(by_place(runs, "bucket").groupBy("bucket").applyInArrow(lean(merge), FOUND), "block"), allowMissingColumns=True)
     fields = [*docs.select(*rest).schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("text", T.StringType()))
@@ -394,7 +394,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
             columns["text"] = pa.array(out["text"], pa.string())
         return pa.table(columns)
 
-    return dealt.groupBy("_block").cogroup(found.groupBy("block")).applyInArrow(removed, schema)
+    return dealt.groupBy("_block").cogroup(found.groupBy("block")).applyInArrow(lean_pair(removed), schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
