@@ -41,7 +41,7 @@ class PieceEncoder:
         self.score = {p: model.get_score(i) for p, i in self.id.items()}
         self.longest = max(map(len, self.score))
         own = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.text_of = [own.get(i) or p.encode() for i, p in enumerate(self.pieces)]
+        self.text_of = [own.get(i) or p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         # letters that only occur within pieces are numbered after the pieces
         number = dict(self.id)
         for c in sorted({c for p in self.id for c in p}):
@@ -155,12 +155,18 @@ class PieceEncoder:
         return out, begins
 
     def ids_of(self, texts: list[str], rate: float = 0.0, heads: list[int] | None = None) -> list[bytes]:
-        """Ids of whole texts as little-endian bytes; pieces outside the vocabulary go byte by byte. heads: the keys of the texts' draws."""
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-        code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4")
+        """Ids of whole texts as little-endian bytes; pieces outside the vocabulary go byte by byte. heads: the keys of the texts' draws.
+
+        With dropout a space mark that a text itself has goes byte by byte too; without, it stands for a space, as in the library.
+        """
+        given = [" " + t if t else "" for t in texts]
+        code = np.frombuffer("".join(given).encode("utf-32-le"), "<u4")
         if not len(code):
             return [b""] * len(texts)
-        size = np.array([len(t) for t in marked])
+        mark = code == ord(SPACE) if rate > 0 else np.zeros(len(code), bool)
+        # the noncharacter is in no vocabulary
+        code = np.where(mark, 0xFFFF, np.where(code == 32, ord(SPACE), code)).astype("<u4")
+        size = np.array([len(t) for t in given])
         first = (np.cumsum(size) - size)[size > 0]
         # no piece has a letter before a space mark, so that no merge spans two units: space marks and what follows them
         space = code == ord(SPACE)
@@ -176,7 +182,7 @@ class PieceEncoder:
         ends = np.searchsorted(at, np.cumsum(size))
         bare = np.flatnonzero((piece < 0) | (piece >= len(self.pieces)))
         if len(bare):
-            raw = [[self.bytes[b] for b in chr(c).encode()] for c in code[at[bare]].tolist()]
+            raw = [[self.bytes[b] for b in (SPACE if m else chr(c)).encode()] for c, m in zip(code[at[bare]].tolist(), mark[at[bare]].tolist(), strict=True)]
             wide = np.ones(len(piece), np.int64)
             wide[bare] = [len(r) for r in raw]
             total = np.r_[0, np.cumsum(wide)]
@@ -189,8 +195,8 @@ class PieceEncoder:
         return self.ids_of([text], rate, [head])[0]
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids; the inverse of ids() but for the space mark itself, which reads as a space."""
-        text = b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace").replace(SPACE, " ")
+        """The text of ids; the inverse of ids() with dropout (without, a space mark in a text reads as a space)."""
+        text = b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -205,7 +211,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", rate: float = 0.1, seed:
     Merges are skipped by a hash keyed by the seed, the text's variant (the hash of its bytes modulo `variants`), the
     row's doc_id (if there is one), the text itself and the place in it: a word is segmented anew wherever it occurs,
     and a row with the same doc_id and text alike for the same seed, whatever the partitioning. Null and empty texts have no
-    pieces; long ones are encoded whole; rows are independent, whatever repeats or is null; columns named like a result are replaced.
+    pieces; long ones are encoded whole; `lossless` tells whether the pieces decode to the very text (at rate 0 a text with the letter U+2581 does not); rows are independent, whatever repeats or is null; columns named like a result are replaced.
     """
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     made = ["n_bytes", "n_pieces", "ids_crc32", "lossless"]
@@ -225,7 +231,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", rate: float = 0.1, seed:
                 docs_of = part.column("doc_id").to_pylist() if "doc_id" in rest else [None] * len(raw)
                 heads = [xxhash.xxh64_intdigest(r, xxhash.xxh64_intdigest(f"{seed}\0{zlib.crc32(r) % variants}\0{d}")) for d, r in zip(docs_of, raw, strict=True)]
                 ids = encoder(path).ids_of(texts, rate, heads)
-                sound = [encoder(path).decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+                sound = [encoder(path).decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 arrays = [*(part.column(c) for c in rest), pa.array(list(map(len, raw)), pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(sound, pa.bool_())]
                 if with_ids:
                     arrays.append(pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32())))

@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pixelframe.llm import packing, piece_dropout, quality_classifier, quality_rules, sharding, token_counts, url_filter
+from pixelframe.llm import common, packing, piece_dropout, quality_classifier, quality_rules, sharding, token_counts, url_filter
 
 
 def test_token_counts(docs, rows):
@@ -310,3 +310,43 @@ def test_word_encoder_is_the_library():
         want = [library.encode(t, add_special_tokens=False).ids for t in part]
         assert count.tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_merge_dropout_by_brute_force():
+    """Again and again the best merge of all that are left, by one look at each pair."""
+    encoder = piece_dropout.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(12)
+    one = lambda v: np.array([v & (1 << 64) - 1], np.uint64)
+    mixed = lambda v: int(common.mix(one(v))[0])
+    words = ["international", "the", "and", "é", "日本", "x", "  ", "▁", "naïve", "1999", "counterrevolutionaries" * 4, "aaaa", "\uffff", "🙂", "ing"]
+    for turn in range(60):
+        text = " ".join(rng.choice(words, int(rng.integers(1, 7))))
+        rate, key = (0.0, 0.15, 0.6)[turn % 3], int(rng.integers(0, 1 << 62))
+        letters = ["▁", *("▁" if c == " " else c if c != "▁" or rate == 0 else None for c in text)]
+        starts = [i for i, c in enumerate(letters) if c == "▁" and (i == 0 or letters[i - 1] != "▁")]
+        want = []
+        for place, (a, b) in enumerate(zip(starts, [*starts[1:], len(letters)], strict=True)):
+            head, parts, at = mixed(key + place), letters[a:b], list(range(b - a))
+            while True:
+                best = None
+                for i in range(len(parts) - 1):
+                    piece = parts[i] + parts[i + 1] if parts[i] is not None and parts[i + 1] is not None else None
+                    if piece in encoder.score and not (rate and mixed(head + mixed(at[i] << 32 | len(piece))) <= int(rate * (1 << 64)) - 1) and (best is None or encoder.score[piece] > encoder.score[parts[best] + parts[best + 1]]):
+                        best = i
+                if best is None:
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+                del at[best + 1]
+            for p in parts:
+                want += [encoder.id[p]] if p in encoder.id else [encoder.bytes[x] for x in (p or "▁").encode()]
+        got = encoder.ids(text, rate, key)
+        assert np.frombuffer(got, "<u4").tolist() == want, (text, rate)
+        assert encoder.decode(got) == (text if rate else text.replace("▁", " "))
+
+
+def test_lossless_is_honest(spark):
+    df = spark.createDataFrame([(1, "a ▁ b"), (2, "▁"), (3, " plain  text "), (4, None)], "doc_id int, text string")
+    assert {r.doc_id: r.lossless for r in piece_dropout.encode_pieces(df, rate=0.0).collect()} == {1: False, 2: False, 3: True, 4: True}
+    varied = piece_dropout.encode_pieces(df, rate=0.3)
+    assert varied.where("NOT lossless").count() == 0
+    assert dict(piece_dropout.decode_pieces(varied.select("doc_id", "piece_ids")).collect()) == {1: "a ▁ b", 2: "▁", 3: " plain  text ", 4: ""}
