@@ -1,5 +1,6 @@
 """Operators 5 to 9 and 2, 3 against libraries, round trips, brute force and their laws."""
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -350,3 +351,16 @@ def test_lossless_is_honest(spark):
     varied = piece_dropout.encode_pieces(df, rate=0.3)
     assert varied.where("NOT lossless").count() == 0
     assert dict(piece_dropout.decode_pieces(varied.select("doc_id", "piece_ids")).collect()) == {1: "a ▁ b", 2: "▁", 3: " plain  text ", 4: ""}
+
+
+def test_accepted_moves_are_the_most_there_can_be():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = 3
+        asked = {(s, t): int(rng.integers(0, 4)) for s in range(n) for t in range(n) if s != t and rng.random() < 0.7}
+        loose = {s: int(rng.integers(0, 3)) for s in range(n)}
+        got = sharding.accepted({k: v for k, v in asked.items() if v}, loose, n)
+        fits = lambda flow: all(sum(v for (_, t), v in flow.items() if t == s) - sum(v for (f, _), v in flow.items() if f == s) <= loose[s] for s in range(n))  # noqa: E731, B023
+        assert fits(got) and all(0 < v <= asked[k] for k, v in got.items())
+        best = max(sum(c) for c in itertools.product(*(range(v + 1) for v in asked.values())) if fits(dict(zip(asked, c, strict=True))))
+        assert sum(got.values()) == best
