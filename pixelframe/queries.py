@@ -207,12 +207,13 @@ _KIND = "CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'end' ELSE 'exception
 query("f8_phase_state", "SELECT test, arg_max(phase, seq) FILTER (kind = 'start') AS phase_start, arg_max(phase, seq) FILTER (kind = 'end') AS phase_end, arg_max(phase, seq) FILTER (kind = 'exception') AS phase_exception, split_part(arg_max(phase, seq) FILTER (kind = 'exception'), ':', 1) AS failed_phase FROM ev GROUP BY ALL", f"ev AS (SELECT user_id AS test, event_id AS seq, {_KIND} AS kind, event_type || ':' || (event_id % 4) AS phase FROM events)")(lambda s, d: mt.phase_state(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("test"), F.col("event_id").alias("seq"), F.expr(_KIND).alias("kind"), F.expr("concat(event_type, ':', event_id % 4)").alias("phase"))))
 _LINE = "CASE event_id % 50 WHEN 0 THEN '==== test session ====' WHEN 10 THEN '==== FAILURES ====' WHEN 11 THEN '____ test_a ____' WHEN 20 THEN '____ test_b ____' WHEN 30 THEN '==== summary ====' ELSE {0} END"
 query("f9_failure_sections", "SELECT file, section, string_agg(text, chr(10) ORDER BY n) AS body FROM (SELECT event_id // 50 AS file, event_id AS n, event_type AS text, CASE WHEN event_id % 50 < 20 THEN 'test_a' ELSE 'test_b' END AS section FROM events WHERE event_id % 50 BETWEEN 12 AND 29 AND event_id % 50 <> 20 AND (event_id // 50) * 50 + 11 >= (SELECT min(event_id) FROM events)) GROUP BY file, section")(lambda s, d: mt.failure_sections(s.read.parquet(f"{d}/events.parquet").select(F.expr("event_id div 50").alias("file"), F.col("event_id").alias("line_no"), F.expr(_LINE.format("event_type")).alias("text"))))
-_RAST = "ra AS (SELECT gr.x, gr.y, coalesce(max((SCL IN (3, 8))::INT) FILTER (t < TIMESTAMP '1995-04-01'), 0) AS m, max(B04) AS v FROM gr JOIN px USING (x, y) GROUP BY ALL)"
+_RAST = "ra AS (SELECT gr.x, gr.y, (arg_max(SCL, t) IN (3, 8))::INT AS m, max(B04) AS v FROM gr JOIN px USING (x, y) GROUP BY ALL)"
 
 
 def _raster(s: SparkSession, d: str) -> DataFrame:
+    """Each pixel's largest red value over all dates, and whether its latest date is cloudy."""
     px = tc.pixels(s, d, ("B04", "SCL"))
-    return px.groupBy("x", "y").agg(F.coalesce(F.max(F.when(F.col("t") < F.lit("1995-04-01").cast("timestamp"), cb.scl_mask((3, 8)).cast("int"))), F.lit(0)).alias("m"), F.max("B04").alias("v"))
+    return px.groupBy("x", "y").agg(F.max_by("SCL", "t").isin(3, 8).cast("int").alias("m"), F.max("B04").alias("v"))
 
 
 _AROUND = "SELECT a.x, a.y, {what} FROM ra a JOIN ra b ON abs(a.x - b.x) <= {r} AND abs(a.y - b.y) <= {r} GROUP BY a.x, a.y"
@@ -221,8 +222,8 @@ query("f10_kernel", "SELECT a.x, a.y, round(sum(b.v * w)::DOUBLE / 16, 6) AS v F
 query("f11_erode", _AROUND.format(what="(sum(b.m) >= 9)::INT::DOUBLE AS m", r=1), _RAST)(lambda s, d: wn.erode(_raster(s, d).select("x", "y", "m")))
 query("f11_dilate", _AROUND.format(what="(sum(b.m) > 0)::INT::DOUBLE AS m", r=1), _RAST)(lambda s, d: wn.dilate(_raster(s, d).select("x", "y", "m")))
 query("f11_opening", "SELECT a.x, a.y, (sum(b.m) > 0)::INT::DOUBLE AS m FROM er a JOIN er b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL", f"{_RAST}, er AS (SELECT a.x, a.y, (sum(1 - b.m) >= 9)::INT AS m FROM ra a JOIN ra b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL)")(lambda s, d: wn.opening(_raster(s, d).select("x", "y", (1 - F.col("m")).alias("m"))))
-query("f12_scl_dilation", "SELECT a.x, a.y, max(b.m1) + 0 > 0 OR max(CASE WHEN abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 THEN b.m2 ELSE 0 END) > 0 AS mask FROM cl a JOIN cl b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY a.x, a.y", "cl AS (SELECT x, y, (NOT c IN (2, 4, 5, 6, 7, 8, 9, 10))::INT AS m1, (c IN (3, 8))::INT AS m2 FROM (SELECT x, y, max(SCL) FILTER (t < TIMESTAMP '1995-03-01') AS c FROM px GROUP BY ALL) WHERE c IS NOT NULL)")(
-    lambda s, d: wn.scl_dilation_mask(tc.pixels(s, d, ("SCL",)).where("t < timestamp'1995-03-01'").groupBy("x", "y").agg(F.max("SCL").alias("SCL")), kernel1_size=5, kernel2_size=3, mask1_values=(2, 4, 5, 6, 7, 8, 9, 10), mask2_values=(3, 8), erosion_kernel_size=1)
+query("f12_scl_dilation", "SELECT a.x, a.y, max(b.m1) + 0 > 0 OR max(CASE WHEN abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 THEN b.m2 ELSE 0 END) > 0 AS mask FROM cl a JOIN cl b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY a.x, a.y", "cl AS (SELECT x, y, (NOT c IN (2, 4, 5, 6, 7, 8, 9, 10))::INT AS m1, (c IN (3, 8))::INT AS m2 FROM (SELECT x, y, arg_max(SCL, t) AS c FROM px GROUP BY ALL))")(
+    lambda s, d: wn.scl_dilation_mask(tc.pixels(s, d, ("SCL",)).groupBy("x", "y").agg(F.max_by("SCL", "t").alias("SCL")), kernel1_size=5, kernel2_size=3, mask1_values=(2, 4, 5, 6, 7, 8, 9, 10), mask2_values=(3, 8), erosion_kernel_size=1)
 )
 query("f13_cloud_distance", "SELECT a.x, a.y, round(CASE WHEN d IS NULL OR d > 6 THEN 1 WHEN d = 0 THEN 0 ELSE 1 - exp(-(d * d) / 18.0) END, 6) AS score FROM (SELECT a.x, a.y, min(abs(a.x - b.x) + abs(a.y - b.y)) AS d FROM ra a LEFT JOIN (SELECT * FROM ra WHERE m > 0 AND x % 5 = 0) b ON TRUE GROUP BY ALL) a", _RAST)(lambda s, d: wn.cloud_distance_score(_raster(s, d).select("x", "y", ((F.col("m") > 0) & (F.col("x") % 5 == 0)).alias("cloud")), "cloud", 6, 3.0).drop("cloud"))
 cube_query("f14_date_score", "SELECT x, y, t, round(exp(-((day(t) - 15) * (day(t) - 15)) / 200.0), 6) AS score FROM px", lambda d: d.select("x", "y", "t", wn.date_score().alias("score")), ("SCL",))
