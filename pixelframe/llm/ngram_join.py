@@ -261,7 +261,7 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
     meeting = max(1, buckets // 8)
     facts = checkpoint(set_facts(docs, k))
     classes = checkpoint(facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-    picked = by_place(classes.select(block_of("rep", blocks).alias("block"), F.col("rep").alias("doc_id"), "s1"), "block")
+    picked = classes.select(block_of("rep", blocks).alias("block"), F.col("rep").alias("doc_id"), "s1")
     dealt = by_place(docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "block")
 
     def chosen(left: pa.Table, right: pa.Table) -> tuple[list[int], list[np.ndarray]]:
@@ -283,8 +283,8 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
         size = [len(x) for x in sets]
         return packed_table(pack_keys(block, mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), size).astype(np.int64), slots))
 
-    answers = shared_keys(dealt.groupBy("block").cogroup(picked.groupBy("block")).applyInArrow(lean_pair(keys_of), PACKED), slots)
-    replies = picked.unionByName(by_place(answers, "block"), allowMissingColumns=True)
+    answers = shared_keys(dealt.groupBy("block").cogroup(by_place(picked, "block").groupBy("block")).applyInArrow(lean_pair(keys_of), PACKED), slots)
+    replies = by_place(picked.unionByName(answers, allowMissingColumns=True), "block")
 
     def active(left: pa.Table, right: pa.Table) -> pa.Table:
         reply = right.filter(right.column("slot").is_valid())

@@ -289,7 +289,6 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
     # a table of its own, so that Spark can split the rows of a text with very many copies
     first = checkpoint(texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = texts.join(first.select("sha", "first"), "sha").where("doc_id > first").select(block_of("doc_id", blocks).alias("block"), "doc_id", "_tie").distinct()
-    copies = by_place(copies, "block")
 
     def ranked(left: pa.Table, right: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         """The block in a fixed order, its ids, and which rows are to be looked at: not copies, and with an id."""
@@ -313,8 +312,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
         parts = [(lo + f[0], f[4]) for lo, _, _, f in marked(left, live)]
         return packed_table(pack_keys(left.column("_block")[0].as_py(), np.concatenate([k for _, k in parts]), np.concatenate([r for r, _ in parts]), slots))
 
-    answers = shared_keys(dealt.groupBy("_block").cogroup(copies.groupBy("block")).applyInArrow(lean_pair(keys_of), PACKED), slots)
-    replies = copies.unionByName(by_place(answers, "block"), allowMissingColumns=True)
+    answers = shared_keys(dealt.groupBy("_block").cogroup(by_place(copies, "block").groupBy("block")).applyInArrow(lean_pair(keys_of), PACKED), slots)
+    replies = copies.unionByName(answers, allowMissingColumns=True)
 
     def common(left: pa.Table, right: pa.Table) -> tuple:
         """The block in order, its ids, its live rows; and of the anchors that other texts have too: runs, records, rows and starts."""
@@ -342,13 +341,13 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
                 out = list(coded(left.column("_block")[0].as_py(), *held[:5]))
         return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i > 1 else pa.int32()) for i, c in enumerate(names)})
 
-    runs = dealt.groupBy("_block").cogroup(replies.groupBy("block")).applyInArrow(lean_pair(runs_of), RUNS)
+    runs = dealt.groupBy("_block").cogroup(by_place(replies, "block").groupBy("block")).applyInArrow(lean_pair(runs_of), RUNS)
 
     def merge(table: pa.Table) -> pa.Table:
         out = repeated(table, least)
         return pa.table({c: pa.array([o[i] for o in out], pa.binary() if i > 1 else pa.int32()) for i, c in enumerate(("block", "bucket", "hits"))})
 
-    found = replies.unionByName(by_place(by_place(runs, "bucket").groupBy("bucket").applyInArrow(lean(merge), FOUND), "block"), allowMissingColumns=True)
+    found = replies.unionByName(by_place(runs, "bucket").groupBy("bucket").applyInArrow(lean(merge), FOUND), allowMissingColumns=True)
     fields = [*docs.select(*rest).schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("text", T.StringType()))
@@ -394,7 +393,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) ->
             columns["text"] = pa.array(out["text"], pa.string())
         return pa.table(columns)
 
-    return dealt.groupBy("_block").cogroup(found.groupBy("block")).applyInArrow(lean_pair(removed), schema)
+    return dealt.groupBy("_block").cogroup(by_place(found, "block").groupBy("block")).applyInArrow(lean_pair(removed), schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
