@@ -77,7 +77,7 @@ def lean_batches(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 #: Blocks of documents for each shuffle partition: a task holds one at a time.
-BLOCKS_EACH = 3
+BLOCKS_EACH = 2
 
 
 def partitions(spark: SparkSession) -> int:
