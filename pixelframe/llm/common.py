@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -397,3 +398,18 @@ def shared_keys(packed: DataFrame, slots: np.ndarray) -> DataFrame:
     asked = by_place(sent.groupBy("relay").applyInArrow(lean(join), PACKED), "slot")
     answers = by_place(asked.groupBy("slot").applyInArrow(lean(mark), REPLIES).withColumnRenamed("block", "relay"), "relay")
     return sent.groupBy("relay").cogroup(answers.groupBy("relay")).applyInArrow(lean_pair(hand_on), REPLIES)
+
+
+# --- tables of a job's own ----------------------------------------------------------------------
+
+
+def scratch(df: DataFrame, name: str) -> str:
+    """A new path in the folder that checkpoints go to, shared by all executors."""
+    checkpoint(df.sparkSession.range(1))  # sets the folder where a local session has none
+    return f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what was written to a path of scratch()."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, ngram_join, packing, piece_dropout, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filter
+from . import collocations, decontamination, embedding_dedup, ngram_join, packing, piece_dropout, quality_classifier, quality_rules, sharding, source_divergence, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_quality_classifier": quality_classifier.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
+    "op11_source_divergence": source_divergence.op11,
+    "op12_decontamination": decontamination.op12,
+    "op13_collocations": collocations.op13,
 }
-#: Models, tokenizers, graphs and iterative placement have no SQL; these two are checked on whole tables.
+#: Models, tokenizers, graphs and iterative placement have no SQL; these are checked on whole tables.
 ORACLES: dict[str, str] = {
     "op1_ngram_join": r"""
 WITH RECURSIVE
@@ -41,4 +44,7 @@ m AS (SELECT doc_id, i, y, max((f < doc_id)::INT) OVER (PARTITION BY doc_id ORDE
 t AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT doc_id, i, y, coalesce(gone, 0) AS gone FROM m)),
 a AS (SELECT doc_id, sum(gone) AS r, count(*) FILTER (gone = 1 AND coalesce(before, 0) = 0) AS k, coalesce(string_agg(y, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM t GROUP BY ALL)
 SELECT b.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN a USING (doc_id)""",
+    "op11_source_divergence": source_divergence.SQL,
+    "op12_decontamination": decontamination.SQL,
+    "op13_collocations": collocations.SQL,
 }
