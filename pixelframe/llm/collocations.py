@@ -21,6 +21,10 @@ _U = np.uint64
 
 #: Shards of a cycle, cells (a byte each, 2**TABLE) that tell the workers from which step on a phrase is taken up, and distinct keys after which a worker sends its counts.
 SHARDS, TABLE, HELD = 4, 23, 1 << 21
+#: The last circle has so many more bits of cells, a bit each.
+FINER = 3
+#: Keys are these bits: enough to tell nearly all phrases apart, while the last circle counts texts.
+_KEY = _U(0xFFFFFFFFFFFF0000)
 NEVER = 255
 COUNTED = "bucket int, words int, n_keys int, keys binary, counts binary, steps binary"
 
@@ -36,9 +40,9 @@ class Grams:
         np.cumsum(cut, out=before[1:])
         piece = before[self.starts]
         self.joined = (self.row[1:] == self.row[:-1]) & (piece[1:] == piece[:-1])
-        self.one = mix(span_hashes(self.data, self.starts, self.ends) + mix(lang[self.row]))
-        self.two = mix(self.one[:-1] * _U(0x9E3779B97F4A7C15) + self.one[1:])  # of the word and the next, where joined
-        self.three = mix(self.two[:-1] * _U(0xC2B2AE3D27D4EB4F) + self.one[2:])
+        self.one = mix(span_hashes(self.data, self.starts, self.ends) + mix(lang[self.row])) & _KEY
+        self.two = mix(self.one[:-1] * _U(0x9E3779B97F4A7C15) + self.one[1:]) & _KEY  # of the word and the next, where joined
+        self.three = mix(self.two[:-1] * _U(0xC2B2AE3D27D4EB4F) + self.one[2:]) & _KEY
         self.joined3 = self.joined[:-1] & self.joined[1:]
 
 
@@ -47,6 +51,12 @@ def cells(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (keys >> _U(65 - len(table).bit_length())).astype(np.int64)
 
 
+def flagged(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the keys' cells, here bits of a row of bytes, are set."""
+    at = (keys >> _U(62 - len(bits).bit_length())).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 def lang_keys(column: pa.Array) -> np.ndarray:
     """A key of each row's language; null is `und`."""
     coded = column.cast(pa.string()).fill_null("und").dictionary_encode()
@@ -150,21 +160,24 @@ def merged(state: DataFrame | None, counted: DataFrame, step: int, shards: int,
 
 
 def reached(state: DataFrame, words: list[int], least: int, table: int) -> dict[int, np.ndarray]:
-    """For each number of words, the cells of keys that are counted `least` times: from each bucket the bits of its own range, 2**table in all."""
+    """For each number of words, a bit for each cell: whether a key in it is counted `least` times. Each bucket sends the bits of its own range, 2**table in all."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for n, *raw in zip(*(batch.column(c).to_pylist() for c in ("words", "n_keys", "keys", "counts", "steps")), strict=True):
                 keys, counts, _ = _unpacked(*raw)
-                if len(at := np.unique(keys[counts >= least] >> _U(64 - table)).astype(np.int64)):
-                    out.append((n, int(at[0]), pa.compress(np.packbits(np.bincount(at - at[0]) > 0).tobytes(), codec="zstd", asbytes=True), int(at[-1] - at[0]) // 8 + 1))
+                at = (keys[counts >= least] >> _U(64 - table)).astype(np.int64)
+                if len(at):
+                    low = int(at[0]) >> 3
+                    own = np.zeros((int(at[-1]) >> 3) - low + 1 << 3, bool)
+                    own[at - (low << 3)] = True
+                    out.append((n, low, pa.compress(np.packbits(own).tobytes(), codec="zstd", asbytes=True), len(own) >> 3))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.int32()))], names=["words", "low", "bits", "size"])
 
-    flags = {n: np.zeros(1 << table, bool) for n in words}
-    for r in state.where(F.col("words").isin(words)).mapInArrow(mark, "words int, low long, bits binary, size int").collect():  # 2**table bits for each number of words
-        own = np.unpackbits(np.frombuffer(pa.decompress(bytes(r.bits), r.size, codec="zstd", asbytes=True), np.uint8)).astype(bool)[: (1 << table) - r.low]
-        flags[r.words][r.low : r.low + len(own)] |= own
+    flags = {n: np.zeros(1 << table - 3, np.uint8) for n in words}
+    for r in state.where(F.col("words").isin(words)).mapInArrow(mark, "words int, low long, bits binary, size int").collect():  # bounded by the table, whatever the corpus
+        flags[r.words][r.low : r.low + r.size] |= np.frombuffer(pa.decompress(bytes(r.bits), r.size, codec="zstd", asbytes=True), np.uint8)
     return flags
 
 
@@ -188,9 +201,11 @@ def _named(g: Grams, lang: np.ndarray, langs: pa.Array, flags: dict[int, np.ndar
     words, size, of = strings(g.data, g.starts[first], g.ends[first]), max(len(first), 1), lang[g.row]
     at, n = np.unique(of, return_counts=True)
     yield _phrases(langs, at, 0, pa.nulls(len(at), pa.string()), n)
-    everywhere = np.ones(len(codes), bool)
-    for k, keys, joined in ((1, g.one, everywhere), (2, g.two, g.joined), (3, g.three, g.joined3)):
-        on = np.flatnonzero(joined & flags[k][cells(keys, flags[k])]) if len(keys) else np.zeros(0, np.int64)
+    parts_on = np.ones(len(codes) + 1, bool)
+    for k, keys, joined in ((1, g.one, np.ones(len(codes), bool)), (2, g.two, g.joined), (3, g.three, g.joined3)):
+        # a phrase is as frequent as its parts at most: both must be flagged too
+        parts_on = joined & parts_on[:-1] & parts_on[1:] & flagged(keys, flags[k]) if len(keys) else np.zeros(0, bool)
+        on = np.flatnonzero(parts_on)
         code = of[on]
         if len(langs) * size**k < 1 << 62:  # the phrase as one number
             for i in range(k):
@@ -230,11 +245,11 @@ def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, table:
         state = merged(state, scan(corpus.where(F.col("shard") == step % shards), step, shards, tables, buckets), step, shards, least)
         step += 1
         for n, flags in reached(state, [1, 2], least, table).items():
-            if (new := flags & (ready[n] == NEVER)).any():
+            if (new := np.unpackbits(flags).astype(bool) & (ready[n] == NEVER)).any():
                 ready[n] = np.where(new, np.uint8(step), ready[n])
                 last = max(last, step + shards)
         tables.destroy()
-    frequent = spark.sparkContext.broadcast(reached(state, [1, 2, 3], least, table))
+    frequent = spark.sparkContext.broadcast(reached(state, [1, 2, 3], least, table + FINER))
     counts = checkpoint(named(corpus, frequent, least))
     frequent.destroy()
     discard(spark, place)

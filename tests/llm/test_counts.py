@@ -226,4 +226,4 @@ def test_each_phrase_is_counted_for_one_cycle(spark, rows, docs, monkeypatch):
 
 def test_phrases_of_one_cell_are_kept_apart(docs, rows):
     want = {k: n for k, n in counted([(r[1], r[2]) for r in rows]).items() if n >= 10 or not k[1] and n}
-    assert {(r.lang, r.words, r.phrase): r.f for r in collocations.phrase_counts(docs, 10, 2, table=2).collect()} == want
+    assert {(r.lang, r.words, r.phrase): r.f for r in collocations.phrase_counts(docs, 10, 2, table=5).collect()} == want
