@@ -1,14 +1,16 @@
-"""Operators over a pixel's series or its neighbourhood, as Spark windows."""
+"""Operators over a pixel's series, as Spark windows, and over its neighbourhood, by blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import divide
 from ..meta import bands, dims, one_of
+from .blocks import Block, box_sums, city_block, in_blocks, weighted_sums
 
 #: Scales a median absolute deviation to a normal standard deviation (fixed value).
 MAD_SCALE = 1.4826
@@ -61,109 +63,87 @@ def interpolate_linear(df: DataFrame, by: str = "position") -> DataFrame:
 # --- neighbourhoods -------------------------------------------------------------------------------------
 
 
-def completed(df: DataFrame, reach: int, tile: int = 16) -> DataFrame:
-    """df with rows, bands null, for the missing pixels that a column's sums within `reach` lines may need.
+def moving_sum(df: DataFrame, radius: int, only: Sequence[str] | None = None) -> DataFrame:
+    """Sums of the (2r+1) x (2r+1) pixels around each, by blocks with a margin: linear whatever the radius.
 
-    These lie in the tiles (tile x tile pixels, of each date) that hold a pixel, and in those above and below within reach where any tile
-    of the same lines holds one: rows follow the pixels there are, however far apart they lie, and each tile is filled by itself.
+    Missing pixels and nodata count 0; all sums are of the rows of one date. Other columns stay as they are.
     """
-    extra = [c for c in dims(df) if c == "t"]
-    kind = {c: df.schema[c].dataType.simpleString() for c in ("x", "y")}
-    at = lambda c: F.floor(F.col(c) / tile).alias(f"_{c}")
-    held = df.where("x IS NOT NULL AND y IS NOT NULL").select(*extra, at("x"), at("y")).distinct()
-    k = -(-reach // tile)
-    wide = held.withColumn("_y", F.explode(F.sequence(F.col("_y") - k, F.col("_y") + k))).distinct().join(held.select(*extra, "_y").distinct(), [*extra, "_y"], "left_semi")
-    line = lambda c: F.explode(F.sequence(F.col(f"_{c}") * tile, F.col(f"_{c}") * tile + (tile - 1)).cast(f"array<{kind[c]}>")).alias(c)
-    grid = wide.select(*extra, line("y"), "_x").select(*extra, "y", line("x"))
-    return grid.join(df, ["x", "y", *extra], "left").select(*df.columns)
-
-
-def moving_sum(df: DataFrame, radius: int, only: Sequence[str] | None = None, dense: bool = False) -> DataFrame:
-    """Sums of the (2r+1) x (2r+1) pixels around each: two passes of row windows, linear whatever the radius.
-
-    Missing pixels and nodata count 0. Rows are windows of one line each, so that no task sees more than a
-    line. With dense=True every pixel of the extent is known to have a row, which saves a join.
-    """
-    extra = [c for c in dims(df) if c == "t"]
     names = list(only or bands(df))
-    across = Window.partitionBy(*extra, "y").orderBy("x").rangeBetween(-radius, radius)
-    down = Window.partitionBy(*extra, "x").orderBy("y").rangeBetween(-radius, radius)
-    full = df if dense else completed(df.withColumn("_own", F.lit(True)), radius)
-    first = full.withColumns({b: F.sum(F.coalesce(F.col(b).cast("double"), F.lit(0.0))).over(across) for b in names})
-    out = first.withColumns({b: F.sum(b).over(down) for b in names})
-    return out if dense else out.where("_own").drop("_own")
+    return in_blocks(df, lambda block, v: {b: block.rows(box_sums(block.matrix(v[b]), radius, radius)) for b in names}, radius, names)
 
 
 def apply_kernel(df: DataFrame, kernel: Sequence[Sequence[float]], factor: float = 1.0, border: float = 0.0, replace_invalid: float = 0.0) -> DataFrame:
     """Weighted moving sums with any kernel of odd size; pixels outside have `border`, nodata `replace_invalid`.
 
-    Flat kernels (all weights equal, border and replacement 0) take moving_sum(); others send each pixel to the
-    pixels around it and add up, with partial sums before the shuffle.
+    Flat kernels (all weights equal) are sums of a rectangle, others are added up weight by weight, inside the blocks.
     """
-    flat = {w for line in kernel for w in line}
-    if len(flat) == 1 and len(kernel) == len(kernel[0]) and border == 0 and replace_invalid == 0:
-        weight = flat.pop() * factor
-        summed = moving_sum(df, len(kernel) // 2)
-        return summed.withColumns({b: F.col(b) * F.lit(weight) for b in bands(df)})
-    ry, rx = len(kernel) // 2, len(kernel[0]) // 2
-    weights = [(j - rx, i - ry, float(w)) for i, line in enumerate(kernel) for j, w in enumerate(line) if w]
-    total = sum(w for *_, w in weights)
-    offsets = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in weights))
-    rest = [c for c in dims(df) if c == "t"]
-    sent = df.withColumn("_o", F.explode(offsets)).select((F.col("x") - F.col("_o.dx")).cast("int").alias("x"), (F.col("y") - F.col("_o.dy")).cast("int").alias("y"), *rest, "_o.w", *bands(df))
-    made = [F.sum(F.col("w") * (F.coalesce(F.col(b).cast("double"), F.lit(replace_invalid)) - border)).alias(b) for b in bands(df)]
-    summed = sent.groupBy("x", "y", *rest).agg(*made)
-    kept = df.select("x", "y", *rest).join(summed, ["x", "y", *rest])
-    return kept.withColumns({b: (F.col(b) + border * total) * factor for b in bands(df)})
+    weights, names = np.array(kernel, float), bands(df)
+    ry, rx = weights.shape[0] // 2, weights.shape[1] // 2
+
+    def work(block: Block, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        out = {}
+        for b in names:  # what lies outside differs from the border by 0
+            m = block.matrix(np.where(np.isfinite(v[b]), v[b], replace_invalid) - border)
+            summed = weights[0, 0] * box_sums(m, ry, rx) if (weights == weights[0, 0]).all() else weighted_sums(m, weights)
+            out[b] = block.rows(summed + border * weights.sum()) * factor
+        return out
+
+    return in_blocks(df, work, max(ry, rx), names)
+
+
+def _full(m: np.ndarray, present: np.ndarray, size: int) -> np.ndarray:
+    return (present & (box_sums(m, size // 2, size // 2) >= size * size)).astype(float)
+
+
+def _touched(m: np.ndarray, size: int) -> np.ndarray:
+    return (box_sums(m, size // 2, size // 2) > 0).astype(float)
 
 
 def erode(df: DataFrame, size: int = 3) -> DataFrame:
     """1 where all pixels of the window are set, else 0 (a window cut by the border is not full)."""
-    return moving_sum(df, size // 2).withColumns({b: (F.col(b) >= size * size).cast("double") for b in bands(df)})
+    return in_blocks(df, lambda k, v: {b: k.rows(_full(k.matrix(v[b]), k.present, size)) for b in v}, size // 2, bands(df))
 
 
 def dilate(df: DataFrame, size: int = 3) -> DataFrame:
-    return moving_sum(df, size // 2).withColumns({b: (F.col(b) > 0).cast("double") for b in bands(df)})
+    return in_blocks(df, lambda k, v: {b: k.rows(_touched(k.matrix(v[b]), size)) for b in v}, size // 2, bands(df))
 
 
 def opening(df: DataFrame, size: int = 3) -> DataFrame:
-    return dilate(erode(df, size), size)
+    """Both steps inside one block."""
+    return in_blocks(df, lambda k, v: {b: k.rows(_touched(_full(k.matrix(v[b]), k.present, size), size)) for b in v}, 2 * (size // 2), bands(df))
 
 
 def scl_dilation_mask(df: DataFrame, band: str = "SCL", kernel1_size: int = 17, kernel2_size: int = 77, mask1_values: Sequence[int] = (2, 4, 5, 6, 7), mask2_values: Sequence[int] = (3, 8, 9, 10, 11), erosion_kernel_size: int = 3) -> DataFrame:
     """`mask` (true: hide): what is none of mask1_values, and mask2_values, each eroded, then dilated with its kernel.
 
-    mask1_values are read as the classes to keep, so that the first mask is their complement.
+    mask1_values are read as the classes to keep, so that the first mask is their complement; nodata is in neither. All steps stay in one block.
     """
-    keys = dims(df)
-    work = df.select(*keys, (~F.col(band).isin(*mask1_values)).cast("double").alias("_m1"), F.col(band).isin(*mask2_values).cast("double").alias("_m2"))
-    if erosion_kernel_size > 1:
-        work = erode(work, erosion_kernel_size)
-    work = moving_sum(work, kernel1_size // 2, ["_m1"])
-    work = moving_sum(work, kernel2_size // 2, ["_m2"])
-    return work.select(*keys, ((F.col("_m1") > 0) | (F.col("_m2") > 0)).alias("mask"))
+    keep, hide = np.array(mask1_values, float), np.array(mask2_values, float)
+    shrink = erosion_kernel_size if erosion_kernel_size > 1 else 1
+
+    def work(block: Block, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        c = v[band]
+        out = np.zeros(len(c), bool)
+        for hit, size in ((np.isfinite(c) & ~np.isin(c, keep), kernel1_size), (np.isin(c, hide), kernel2_size)):
+            m = block.matrix(hit.astype(float))
+            out |= block.rows(_touched(_full(m, block.present, shrink) if shrink > 1 else m, size)) > 0
+        return {"mask": out}
+
+    return in_blocks(df.select(*dims(df), band), work, shrink // 2 + max(kernel1_size, kernel2_size) // 2, [band], {"mask": "boolean"}).drop(band)
 
 
-def cloud_distance_score(df: DataFrame, cloud: str, limit: int = 150, sigma: float = 50.0, dense: bool = False) -> DataFrame:
+def cloud_distance_score(df: DataFrame, cloud: str, limit: int = 150, sigma: float = 50.0) -> DataFrame:
     """`score`: 0 on cloud, 1 from `limit` pixels away, between them 1 - exp(-d^2 / (2 sigma^2)) of the city-block distance d.
 
-    The distance is exact and separable: the nearest cloud in a row by two running windows, then the best row of
-    each column as a running minimum of (distance - y) and (distance + y). dense=True is as for moving_sum().
+    The distance is exact: clouds beyond the limit don't matter, and a block has a margin of it.
     """
-    rest = [c for c in dims(df) if c == "t"]
-    df = df if dense else completed(df.withColumn("_own", F.lit(True)), limit)
-    along = Window.partitionBy(*rest, "y").orderBy("x")
-    left = F.last(F.when(F.col(cloud), F.col("x")), True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(F.when(F.col(cloud), F.col("x")), True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    row = df.withColumn("_d", F.least(F.col("x") - left, right - F.col("x")))
-    down = Window.partitionBy(*rest, "x").orderBy("y")
-    above = F.min(F.col("_d") - F.col("y")).over(down.rowsBetween(Window.unboundedPreceding, 0)) + F.col("y")
-    below = F.min(F.col("_d") + F.col("y")).over(down.rowsBetween(0, Window.unboundedFollowing)) - F.col("y")
-    far = row.withColumn("_d", F.least(above, below).cast("double"))
-    d = F.col("_d")
-    score = F.when(d.isNull() | (d > limit), F.lit(1.0)).when(d == 0, F.lit(0.0)).otherwise(1 - F.exp(-d * d / F.lit(2.0 * sigma * sigma)))
-    out = far.withColumn("score", score).drop("_d")
-    return out if dense else out.where("_own").drop("_own")
+
+    def work(block: Block, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        d = block.rows(city_block(block.matrix(v[cloud]) > 0))
+        near = np.minimum(d, limit)
+        return {"score": np.where(d > limit, 1.0, np.where(d == 0, 0.0, 1 - np.exp(-near * near / (2.0 * sigma * sigma))))}
+
+    return in_blocks(df, work, limit, [cloud], {"score": "double"})
 
 
 def date_score(sigma: float = 10.0, t: str = "t") -> Column:

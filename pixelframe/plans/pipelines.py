@@ -89,8 +89,8 @@ def bare_surface_composite(df: DataFrame, threshold: float, land_cover: DataFram
     Bands: {band}_mean, {band}_sd, valid_count, bare_count, frequency; with mref {band}_mref over all clear dates;
     with mask `class`: 1 bare, 2 vegetated, 3 other (built-up or water).
     """
-    cloud = wn.moving_sum(df.select("x", "y", "t", F.coalesce(cb.scl_mask(cloud_classes), F.lit(False)).cast("int").alias("_near")), dilation // 2)
-    clear = df.join(cloud, ["x", "y", "t"]).where((F.col("_near") == 0) & (F.col("sza") <= max_sza) & ~F.coalesce(cb.scl_mask(hidden_classes), F.lit(False)))
+    cloud = wn.moving_sum(df.withColumn("_near", F.coalesce(cb.scl_mask(cloud_classes), F.lit(False)).cast("int")), dilation // 2, ["_near"])
+    clear = cloud.where((F.col("_near") == 0) & (F.col("sza") <= max_sza) & ~F.coalesce(cb.scl_mask(hidden_classes), F.lit(False)))
     clear = clear.withColumn("_index", ix.pvir2()).drop("_near")
     covered = F.coalesce(F.col("MAP").isin(50, 80), F.lit(False))
     joined = clear.join(land_cover, ["x", "y"], "left").withColumn("_other", covered)
