@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import bands, dims
+from .cube import rename_labels
 from .zones import zonal_join
 
 
@@ -30,21 +31,28 @@ def apply_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sche
     return df.groupBy("x", "y").applyInPandas(lambda rows: fn(rows.sort_values("t")), schema)
 
 
-def apply_neighborhood(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], size: int, overlap: int, schema: str) -> DataFrame:
+def apply_neighborhood(df: DataFrame, fn: Callable[..., pd.DataFrame], size: int, overlap: int, schema: str, context: dict | None = None, labels: Sequence[str] | None = None) -> DataFrame:
     """A function of tiles of size x size pixels with `overlap` pixels around; only the tile's own pixels are kept.
 
-    Halo rows are sent to the neighbouring tiles, so that a task holds one tile (of one date) at a time.
+    Halo rows are sent to the neighbouring tiles, so that a task holds one tile (of one date) at a time. fn gets the tile's rows in
+    order of y and x, and the context where one is given; labels are the names of its bands, in order, in place of the schema's.
     """
     extra = [c for c in dims(df) if c == "t"]
     reach = lambda c: F.sequence(F.floor((F.col(c) - overlap) / size).cast("int"), F.floor((F.col(c) + overlap) / size).cast("int"))
     sent = df.withColumn("_tx", F.explode(reach("x"))).withColumn("_ty", F.explode(reach("y")))
+    given = () if context is None else (dict(context),)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tx, ty = rows["_tx"].iloc[0], rows["_ty"].iloc[0]
-        out = fn(rows.drop(columns=["_tx", "_ty"]).sort_values(["y", "x"]))
+        own = (rows["x"] // size == tx) & (rows["y"] // size == ty)
+        if not own.any():  # a halo without a tile
+            return rows.iloc[:0].reindex(columns=names)
+        out = fn(rows.drop(columns=["_tx", "_ty"]).sort_values(["y", "x"]), *given)
         return out[(out["x"] // size == tx) & (out["y"] // size == ty)]
 
-    return sent.groupBy("_tx", "_ty", *extra).applyInPandas(run, schema)
+    names = df.sparkSession.createDataFrame([], schema).columns
+    made = sent.groupBy("_tx", "_ty", *extra).applyInPandas(run, schema)
+    return made if labels is None else rename_labels(made, labels)
 
 
 def apply_polygon(df: DataFrame, zones: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, per_date: bool = False) -> DataFrame:
@@ -81,17 +89,43 @@ def window_texture(image: np.ndarray, window: int, distance: int) -> tuple[np.nd
     return variance, contrast[: image.shape[0], : image.shape[1]]
 
 
+def scaled_bytes(image: np.ndarray) -> np.ndarray:
+    """0 to 255 from the chunk's smallest to its largest value, fractions cut off. Nodata counts 0, as does a chunk of one value."""
+    known = image[np.isfinite(image)]
+    low, high = (known.min(), known.max()) if len(known) else (0.0, 0.0)
+    if high == low:
+        return np.zeros(image.shape)
+    return np.where(np.isfinite(image), np.floor((image - low) / (high - low) * 255), 0.0)
+
+
+def chunk_texture(rows: pd.DataFrame, band: str, window: int, distance: int) -> pd.DataFrame:
+    """The rows' dimensions with `contrast` and `variance` of a band around each: the chunk's extrema (its halo included; mirrored borders add none) scale it first."""
+    image, y, x = grid_of(rows, band)
+    variance, contrast = window_texture(scaled_bytes(image), window, distance)
+    return rows[dims_of(rows)].assign(contrast=contrast[y, x], variance=variance[y, x])
+
+
 def glcm_texture(df: DataFrame, band: str, window: int = 33, distance: int = 5, size: int = 128, overlap: int = 32) -> DataFrame:
-    """`variance` and `contrast` of a band of bytes (0..255; nodata counts 0) around each pixel, tile by tile."""
+    """`contrast` and `variance` of a band around each pixel, of values scaled to bytes chunk by chunk (a tile with its halo)."""
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in dims(df))
+    return apply_neighborhood(df.select(*dims(df), band), lambda rows: chunk_texture(rows, band, window, distance), size, overlap, f"{kinds}, contrast double, variance double")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        image, y, x = grid_of(rows, band)
-        image = np.clip(np.nan_to_num(image), 0, 255).astype(np.uint8).astype(float)
-        variance, contrast = window_texture(image, window, distance)
-        return rows[[*dims_of(rows)]].assign(variance=variance[y, x], contrast=contrast[y, x])
+
+def burn_texture(df: DataFrame, context: dict | None = None, size: int = 128, overlap: int = 32, labels: Sequence[str] = ("contrast", "variance", "ndfi")) -> DataFrame:
+    """Texture of B12, and the burn index of B12 and B08 against their averages in the chunk.
+
+    context: padding_window_size (33), the side of the texture's window; pairs are 5 apart. A pixel without either band has no index.
+    """
+
+    def run(rows: pd.DataFrame, given: dict) -> pd.DataFrame:
+        out = chunk_texture(rows, "B12", int(given.get("padding_window_size", 33)), 5)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a, b = (rows[c].to_numpy(float) / rows[c].mean() for c in ("B12", "B08"))
+            index = (a - b) / b
+        return out.assign(ndfi=np.where(np.isfinite(index), index, np.nan))
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in dims(df))
-    return apply_neighborhood(df.select(*dims(df), band), run, size, overlap, f"{kinds}, variance double, contrast double")
+    return apply_neighborhood(df.select(*dims(df), "B08", "B12"), run, size, overlap, f"{kinds}, contrast double, variance double, ndfi double", context or {}, labels)
 
 
 def dims_of(rows: pd.DataFrame) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from ..functions import indices as ix
 from ..functions.scalar import clip, divide, linear_scale, num
 from ..meta import bands
 from ..operators import cube as cb
+from ..operators import udf
 from ..operators import windows as wn
 from ..operators import zones as zn
 
@@ -162,13 +163,21 @@ def ndfi(df: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
     return df.join(means, list(keys)).withColumn("ndfi", divide(a - b, b)).select(*df.columns, "ndfi")
 
 
-def fire_features(sar: DataFrame, optical: DataFrame, hidden: Sequence[int] = COMPOSITE_MASK) -> DataFrame:
-    """Medians of scaled radar levels and of clear optical bands and burn indices, side by side."""
+def fire_features(sar: DataFrame, optical: DataFrame, hidden: Sequence[int] = COMPOSITE_MASK, dilation: Mapping[str, object] | None = None, context: Mapping[str, object] | None = None, size: int = 128, overlap: int = 32) -> DataFrame:
+    """Medians of scaled radar levels and of clear optical bands; burn indices and texture of these medians; all side by side.
+
+    dilation: arguments of scl_dilation_mask(), which then hides pixels in place of the classes `hidden`. context goes to the texture.
+    """
     scaled = lambda c: F.floor(linear_scale(c, 0, 30, 0, 30_000))
     s1 = sar.select("x", "y", "t", scaled(ix.sar_ratio()).alias("ratio"), scaled(ix.sar_level("VV")).alias("VV_db"), scaled(ix.sar_level("VH")).alias("VH_db"))
-    clear = optical.where(~F.coalesce(cb.scl_mask(hidden), F.lit(False))).select("x", "y", "t", "B04", "B08", "B12", ix.nbr().alias("nbr"), ix.bai().alias("bai"))
-    s2 = cb.reduce_time(clear, "median")
-    return cb.merge_cubes(cb.reduce_time(s1, "median"), ndfi(s2, ()))
+    if dilation is None:
+        clear = optical.where(~F.coalesce(cb.scl_mask(hidden), F.lit(False)))
+    else:
+        clear = optical.join(wn.scl_dilation_mask(optical, **dilation).where("NOT mask"), ["x", "y", "t"], "left_semi")
+    medians = cb.reduce_time(clear.select("x", "y", "t", "B04", "B08", "B12"), "median")
+    texture = udf.burn_texture(medians, dict(context or {}), size, overlap)
+    s2 = cb.merge_cubes(medians.withColumns({"nbr": ix.nbr(), "bai": ix.bai()}), texture)
+    return cb.merge_cubes(cb.reduce_time(s1, "median"), s2)
 
 
 def country_extract(items: DataFrame, zones: DataFrame, band: str, year: int, month: int, low: float = -10, high: float = 31_000) -> DataFrame:

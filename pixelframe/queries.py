@@ -376,8 +376,14 @@ query("m12_variability_map", "SELECT feature_index, x, y, t, CASE WHEN r < 85 TH
 query("m12_variability_raw", "SELECT feature_index, x, y, t, round(greatest(0, least(100, B04 / nullif(median(B04) OVER (PARTITION BY feature_index, t), 0) * 100)), 6) AS variability FROM pz")(lambda s, d: zn.variability_classes(tc.pixels(s, d, ("B04",)).select("x", "y", "t", F.col("B04").alias("value")), tc.zones(s, d), raw=True))
 _WEEK = "gp AS (SELECT x, y, t, v, row_number() OVER (PARTITION BY x, y ORDER BY t) AS i FROM (SELECT x, y, date_trunc('week', t) AS t, avg(CASE WHEN SCL NOT IN (3, 8, 9) THEN B04 END) AS v FROM px GROUP BY ALL)), gq AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER w AS i0, last_value(v IGNORE NULLS) OVER w AS v0, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER z AS i1, first_value(v IGNORE NULLS) OVER z AS v1 FROM gp WINDOW w AS (PARTITION BY x, y ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY x, y ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
 cube_query("m13_fill_and_median", "SELECT x, y, round(median(CASE WHEN v IS NOT NULL THEN v ELSE v0 + (i - i0)::DOUBLE / (i1 - i0) * (v1 - v0) END), 6) AS B04 FROM gq GROUP BY ALL", lambda d: pl.fill_and_median(cb.mask_where(d, cb.scl_mask((3, 8, 9))).select("x", "y", "t", "B04")), ("B04", "SCL"), _WEEK)
-_FIRE = "f1 AS (SELECT x, y, median(floor(greatest(0, least(30, 30 * VH / nullif(VV, 0))) * 1000)) AS ratio, median(floor(greatest(0, least(30, 30 + 10 * log10(VV))) * 1000)) AS VV_db FROM rd GROUP BY ALL), f2 AS (SELECT x, y, median(B04) AS B04, median(B08) AS B08, median(B12) AS B12, median((B08 - B12)::DOUBLE / nullif(B08 + B12, 0)) AS nbr FROM px WHERE SCL NOT IN (3, 8, 9, 10, 1, 6, 11, 0) GROUP BY ALL), f3 AS (SELECT *, (B12 / avg(B12) OVER () - B08 / avg(B08) OVER ()) / nullif(B08 / avg(B08) OVER (), 0) AS ndfi FROM f2)"
-query("m14_fire_features", "SELECT x, y, round(VV_db, -1) AS VV_db, round(B04, 6) AS B04, round(nbr, 6) AS nbr, round(ndfi, 6) AS ndfi FROM f1 FULL JOIN f3 USING (x, y)", _FIRE)(lambda s, d: pl.fire_features(tc.radar(tc.pixels(s, d, ("VV", "VH"))), tc.pixels(s, d, ("B04", "B08", "B12", "SCL"))).select("x", "y", F.round("VV_db", -1).alias("VV_db"), "B04", "nbr", "ndfi"))
+_MIRRORED = "CASE WHEN {0} + {1} < {2} THEN 2 * {2} - ({0} + {1}) WHEN {0} + {1} > {3} THEN 2 * {3} - ({0} + {1}) ELSE {0} + {1} END"
+# medians first; indices of them; texture in windows of 9 of bytes between the extrema of the one chunk that holds the grid
+_FIRE = f"""f1 AS (SELECT x, y, median(floor(greatest(0, least(30, 30 * VH / nullif(VV, 0))) * 1000)) AS ratio, median(floor(greatest(0, least(30, 30 + 10 * log10(VV))) * 1000)) AS VV_db FROM rd GROUP BY ALL), f2 AS (SELECT x, y, median(B04) AS B04, median(B08) AS B08, median(B12) AS B12 FROM px WHERE SCL NOT IN (3, 8, 9, 10, 1, 6, 11, 0) GROUP BY ALL),
+f3 AS (SELECT *, (B08 - B12) / nullif(B08 + B12, 0) AS nbr, 1 / ((0.1::DOUBLE - B04 / 10000) ** 2 + (0.06::DOUBLE - B08 / 10000) ** 2) AS bai, (B12 / avg(B12) OVER () - B08 / avg(B08) OVER ()) / nullif(B08 / avg(B08) OVER (), 0) AS ndfi FROM f2),
+fx AS (SELECT min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy, min(B12) AS lo, max(B12) AS hi FROM f2), fi AS (SELECT x, y, floor((B12 - lo) / (hi - lo) * 255) AS g FROM f2, fx),
+fn AS (SELECT a.x, a.y, dx, dy, coalesce(b.g, 0) AS v FROM fi a CROSS JOIN fx CROSS JOIN (SELECT unnest(range(-4, 5)) AS dx) CROSS JOIN (SELECT unnest(range(-4, 5)) AS dy) LEFT JOIN fi b ON b.x = {_MIRRORED.format("a.x", "dx", "lox", "hix")} AND b.y = {_MIRRORED.format("a.y", "dy", "loy", "hiy")}),
+ft AS (SELECT x, y, var_pop(v) AS variance, avg((w - v) * (w - v)) AS contrast FROM (SELECT *, max(v) OVER (PARTITION BY x, y, dy ORDER BY dx RANGE BETWEEN 5 FOLLOWING AND 5 FOLLOWING) AS w FROM fn) GROUP BY x, y)"""
+query("m14_fire_features", "SELECT x, y, round(VV_db, -1) AS VV_db, round(B04, 6) AS B04, round(nbr, 6) AS nbr, round(bai, 6) AS bai, round(ndfi, 6) AS ndfi, round(variance, 6) AS variance, round(contrast, 6) AS contrast FROM f1 FULL JOIN (SELECT * FROM f3 JOIN ft USING (x, y)) USING (x, y)", _FIRE)(lambda s, d: pl.fire_features(tc.radar(tc.pixels(s, d, ("VV", "VH"))), tc.pixels(s, d, ("B04", "B08", "B12", "SCL")), context={"padding_window_size": 9}).select("x", "y", F.round("VV_db", -1).alias("VV_db"), "B04", "nbr", "bai", "ndfi", "variance", "contrast"))
 query("m15_country_extract", "SELECT x, y, t, greatest(-10, least(2000, B04))::DOUBLE AS B04 FROM pz WHERE t >= TIMESTAMP '1996-05-01' AND t < TIMESTAMP '1996-05-02' AND feature_index IN (2, 3, 9)")(lambda s, d: pl.country_extract(tc.pixels(s, d, ("B04",)), tc.zones(s, d).where("feature_index IN (2, 3, 9)"), "B04", 1996, 5, high=2000))
 query("m16_burn_severity", "SELECT x, y, round(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN a.v - b.v ELSE coalesce(a.v, b.v) END, 6) AS dnbr FROM (SELECT x, y, (max(B08) - max(B12))::DOUBLE / (max(B08) + max(B12)) AS v FROM px WHERE t < TIMESTAMP '1996-01-01' GROUP BY ALL) a FULL JOIN (SELECT x, y, (max(B08) - max(B12))::DOUBLE / (max(B08) + max(B12)) AS v FROM px WHERE t >= TIMESTAMP '2001-01-01' GROUP BY ALL) b USING (x, y)")(lambda s, d: pl.burn_severity(*(tc.pixels(s, d, ("B08", "B12")).where(w).groupBy("x", "y").agg(F.max("B08").alias("B08"), F.max("B12").alias("B12")) for w in ("t < timestamp'1996-01-01'", "t >= timestamp'2001-01-01'"))))
 query("m17_parcel_heterogeneity", "SELECT feature_index, t, round(stddev_samp(B04) / avg(B04), 6) AS B04 FROM pz GROUP BY ALL")(lambda s, d: pl.parcel_heterogeneity(tc.pixels(s, d, ("B04",)), tc.zones(s, d)))
@@ -425,9 +431,11 @@ _CLAMP = "least(greatest(a.{c} + {d}, (SELECT min({c}) FROM ra)), (SELECT max({c
 query("n3_apply_neighborhood", f"SELECT a.x, a.y, round(sum(b.v) / 9.0::DOUBLE, 6) AS value FROM ra a, (VALUES (-1), (0), (1)) i(dx), (VALUES (-1), (0), (1)) j(dy), ra b WHERE b.x = {_CLAMP.format(c='x', d='dx')} AND b.y = {_CLAMP.format(c='y', d='dy')} GROUP BY a.x, a.y", _RAST)(lambda s, d: udf.apply_neighborhood(_raster(s, d).select("x", "y", "v"), _box, 8, 2, "x int, y int, value double"))
 query("n4_apply_polygon", "SELECT feature_index, (max(B04) - min(B04))::DOUBLE AS spread FROM pz GROUP BY ALL")(lambda s, d: udf.apply_polygon(tc.pixels(s, d, ("B04",)), tc.zones(s, d), _spread, "feature_index int, spread double"))
 query("n4_apply_polygon_per_date", "SELECT feature_index, date_trunc('year', t) AS t, (max(B04) - min(B04))::DOUBLE AS spread FROM pz GROUP BY ALL")(lambda s, d: udf.apply_polygon(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")), tc.zones(s, d), _spread_by_date, "feature_index int, t timestamp, spread double", per_date=True))
-_MIRROR = "CASE WHEN a.{c} + {d} < lo{c} THEN 2 * lo{c} - (a.{c} + {d}) WHEN a.{c} + {d} > hi{c} THEN 2 * hi{c} - (a.{c} + {d}) ELSE a.{c} + {d} END"
-_NEAR = f"ex AS (SELECT min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy FROM ra), im AS (SELECT x, y, floor(least(255, v / 12.0::DOUBLE)) AS v FROM ra), ne AS (SELECT a.x, a.y, dx, dy, b.v FROM im a, ex, (SELECT unnest(range(-4, 5)) AS dx), (SELECT unnest(range(-4, 5)) AS dy), im b WHERE b.x = {_MIRROR.format(c='x', d='dx')} AND b.y = {_MIRROR.format(c='y', d='dy')})"
-query("n5_glcm_texture", "SELECT x, y, round(var_pop(v), 6) AS variance, round(avg((w - v) * (w - v)), 6) AS contrast FROM (SELECT *, max(v) OVER (PARTITION BY x, y, dy ORDER BY dx RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING) AS w FROM ne) GROUP BY x, y", f"{_RAST}, {_NEAR}")(lambda s, d: udf.glcm_texture(_raster(s, d).select("x", "y", (F.col("v") / 12).alias("v")), "v", 9, 2, 16, 8))
+# chunks of 16 pixels with 8 around: their extent, bytes between their extrema, and windows of 9 mirrored at the chunk's border
+_NEAR = f"""ch AS (SELECT DISTINCT x // 16 AS i, y // 16 AS j FROM ra), ck AS (SELECT i, j, x, y, v, min(v) OVER w AS lo, max(v) OVER w AS hi, min(x) OVER w AS lox, max(x) OVER w AS hix, min(y) OVER w AS loy, max(y) OVER w AS hiy FROM ch JOIN ra ON x >= 16 * i - 8 AND x < 16 * i + 24 AND y >= 16 * j - 8 AND y < 16 * j + 24 WINDOW w AS (PARTITION BY i, j)),
+im AS (SELECT *, CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo)::DOUBLE * 255) ELSE 0 END AS g FROM ck),
+ne AS (SELECT a.x, a.y, dx, dy, coalesce(b.g, 0) AS v FROM im a CROSS JOIN (SELECT unnest(range(-4, 5)) AS dx) CROSS JOIN (SELECT unnest(range(-4, 5)) AS dy) LEFT JOIN im b ON b.i = a.i AND b.j = a.j AND b.x = {_MIRRORED.format("a.x", "dx", "a.lox", "a.hix")} AND b.y = {_MIRRORED.format("a.y", "dy", "a.loy", "a.hiy")} WHERE a.x // 16 = a.i AND a.y // 16 = a.j)"""
+query("n5_glcm_texture", "SELECT x, y, round(var_pop(v), 6) AS variance, round(avg((w - v) * (w - v)), 6) AS contrast FROM (SELECT *, max(v) OVER (PARTITION BY x, y, dy ORDER BY dx RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING) AS w FROM ne) GROUP BY x, y", f"{_RAST}, {_NEAR}")(lambda s, d: udf.glcm_texture(_raster(s, d).select("x", "y", "v"), "v", 9, 2, 16, 8))
 query("n11_whittaker")(lambda s, d: udf.whittaker(cb.mask_where(tc.pixels(s, d, ("B04", "SCL")), cb.scl_mask((3, 8, 9))).select("x", "y", "t", "B04"), 100.0))
 
 

@@ -105,6 +105,47 @@ def test_texture_is_brute_force():
             assert np.isclose(contrast[y, x], ((w[:, 2:] - w[:, :-2]) ** 2).mean())
 
 
+def cooccurrence(window, distance):
+    """Contrast of the symmetric, normalised co-occurrence matrix of bytes at a distance along x."""
+    m = np.zeros((256, 256))
+    for line in window.astype(int):
+        for a, b in zip(line[:-distance], line[distance:], strict=True):
+            m[a, b] += 1
+            m[b, a] += 1
+    i, j = np.indices(m.shape)
+    return (m / m.sum() * (i - j) ** 2).sum()
+
+
+def test_texture_of_chunks_beyond_bytes(spark):
+    rng = np.random.default_rng(8)
+    values = rng.integers(1000, 3001, (21, 30)).astype(float)
+    values[4, 7] = np.nan
+    got = udf.glcm_texture(raster(spark, values), "v", 5, 2, size=12, overlap=4)
+    contrast, variance = grid(got, "contrast", values.shape), grid(got, "variance", values.shape)
+    for y, x in ((0, 0), (4, 7), (6, 11), (6, 12), (11, 24), (20, 29), (13, 3)):
+        low, left = max(0, y // 12 * 12 - 4), max(0, x // 12 * 12 - 4)
+        chunk = values[low : y // 12 * 12 + 16, left : x // 12 * 12 + 16]
+        scaled = np.nan_to_num(np.floor((chunk - np.nanmin(chunk)) / (np.nanmax(chunk) - np.nanmin(chunk)) * 255))
+        w = np.pad(scaled, 2, mode="reflect")[y - low : y - low + 5, x - left : x - left + 5]
+        assert np.isclose(contrast[y, x], cooccurrence(w, 2)) and np.isclose(variance[y, x], w.var()) and w.max() > 0
+    flat = udf.glcm_texture(raster(spark, np.full((9, 9), 2500.0)), "v", 5, 2)
+    assert {(r.contrast, r.variance) for r in flat.collect()} == {(0.0, 0.0)}
+
+
+def test_burn_texture_takes_context_and_labels(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(500, 4000, (2, 20, 24)).astype(float)
+    df = raster(spark, a, "B08").join(raster(spark, b, "B12"), ["x", "y"])
+    got = udf.burn_texture(df, {"padding_window_size": 7}, labels=("c", "v", "n"))
+    assert got.columns == ["x", "y", "c", "v", "n"]
+    scaled = np.floor((b - b.min()) / (b.max() - b.min()) * 255)
+    p = np.pad(scaled, 3, mode="reflect")
+    c, v, n = (grid(got, name, a.shape) for name in "cvn")
+    for y, x in ((0, 0), (10, 12), (19, 23)):
+        assert np.isclose(c[y, x], cooccurrence(p[y : y + 7, x : x + 7], 5)) and np.isclose(v[y, x], p[y : y + 7, x : x + 7].var())
+    assert np.allclose(n, (b / b.mean() - a / a.mean()) / (a / a.mean()))
+
+
 def test_whittaker_is_least_squares(spark):
     rng = np.random.default_rng(5)
     v = rng.random(30)
