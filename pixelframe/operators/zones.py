@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import bands, dims
+from . import cover as cv
 from .cube import reducer
 
 #: Cells of the equi-join key in pixels.
@@ -46,40 +47,33 @@ def is_box(geom: Column) -> Column:
     return (F.size(geom) == 1) & (F.size(F.get(geom, F.lit(0))) <= 5)
 
 
-def prepared(zones: DataFrame, cell: int = CELL) -> DataFrame:
-    """Zones once for each grid cell that their bounds touch, with what decides there: `_edges`, those that a ray from the cell can cross, and `_whole`, set (true or false) where no edge comes near the cell, so that all of it is inside or outside."""
-    points = F.flatten("geom")
-    bounds = {"_w": F.array_min(F.transform(points, lambda p: p["x"])), "_e": F.array_max(F.transform(points, lambda p: p["x"])), "_s": F.array_min(F.transform(points, lambda p: p["y"])), "_n": F.array_max(F.transform(points, lambda p: p["y"]))}
-    boxed = zones.withColumns(bounds).withColumn("_edges", edges(F.col("geom"))).drop("geom")
-    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int"))
-    each = boxed.withColumn("_cx", F.explode(cells("_w", "_e"))).withColumn("_cy", F.explode(cells("_s", "_n")))
-    left, low = F.col("_cx") * float(cell), F.col("_cy") * float(cell)
-    across = lambda e: (F.greatest(e["ay"], e["by"]) >= low) & (F.least(e["ay"], e["by"]) <= low + cell) & (F.greatest(e["ax"], e["bx"]) >= left)
-    near = lambda e: F.least(e["ax"], e["bx"]) <= left + cell
-    cut = each.withColumn("_edges", F.filter("_edges", across))
-    whole = F.when(~F.exists("_edges", near), inside(F.col("_edges"), left + cell / 2, low + cell / 2))
-    return cut.withColumn("_whole", whole).where("_whole IS NULL OR _whole").withColumn("_edges", F.when(F.col("_whole").isNull(), F.col("_edges")))
-
-
 def _meeting(df: DataFrame, zones: DataFrame, cell: int, centre: float) -> tuple[DataFrame, DataFrame, list[Column]]:
-    """Pixels and zones with their cells, and the conditions under which they meet."""
+    """Pixels and zones with their cells, and the conditions under which they meet.
+
+    Zones of a few cells are cut into cells of one size. Of larger ones only those cells that hold pixels are looked up, in all sizes of the
+    cover, so that each pixel is shuffled once and zones as often as their borders are long.
+    """
     px, py = F.col("x") + centre, F.col("y") + centre
     keyed = df.withColumn("_px", F.floor(px / cell).cast("int")).withColumn("_py", F.floor(py / cell).cast("int"))
-    held = F.coalesce(F.col("_whole"), (px >= F.col("_w")) & (px <= F.col("_e")) & (py >= F.col("_s")) & (py <= F.col("_n")) & inside(F.col("_edges"), px, py))
-    return keyed, prepared(zones, cell), [F.col("_px") == F.col("_cx"), F.col("_py") == F.col("_cy"), held]
+    cells, top = cv.cover(zones, edges(F.col("geom")), cell)
+    if top <= cv.SMALL:
+        cells = cv.cut_small(cells)
+    else:
+        cells = cv.at_cells(cells, keyed.select(F.col("_px").alias("_cx"), F.col("_py").alias("_cy")).distinct(), top)
+    return keyed, cells, [F.col("_px") == F.col("_cx"), F.col("_py") == F.col("_cy"), cv.inside(px, py)]
 
 
 def zonal_join(df: DataFrame, zones: DataFrame, cell: int = CELL, keep: Sequence[str] = ("feature_index",), centre: float = 0.5) -> DataFrame:
-    """Each pixel with each feature that holds its centre: an equi-join on grid cells, then bounds and the edges near the cell.
+    """Each pixel with each feature that holds its centre: an equi-join on cells of the zones' covers, then the edges that come into the cell.
 
-    Spark may broadcast the zones if they are small; with many they are shuffled by cell like the pixels.
+    Spark may broadcast the cells if they are small; with many they are shuffled like the pixels.
     """
     keyed, cells, meet = _meeting(df, zones.select(*keep, "geom"), cell, centre)
     return keyed.join(cells, meet).select(*df.columns, *keep)
 
 
 def filter_spatial(df: DataFrame, zones: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pixels whose centre lies in any zone, each once: one scan and a semi-join."""
+    """Pixels whose centre lies in any zone, each once: a semi-join."""
     keyed, cells, meet = _meeting(df, zones.select("geom"), cell, 0.5)
     return keyed.join(cells, meet, "left_semi").select(*df.columns)
 

@@ -199,6 +199,58 @@ def test_zones_over_many_cells(spark):
     assert len(inside) == len(set(inside)) and set(inside) == {w[:2] for w in want}
 
 
+def even_odd(points, rings):
+    """Even-odd rule for many points at once, edge by edge."""
+    x, y = points.T
+    odd = np.zeros(len(x), bool)
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+            if ay != by:
+                odd ^= ((ay > y) != (by > y)) & (x < ax + (y - ay) * (bx - ax) / (by - ay))
+    return odd
+
+
+def test_large_polygons(spark):
+    """A border of 100,000 vertices around 200,000 x 200,000 pixels with a hole, and a comb of vertices on cell borders."""
+    from pixelframe.operators import cover as cv
+
+    rng = np.random.default_rng(4)
+    angle = np.sort(rng.random(100_000)) * 2 * np.pi
+    far = 100_000 * (0.6 + 0.3 * np.sin(5 * angle) + 0.0001 * rng.random(len(angle)))
+    star = np.stack([far * np.cos(angle), far * np.sin(angle)], axis=1)
+    hole = np.array([[-9000.0, -9000], [9000, -9000], [9000, 9000], [-9000, 9000]])
+    comb = np.array([[0, 0], *([p for i in range(8) for p in ([64 * i, 640], [64 * i + 32, 64])]), [512, 0]], float)
+    shapes = {1: [star, hole], 2: [comb], 3: [hole * 2, hole / 90]}
+    point = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    zones = spark.createDataFrame([(k, [point(r) for r in rings]) for k, rings in shapes.items()], "feature_index int, geom array<array<struct<x double, y double>>>")
+    near = star[rng.integers(0, len(star), 600)] + rng.integers(-60, 61, (600, 2))
+    at = np.unique(np.concatenate([near, rng.integers(-100_000, 100_000, (800, 2)), rng.integers(-20, 660, (1500, 2)), np.stack([np.arange(-10, 640), np.full(650, 64)], 1), np.stack([np.full(650, 63), np.arange(-10, 640)], 1)]).astype(int), axis=0)
+    centre = at + 0.5
+    want = {(int(x), int(y), k) for k, rings in shapes.items() for (x, y), hit in zip(at, even_odd(centre, rings) if k > 1 else even_odd_many(centre, rings), strict=True) if hit}
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in at], "x int, y int")
+    got = [(r.x, r.y, r.feature_index) for r in zn.zonal_join(df, zones).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    inside = [(r.x, r.y) for r in zn.filter_spatial(df, zones).collect()]
+    assert len(inside) == len(set(inside)) and set(inside) == {w[:2] for w in want}
+    cells, top = cv.cover(zones.where("feature_index = 1"), zn.edges(F.col("geom")), 64)
+    length = np.abs(np.diff(np.concatenate([star, star[:1]]), axis=0)).sum() + 72_000
+    assert top == 12 and cells.count() < 4 * length / 64 < (200_000 / 64) ** 2 / 8
+
+
+def even_odd_many(points, rings):
+    """even_odd() by blocks of points against all edges."""
+    out = []
+    for part in np.array_split(points, 40):
+        x, y = part[:, :1], part[:, 1:]
+        n = np.zeros(len(part), int)
+        for ring in rings:
+            (ax, ay), (bx, by) = ring.T, np.roll(ring, -1, axis=0).T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                n += (((ay > y) != (by > y)) & (x < ax + (y - ay) * (bx - ax) / (by - ay))).sum(1)
+        out.append(n % 2 == 1)
+    return np.concatenate(out)
+
+
 def test_forest_and_batch_models(spark):
     df = spark.range(200).selectExpr("cast(id % 20 as int) AS x", "cast(id div 20 as int) AS y", "cast(id % 20 as double) AS a", "cast(id % 7 as double) AS b").withColumn("label", (F.col("a") > 9).cast("double"))
     model = udf.train_forest(df, ["a", "b"], "label", 5, 3)
