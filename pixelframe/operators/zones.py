@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import bands, dims
+from ..sources.shared import checkpoint
 from . import cover as cv
 from .cube import reducer
+from .selection import quantiles_of_groups
 
 #: Cells of the equi-join key in pixels.
 CELL = 64
@@ -87,9 +89,15 @@ def mask_polygon(df: DataFrame, zones: DataFrame, inside: bool = False, cell: in
 
 
 def aggregate_spatial(df: DataFrame, zones: DataFrame, name: str = "mean", cell: int = CELL) -> DataFrame:
-    """One row for each feature (and time), with one value for each band; nodata is ignored."""
+    """One row for each feature (and time), with one value for each band; nodata is ignored. Medians of large features are selected, not buffered."""
     keys = ["feature_index", *(c for c in dims(df) if c == "t")]
-    return zonal_join(df, zones, cell).groupBy(*keys).agg(*(reducer(name, b).alias(b) for b in bands(df)))
+    if name != "median":
+        return zonal_join(df, zones, cell).groupBy(*keys).agg(*(reducer(name, b).alias(b) for b in bands(df)))
+    joined = checkpoint(zonal_join(df, zones, cell))
+    out = joined.select(*keys).distinct()
+    for b in bands(df):
+        out = out.join(quantiles_of_groups(joined, keys, b, [0.5]).withColumnRenamed("q0", b), keys, "left")
+    return out
 
 
 def vector_to_raster(stats: DataFrame, zones: DataFrame, target: DataFrame, cell: int = CELL) -> DataFrame:
@@ -102,9 +110,9 @@ def vector_to_raster(stats: DataFrame, zones: DataFrame, target: DataFrame, cell
 
 def variability_classes(df: DataFrame, zones: DataFrame, value: str = "value", raw: bool = False, cell: int = CELL) -> DataFrame:
     """Each pixel against its zone's median on the same date in percent, as classes 1 to 5 (or raw percent); clamped to 0..100 at the end."""
-    joined = zonal_join(df, zones, cell)
+    joined = checkpoint(zonal_join(df.select(*dims(df), value), zones, cell))
     keys = ["feature_index", *(c for c in dims(df) if c == "t")]
-    middle = joined.groupBy(*keys).agg(F.median(value).alias("_median"))
+    middle = quantiles_of_groups(joined, keys, value, [0.5]).withColumnRenamed("q0", "_median")
     out = joined.join(middle, keys).withColumn("_share", F.try_divide(F.col(value).cast("double"), F.col("_median")) * 100)
     s = F.col("_share")
     classed = F.when(s < 85, 1).when(s < 95, 2).when(s < 105, 3).when(s < 115, 4).when(s.isNotNull(), 5)

@@ -251,6 +251,26 @@ def even_odd_many(points, rings):
     return np.concatenate(out)
 
 
+def test_quantiles_by_selection(spark):
+    from pyspark.sql import types as T
+
+    from pixelframe.operators.selection import quantiles_of_groups
+
+    rng = np.random.default_rng(6)
+    groups = {"ties": np.repeat([3.0, 3.0, 7.0], 400), "wide": np.r_[rng.random(900), 1e300, -1e300, 1e-300], "huge": np.array([-1.7e308, 1.7e308] * 300), "one": np.array([5.0]), "geometric": 2.0 ** np.arange(-500, 500), "normal": rng.normal(size=3000)}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("normal", None), ("normal", float("nan")), ("ties", float("inf")), ("empty", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: [r[f"q{i}"] for i in range(5)] for r in quantiles_of_groups(df, ["k"], "v", probs, buffer=10, few=5).collect()}
+    usual = {r.k: [r[f"q{i}"] for i in range(5)] for r in quantiles_of_groups(df, ["k"], "v", probs).collect()}
+    assert got == usual and got.pop("empty") == [None] * 5 and set(got) == set(groups)
+    for k in ("ties", "one", "normal", "wide"):
+        assert np.allclose(got[k], np.quantile(groups[k], probs))
+    n = 10_000_000
+    large = spark.range(n).select(((F.col("id") * 7919) % n).cast(T.DoubleType()).alias("v"))
+    assert tuple(quantiles_of_groups(large, [], "v", [0.5, 0.25]).first()) == ((n - 1) / 2, (n - 1) / 4)
+
+
 def test_forest_and_batch_models(spark):
     df = spark.range(200).selectExpr("cast(id % 20 as int) AS x", "cast(id div 20 as int) AS y", "cast(id % 20 as double) AS a", "cast(id % 7 as double) AS b").withColumn("label", (F.col("a") > 9).cast("double"))
     model = udf.train_forest(df, ["a", "b"], "label", 5, 3)
