@@ -94,9 +94,21 @@ def _violations(df: DataFrame, keys: Sequence[str], rules: dict[str, Column]) ->
     return df.select(*keys, F.explode(broken).alias("rule"))
 
 
+#: Links that a service's record must have, and where two of them must point (fixed values).
+SERVICE_LINKS = ("service", "application", "provider", "platform")
+RECORD_PLACES = {"platform": r"^(\.\./){4}platform_catalog/\S+\.json$", "provider": r"^(\.\./){2}record\.json$"}
+NOTEBOOK = "application/x-ipynb+json"
+
+
 def lint_records(records: DataFrame) -> DataFrame:
-    kind, rels = F.col("properties.type"), F.transform("links", lambda x: x["rel"])
-    needed = F.when(kind == "service", F.arrays_overlap(rels, F.array(F.lit("application"), F.lit("service")))).otherwise(F.lit(True))
+    """(id, rule) for each rule that a record breaks.
+
+    Links may be relative; absolute ones are https (or an image's oci). A service has a link of each of SERVICE_LINKS, platform and provider
+    at their places; its file is <id>/records/<id>.json. A platform's file has its id, a provider's is record.json.
+    """
+    kind, links = F.col("properties.type"), F.coalesce("links", F.array())
+    service = F.equal_null(kind, F.lit("service"))
+    every = lambda test: ~F.exists(links, lambda x: ~F.coalesce(test(x), F.lit(False)))
     rules = {
         "type": F.col("type") == "Feature",
         "conforms to core": F.array_contains("conformsTo", CORE),
@@ -105,11 +117,18 @@ def lint_records(records: DataFrame) -> DataFrame:
         "title": F.length("properties.title") > 0,
         "description": F.length("properties.description") > 0,
         "created": F.col("properties.created").isNotNull(),
-        "links": needed,
-        "https": ~F.exists("links", lambda x: ~x["href"].startswith("https://")),
+        "updated": F.col("properties.updated").isNotNull(),
+        "link fields": ~service | every(lambda x: x["rel"].isNotNull() & x["type"].isNotNull() & x["title"].isNotNull() & x["href"].isNotNull()),
+        "https": every(lambda x: ~x["href"].rlike("^[A-Za-z][A-Za-z0-9+.-]*://") | x["href"].rlike("^(https|oci)://")),
+        "notebook type": every(lambda x: ~F.equal_null(x["rel"], F.lit("notebook")) | (x["type"] == NOTEBOOK)),
     }
+    is_ = lambda rel: lambda x: F.equal_null(x["rel"], F.lit(rel))
+    at = lambda rel, place: lambda x: ~is_(rel)(x) | x["href"].rlike(place)
+    rules |= {f"{rel} link": ~service | F.exists(links, is_(rel)) for rel in SERVICE_LINKS}
+    rules |= {f"{rel} place": ~service | every(at(rel, place)) for rel, place in RECORD_PLACES.items()}
     if "path" in records.columns:
-        rules["id is the file's name"] = (F.col("id") == file_stem("path")) | (path_part("path", 1) == "record.json")
+        named = (F.col("id") == file_stem("path")) & (~service | ((path_part("path", 2) == "records") & (path_part("path", 3) == F.col("id"))))
+        rules["id is the file's name"] = named | (~service & (path_part("path", 1) == "record.json"))
     return _violations(records, ["id"], rules)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -239,21 +240,68 @@ def merge_static(cube: DataFrame, static: DataFrame) -> DataFrame:
     return cube.join(static, ["x", "y"], "left")
 
 
-def resample_grid(df: DataFrame, factor: int, method: str = "near") -> DataFrame:
-    """Coarser cells of factor x factor pixels: `near` takes the upper-left pixel's values, `average` the mean."""
+def resample_grid(df: DataFrame, factor: int, method: str = "near", align: str | None = None) -> DataFrame:
+    """Coarser cells of factor x factor pixels: `near` takes the upper-left pixel's values, nodata or not, `average` the mean.
+
+    Cells begin at multiples of the factor, or with align at a corner of the cube's extent: upper-left, upper-right, lower-left or
+    lower-right (y grows downwards). The extent is four numbers of one aggregation.
+    """
     one_of("method", method, ("near", "average"))
     keys = [c for c in dims(df) if c not in ("x", "y")]
-    cell = [F.floor(F.col(c) / factor).cast("int").alias(c) for c in ("x", "y")]
+    start = {"x": 0, "y": 0}
+    if align is not None:
+        one_of("align", align, ("upper-left", "upper-right", "lower-left", "lower-right"))
+        left, right, top, bottom = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if left is not None:
+            start = {"x": (left if align.endswith("left") else right + 1) % factor, "y": (top if align.startswith("upper") else bottom + 1) % factor}
+    cell = [F.floor((F.col(c) - start[c]) / factor).cast("int").alias(c) for c in ("x", "y")]
     if method == "average":
         made = [F.avg(b).alias(b) for b in bands(df)]
     else:
-        made = [F.min_by(b, F.when(F.col(b).isNotNull(), F.struct("y", "x"))).alias(b) for b in bands(df)]
+        first = F.min_by(F.struct(*bands(df)), F.struct("y", "x"))
+        made = [first[b].alias(b) for b in bands(df)]
     source = df.select("*", *(c.alias(f"_{n}") for c, n in zip(cell, ("x", "y"), strict=True)))
     return source.groupBy("_x", "_y", *keys).agg(*made).select(F.col("_x").alias("x"), F.col("_y").alias("y"), *keys, *bands(df))
 
 
+class Grid(NamedTuple):
+    """Cell (i, j) covers x + i * step to x + (i + 1) * step, and y likewise."""
+
+    x: float
+    y: float
+    step: float
+
+
+def resample_between(df: DataFrame, source: Grid, target: Grid, method: str = "average") -> DataFrame:
+    """A cube of one grid's cells in the cells of another, of any origin and step.
+
+    `average` weighs the source cells by the area that they share with a target cell; nodata is left out and the other weights
+    scaled up. `near` takes the cell that holds the target's centre. Each source cell goes to the target cells that it touches: one shuffle with
+    partial sums, and no join.
+    """
+    one_of("method", method, ("near", "average"))
+    rest = [c for c in dims(df) if c not in ("x", "y")]
+
+    def touched(c: str, s0: float, t0: float) -> Column:
+        """Target cells along one side, and how much of the side they share with the source cell."""
+        low, high = s0 + F.col(c) * F.lit(source.step), s0 + (F.col(c) + 1) * F.lit(source.step)
+        at = lambda v: (v - t0) / F.lit(target.step)
+        if method == "near":  # cells whose centre lies in it
+            cells = F.sequence(F.ceil(at(low) - 0.5), F.ceil(at(high) - 0.5) - 1)
+            cells = F.when(F.ceil(at(high) - 0.5) - 1 >= F.ceil(at(low) - 0.5), cells)
+            return F.transform(cells, lambda i: F.struct(i.cast("int").alias("i"), F.lit(1.0).alias("w")))
+        cells = F.sequence(F.floor(at(low)), F.greatest(F.floor(at(low)), F.ceil(at(high)) - 1))
+        return F.transform(cells, lambda i: F.struct(i.cast("int").alias("i"), (F.least(high, t0 + (i + 1) * F.lit(target.step)) - F.greatest(low, t0 + i * F.lit(target.step))).alias("w")))
+
+    sent = df.withColumn("_i", F.explode(touched("x", source.x, target.x))).withColumn("_j", F.explode(touched("y", source.y, target.y)))
+    sent = sent.withColumn("_w", F.col("_i.w") * F.col("_j.w")).where("_w > 0")
+    made = [F.try_divide(F.sum(F.col(b) * F.col("_w")), F.sum(F.when(F.col(b).isNotNull(), F.col("_w")))).alias(b) if method == "average" else F.max(b).alias(b) for b in bands(df)]
+    out = sent.groupBy(F.col("_i.i").alias("_x"), F.col("_j.i").alias("_y"), *rest).agg(*made)
+    return out.select(F.col("_x").alias("x"), F.col("_y").alias("y"), *rest, *bands(df))
+
+
 def resample_to(df: DataFrame, target: DataFrame, factor: int, method: str = "near") -> DataFrame:
-    """A coarse cube (cells of factor x factor target pixels) on a finer cube's pixels: near, average (the cell's value) or bilinear.
+    """A coarse cube (cells of factor x factor target pixels) on a finer cube's pixels: near, average (each pixel lies in one cell, so that this is its value too) or bilinear. resample_between() takes grids of any origin and step.
 
     Bilinear weighs the four cells around a pixel's centre by distance; cells without a value are left out and the
     weights of the others scaled up.

@@ -91,6 +91,7 @@ cube_query("c8_scl_mask", "SELECT x, y, t, SCL IN (3, 8, 9, 10, 1, 6, 11, 0) AS
 query("c9_filter_outcome", "SELECT event_id, costs FROM rn WHERE outcome = 'passed'")(lambda s, d: mt.filter_outcome(tc.runs(s, d)).select("event_id", "costs"))
 query("c10_filter_recent", f"SELECT event_id, costs FROM rn WHERE start >= {tc.AS_OF} - 10 * 86400")(lambda s, d: mt.filter_recent(tc.runs(s, d), 10, tc.AS_OF).select("event_id", "costs"))
 query("c11_filter_regex", "SELECT event_id, scenario_id FROM rn WHERE regexp_matches(scenario_id, '^(?:click|view)')")(lambda s, d: mt.filter_regex(mt.with_scenario(tc.runs(s, d)), "scenario_id", "click|view").select("event_id", "scenario_id"))
+query("c12_sample_half", "SELECT event_id, round(costs, 6) AS costs FROM rn QUALIFY row_number() OVER (ORDER BY md5('7|' || event_id), event_id) <= 250")(lambda s, d: mt.sample_n(tc.runs(s, d).select("event_id", "costs"), 250, 7, ["event_id"], most_sorted=10))
 query("c12_sample_n", "SELECT event_id, round(costs, 6) AS costs FROM rn ORDER BY md5('7|' || event_id), event_id LIMIT 100")(lambda s, d: mt.sample_n(tc.runs(s, d).select("event_id", "costs"), 100, 7, ["event_id"]))
 
 # --- 2.4 joins ----------------------------------------------------------------------------------------------------
@@ -113,6 +114,12 @@ def _coarse(s: SparkSession, d: str) -> DataFrame:
 query("d6_resample_near", "SELECT x, y, v FROM gr JOIN co ON cx = x // 4 AND cy = y // 4", _COARSE)(lambda s, d: cb.resample_to(_coarse(s, d), tc.land_cover(s, d), 4))
 query("d6_resample_bilinear", "SELECT x, y, round(sum(v * w) / sum(w) + 1e-9, 6) AS v FROM (SELECT x, y, floor((x + 0.5) / 4 - 0.5) + i AS kx, floor((y + 0.5) / 4 - 0.5) + j AS ky, (1 - abs((x + 0.5) / 4 - 0.5 - floor((x + 0.5) / 4 - 0.5) - i)) * (1 - abs((y + 0.5) / 4 - 0.5 - floor((y + 0.5) / 4 - 0.5) - j)) AS w FROM gr, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) JOIN co ON cx = kx AND cy = ky GROUP BY x, y", _COARSE)(lambda s, d: cb.resample_to(_coarse(s, d), tc.land_cover(s, d), 4, "bilinear").withColumn("v", F.col("v") + 1e-9))
 cube_query("d7_resample_average", "SELECT (x // 4)::INT AS x, (y // 4)::INT AS y, t, round(avg(B04), 6) AS B04 FROM px GROUP BY ALL", lambda d: cb.resample_grid(d, 4, "average"), ("B04",))
+cube_query("d7_resample_near_nodata", "SELECT (x // 4)::INT AS x, (y // 4)::INT AS y, t, nullif(min(struct_pack(k := y * 1000 + x, v := coalesce(CASE WHEN B04 % 3 > 0 THEN B04 END, -1))).v, -1) AS B04 FROM px GROUP BY x // 4, y // 4, t", lambda d: cb.resample_grid(d.withColumn("B04", F.when(F.col("B04") % 3 > 0, F.col("B04"))), 4), ("B04",))
+cube_query("d7_resample_aligned", "SELECT floor((x - (hx + 1) % 3) / 3)::INT AS x, floor((y - (hy + 1) % 3) / 3)::INT AS y, t, round(avg(B04), 6) AS B04 FROM px, (SELECT max(x) AS hx, max(y) AS hy FROM px) GROUP BY ALL", lambda d: cb.resample_grid(d, 3, "average", "lower-right"), ("B04",))
+# cells of 1 from (0, 0) in cells of 2.5 from (0.3, -1.2)
+_SHARED = "greatest(0, least({0} + 1, {1} + 2.5 * (k{0} + 1)) - greatest({0}, {1} + 2.5 * k{0}))::DOUBLE"
+query("d6_resample_between_average", f"SELECT kx::INT AS x, ky::INT AS y, round(sum(v * w) / sum(w) FILTER (v IS NOT NULL), 6) AS v FROM (SELECT kx, ky, v, {_SHARED.format('x', 0.3)} * {_SHARED.format('y', -1.2)} AS w FROM (SELECT x, y, CASE WHEN MAP <> 50 THEN MAP END AS v FROM lc), (SELECT unnest(range(-3, 60)) AS kx), (SELECT unnest(range(-3, 60)) AS ky)) WHERE w > 0 GROUP BY kx, ky")(lambda s, d: cb.resample_between(tc.land_cover(s, d).select("x", "y", F.when(F.col("MAP") != 50, F.col("MAP")).alias("v")), cb.Grid(0, 0, 1), cb.Grid(0.3, -1.2, 2.5)).withColumn("v", F.round("v", 6)))
+query("d6_resample_between_near", "SELECT kx::INT AS x, ky::INT AS y, MAP AS v FROM lc, (SELECT unnest(range(-3, 60)) AS kx), (SELECT unnest(range(-3, 60)) AS ky) WHERE 0.3 + 2.5 * (kx + 0.5) >= x AND 0.3 + 2.5 * (kx + 0.5) < x + 1 AND -1.2 + 2.5 * (ky + 0.5) >= y AND -1.2 + 2.5 * (ky + 0.5) < y + 1")(lambda s, d: cb.resample_between(tc.land_cover(s, d).select("x", "y", F.col("MAP").alias("v")), cb.Grid(0, 0, 1), cb.Grid(0.3, -1.2, 2.5), "near"))
 cube_query("d7_resample_near", "SELECT (x // 4)::INT AS x, (y // 4)::INT AS y, t, arg_min(B04, y * 1000 + x) AS B04 FROM px GROUP BY x // 4, y // 4, t", lambda d: cb.resample_grid(d, 4), ("B04",))
 query("d8_compare_cubes", "SELECT count(*) AS pixels, count(*) FILTER (a.v IS NULL) AS missing, count(*) FILTER (b.v IS NULL) AS extra, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL AND abs(a.v - b.v) > 1 + 0.001 * abs(b.v)) AS bad, round(100.0 * count(*) FILTER (a.v IS NULL OR b.v IS NULL OR abs(a.v - b.v) > 1 + 0.001 * abs(b.v)) / count(*), 6) AS bad_percent, 100.0 * count(*) FILTER (a.v IS NULL OR b.v IS NULL OR abs(a.v - b.v) > 1 + 0.001 * abs(b.v)) / count(*) <= 1 AS passed FROM (SELECT x, y, max(B04) AS v FROM px WHERE x > 1 GROUP BY ALL) a FULL JOIN (SELECT x, y, max(B04) + (x % 3) * 2 AS v FROM px WHERE y > 1 GROUP BY x, y) b USING (x, y)")(
     lambda s, d: mt.compare_cubes(tc.pixels(s, d, ("B04",)).where("x > 1").groupBy("x", "y").agg(F.max("B04").alias("v")), tc.pixels(s, d, ("B04",)).where("y > 1").groupBy("x", "y").agg((F.max("B04") + F.col("x") % 3 * 2).alias("v")), ["v"])

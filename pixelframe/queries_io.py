@@ -169,6 +169,20 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return back.select("properties.event_id", F.col("type").alias("kind"), F.col("geometry.type").alias("shape"), F.col("geometry.coordinates")[0][0][0].alias("west"), "properties.value")
 
 
+@query("a12_save_result_multipolygon", "SELECT n_nationkey::INT AS feature_index, n_nationkey % 2 AS parted, CASE WHEN n_nationkey % 2 = 1 THEN 3 ELSE 1 END AS rings, CASE WHEN n_nationkey % 2 = 1 THEN 2 ELSE 1 END AS parts FROM nation")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Two islands, one with a lake, or one island: written, read again, written and read."""
+    at = lambda *xy: ", ".join(f"array({x}D, {y}D)" for x, y in xy)
+    box = lambda a, b: f"array({at((a, a), (b, a), (b, b), (a, b), (a, a))})"
+    islands = f"if(n_nationkey % 2 = 1, array(array({box(0, 9)}, {box(2, 4)}), array({box(20, 30)})), array(array({box(0, 9)})))"
+    made = s.read.parquet(f"{d}/nation.parquet").selectExpr("'Feature' AS type", f"named_struct('type', 'MultiPolygon', 'coordinates', {islands}) AS geometry", "named_struct('key', n_nationkey) AS properties")
+    made.write.json(path := scratch(s))
+    first = io.load_geojson(s, path, multi_line=False).selectExpr("cast(props['key'] AS int) AS feature_index", "geom", "parts")
+    io.save_result(first, again := scratch(s), "geojson")
+    back = io.load_geojson(s, again, multi_line=False)
+    return back.select(F.expr("cast(props['feature_index'] AS int)").alias("feature_index"), F.expr("cast(props['feature_index'] AS int) % 2").alias("parted"), F.size("geom").alias("rings"), F.size(F.array_distinct("parts")).alias("parts"))
+
+
 @query("a12_save_result_parquet", "SELECT x, y, max(B04) AS B04, 0.0001::DOUBLE AS scale FROM px GROUP BY ALL")
 def _(s: SparkSession, d: str) -> DataFrame:
     io.save_result(tc.pixels(s, d, ("B04",)).groupBy("x", "y").agg(F.max("B04").alias("B04")), path := scratch(s), "parquet", {"B04": {"scale": 0.0001, "nodata": -9999}})
@@ -240,8 +254,23 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return cat.get_algorithms(own.unionByName(again, allowMissingColumns=True), names).select("name", "title", "udp_href", "license", "organization", "error")
 
 
-_RULES = "UNION ALL ".join(f"SELECT 'alg' || {_K} AS id, '{n}' AS rule FROM supplier WHERE {w} " for n, w in (("type", f"{_K} % 11 = 0"), ("conforms to core", f"{_K} % 7 = 0"), ("description", f"{_K} % 13 = 0"), ("https", f"{_K} % 9 = 0"), ("id is the file''s name", f"{_K} % 6 = 0")))
-query("m23_lint_records", _RULES)(lambda s, d: cat.lint_records(_records(s, d)))
+_SERVICE = f"{_K} % 5 > 0"
+_RULES = "UNION ALL ".join(f"SELECT 'alg' || {_K} AS id, '{n}' AS rule FROM supplier WHERE {w} " for n, w in (("type", f"{_K} % 11 = 0"), ("conforms to core", f"{_K} % 7 = 0"), ("description", f"{_K} % 13 = 0"), ("https", f"{_K} % 9 = 0"), ("id is the file''s name", f"{_K} % 6 = 0"), ("platform place", f"{_SERVICE} AND {_K} % 8 = 0"), ("platform link", f"{_SERVICE} AND {_K} % 17 = 0 AND {_K} % 8 > 0"), ("provider link", f"{_SERVICE} AND {_K} % 19 = 0"), ("link fields", f"{_SERVICE} AND {_K} % 23 = 0"), ("notebook type", f"{_K} % 29 = 0")))
+
+
+@query("m23_lint_records", _RULES)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Beside the records' faults: a platform elsewhere, none, no provider, a link without title, a notebook of another type."""
+    link = lambda rel, href, kind="'x'", title="'x'": f"named_struct('rel', '{rel}', 'type', {kind}, 'title', {title}, 'href', {href})"
+    more = [
+        link("platform", f"if({_K} % 8 = 0, 'https://p.example/a.json', '../../../../platform_catalog/a.json')").replace("'rel', 'platform'", f"'rel', if({_K} % 17 = 0 AND {_K} % 8 > 0, 'about', 'platform')"),
+        link("provider", "'../../record.json'").replace("'rel', 'provider'", f"'rel', if({_K} % 19 = 0, 'about', 'provider')"),
+        link("thumbnail", "'./thumbnail.png'", title=f"if({_K} % 23 = 0, null, 'x')"),
+        link("notebook", "'https://n.example/n.ipynb'", kind=f"if({_K} % 29 = 0, 'text/html', '{cat.NOTEBOOK}')"),
+    ]
+    return cat.lint_records(_records(s, d).withColumn("links", F.expr(f"concat(links, array({', '.join(more)}))")))
+
+
 _P, _OE = "p_partkey", "p_partkey % 5 > 0"
 _SID = f"CASE WHEN {_P} % 8 = 0 THEN 'bad id ' || {_P} ELSE 's' || {_P} END"
 _RULES2 = "UNION ALL ".join(f"SELECT {_SID} AS id, '{n}' AS rule FROM part WHERE {w} " for n, w in (("id", f"{_P} % 8 = 0"), ("backend", f"{_OE} AND {_P} % 7 = 0"), ("process graph", f"{_OE} AND {_P} % 9 = 0"), ("type", f"{_P} % 25 = 0"), ("process id", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 11 = 0"), ("arguments", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 13 = 0"), ("namespace", f"{_OE} AND {_P} % 9 > 0 AND {_P} % 6 = 0"), ("endpoint", f"{_P} % 10 = 0 AND {_P} % 25 > 0"), ("application", f"{_P} % 15 = 0 AND {_P} % 25 > 0"), ("parameters", f"{_P} % 20 = 0 AND {_P} % 25 > 0")))

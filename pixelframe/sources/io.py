@@ -57,23 +57,26 @@ def load_items(spark: SparkSession, path: str, bands: Sequence[str] | None = Non
     return rows.where(F.col("cloud_cover") <= max_cloud_cover) if max_cloud_cover is not None else rows
 
 
-def load_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(feature_index, geom, props) of a FeatureCollection or a single geometry file, as rings of points.
+def load_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(feature_index, geom, props, parts) of a FeatureCollection or a single geometry file, as rings of points.
 
-    Coordinates stay text until the type of the geometry is known. A MultiPolygon's rings are
-    taken together; a Point is a ring of one point.
+    Coordinates stay text until the type of the geometry is known. A MultiPolygon's rings are taken together, parts has the number of
+    each ring's polygon (all 0 in a Polygon); a Point is a ring of one point. multi_line=False reads files with a feature on each line.
     """
     geometry = "struct<type string, coordinates string>"
     schema = f"type string, coordinates string, geometry {geometry}, properties map<string, string>, features array<struct<geometry {geometry}, properties map<string, string>>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     one = F.when(F.col("features").isNotNull(), F.col("features")).when(F.col("geometry").isNotNull(), F.array(F.struct("geometry", "properties"))).otherwise(F.array(F.struct(F.struct("type", "coordinates").alias("geometry"), F.col("properties").alias("properties"))))
     rows = raw.select(F.posexplode(one).alias("feature_index", "_f")).select("feature_index", F.col("_f.geometry.type").alias("_type"), F.col("_f.geometry.coordinates").alias("_c"), F.col("_f.properties").alias("props"))
     polygon = F.from_json("_c", "array<array<array<double>>>")
-    multi = F.flatten(F.from_json("_c", "array<array<array<array<double>>>>"))
+    islands = F.from_json("_c", "array<array<array<array<double>>>>")
+    multi = F.flatten(islands)
     point = F.array(F.array(F.from_json("_c", "array<double>")))
     rings = F.when(F.col("_type") == "MultiPolygon", multi).when(F.col("_type") == "Point", point).otherwise(polygon)
     geom = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return rows.select("feature_index", geom.alias("geom"), "props")
+    numbered = F.flatten(F.transform(islands, lambda part, i: F.transform(part, lambda _: i)))
+    parts = F.when(F.col("_type") == "MultiPolygon", numbered).otherwise(F.transform(rings, lambda _: F.lit(0)))
+    return rows.select("feature_index", geom.alias("geom"), "props", parts.alias("parts"))
 
 
 def read_metrics_history(spark: SparkSession, path: str, metric_names: Sequence[str] | None = None, outcome: str | None = "passed") -> DataFrame:
@@ -143,11 +146,18 @@ def read_scenarios(spark: SparkSession, root: str, schema: str = catalog.SCENARI
     return df.withColumn("path", F.col("_metadata.file_path")).where(F.col("path").rlike(r"/[^/]*benchmark[-_]scenarios?[^/]*/[^/]+\.json$"))
 
 
-def features(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """(type, geometry, properties): each row as a GeoJSON feature, its rings (array<array<struct<x, y>>>) as a polygon; a null geometry stays null."""
+def features(df: DataFrame, geom: str = "geom", parts: str = "parts") -> DataFrame:
+    """(type, geometry, properties): each row as a GeoJSON feature; a null geometry stays null.
+
+    The rings (array<array<struct<x, y>>>) are a polygon; where df has the number of each ring's polygon in `parts`, a MultiPolygon of these.
+    """
     rings = F.transform(geom, lambda ring: F.transform(ring, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
-    shape = F.when(F.col(geom).isNotNull(), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")))
-    return df.select(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*(n for n in df.columns if n != geom)).alias("properties"))
+    kind, made = "Polygon", rings
+    if parts in df.columns:
+        of = lambda part: F.transform(F.filter(F.arrays_zip(rings.alias("ring"), F.col(parts).alias("part")), lambda z: z["part"] == part), lambda z: z["ring"])
+        kind, made = "MultiPolygon", F.transform(F.array_sort(F.array_distinct(parts)), of)
+    shape = F.when(F.col(geom).isNotNull(), F.struct(F.lit(kind).alias("type"), made.alias("coordinates")))
+    return df.select(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*(n for n in df.columns if n not in (geom, parts))).alias("properties"))
 
 
 def save_result(df: DataFrame, path: str, format: str = "parquet", band_meta: dict[str, dict] | None = None) -> None:

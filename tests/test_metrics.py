@@ -128,9 +128,18 @@ def test_get_algorithm(spark, tmp_path, record, error):
 
 
 def test_rules_accept_what_is_published(spark):
-    links = [("service", None, None, "https://s.test/"), ("application", cat.PROCESS_LINK, None, "https://s.test/u.json")]
-    row = {"id": "a-b_1", "type": "Feature", "conformsTo": [CORE, "https://profile.test/udp"], "properties": {"type": "service", "title": "t", "description": "d", "created": "2024"}, "links": [dict(zip(("rel", "type", "title", "href"), x, strict=True)) for x in links]}
+    kind = "application/json"
+    links = [("service", kind, "s", "https://s.test/"), ("application", cat.PROCESS_LINK, "u", "oci://s.test/u"), ("platform", kind, "p", "../../../../platform_catalog/p.json"), ("provider", kind, "q", "../../record.json"), ("thumbnail", "image/png", "t", "./thumbnail_1.png")]
+    link = lambda *x: dict(zip(("rel", "type", "title", "href"), x, strict=True))
+    row = {"id": "a-b_1", "type": "Feature", "conformsTo": [CORE, "https://profile.test/udp"], "properties": {"type": "service", "title": "t", "description": "d", "created": "2024", "updated": "2024"}, "links": [link(*x) for x in links]}
     assert cat.lint_records(spark.createDataFrame([row], cat.RECORD)).count() == 0
+    broken = lambda more: {r.rule for r in cat.lint_records(spark.createDataFrame([row | more], cat.RECORD)).collect()}
+    for i, rel in enumerate(("service", "application", "platform", "provider")):
+        assert broken({"links": row["links"][:i] + row["links"][i + 1 :]}) == {f"{rel} link"}
+    wrong = [link("platform", kind, "p", "../platform_catalog/p.json"), link("provider", kind, "q", "https://q.test/record.json"), link("about", None, "a", "http://a.test"), link("notebook", "text/html", "n", "https://n.test")]
+    assert broken({"links": row["links"] + wrong}) == {"platform place", "provider place", "link fields", "https", "notebook type"}
+    at = lambda path: {r.rule for r in cat.lint_records(spark.createDataFrame([row], cat.RECORD).selectExpr("*", f"'{path}' AS path")).collect()}
+    assert at("x/a-b_1/records/a-b_1.json") == set() and at("x/other/records/a-b_1.json") == at("x/a-b_1/a-b_1.json") == at("x/a-b_1/records/b.json") == {"id is the file's name"}
     assert {r.rule for r in cat.lint_records(spark.createDataFrame([row | {"conformsTo": [CORE]}], cat.RECORD)).collect()} == {"exactly one profile"}
     node = {"process_id": "a-process", "namespace": "backend", "arguments": "{}"}
     good = {"id": "max-ndvi_1", "type": "openeo", "backend": "https://back.test", "process_graph": {"n": node}}
