@@ -7,12 +7,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..meta import bands, dims
+from . import cover as cv
 from .cube import rename_labels
-from .zones import zonal_join
+from .zones import edges, zonal_join
 
 
 def apply_pixels(df: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str, context: dict | None = None) -> DataFrame:
@@ -55,10 +56,68 @@ def apply_neighborhood(df: DataFrame, fn: Callable[..., pd.DataFrame], size: int
     return made if labels is None else rename_labels(made, labels)
 
 
-def apply_polygon(df: DataFrame, zones: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, per_date: bool = False) -> DataFrame:
-    """A function of each polygon's pixels; the rest is absent. per_date: of each date by itself, which is all that a task then holds."""
+def apply_polygon(df: DataFrame, zones: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, per_date: bool = False, mask_value: float | None = None, context: dict | None = None, tile: int | None = None) -> DataFrame:
+    """A function of each polygon's pixels; fn gets the context too where one is given.
+
+    Without mask_value the rest is absent. With it fn gets rectangular windows, in order of (t,) y and x: the pixels whose centres lie in the polygon's bounds, mask_value
+    in all bands outside the polygon, and nodata for the pixels inside that the cube lacks. per_date: of each date by itself; tile: of each tile of
+    so many pixels by itself, with the part of the window in it; that is all that a task then holds. Only dates and tiles that hold a pixel of the polygon are given.
+    """
+    given = () if context is None else (dict(context),)
     keys = ["feature_index", *(c for c in dims(df) if c == "t" and per_date)]
-    return zonal_join(df, zones).groupBy(*keys).applyInPandas(fn, schema)
+    if mask_value is None:
+        held = zonal_join(df, zones).withColumns({} if tile is None else {"_cx": F.floor(F.col("x") / tile), "_cy": F.floor(F.col("y") / tile)})
+        keys += [] if tile is None else ["_cx", "_cy"]
+        return held.groupBy(*keys).applyInPandas(lambda rows: fn(rows.drop(columns=["_cx", "_cy"], errors="ignore"), *given), schema)
+    names = bands(df)
+    held = zonal_join(df, zones)
+    if tile is not None:
+        keys += ["_cx", "_cy"]
+        held = held.withColumns({"_cx": F.floor((F.col("x") + 0.5) / tile).cast("int"), "_cy": F.floor((F.col("y") + 0.5) / tile).cast("int")})
+    # each window once, with its polygon's edges
+    shapes = cv.bounded(zones.select("feature_index", "geom"), edges(F.col("geom")), tile or 1).select("feature_index", "_edges", "_w", "_e", "_s", "_n")
+    windows = held.select(*keys).distinct().join(shapes, "feature_index").select(*(F.col(c).alias(f"_of{c}") for c in keys), "_edges", "_w", "_e", "_s", "_n", *(F.col(c).alias(f"_at{c}") for c in keys if c in ("_cx", "_cy")))
+
+    def run(rows: pd.DataFrame, window: pd.DataFrame) -> pd.DataFrame:
+        if not len(window) or not len(rows):
+            return rows.iloc[:0].reindex(columns=out)
+        w = window.iloc[0]
+        ends = np.array([[e[c] for c in ("ax", "ay", "bx", "by")] for e in w["_edges"]])
+        x0, x1, y0, y1 = (int(np.ceil(v - 0.5)) for v in (w["_w"], w["_e"], w["_s"], w["_n"]))
+        if tile is not None:
+            x0, x1 = max(x0, int(w["_at_cx"]) * tile), min(x1, int(w["_at_cx"]) * tile + tile)
+            y0, y1 = max(y0, int(w["_at_cy"]) * tile), min(y1, int(w["_at_cy"]) * tile + tile)
+        inside = inside_window(ends, x0, x1, y0, y1)
+        y, x = (v.ravel() for v in np.mgrid[y0:y1, x0:x1])
+        grid = pd.DataFrame({"x": x, "y": y, "_in": inside.ravel()})
+        made = []
+        for _, scene in rows.groupby("t", sort=True) if "t" in rows else [(None, rows)]:
+            full = grid.merge(scene.drop(columns=["_cx", "_cy"], errors="ignore"), "left", ["x", "y"])
+            full[names] = full[names].astype(float).where(full["_in"], mask_value)
+            for c in ("feature_index", *(c for c in ("t",) if c in rows)):
+                full[c] = scene[c].iloc[0]
+            made.append(full.drop(columns="_in"))
+        return fn(pd.concat(made, ignore_index=True), *given)
+
+    out = df.sparkSession.createDataFrame([], schema).columns
+    return held.groupBy(*keys).cogroup(windows.groupBy(*(f"_of{c}" for c in keys))).applyInPandas(run, schema)
+
+
+def inside_window(ends: np.ndarray, x0: int, x1: int, y0: int, y1: int) -> np.ndarray:
+    """Whether the centres of the pixels of a window (rows y0 to y1, columns x0 to x1, ends excluded) lie in a polygon, line by line.
+
+    An edge crosses the lines between its ends; what lies left of a crossing changes sides there, so that a line's crossings pair to spans.
+    """
+    turns = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0) + 1), np.int64)
+    ax, ay, bx, by = ends.T
+    low, high = np.minimum(ay, by), np.maximum(ay, by)
+    first = np.clip(np.ceil(low - 0.5), y0, y1).astype(int)
+    last = np.clip(np.ceil(high - 0.5), y0, y1).astype(int)
+    edge = np.repeat(np.arange(len(ends)), last - first)
+    line = np.arange(len(edge)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[edge]
+    at = ax[edge] + (line + 0.5 - ay[edge]) * (bx[edge] - ax[edge]) / (by[edge] - ay[edge])
+    np.add.at(turns, (line - y0, np.clip(np.ceil(at - 0.5), x0, x1).astype(int) - x0), 1)
+    return turns[:, ::-1].cumsum(1)[:, ::-1][:, 1:] % 2 == 1
 
 
 def grid_of(rows: pd.DataFrame, band: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,35 +226,38 @@ def predict_batch(df: DataFrame, load: Callable[[], object], predict: Callable[[
 
 
 def ensemble_median(df: DataFrame, value: str, models: Sequence[Callable[[np.ndarray], np.ndarray]], draws: int = 4, k: int = 3, size: int = 64, overlap: int = 32) -> DataFrame:
-    """`prediction`: the median over all models and over `draws` random choices (seeds 0, 1, ...) of k scenes of a tile.
+    """`prediction`: the median over all models and over `draws` choices (seeds 0, 1, ...) of k scenes of a tile.
 
-    A model takes k images (k, rows, columns) and returns one image.
+    A model takes k images (k, rows, columns) in order of time and returns one image; pixels without a value are 0. A choice is the k dates with the
+    smallest hash of seed and date. Dates are chosen before their pixels are sent, so that a task holds draws * k scenes of a tile at most, however long the series.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        stack = []
-        for _, scene in rows.groupby("t", sort=True):
-            full = rows[["x", "y"]].drop_duplicates().merge(scene, "left", ["x", "y"]).sort_values(["y", "x"])
-            stack.append(np.nan_to_num(grid_of(full, value)[0]))
-        cells = rows[["x", "y"]].drop_duplicates().sort_values(["y", "x"])
-        _, y, x = grid_of(cells.assign(v=0.0), "v")
-        images = np.stack(stack)
-        made = []
-        for model in models:
-            for seed in range(draws):
-                pick = np.random.default_rng(seed).choice(len(images), min(k, len(images)), replace=False)
-                made.append(model(images[np.sort(pick)]))
-        return cells.assign(prediction=np.median(np.stack(made), axis=0)[y, x])
-
     reach = lambda c: F.sequence(F.floor((F.col(c) - overlap) / size).cast("int"), F.floor((F.col(c) + overlap) / size).cast("int"))
     sent = df.select("x", "y", "t", value).withColumn("_tx", F.explode(reach("x"))).withColumn("_ty", F.explode(reach("y")))
+    seeds = sent.select("_tx", "_ty", "t").distinct().withColumn("_seed", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = Window.partitionBy("_tx", "_ty", "_seed").orderBy(F.md5(F.concat_ws("|", F.col("_seed").cast("string"), F.unix_micros("t").cast("string"))), "t")
+    chosen = seeds.withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= k).groupBy("_tx", "_ty", "t").agg(F.collect_list("_seed").alias("_seeds"))
+    places = sent.select("x", "y", "_tx", "_ty").distinct()  # pixels of other dates have a prediction too
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
         tx, ty = rows["_tx"].iloc[0], rows["_ty"].iloc[0]
-        out = run(rows.drop(columns=["_tx", "_ty"]))
-        return out[(out["x"] // size == tx) & (out["y"] // size == ty)]
-
-    return sent.groupBy("_tx", "_ty").applyInPandas(tile, "x int, y int, prediction double")
+        cells = rows[["x", "y"]].drop_duplicates().sort_values(["y", "x"])
+        own = (cells["x"] // size == tx) & (cells["y"] // size == ty)
+        if not own.any():
+            return cells.iloc[:0].assign(prediction=0.0)
+        _, y, x = grid_of(cells.assign(v=0.0), "v")
+        shape, left, low = (y.max() + 1, x.max() + 1), cells["x"].min(), cells["y"].min()
+        images, seeds = [], []
+        for _, scene in rows[rows["t"].notna()].groupby("t", sort=True):
+            image = np.zeros(shape)
+            image[scene["y"] - low, scene["x"] - left] = np.nan_to_num(scene[value].to_numpy(float))
+            images.append(image)
+            seeds.append(set(scene["_seeds"].iloc[0]))
+        picks = [np.stack([m for m, s in zip(images, seeds, strict=True) if seed in s]) for seed in range(draws)]
+        made = [model(pick) for model in models for pick in picks]
+        return cells.assign(prediction=np.median(np.stack(made), axis=0)[y, x])[own]
+
+    kept = sent.join(chosen, ["_tx", "_ty", "t"]).unionByName(places, allowMissingColumns=True)
+    return kept.groupBy("_tx", "_ty").applyInPandas(tile, "x int, y int, prediction double")
 
 
 def smooth(values: np.ndarray, weights: np.ndarray, lam: float) -> np.ndarray:

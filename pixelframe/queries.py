@@ -469,7 +469,21 @@ query("n7_predict_batch", "SELECT x, y, t, (coalesce(CASE WHEN SCL <> 3 THEN B04
 query("n8_ensemble_of_all_scenes", "SELECT x, y, median(v) AS prediction FROM (SELECT x, y, unnest([max(v), max(v), avg(v)]) AS v FROM (SELECT x, y, date_trunc('year', t) AS t, max(B04)::DOUBLE AS v FROM px GROUP BY ALL) GROUP BY x, y) GROUP BY x, y")(
     lambda s, d: udf.ensemble_median(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")).groupBy("x", "y", "t").agg(F.max("B04").cast("double").alias("v")), "v", [_first_max, _first_max, _first_mean], 2, 1000, 16, 4)
 )
-query("n8_ensemble_median")(lambda s, d: udf.ensemble_median(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")).groupBy("x", "y", "t").agg(F.max("B04").cast("double").alias("v")), "v", [_first_max, _first_mean], 4, 3, 16, 4))
+_DRAWN = """yv AS (SELECT x, y, date_trunc('year', t)::TIMESTAMP AS t, max(B04)::DOUBLE AS v FROM px GROUP BY ALL), tl AS (SELECT DISTINCT i, j, t FROM yv, (SELECT unnest(range(-1, 4)) AS i), (SELECT unnest(range(-1, 4)) AS j) WHERE x >= 16 * i - 4 AND x < 16 * i + 20 AND y >= 16 * j - 4 AND y < 16 * j + 20),
+pk AS (SELECT * FROM tl, (SELECT unnest(range(4)) AS seed) QUALIFY row_number() OVER (PARTITION BY i, j, seed ORDER BY md5(seed || '|' || epoch_us(t)), t) <= 3),
+dm AS (SELECT g.x, g.y, seed, max(coalesce(v, 0)) AS a, avg(coalesce(v, 0)) AS b FROM (SELECT DISTINCT x, y FROM yv) g JOIN pk ON i = g.x // 16 AND j = g.y // 16 LEFT JOIN yv ON yv.x = g.x AND yv.y = g.y AND yv.t = pk.t GROUP BY g.x, g.y, seed)"""
+query("n8_ensemble_median", "SELECT x, y, round(median(u), 6) AS prediction FROM (SELECT x, y, unnest([a, b]) AS u FROM dm) GROUP BY x, y", _DRAWN)(lambda s, d: udf.ensemble_median(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")).groupBy("x", "y", "t").agg(F.max("B04").cast("double").alias("v")), "v", [_first_max, _first_mean], 4, 3, 16, 4))
+
+
+def _outside(rows, context):
+    """Pixels of the window, those outside, and the sum of those inside."""
+    out = rows["B04"] == context["mask_value"]
+    return rows[["feature_index", "t"]].head(1).assign(pixels=len(rows), outside=int(out.sum()), total=float(rows["B04"][~out].sum()))
+
+
+query("n4_apply_polygon_masked", "SELECT feature_index, t, 40::BIGINT AS pixels, 40 - inside AS outside, coalesce(total, 0) AS total FROM (SELECT n_nationkey::INT AS feature_index, count(*) AS inside FROM nation, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(5)) AS j) WHERE (i + 0.5) / 8 + (j + 0.5) / 5 < 1 GROUP BY ALL) JOIN (SELECT feature_index, date_trunc('year', t)::TIMESTAMP AS t, sum(B04)::DOUBLE AS total FROM (SELECT feature_index, x, y, date_trunc('year', t) AS t, max(B04) AS B04 FROM pz JOIN zn USING (feature_index) WHERE (x - w + 0.5) / 8 + (y - s + 0.5) / 5 < 1 GROUP BY ALL) GROUP BY ALL) USING (feature_index)")(
+    lambda s, d: udf.apply_polygon(tc.pixels(s, d, ("B04",)).withColumn("t", F.date_trunc("year", "t")).groupBy("x", "y", "t").agg(F.max("B04").alias("B04")), tc.triangles(s, d), _outside, "feature_index int, t timestamp, pixels long, outside long, total double", per_date=True, mask_value=-9999.0, context={"mask_value": -9999.0})
+)
 
 
 def _first_max(stack):

@@ -1,5 +1,8 @@
 """Nodata rules, sparse cubes and user functions against numpy."""
 
+import hashlib
+from datetime import datetime, timezone
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -284,11 +287,35 @@ def test_ensemble_median(spark):
     df = spark.createDataFrame(rows, "x int, y int, t string, v double").withColumn("t", F.to_timestamp("t"))
     got = udf.ensemble_median(df, "v", [lambda s: s.max(0), lambda s: s.min(0)], draws=2, k=3, size=4, overlap=2)
     assert got.count() == 30
-    picks = [np.sort(np.random.default_rng(i).choice(5, 3, replace=False)) + 1 for i in range(2)]
+    micros = {t: int(datetime(2024, 1, t, tzinfo=timezone.utc).timestamp()) * 1_000_000 for t in range(1, 6)}
+    picks = [np.array(sorted(micros, key=lambda t: hashlib.md5(f"{i}|{micros[t]}".encode()).hexdigest())[:3]) for i in range(2)]  # noqa: B023
     want = np.median([p.max() for p in picks] + [p.min() for p in picks])
     assert {r.prediction for r in got.collect()} == {want}
 
 
+def test_polygon_windows(spark):
+    rng = np.random.default_rng(12)
+    values = rng.integers(1, 9, (30, 34)).astype(float)
+    values[5, 6] = np.nan
+    df = raster(spark, values).where("x <> 9 OR y <> 9").withColumn("t", F.lit("2024-01-01").cast("timestamp"))
+    rings = [np.array([[2.2, 3.1], [29.7, 5.4], [20.0, 27.9]]), np.array([[12.0, 8.0], [20.0, 8.0], [18.0, 14.0]])]
+    zones = spark.createDataFrame([(3, [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings])], "feature_index int, geom array<array<struct<x double, y double>>>")
+    schema = "feature_index int, t timestamp, x int, y int, v double, rows long"
+    fn = lambda rows, c: rows.assign(rows=len(rows) + c["more"])
+    ys, xs = np.mgrid[3:28, 2:30]
+    odd = even_odd(np.stack([xs.ravel(), ys.ravel()], 1) + 0.5, rings).reshape(xs.shape)
+    want = {(int(x), int(y)): (None if np.isnan(values[y, x]) or (x, y) == (9, 9) else values[y, x]) if hit else 99.0 for x, y, hit in zip(xs.ravel(), ys.ravel(), odd.ravel(), strict=True)}
+    for tile in (None, 8):
+        got = udf.apply_polygon(df, zones, fn, schema, tile=tile, mask_value=99.0, context={"more": 1}, per_date=tile is None).collect()
+        inside = {(r.x, r.y): r.v for r in got}
+        assert len(got) == len(inside)
+        if tile is None:
+            assert inside == want and {r.rows for r in got} == {len(want) + 1}
+        else:  # tiles without a pixel of the polygon aren't given
+            full = {(x // 8, y // 8) for (x, y), v in want.items() if v is not None and v != 99.0}
+            assert inside == {p: v for p, v in want.items() if (p[0] // 8, p[1] // 8) in full} and max(r.rows for r in got) == 65
+
+
 def test_burn_index_over_all_rows_needs_no_window(spark):
     from pixelframe.plans import pipelines as pl
 
