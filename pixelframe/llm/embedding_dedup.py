@@ -172,22 +172,28 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     Links join vectors of one not null label and of one length at the given cosine or above, in double precision; vectors that
     are null, empty, zero, or hold a null or a component that isn't finite link with nothing, and so do rows with a null id.
     Equal vectors of a label are one class, of its smallest id, whatever its size: only classes are compared, and each link of a class counts
-    for all its vectors. Rows that repeat an id count as one vector of that id (the first in order of label and vector). The links
+    for all its vectors. Every row of a repeated id takes part: its vectors' links are all the id's, whose rows give one result; n_links then adds
+    up over its different vectors, so that an id met by two of them counts twice, and its own vectors count where they link each other. Other columns aren't read. The links
     within a block come as trees (each vector with its root), so that components need no pairs.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    once = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
     good = F.exists("embedding", lambda v: v != 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    usable = once.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(good, F.lit(False)))
-    classes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    member = usable.select("vec_id", "label", "embedding").join(classes.where("weight > 1"), ["label", "embedding"]).select("vec_id", "rep", (F.col("weight") - 1).alias("equal"))
+    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
+    classes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))
+    alone = classes.where("weight = 1").select(F.col("first").alias("vec_id"), "rep", "weight")
+    member = alone.unionByName(usable.join(classes.where("weight > 1").drop("first"), ["label", "embedding"]).select("vec_id", "rep", "weight"))
     met = checkpoint(near_links(classes.select(F.col("rep").alias("vec_id"), "label", "embedding", "weight"), cosine, recall))
-    joined = components(met.select(F.col("vec_id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "rep")
+    several = member.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")  # one id, several vectors
+    bridges = member.join(several.select("vec_id", "a"), "vec_id").select("a", F.col("rep").alias("b"))
+    joined = components(met.select(F.col("vec_id").alias("a"), F.col("other").alias("b")).unionByName(bridges)).withColumnRenamed("id", "rep")
     links = met.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("n"))
-    out = rows.select("vec_id").join(member, "vec_id", "left").withColumn("rep", F.coalesce("rep", "vec_id")).join(links, "rep", "left").join(joined, "rep", "left")
-    own = F.coalesce("component", "rep")
-    n = F.coalesce("equal", F.lit(0)) + F.coalesce("n", F.lit(0))
-    return out.select("vec_id", n.cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+    placed = member.join(links, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    ids = placed.groupBy("vec_id").agg(F.sum(F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.min("component").alias("component"))
+    least = placed.groupBy("component").agg(F.min("vec_id").alias("least"))
+    out = rows.select("vec_id").join(ids.join(least, "component"), "vec_id", "left")
+    own = F.coalesce("least", "vec_id")
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

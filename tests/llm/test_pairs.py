@@ -287,6 +287,18 @@ def test_embedding_dedup(spark, n):
     assert all(r.n_links == 0 and r.kept for i, r in got.items() if i not in want)
 
 
+def test_embedding_dedup_of_repeated_ids(spark):
+    """Every row of an id takes part, beside null labels and a column named like one of the operator's own."""
+    rng = np.random.default_rng(21)
+    a, b, c, d = rng.normal(size=(4, 16))
+    near = lambda v: v + 0.01 * rng.normal(size=16)
+    rows = [(1, a, 0), (2, a, 0), (2, a, None), (3, b, 0), (3, c, 0), (4, near(b), 0), (5, near(c), 0), (6, c, 1), (7, d, 0), (7, d, 0), (8, d, None), (None, a, 0), (9, near(a), 0)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], label, "w") for i, v, label in rows], "vec_id long, embedding array<double>, label int, weight string")
+    got = sorted({(r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.embedding_dedup(df).collect()})
+    assert got == [(0, 0, 0, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 3, True), (4, 1, 3, False), (5, 1, 3, False), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 2, 1, False)]
+    assert embedding_dedup.embedding_dedup(df).count() == len(rows)
+
+
 def test_embedding_dedup_of_nothing(spark):
     _, df = vectors(spark, 8)
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
