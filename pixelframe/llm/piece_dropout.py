@@ -15,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import mix
+from .common import buffers, mix, slices
 
 #: The letter that stands for a space in the vocabulary.
 SPACE = "▁"
 #: Longer units are segmented one by one, from a heap.
 SHORT = 64
+#: Letters whose units merge at once (some 140 bytes each while they do); a longer unit merges alone.
+MERGED_LETTERS = 1 << 18
 _NEVER = (1 << 63) - 1
 _U = np.uint64
 
@@ -176,9 +178,13 @@ class PieceEncoder:
         doc = np.searchsorted(first, starts, "right") - 1
         place = np.arange(len(starts)) - np.searchsorted(starts, first)[doc]
         head = mix(np.array(heads or [0] * len(texts), np.uint64)[size > 0][doc] + place.astype(np.uint64))
-        piece, begins = self.merged(code, starts, head, rate)
-        at = np.flatnonzero(begins)
-        piece = piece[at]
+        found = []
+        bounds = np.r_[starts, len(code)]
+        for lo, hi in slices(bounds, MERGED_LETTERS):
+            piece, begins = self.merged(code[bounds[lo] : bounds[hi]], starts[lo:hi] - bounds[lo], head[lo:hi], rate)
+            kept = np.flatnonzero(begins)
+            found.append((kept + bounds[lo], piece[kept]))
+        at, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         ends = np.searchsorted(at, np.cumsum(size))
         bare = np.flatnonzero((piece < 0) | (piece >= len(self.pieces)))
         if len(bare):
@@ -224,8 +230,8 @@ def encode_pieces(docs: DataFrame, text: str = "text", rate: float = 0.1, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in slices(buffers(batch.column(text))[1]):
+                part = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 raw = [t.encode() for t in texts]
                 docs_of = part.column("doc_id").to_pylist() if "doc_id" in rest else [None] * len(raw)

@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import buffers, slices
+
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{_WS}]", chr(i)))
@@ -21,8 +23,8 @@ SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{_WS}]", chr(i))
 CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Entries that a worker keeps; beyond that it starts anew.
-CACHE = 400_000
+#: Entries that a worker keeps; beyond that it starts anew. Longer texts aren't kept: text without white space is one such entry.
+CACHE, CACHED_LETTERS = 400_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -134,15 +136,19 @@ class PrefixCounter:
     def chunk(self, text: str) -> int:
         known = self._chunks.get(text)
         if known is None:
-            if len(self._chunks) >= CACHE:
-                self._chunks.clear()
-            known = self._chunks[text] = sum([self._pieces.get(p) or self.piece(p) for p in PATTERN.findall(text)])
+            known = sum([self._pieces.get(p) or self.piece(p) for p in PATTERN.findall(text)])
+            if len(text) <= CACHED_LETTERS:
+                if len(self._chunks) >= CACHE:
+                    self._chunks.clear()
+                self._chunks[text] = known
         return known
 
     def piece(self, text: str) -> int:
-        if len(self._pieces) >= CACHE:
-            self._pieces.clear()
-        known = self._pieces[text] = self.counts(text.encode())[-1]
+        known = self.counts(text.encode())[-1]
+        if len(text) <= CACHED_LETTERS:
+            if len(self._pieces) >= CACHE:
+                self._pieces.clear()
+            self._pieces[text] = known
         return known
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -205,8 +211,8 @@ def _map(docs: DataFrame, text: str, name: str, kind: T.DataType, arrow: pa.Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in slices(buffers(batch.column(text))[1]):
+                part = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 sizes = [pa.array([len(t.encode()) for t in texts], pa.int64())] if extra_bytes else []
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *sizes, pa.array([of(t) for t in texts], arrow)], names=[*rest, *(["n_bytes"] if extra_bytes else []), name])

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -345,6 +346,31 @@ def test_merge_dropout_by_brute_force():
         assert encoder.decode(got) == (text if rate else text.replace("▁", " "))
 
 
+def test_long_texts_merge_in_parts(monkeypatch):
+    """A text's units merge so many letters at a time, with the same draws, and the memory follows these letters, not the text."""
+    encoder = piece_dropout.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["", "one", " ".join(f"w{i * 7919 % 4009} größe" for i in range(3000)), "x" * 500 + " y", "\u2581 é 日本"]
+    for rate in (0.0, 0.3):
+        monkeypatch.setattr(piece_dropout, "MERGED_LETTERS", 1 << 40)
+        whole = encoder.ids_of(texts, rate, [5, 6, 7, 8, 9])
+        monkeypatch.setattr(piece_dropout, "MERGED_LETTERS", 50)
+        assert encoder.ids_of(texts, rate, [5, 6, 7, 8, 9]) == whole
+    monkeypatch.setattr(piece_dropout, "MERGED_LETTERS", 1 << 16)
+    text = "several words of a text that is long " * 40_000
+    tracemalloc.start()
+    encoder.ids_of([text], 0.1, [1])
+    assert tracemalloc.get_traced_memory()[1] < 60 * len(text)
+    tracemalloc.stop()
+
+
+def test_token_counts_keep_short_texts_only():
+    counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("ab" * 5000, "short words", "a" * 64, "b" * 65 + " " + "日" * 70):
+        assert counter.total(text) == len(known.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, [*counter._chunks, *counter._pieces])) <= token_counts.CACHED_LETTERS
+
+
 def test_lossless_is_honest(spark):
     df = spark.createDataFrame([(1, "a ▁ b"), (2, "▁"), (3, " plain  text "), (4, None)], "doc_id int, text string")
     assert {r.doc_id: r.lossless for r in piece_dropout.encode_pieces(df, rate=0.0).collect()} == {1: False, 2: False, 3: True, 4: True}
