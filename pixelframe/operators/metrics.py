@@ -127,19 +127,24 @@ def phase_state(events: DataFrame) -> DataFrame:
 def failure_sections(lines: DataFrame) -> DataFrame:
     """Sections under FAILURES of test reports: lines (file, line_no, text) give (file, section, body).
 
-    ==== title ==== opens a part, ____ title ____ a section in it. Reports are handled apart, by file.
+    ==== title ==== opens a part, ____ title ____ a section in it. Lines lose the white space at their ends, bodies that around them; a section
+    without lines has an empty body, and of sections of one title in a file the last counts. Reports are handled apart, by file;
+    line_no is anything that orders a file's lines.
     """
-    h1 = F.regexp_extract("text", r"^={4,} (.+?) ={4,}$", 1)
-    h2 = F.regexp_extract("text", r"^_{4,} (.+?) _{4,}$", 1)
+    h1 = F.regexp_extract("text", r"^={4,}\s+(.+)\s+={4,}$", 1)
+    h2 = F.regexp_extract("text", r"^_{4,}\s+(.+)\s+_{4,}$", 1)
     by_line = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("_h1", F.nullif(h1, F.lit(""))).withColumn("_h2", F.nullif(h2, F.lit("")))
     # a new part closes the section before it
     at = F.max(F.when(F.col("_h1").isNotNull(), F.struct("line_no", F.col("_h1").alias("h")))).over(by_line)
     section = F.max(F.when(F.col("_h2").isNotNull(), F.struct("line_no", F.col("_h2").alias("h")))).over(by_line)
     placed = marked.withColumn("_part", at).withColumn("_sec", section)
-    body = placed.where((F.col("_part.h") == "FAILURES") & (F.col("_sec.line_no") > F.col("_part.line_no")) & F.col("_h1").isNull() & F.col("_h2").isNull())
-    rows = F.sort_array(F.collect_list(F.struct("line_no", "text")))
-    joined = body.groupBy("file", F.col("_sec.h").alias("section"), F.col("_sec.line_no").alias("_at")).agg(F.trim(F.regexp_replace(F.array_join(F.transform(rows, lambda r: r["text"]), "\n"), r"^\s+|\s+$", "")).alias("body"))
+    inside = placed.where((F.col("_part.h") == "FAILURES") & (F.col("_sec.line_no") > F.col("_part.line_no")) & F.col("_h1").isNull())
+    line = F.struct("line_no", F.regexp_replace("text", r"\s+$", "").alias("text"))
+    rows = F.sort_array(F.collect_list(F.when(F.col("_h2").isNull(), line)))
+    body = F.regexp_replace(F.array_join(F.transform(rows, lambda r: r["text"]), "\n"), r"^\s+|\s+$", "")
+    joined = inside.groupBy("file", F.col("_sec.h").alias("section"), F.col("_sec.line_no").alias("_at")).agg(body.alias("body"))
+    joined = joined.groupBy("file", "section").agg(F.max_by("body", "_at").alias("body"))
     return joined.select("file", "section", "body")
 
 

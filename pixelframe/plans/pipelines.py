@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import indices as ix
@@ -205,6 +206,39 @@ def parcel_markers(df: DataFrame, parcels: DataFrame) -> DataFrame:
     return zn.zonal_join(df, parcels).groupBy("feature_index", "t").agg(*made)
 
 
+def parcel_moments(df: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Number of values, mean and sum of squared deviations of each band within each parcel and date: what can be merged with that of other pixels."""
+    made = [f.alias(f"{b}_{n}") for b in bands(df) for n, f in (("n", F.count(b)), ("mean", F.avg(b)), ("m2", F.var_pop(b) * F.count(b)))]
+    return zn.zonal_join(df, parcels).groupBy("feature_index", "t").agg(*made)
+
+
+def merged_moments(moments: DataFrame) -> DataFrame:
+    """One row for each parcel and date of any number of rows of parcel_moments(); the merged mean comes first, so that no large squares cancel. One exchange."""
+    keys = ["feature_index", "t"]
+    names = [n.removesuffix("_m2") for n in moments.columns if n.endswith("_m2")]
+    own = Window.partitionBy(*keys)
+    mean = lambda b: divide(F.sum(F.col(f"{b}_n") * F.col(f"{b}_mean")).over(own), F.sum(f"{b}_n").over(own))
+    rows = moments.select(*keys, *(c for b in names for c in (F.col(f"{b}_n"), F.col(f"{b}_m2"), F.col(f"{b}_mean").alias(f"_{b}"), mean(b).alias(f"{b}_mean"))))
+    square = lambda b: F.pow(F.col(f"_{b}") - F.col(f"{b}_mean"), 2)
+    made = [f.alias(f"{b}_{n}") for b in names for n, f in (("n", F.sum(f"{b}_n")), ("mean", F.max(f"{b}_mean")), ("m2", F.sum(F.col(f"{b}_m2") + F.col(f"{b}_n") * square(b))))]
+    return rows.groupBy(*keys).agg(*made)
+
+
+def append_markers(df: DataFrame, parcels: DataFrame, path: str, batch: str) -> None:
+    """Adds the pixels of one delivery to the markers stored at path. A delivery written again under its name replaces itself, so that a repeated job counts nothing twice."""
+    if not re.fullmatch(r"[\w-]+", batch):
+        raise ValueError(f"batch must be of letters, digits, _ and -, not {batch!r}")
+    parcel_moments(df, parcels).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    """parcel_markers() of all pixels that append_markers() has been given."""
+    merged = merged_moments(spark.read.parquet(path).drop("batch"))
+    names = [n.removesuffix("_m2") for n in merged.columns if n.endswith("_m2")]
+    deviation = lambda b: F.when(F.col(f"{b}_n") > 1, F.sqrt(F.col(f"{b}_m2") / (F.col(f"{b}_n") - 1)))
+    return merged.select("feature_index", "t", *(c.alias(f"{b}_{n}") for b in names for n, c in (("mean", F.col(f"{b}_mean")), ("sd", deviation(b)), ("count", F.col(f"{b}_n")))))
+
+
 def timeseries_statistics(df: DataFrame, zones: DataFrame, labels: Sequence[str], period: str | None = None) -> DataFrame:
     """Seven statistics of each pixel over time (all of it, or each period), then the mean of each over every feature's pixels."""
     cube = cb.filter_bands(df, labels)

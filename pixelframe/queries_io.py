@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import catalog as cat
 from .operators import metrics as mt
+from .plans import pipelines as pl
 from .queries import query
 from .sources import io
 from .sources import testcube as tc
@@ -296,3 +297,23 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     r = s.read.parquet(f"{d}/events.parquet").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("failed_phase"))
     return cat.issue_labels(r).select("event_id", F.array_join("labels", ",").alias("labels"))
+
+
+@query("f9_report_files", "SELECT event_id // 5000 AS file, 'test_' || (event_id // 50) AS section, string_agg(event_type, chr(10) ORDER BY event_id) AS body FROM events WHERE event_id % 50 BETWEEN 12 AND 29 GROUP BY ALL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Reports of 5000 lines as text files, each of many parts, read back line by line."""
+    line = "CASE event_id % 50 WHEN 10 THEN '==== FAILURES ====' WHEN 11 THEN concat('____ test_', event_id div 50, ' ____') WHEN 30 THEN '==== summary ====' ELSE event_type END"
+    reports = s.read.parquet(f"{d}/events.parquet").select(F.expr("event_id div 5000").alias("file"), "event_id", F.expr(line).alias("text"))
+    reports.repartition("file").sortWithinPartitions("file", "event_id").select("file", "text").write.partitionBy("file").text(path := scratch(s))
+    found = mt.failure_sections(io.read_report_lines(s, path))
+    return found.withColumn("file", F.regexp_extract("file", r"/file=(\d+)/", 1).cast("long"))
+
+
+@query("e12_markers_appended", "SELECT feature_index, t, round(avg(B04), 6) AS B04_mean, round(stddev_samp(B04), 6) AS B04_sd, count(B04) AS B04_count FROM pz GROUP BY ALL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Three deliveries of pixels that share parcels and dates, one of them sent twice."""
+    px, zones, path = tc.pixels(s, d, ("B04",)), tc.zones(s, d), scratch(s)
+    for name, part in (("west", "x < 13"), ("south", "x >= 13 AND y < 12"), ("west", "x < 13"), ("north", "x >= 13 AND y >= 12")):
+        pl.append_markers(px.where(part), zones, path, name)
+    found = pl.read_markers(s, path)
+    return found.withColumns({n: F.round(n, 6) for n in ("B04_mean", "B04_sd")})

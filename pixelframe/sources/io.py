@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,6 +134,21 @@ def write_run_report(df: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, text) of text files of any size, as failure_sections() takes them; lines are numbered from 1 within a file.
+
+    A file may be read in several splits, by different tasks: lines are numbered within their split, and the counts of the splits before it are added.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("text"))
+    before = raw.groupBy("file", "_at").agg(F.count("*").alias("_c"))
+    before = before.select("file", "_at", F.coalesce(F.sum("_c").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # within a split the ids rise with the lines
+    own = F.row_number().over(Window.partitionBy("file", "_at").orderBy("_i"))
+    lines = raw.withColumn("_i", F.monotonically_increasing_id()).withColumn("_n", own)
+    return lines.join(before, ["file", "_at"]).select("file", (F.col("_before") + F.col("_n")).alias("line_no"), "text")
+
+
 def read_records(spark: SparkSession, root: str, schema: str = catalog.RECORD, multi_line: bool = True) -> DataFrame:
     """All JSON records under a folder, each with its path."""
     df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", multi_line).json(root)

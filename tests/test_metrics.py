@@ -2,6 +2,7 @@
 
 import json
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pixelframe.functions import scalar as sc
 from pixelframe.operators import catalog as cat
 from pixelframe.operators import metrics as mt
+from pixelframe.plans import pipelines as pl
 from pixelframe.sources import io
 
 
@@ -82,6 +84,45 @@ def test_failure_sections(spark):
     assert {r.section: r.body for r in mt.failure_sections(df).collect()} == {"test_one": "line 1\n_ _ _ _\nline 2", "test_two": "b"}
 
 
+def test_report_files_in_splits(spark, tmp_path):
+    """Numbered lines of files that several tasks read, and their sections: titles with wide marks, empty and repeated sections."""
+    text = ["x", "____ early ____", "=====  FAILURES =====", "_____ \t a b _____", "one  ", "", " two", "___ no ___", "____ gone ____", "first", "____ empty ____", "____ gone ____", "last", "==== end ====", "____ not ____", "z"]
+    long = ["==== FAILURES ====", "____ many ____", *(f"line {i}" for i in range(2000))]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "r.txt").write_text("\n".join(text) + "\n")
+    (tmp_path / "long.txt").write_text("\n".join(long))
+    (tmp_path / "none.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        lines = io.read_report_lines(spark, str(tmp_path))
+        got = {name: [r.text for r in sorted(lines.where(F.col("file").endswith(name)).collect(), key=lambda r: r.line_no)] for name in ("r.txt", "long.txt")}
+        assert got == {"r.txt": text, "long.txt": long}
+        assert lines.where(F.col("file").endswith("long.txt")).agg(F.min("line_no"), F.max("line_no"), F.countDistinct("line_no")).first()[:] == (1, 2002, 2002)
+        found = {r.section: r.body for r in mt.failure_sections(lines).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {"a b": "one\n\n two\n___ no ___", "gone": "last", "empty": "", "many": "\n".join(long[2:])}
+
+
+def test_markers_appended(spark, tmp_path):
+    """Moments of deliveries merge to those of all pixels, far from zero too; a delivery sent again replaces itself."""
+    p = lambda x, y: {"x": float(x), "y": float(y)}
+    parcels = spark.createDataFrame([(0, [[p(0, 0), p(20, 0), p(20, 20), p(0, 20)]])], "feature_index int, geom array<array<struct<x double, y double>>>")
+    day = datetime(2024, 5, 1)
+    values = [(x, y, day, None if x == 3 else 1e8 + x * 0.5 + y) for x in range(10) for y in range(10)] + [(1, 1, datetime(2024, 5, 2), 4.0), (2, 2, datetime(2024, 5, 3), None)]
+    px = spark.createDataFrame(values, "x int, y int, t timestamp, v double")
+    for name, part in (("a", "x < 3"), ("b", "x BETWEEN 3 AND 6"), ("a", "x < 3"), ("c", "x > 6")):
+        pl.append_markers(px.where(part), parcels, f"{tmp_path}/m", name)
+    key = lambda r: r.t
+    got, want = (sorted(d.collect(), key=key) for d in (pl.read_markers(spark, f"{tmp_path}/m"), pl.parcel_markers(px, parcels)))
+    assert [(r.t, r.v_count) for r in got] == [(r.t, r.v_count) for r in want] and [r.v_count for r in got] == [90, 1, 0]
+    for r, w in zip(got, want, strict=True):
+        assert r.v_mean == (w.v_mean if w.v_mean is None else pytest.approx(w.v_mean)) and r.v_sd == (w.v_sd if w.v_sd is None else pytest.approx(w.v_sd, rel=1e-6))
+    with pytest.raises(ValueError):
+        pl.append_markers(px, parcels, f"{tmp_path}/m", "../x")
+
+
 def test_positional_months(spark, tmp_path):
     for month, cost in (("2023-10", 1.0), ("2023-11", 2.0)):
         spark.createDataFrame([("n", cost)], "`test:nodeid` string, costs double").write.parquet(f"{tmp_path}/in/{month}")
