@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,10 +40,20 @@ def load_collection(spark: SparkSession, path: str, bands: Sequence[str], bbox:
     return df.withColumns({b: nodata(b) for b in bands})
 
 
+def z_order(x, y, bits: int = 21):
+    """The place of a cell on a Z-shaped curve: the bits of both numbers in turn, from -2**(bits - 1) on. Cells near each other on the curve are near in both directions."""
+    half = 1 << (bits - 1)
+    bit = lambda v, i, to: F.shiftleft(F.shiftright(v + F.lit(half), i).bitwiseAND(F.lit(1)).cast("long"), to)
+    return reduce(lambda a, b: a.bitwiseOR(b), [bit(v, i, 2 * i + k) for i in range(bits) for k, v in enumerate((x, y))])
+
+
 def write_cube(df: DataFrame, path: str, tile: int = 1024) -> None:
-    """Sorted by tile and time, so that boxes and intervals skip row groups."""
-    tx, ty = F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)
-    df.repartitionByRange(tx, ty).sortWithinPartitions(tx, ty, "t").write.mode("overwrite").parquet(path)
+    """In files of tiles that are neighbours in both directions (along a Z-shaped curve), sorted by time within a tile, so that boxes and intervals skip row groups.
+
+    A tile with very many dates is divided over several files by time.
+    """
+    z = z_order(F.floor(F.col("x") / tile), F.floor(F.col("y") / tile))
+    df.repartitionByRange(z, "t").sortWithinPartitions(z, "t").write.mode("overwrite").parquet(path)
 
 
 def load_items(spark: SparkSession, path: str, bands: Sequence[str] | None = None, interval: tuple[str, str] | None = None, max_cloud_cover: float | None = None, multi_line: bool = True) -> DataFrame:
