@@ -50,41 +50,44 @@ def host_links(pages: DataFrame) -> DataFrame:
     return out.union(both).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, check_every: int = 8) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, check_every: int = 8) -> DataFrame:
     """(kind, host, rank): personalised PageRank of the seeds (kind, host, seed), whose shares should add up to 1, over the links (kind, src, dst, weight), each kind by itself.
 
     Each round shares a host's rank over its links by weight and mixes in the seeds; a host without links
-    gives its rank up. A hot host's incoming shares are summed before the shuffle. Every few rounds the lineage is cut, and it ends
-    when the last of them has changed all ranks together by no more than the tolerance: each round's change is damping times the one before at most.
+    gives its rank up. A round is one exchange: ranks lie where their links do, and a hot host's incoming shares are summed before they are
+    sent. Every few rounds the lineage is cut, and it ends when the last of them has changed no host's rank by more than the tolerance of that
+    rank. No later round does then: a change of at most that share of every rank passes on as at most that share of what the ranks pass on. A host that a
+    round has only just reached has changed by all its rank, so that chains of links are followed to their ends.
     """
     out = links.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    share = checkpoint(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    share = checkpoint(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
     seeds = checkpoint(seeds.select("kind", "host", "seed"))
+    mixed = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
     rank = seeds.withColumnRenamed("seed", "rank")
 
-    def turn(rank: DataFrame) -> DataFrame:
-        given = share.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", "dst").agg(F.sum(F.col("share") * F.col("rank")).alias("rank"))
-        flow = given.select("kind", F.col("dst").alias("host"), (damping * F.col("rank")).alias("rank")).union(seeds.select("kind", "host", (1 - damping) * F.col("seed")))
-        return flow.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+    def flow(rank: DataFrame) -> DataFrame:
+        """Shares of the next ranks, still to be summed by host."""
+        given = share.join(rank.withColumnRenamed("host", "src"), ["kind", "src"])
+        return given.select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank")).alias("rank")).union(mixed)
 
     while True:
         for _ in range(check_every - 1):
-            rank = turn(rank)
+            rank = flow(rank).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         rank = checkpoint(rank)
-        both = turn(rank).select("kind", "host", "rank", F.lit(0.0).alias("old")).union(rank.select("kind", "host", F.lit(0.0), "rank"))
+        both = flow(rank).select("kind", "host", "rank", F.lit(0.0).alias("old")).union(rank.select("kind", "host", F.lit(0.0), "rank"))
         both = checkpoint(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
-        changed = both.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        unsettled = both.where(F.abs(F.col("rank") - F.col("old")) > tolerance * F.col("rank")).limit(1).count()
         rank = both.select("kind", "host", "rank")
-        if changed is None or changed <= tolerance:
+        if not unsettled:
             return rank
 
 
-def filter_urls(pages: DataFrame, rules: tuple = RULES, damping: float = 0.85, tolerance: float = 1e-4, threshold: float = 1.0) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple = RULES, damping: float = 0.85, tolerance: float = 1e-3, threshold: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of pages.
 
     Seeds of trust are hosts with pages that a rule allows, those of distrust hosts with pages that one
     blocks, each by its share of such pages. Trust flows along the links, distrust against them (who links
-    to blocked hosts is doubtful), each until its ranks have settled. A page without a rule is blocked if its host's distrust is above
+    to blocked hosts is doubtful), each until every host's rank has settled. A page without a rule is blocked if its host's distrust is above
     threshold times its trust, so that hosts that neither reaches are allowed. Null urls have an empty host,
     no seed and the verdict allow; null html has no links; repeated rows are judged alike.
     """
