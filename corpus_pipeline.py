@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
+from pixelframe.llm import common, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
 
 
 def aside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -50,12 +50,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_join", near_copies), ("suffix_dedup", repeats), ("packing", pack)]
+#: Stages whose result is stored in the checkpoint folder, once, as the next one reads its texts in several exchanges; the first stage's rows go straight through the second.
+STORED = {"quality_rules", "ngram_join", "suffix_dedup"}
 #: A trained model and a vocabulary decide: no SQL expresses the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        docs = common.checkpoint(docs) if name in STORED else docs
     return docs
