@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint
+from .components import LINKS_EACH
 
 #: (rule, verdict): a host and a path prefix; it holds for the host's subdomains too.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -55,27 +56,32 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
 
     Each round shares a host's rank over its links by weight and mixes in the seeds; a host without links
     gives its rank up. A round is one exchange: ranks lie where their links do, and a hot host's incoming shares are summed before they are
-    sent. Every few rounds the lineage is cut, and it ends when the last of them has changed no host's rank by more than the tolerance of that
+    sent. Links of one task's size (LINKS_EACH) stay in one task, without an exchange. Every few rounds the lineage is cut, and it ends when the last of them has changed no host's rank by more than the tolerance of that
     rank. No later round does then: a change of at most that share of every rank passes on as at most that share of what the ranks pass on. A host that a
     round has only just reached has changed by all its rank, so that chains of links are followed to their ends.
     """
     out = links.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     share = checkpoint(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
-    seeds = checkpoint(seeds.select("kind", "host", "seed"))
+    few = share.count() <= LINKS_EACH
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
+    share, seeds = together(share), checkpoint(together(seeds.select("kind", "host", "seed")))
     mixed = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
     rank = seeds.withColumnRenamed("seed", "rank")
 
     def flow(rank: DataFrame) -> DataFrame:
         """Shares of the next ranks, still to be summed by host."""
-        given = share.join(rank.withColumnRenamed("host", "src"), ["kind", "src"])
-        return given.select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank")).alias("rank")).union(mixed)
+        given = share.hint("merge").join(together(rank).withColumnRenamed("host", "src"), ["kind", "src"])
+        return together(given.select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank")).alias("rank")).union(mixed))
 
     while True:
         for _ in range(check_every - 1):
             rank = flow(rank).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         rank = checkpoint(rank)
         both = flow(rank).select("kind", "host", "rank", F.lit(0.0).alias("old")).union(rank.select("kind", "host", F.lit(0.0), "rank"))
-        both = checkpoint(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+        both = checkpoint(together(both).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
         unsettled = both.where(F.abs(F.col("rank") - F.col("old")) > tolerance * F.col("rank")).limit(1).count()
         rank = both.select("kind", "host", "rank")
         if not unsettled:
