@@ -156,9 +156,24 @@ def asset_key(run: Column | str, node: Column | str, name: Column | str) -> Colu
     return F.concat_ws("!", col(run), safe_node_id(node), col(name))
 
 
+def fixed(x: Column | str, digits: int) -> Column:
+    """Text with so many decimals, rounded as C's printf does: by the exact binary value, and a tie to the even digit.
+
+    format_string rounds the shortest decimal of the value half up. That differs only where this decimal is a tie (n / steps with n odd) and the value
+    isn't above it; its sign against the tie is exact, since both halves of the value times `steps` are (up to 2**53 / steps).
+    """
+    x, steps = num(x), 2.0 * 10**digits
+    v = F.abs(x)
+    n = F.rint(v * steps)
+    high = v.cast("float").cast("double")
+    side = (high * steps - n) + (v - high) * steps
+    down = (n % 2 == 1) & (n / steps == v) & ((side < 0) | ((side == 0) & (n % 4 == 1)))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.when(down, F.signum(x) * (n - 1) / steps).otherwise(x)))
+
+
 def format_number(x: Column | str) -> Column:
     """Four decimals without trailing zeros; nodata is n/a."""
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", num(x)), r"0+$", ""), r"\.$", "")
+    text = F.regexp_replace(F.regexp_replace(fixed(x, 4), r"0+$", ""), r"\.$", "")
     return F.when(num(x).isNull() | F.isnan(num(x)), F.lit("n/a")).otherwise(text)
 
 

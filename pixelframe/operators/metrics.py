@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import iso_time, round_half_even, scenario_id
+from ..functions.scalar import fixed, iso_time, round_half_even, scenario_id
 from ..meta import require
 from .windows import MAD_SCALE
 
@@ -285,7 +285,7 @@ def diff_links(actual: DataFrame, expected: DataFrame, rel: str = "derived_from"
 def compare_files(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """All file names of both sides with sizes and a note where they differ."""
     joined = actual.select("file", F.col("size").alias("_a")).join(expected.select("file", F.col("size").alias("_e")), "file", "full_outer")
-    kb = lambda x: F.format_string("%.1f", x / 1024)
+    kb = lambda x: fixed(x / 1024, 1)
     note = F.when(F.col("_a").isNull(), F.lit("(missing in actual)")).when(F.col("_e").isNull(), F.lit("(missing in reference)")).when(F.col("_a") != F.col("_e"), F.concat(F.lit("(actual: "), kb(F.col("_a")), F.lit(" kb)")))
     return joined.select("file", kb(F.coalesce("_e", "_a")).alias("kb"), note.alias("note"))
 

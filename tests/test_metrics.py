@@ -59,6 +59,17 @@ def test_number_format(spark):
     assert [r[0] for r in df.select(sc.format_number("v")).collect()] == ["1.5", "2", "0.1235", "n/a", "n/a"]
 
 
+def test_decimals_round_by_the_exact_value(spark):
+    values = [15005.55, 25009.25, 25009.75, 0.05, 0.25, 0.35, -0.25, -0.05, 0.0, 1e12 + 0.25, 1e300, *((p * 1000.37 + p % 2 * 512) / 1024 for p in range(0, 120000, 512))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sc.fixed("v", 1).alias("a"), sc.fixed(F.col("v") / 1000, 4).alias("b")).collect()
+    got = [r for r in got if r.v < 1e15]  # beyond 2**53 format_string pads with zeros
+    assert [(r.a, r.b) for r in got] == [(f"{r.v:.1f}", f"{r.v / 1000:.4f}") for r in got]
+    empty = spark.createDataFrame([(None,), (math.inf,)], "v double").select(sc.fixed("v", 1)).collect()
+    assert [r[0] for r in empty] == [None, "Infinity"]
+    sizes = spark.createDataFrame([("a", 15005.55 * 1024)], "file string, size double")
+    assert mt.compare_files(sizes, sizes).first().kb == "15005.5"
+
+
 def test_metadata(spark):
     schema = "job_id string, cost double, usage array<struct<name string, unit string, value double>>, assets map<string, struct<`proj:shape` array<int>, `proj:epsg` int, `proj:bbox` array<double>>>"
     jobs = spark.createDataFrame([("j", 42.0, [("cpu", "cpu-seconds", 123.0), ("memory", "mb-seconds", 345.0), ("x", None, 1.0)], {"a": ([1200, 800], 32631, [500000.0, 5645000.0, 508000.0, 5657000.0])})], schema)
