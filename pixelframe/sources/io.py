@@ -117,11 +117,14 @@ def read_with_schema(spark: SparkSession, path: str, schema: str = HISTORY) -> D
 
 
 def merge_metrics(spark: SparkSession, in_path: str, out_path: str, schema: str = HISTORY) -> None:
-    """Rewrites a history as one dataset by month; months that it holds replace those of the output."""
+    """Rewrites a history as one dataset by month; months that it holds replace those of the output.
+
+    Small months go to one task and file; a large one is divided over several (adaptive execution splits what exceeds its advisory size).
+    """
     df = read_with_schema(spark, in_path, schema)
     month = F.coalesce(c(MONTH), F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}-\d{2})/[^/]+$", 1), F.lit("")))
     df = df.withColumn(MONTH, month)
-    df.repartition(c(MONTH)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(out_path)
+    df.hint("rebalance", c(MONTH)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(out_path)
 
 
 def write_metrics(df: DataFrame, path: str, partitioning: str = "false") -> None:

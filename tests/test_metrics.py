@@ -143,6 +143,23 @@ def test_positional_months(spark, tmp_path):
         io.write_metrics(spark.range(1), f"{tmp_path}/x", "weekly")
 
 
+def test_a_large_month_is_divided(spark, tmp_path):
+    month = F.when(F.col("id") < 100, "2023-10").otherwise("2023-11")
+    spark.range(0, 40000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("test:nodeid"), month.alias(io.MONTH), F.col("id").cast("double").alias("costs")).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256KB")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256KB")
+    try:
+        io.merge_metrics(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    back = spark.read.parquet(f"{tmp_path}/out").withColumn("file", F.input_file_name()).groupBy(mt.c(io.MONTH).alias("month")).agg(F.count("*").alias("n"), F.sum("costs").alias("costs"), F.countDistinct("file").alias("files"))
+    first, second = back.orderBy("month").collect()
+    assert (first.n, first.costs, first.files) == (100, 4950.0, 1)
+    assert (second.n, second.costs) == (39900, 799975050.0)
+    assert second.files > 2
+
+
 def test_links(spark):
     raw, branch = "https://raw.githubusercontent.com", ["no feature branch"]
     cases = {
