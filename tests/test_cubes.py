@@ -4,6 +4,7 @@ import hashlib
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from pixelframe.operators import cube as cb
 from pixelframe.operators import udf
 from pixelframe.operators import windows as wn
 from pixelframe.operators import zones as zn
+from pixelframe.operators.blocks import box_sums, city_block, in_blocks, laid_apart, whole_tiles
 
 
 def raster(spark, values, name="v"):
@@ -96,6 +98,52 @@ def test_neighborhood_tiles(spark):
     assert np.allclose(grid(got, "v", values.shape), want)
 
 
+def sparse(spark, rng):
+    """Lone pixels and small groups of them over a wide area, negative places too, of two dates."""
+    near = rng.integers(-5, 6, (60, 3, 2)) + rng.integers(-3000, 3000, (60, 1, 2))
+    places = sorted({(x, y, day) for day in (1, 2) for x, y in map(tuple, near.reshape(-1, 2).tolist()) if rng.random() < 0.8})
+    return places, spark.createDataFrame([(x, y, datetime(2024, 1, day), float(x % 7)) for x, y, day in places], "x int, y int, t timestamp, v double")
+
+
+def test_far_tiles_share_a_block(spark):
+    places, df = sparse(spark, np.random.default_rng(6))
+    blocks = spark.sparkContext.accumulator(0)
+
+    def work(block, v):
+        blocks.add(1)
+        return {"v": block.rows(box_sums(block.matrix(v["v"]), 4, 4)), "d": block.rows(city_block(block.matrix(v["v"]) == 3))}
+
+    got = sorted((r.x, r.y, r.t.day, r.v, min(r.d, 5.0)) for r in in_blocks(df, work, 4, ["v"], {"v": "double", "d": "double"}, 16).collect())
+    near = lambda x, y, d: [(a, b) for a, b, e in places if e == d and abs(a - x) <= 4 and abs(b - y) <= 4]
+    assert got == [(x, y, d, sum(float(a % 7) for a, _ in near(x, y, d)), min([5.0, *(abs(a - x) + abs(b - y) + 0.0 for a, b in near(x, y, d) if a % 7 == 3)])) for x, y, d in places]
+    assert blocks.value < 60
+
+
+def test_tiles_stay_whole_and_apart():
+    rng = np.random.default_rng(7)
+    tile = np.sort(rng.integers(0, 50, 400))
+    tile = np.unique(tile, return_inverse=True)[1]
+    x, y = rng.integers(-40, 40, (2, 400))
+    seen = []
+    for rows, px, py in laid_apart(tile, x, y, 3, 2000):
+        seen += rows.tolist()
+        dx, dy = (np.abs(v[:, None] - v) for v in (px, py))
+        ox, oy = (np.abs(v[:, None] - v) for v in (x[rows], y[rows]))
+        same = tile[rows][:, None] == tile[rows]
+        near = same & (ox <= 3) & (oy <= 3)
+        assert (near == ((dx <= 3) & (dy <= 3))).all()
+        assert (dx == ox)[near].all() and (dy == oy)[near].all()
+    assert sorted(seen) == list(range(400))
+    keys = pa.table({"k": pa.array([None, None, 1, 1, 1, 2, 3, 3]), "v": range(8)})
+    assert [t["v"].to_pylist() for t in whole_tiles(keys.to_batches(2), ["k"], 3)] == [[0, 1], [2, 3, 4], [5], [6, 7]]
+
+
+def test_sums_keep_digits_beside_large_values():
+    m = np.zeros((1, 40))
+    m[0, 0], m[0, 30] = 1e18, 0.1
+    assert box_sums(m, 1, 1)[0, 30] == 0.1
+
+
 def test_texture_is_brute_force():
     rng = np.random.default_rng(2)
     image = rng.integers(0, 256, (14, 14)).astype(float)
