@@ -7,11 +7,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..meta import bands, dims
 from . import cover as cv
+from .blocks import by_tiles, laid_apart, owned, whole_tiles
 from .cube import rename_labels
 from .zones import edges, zonal_join
 
@@ -32,13 +35,15 @@ def apply_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sche
     return df.groupBy("x", "y").applyInPandas(lambda rows: fn(rows.sort_values("t")), schema)
 
 
-def apply_neighborhood(df: DataFrame, fn: Callable[..., pd.DataFrame], size: int, overlap: int, schema: str, context: dict | None = None, labels: Sequence[str] | None = None) -> DataFrame:
+def apply_neighborhood(df: DataFrame, fn: Callable[..., pd.DataFrame], size: int, overlap: int, schema: str, context: dict | None = None, labels: Sequence[str] | None = None, local: bool = False) -> DataFrame:
     """A function of tiles of size x size pixels with `overlap` pixels around; only the tile's own pixels are kept.
 
-    Halo rows are sent to the neighbouring tiles, so that a task holds one tile (of one date) at a time. fn gets the tile's rows in
+    Halo rows are sent to the neighbouring tiles, so that a call holds one tile (of one date) at a time. fn gets the tile's rows in
     order of y and x, and the context where one is given; labels are the names of its bands, in order, in place of the schema's.
+    local: what fn gives for a pixel of its rows follows from the pixels within `overlap` around alone, wherever they lie. Then a call holds many
+    tiles side by side, further apart than that (`laid_apart`; x and y are places there, put back afterwards), so that calls follow the pixels and not the tiles.
     """
-    extra = [c for c in dims(df) if c == "t"]
+    keys = ["_tx", "_ty", *(c for c in dims(df) if c == "t")]
     reach = lambda c: F.sequence(F.floor((F.col(c) - overlap) / size).cast("int"), F.floor((F.col(c) + overlap) / size).cast("int"))
     sent = df.withColumn("_tx", F.explode(reach("x"))).withColumn("_ty", F.explode(reach("y")))
     given = () if context is None else (dict(context),)
@@ -51,8 +56,26 @@ def apply_neighborhood(df: DataFrame, fn: Callable[..., pd.DataFrame], size: int
         out = fn(rows.drop(columns=["_tx", "_ty"]).sort_values(["y", "x"]), *given)
         return out[(out["x"] // size == tx) & (out["y"] // size == ty)]
 
-    names = df.sparkSession.createDataFrame([], schema).columns
-    made = sent.groupBy("_tx", "_ty", *extra).applyInPandas(run, schema)
+    def run_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tiles(batches, keys):
+            table, tile, own, x, y = owned(table, keys, size)
+            if not len(table):
+                continue
+            frame = table.drop_columns(["_tx", "_ty"]).to_pandas()
+            frame = frame.assign(**{c: frame[c].dt.tz_localize(None) for c in frame.select_dtypes("datetimetz")})
+            for rows, px, py in laid_apart(tile, x, y, overlap):
+                order = np.lexsort((px, py))
+                rows, px, py = rows[order], px[order], py[order]
+                out = fn(frame.iloc[rows].assign(x=px, y=py), *given)
+                wide = int(px.max()) + 1
+                row = rows[np.searchsorted(py * wide + px, out["y"].to_numpy() * wide + out["x"].to_numpy())]
+                out = out.assign(x=x[row], y=y[row], **{c: out[c].dt.tz_localize(zone, ambiguous=False) for c in times})[own[row]]
+                yield from pa.Table.from_pandas(out[names], types, preserve_index=False).combine_chunks().to_batches()
+
+    empty = df.sparkSession.createDataFrame([], schema)
+    names = empty.columns
+    types, times, zone = to_arrow_schema(empty.schema), [c for c, kind in empty.dtypes if kind == "timestamp"], df.sparkSession.conf.get("spark.sql.session.timeZone")
+    made = by_tiles(sent, keys).mapInArrow(run_many, schema) if local else sent.groupBy(*keys).applyInPandas(run, schema)
     return made if labels is None else rename_labels(made, labels)
 
 

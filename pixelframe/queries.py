@@ -272,7 +272,7 @@ query("e9_aggregate_spatial_median_wide", f"SELECT feature_index, round(median(v
 # groups beyond the given buffer, so that ranks are selected by histograms
 query("e4_quantiles_of_groups", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS q0, round(quantile_cont(l_extendedprice, 0.5), 6) AS q1, round(quantile_cont(l_extendedprice, 0.999), 6) AS q2 FROM lineitem GROUP BY ALL")(lambda s, d: quantiles_of_groups(s.read.parquet(f"{d}/lineitem.parquet"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.999], buffer=1000, few=20))
 query("f10_flat_kernel_wide", "SELECT a.x, a.y, sum(b.v) AS v FROM wd a JOIN wd b ON a.x - b.x BETWEEN -10 AND 10 AND a.y - b.y BETWEEN -10 AND 10 GROUP BY ALL", _WIDE)(lambda s, d: wn.apply_kernel(_wide(s, d), [[1] * 21] * 21))
-query("n3_apply_neighborhood_wide", "SELECT a.x, a.y, count(b.v)::DOUBLE AS value FROM wd a JOIN wd b ON a.x - b.x BETWEEN -8 AND 8 AND a.y - b.y BETWEEN -8 AND 8 GROUP BY ALL", _WIDE)(lambda s, d: udf.apply_neighborhood(_wide(s, d), _neighbours, 64, 8, "x int, y int, value double"))
+query("n3_apply_neighborhood_wide", "SELECT a.x, a.y, count(b.v)::DOUBLE AS value FROM wd a JOIN wd b ON a.x - b.x BETWEEN -8 AND 8 AND a.y - b.y BETWEEN -8 AND 8 GROUP BY ALL", _WIDE)(lambda s, d: udf.apply_neighborhood(_wide(s, d), _neighbours, 64, 8, "x int, y int, value double", local=True))
 
 # --- 2.9 scalars ------------------------------------------------------------------------------------------------------------------
 

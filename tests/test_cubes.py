@@ -105,6 +105,29 @@ def sparse(spark, rng):
     return places, spark.createDataFrame([(x, y, datetime(2024, 1, day), float(x % 7)) for x, y, day in places], "x int, y int, t timestamp, v double")
 
 
+def test_neighborhood_tiles_together(spark):
+    """Far tiles share a call where the function is local; the rows are those of a call for each tile."""
+    places, df = sparse(spark, np.random.default_rng(5))
+    calls = spark.sparkContext.accumulator(0)
+
+    def total(rows):
+        calls.add(1)
+        image, y, x = udf.grid_of(rows, "v")
+        p = np.pad(np.nan_to_num(image), 3)
+        sums = sum(p[i : i + image.shape[0], j : j + image.shape[1]] for i in range(7) for j in range(7))
+        return rows[["x", "y", "t"]].assign(v=sums[y, x])
+
+    def box(local):
+        before = calls.value
+        found = udf.apply_neighborhood(df, total, 8, 3, "x int, y int, t timestamp, v double", local=local).collect()
+        return sorted((r.x, r.y, r.t.day, r.v) for r in found), calls.value - before
+
+    (got, few), (want, many) = box(True), box(False)
+    assert got == want
+    assert got == [(x, y, d, sum(float(a % 7) for a, b, e in places if e == d and abs(a - x) <= 3 and abs(b - y) <= 3)) for x, y, d in places]
+    assert few < many / 4
+
+
 def test_far_tiles_share_a_block(spark):
     places, df = sparse(spark, np.random.default_rng(6))
     blocks = spark.sparkContext.accumulator(0)
